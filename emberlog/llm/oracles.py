@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from .licenses import BASE_PHRASES, CONTEXT, GATE, WORD, anchored, rules
+
 ORACLES: dict[str, str] = {}
 
 # A run of more than 200 words that occurs twice is a 201-word window that does.
@@ -21,3 +23,42 @@ f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT (base_failed OR 100 * covered_words > 50 * n_words OR long_repeat) AS kept, covered_words FROM f
 """
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+_BASE = ", ".join(f"({_quoted(p)}, {_quoted(label)}, {len(p.split())})" for p, label in BASE_PHRASES.items())
+_RULES = ", ".join(f"({r.order}, {_quoted(r.label)}, {_quoted(r.first)}, {_quoted(anchored(r))}, {r.score})" for r in rules())
+ORACLES["op6_license_scan"] = rf"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),
+w AS (SELECT r, doc_id, regexp_extract_all(low, {_quoted(WORD)}) AS ws, regexp_matches(low, {_quoted(GATE)}) AS gate FROM t),
+p AS (SELECT r, ws, unnest(range(len(ws))) AS i FROM w WHERE gate),
+b AS (SELECT r, i, x.label FROM p JOIN (VALUES {_BASE}) AS x(phrase, label, k) ON array_to_string(ws[i+1:i+k], ' ') = phrase),
+rules AS (SELECT ord, label, unnest(string_split(firsts, ' ')) AS w, pattern, score FROM (VALUES {_RULES}) AS x(ord, label, firsts, pattern, score)),
+h AS (SELECT p.r, i, ord, label, score, regexp_extract(array_to_string(ws[i+1:i+{CONTEXT}], ' '), pattern, 1) AS hit FROM p JOIN rules ON ws[i+1] = rules.w),
+e AS (SELECT *, i + len(string_split(hit, ' ')) AS stop FROM h WHERE hit <> ''),
+k AS (SELECT r, label, score FROM e QUALIFY coalesce(max(stop) OVER (PARTITION BY r ORDER BY i, stop DESC, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < stop),
+bb AS (SELECT r, count(*) AS n, min(i) AS lo, max(i) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM b GROUP BY r),
+kk AS (SELECT r, max(score) AS score FROM k GROUP BY r),
+ll AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM b UNION ALL SELECT r, label FROM k) GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(bb.n, 0)::BIGINT AS n_base, lo::BIGINT AS first_word, hi::BIGINT AS last_word,
+  coalesce(bb.labels, '') AS base_labels, coalesce(ll.labels, '') AS labels, CASE WHEN bb.n > 0 THEN 1.0 ELSE coalesce(kk.score, 0) END::DOUBLE AS score
+FROM w LEFT JOIN bb USING (r) LEFT JOIN kk USING (r) LEFT JOIN ll USING (r)
+"""
+
+# Independent of seeds: every pair of equal tokens, counted along diagonals.
+ORACLES["op10_decontamination"] = r"""
+WITH dt AS (SELECT r, doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws FROM (SELECT *, row_number() OVER () AS r FROM documents)),
+bt AS (SELECT item_id, ws, len(ws) AS n FROM (SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws FROM benchmark) WHERE len(ws) >= 8),
+d AS (SELECT r, unnest(ws) AS w, unnest(range(len(ws))) AS p FROM dt),
+b AS (SELECT item_id, n, least(n, 13) AS win, least(n, 13) - CASE WHEN n >= 13 THEN 2 WHEN n >= 10 THEN 1 ELSE 0 END AS need, unnest(ws) AS w, unnest(range(n)) AS q FROM bt),
+m AS (SELECT r, item_id, p - q AS diag, q, win, need FROM d JOIN b USING (w)),
+c AS (SELECT r, item_id, need, win, diag, q FROM m QUALIFY count(*) OVER (PARTITION BY r, item_id, diag) >= need),
+s AS (SELECT x.r, x.item_id, x.need, x.diag, x.q, count(*) AS n FROM c AS x JOIN c AS y ON x.r = y.r AND x.item_id = y.item_id AND x.diag = y.diag AND y.q >= x.q AND y.q < x.q + x.win GROUP BY ALL),
+h AS (SELECT r, item_id, max(n) AS best FROM s WHERE n >= need GROUP BY ALL),
+g AS (SELECT r, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id) AS item_ids, max(best) AS best FROM h GROUP BY r)
+SELECT doc_id, g.r IS NOT NULL AS contaminated, coalesce(n_items, 0)::BIGINT AS n_items, coalesce(item_ids, '') AS item_ids, coalesce(best, 0)::BIGINT AS best_window
+FROM dt LEFT JOIN g USING (r)
+"""

@@ -40,12 +40,35 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", *(f"quality.{n}" for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "covered_words")))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import license_scan
+
+    docs = license_scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    starts = F.transform("licenses.places", lambda p: p["start"])
+    return docs.select(
+        "doc_id",
+        "licenses.n_words",
+        F.size("licenses.places").cast("long").alias("n_base"),
+        F.array_min(starts).cast("long").alias("first_word"),
+        F.array_max(starts).cast("long").alias("last_word"),
+        F.array_join("licenses.base_labels", ",").alias("base_labels"),
+        F.array_join("licenses.labels", ",").alias("labels"),
+        "licenses.score",
+    )
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import length_histogram, suffix_sums
 
     return suffix_sums(length_histogram(table(spark, sf_dir, "documents"), public_path(BYTE_BPE)))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
