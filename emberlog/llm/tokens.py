@@ -34,8 +34,6 @@ class WordMemoTokenizer:
         self.memo: dict[str, bytes] = {}
 
     def learn(self, words: list[str]) -> None:
-        if len(self.memo) + len(words) > MEMO_WORDS:
-            self.memo.clear()
         for i in range(0, len(words), 4096):
             part = words[i : i + 4096]
             for word, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
@@ -49,7 +47,11 @@ class WordMemoTokenizer:
                 block = words[i : i + 100_000]
                 found = list(map(self.memo.get, block))
                 if None in found:
-                    self.learn(list({w for w, x in zip(block, found, strict=True) if x is None}))
+                    new = {w for w, x in zip(block, found, strict=True) if x is None}
+                    if len(self.memo) + len(new) > MEMO_WORDS:
+                        self.memo.clear()
+                        new = set(block)
+                    self.learn(list(new))
                     found = list(map(self.memo.__getitem__, block))
                 parts.append(b"".join(found))
             yield b"".join(parts)
