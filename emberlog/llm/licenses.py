@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,7 +75,7 @@ LICENCES: list[tuple[str, str, str]] = [
     ("psf-2", r"python software foundation(?: license)?(?: version 2)?", "python"),
     ("ruby", r"ruby", "ruby"),
     ("sspl-1", r"server side public", "server"),
-    ("unlicense", r"(?:unlicense|the unlicense)", "unlicense the"),
+    ("unlicense", r"unlicense", "unlicense"),
     ("upl-1", r"universal permissive", "universal"),
     ("vim", r"vim", "vim"),
     ("w3c", r"w3c(?: software)?(?: notice)?", "w3c"),
@@ -83,17 +86,17 @@ LICENCES: list[tuple[str, str, str]] = [
 
 # Other notices: label, regex, first words, confidence.
 NOTICES: list[tuple[str, str, str, float]] = [
-    ("all-rights-reserved", r"all rights reserved", "all", 0.6),
+    ("all-rights-reserved", r"rights reserved", "rights", 0.6),
     ("copyright", r"copyright (?:c )?(?:19|20)\d\d", "copyright", 0.5),
-    ("public-domain", r"(?:released into|dedicated to|placed in|in) the public domain", "released dedicated placed in", 0.8),
+    ("public-domain", r"public domain", "public", 0.8),
     ("proprietary", r"(?:proprietary and confidential|confidential and proprietary)", "proprietary confidential", 0.7),
     ("mit", r"permission is hereby granted free of charge to any person obtaining a copy", "permission", 0.95),
     ("isc", r"permission to use copy modify and or distribute this software for any purpose", "permission", 0.95),
     ("bsd", r"redistribution and use in source and binary forms with or without modification", "redistribution", 0.9),
-    ("gpl", r"this program is free software you can redistribute it and or modify it", "this", 0.9),
-    ("mpl-2", r"this source code form is subject to the terms of the mozilla public license", "this", 0.95),
-    ("unlicense", r"this is free and unencumbered software released into the public domain", "this", 0.95),
-    ("zlib", r"this software is provided as is without any express or implied warranty", "this", 0.7),
+    ("gpl", r"program is free software you can redistribute it and or modify it", "program", 0.9),
+    ("mpl-2", r"source code form is subject to the terms of the mozilla public license", "source", 0.95),
+    ("unlicense", r"unencumbered software released into the public domain", "unencumbered", 0.95),
+    ("zlib", r"software is provided as is without any express or implied warranty", "software", 0.7),
 ]
 
 LICENCE = r"(?:license|licence)"
@@ -101,9 +104,13 @@ GRANT = r"(?:licensed|released|distributed|available|published|provided|covered)
 #: Words that a rule sees from its first word on.
 CONTEXT = 16
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same before lower-casing.
+SEPARATOR_BOTH = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: No rule and no base phrase matches a text without one of these.
-GATE = rf"licen[sc]|copyright|public{SEPARATOR}domain|rights{SEPARATOR}reserved|proprietary|permission|redistribut|unencumbered|software|cc{SEPARATOR}by|apache|gpl|spdx"
+#: No rule and no base phrase matches a text without one of these, in lower case.
+GATE = ("licen", "copyright", "public", "rights", "proprietary", "permission", "redistribut", "unencumbered", "software", "apache", "gpl", "spdx")
+#: Or without both of these.
+GATE_PAIR = ("cc", "by")
 
 
 @dataclass(frozen=True)
@@ -128,8 +135,8 @@ def rules() -> list[Rule]:
         out.append((label, rf"{name} {LICENCE}(?: agreement)?(?: (?:version|v) ?\d+)?", first, 0.9))
     for label, name, _ in LICENCES:
         out.append((label, rf"{LICENCE}(?: is| type| name)? {name}", "license licence", 0.8))
-    for label, name, _ in LICENCES:
-        out.append((label, rf"(?:under|see|per|in) (?:the )?(?:terms of (?:the )?)?{name} {LICENCE}", "under see per in", 0.85))
+    for label, name, first in LICENCES:
+        out.append((label, rf"{name} {LICENCE} (?:see|text|terms|file|notice|header)", first, 0.6))
     out += NOTICES
     return [Rule(i, label, first, pattern, score) for i, (label, pattern, first, score) in enumerate(out)]
 
@@ -139,11 +146,14 @@ def anchored(rule: Rule) -> str:
     return rf"^({rule.pattern})(?: |$)"
 
 
-def rule_array() -> Column:
-    """The rules as one literal: (order, label, first words, anchored pattern, score)."""
-    return F.array(
-        *(F.struct(F.lit(r.order).alias("order"), F.lit(r.label).alias("label"), F.array(*map(F.lit, r.first.split())).alias("first"), F.lit(anchored(r)).alias("pattern"), F.lit(r.score).alias("score")) for r in rules())
-    )
+def rules_by_word() -> Column:
+    """The rules as one literal map: first word to an array of (order, label, anchored pattern, score)."""
+    by: dict[str, list[dict]] = {}
+    for r in rules():
+        for word in r.first.split():
+            by.setdefault(word, []).append({"order": r.order, "label": r.label, "pattern": anchored(r), "score": r.score})
+    # As JSON it is one small expression, which Spark folds into one literal.
+    return F.from_json(F.lit(json.dumps(by)), "map<string, array<struct<order: int, label: string, pattern: string, score: double>>>")
 
 
 def places(words: Column, phrase: str) -> Column:
@@ -164,7 +174,7 @@ def labelled(starts: Column, label: str) -> Column:
     return F.transform(starts, lambda i: F.struct(i.alias("start"), F.lit(label).alias("label")))
 
 
-def detections(words: Column, rule_list: Column, firsts: list[str]) -> Column:
+def detections(words: Column, by_word: Column, firsts: list[str]) -> Column:
     """(start, end, order, label, score) of every rule at every word that it can begin with, ends exclusive."""
     at = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.get(words, i).isin(firsts))
 
@@ -175,7 +185,7 @@ def detections(words: Column, rule_list: Column, firsts: list[str]) -> Column:
             hit = F.call_function("regexp_extract", context, rule["pattern"], F.lit(1))
             return F.struct(i.alias("start"), (-(i + F.size(F.split(hit, " ")))).alias("minus_end"), rule["order"].alias("order"), rule["label"].alias("label"), rule["score"].alias("score"), (hit != "").alias("hit"))
 
-        return F.filter(F.transform(F.filter(rule_list, lambda r: F.array_contains(r["first"], F.get(words, i))), of), lambda d: d["hit"])
+        return F.filter(F.transform(F.try_element_at(by_word, F.get(words, i)), of), lambda d: d["hit"])
 
     return F.when(F.size(words) > 0, F.flatten(F.transform(at, match)))
 
@@ -197,7 +207,7 @@ def unsuppressed(found: Column) -> Column:
     return F.aggregate(F.array_sort(found), start, step)
 
 
-def license_scan(docs: DataFrame, text: str = "text", to: str = "licenses", gate: str = GATE) -> DataFrame:
+def license_scan(docs: DataFrame, text: str = "text", to: str = "licenses") -> DataFrame:
     """Adds the struct column `to`: n_words, places (array of struct: start, label) of base phrases, labels, score.
 
     A-Z are lower-cased and words are runs of other characters than ASCII separators. Only texts that pass the keyword gate
@@ -208,20 +218,26 @@ def license_scan(docs: DataFrame, text: str = "text", to: str = "licenses", gate
     in a text's words; a very long text is one row in one task.
     """
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    lowered = F.translate(F.coalesce(F.col(text), F.lit("")), upper, upper.lower())
     firsts = sorted({w for r in rules() for w in r.first.split()})
-    rows = docs.withColumn("_lowered", lowered).withColumn("_gate", F.col("_lowered").rlike(gate)).withColumn("_words", F.regexp_extract_all("_lowered", F.lit(WORD), 0))
+    whole = F.coalesce(F.col(text), F.lit(""))
+    parts = F.col("_parts")
+    blank = lambda x: (x == "").cast("int")
+    n_words = F.greatest(F.lit(0), F.size(parts) - blank(F.get(parts, F.lit(0))) - blank(F.element_at(parts, -1)))
+    own_words = F.filter(F.split(F.translate(whole, upper, upper.lower()), SEPARATOR), lambda w: w != "")
+    gate = reduce(or_, (F.col("_low").contains(k) for k in GATE), F.col("_low").contains(GATE_PAIR[0]) & F.col("_low").contains(GATE_PAIR[1]))
+    rows = docs.withColumn("_parts", F.split(whole, SEPARATOR_BOTH)).withColumn("_n", n_words).withColumn("_low", F.lower(whole)).withColumn("_gate", gate)
+    rows = rows.withColumn("_words", F.when(F.col("_gate"), own_words).otherwise(F.array().cast("array<string>")))
     words = F.col("_words")
     spots = F.flatten(F.array(*(labelled(places(words, p), label) for p, label in BASE_PHRASES.items())))
     none = F.array().cast("array<struct<start:int,label:string>>")
     rows = rows.withColumn("_base", F.when(F.col("_gate"), spots).otherwise(none))
-    kept = F.when(F.col("_gate"), unsuppressed(detections(words, rule_array(), firsts)))
+    kept = F.when(F.col("_gate"), unsuppressed(detections(words, rules_by_word(), firsts)))
     rows = rows.withColumn("_kept", kept)
     base = F.array_sort(F.array_distinct(F.transform("_base", lambda p: p["label"])))
     own = F.coalesce(F.col("_kept.labels"), F.array().cast("array<string>"))
     score = F.when(F.size("_base") > 0, 1.0).otherwise(F.coalesce("_kept.score", F.lit(0.0)))
-    result = F.struct(F.size(words).cast("long").alias("n_words"), F.col("_base").alias("places"), base.alias("base_labels"), F.array_sort(F.array_union(base, own)).alias("labels"), score.alias("score"))
-    return rows.withColumn(to, result).drop("_lowered", "_gate", "_words", "_base", "_kept")
+    result = F.struct(F.col("_n").cast("long").alias("n_words"), F.col("_base").alias("places"), base.alias("base_labels"), F.array_sort(F.array_union(base, own)).alias("labels"), score.alias("score"))
+    return rows.withColumn(to, result).drop("_parts", "_n", "_low", "_gate", "_words", "_base", "_kept")
 
 
 def rule_table(spark: SparkSession) -> DataFrame:
