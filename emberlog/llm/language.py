@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .base import broadcast_if_small
+
 UNKNOWN = "und"
 
 
@@ -79,6 +81,7 @@ def training_sample(docs: DataFrame, text: str, lang: str, key: str, config: Lan
     """
     rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
     counts = rows.groupBy(F.col(lang).alias("_l")).agg(F.count("*").alias("_n"))
+    counts = broadcast_if_small(counts, counts.count(), 100_000)
     draw = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("language sample")), F.lit(1 << 30))
     few = rows.select(F.col(lang).alias("_l"), F.col(text).alias("_t"), draw.alias("_d")).join(counts, "_l").filter(F.col("_d") < F.lit(float(1 << 30)) * 2 * config.max_sample_per_lang / F.col("_n") + (1 << 10))
 
