@@ -63,3 +63,19 @@ g AS (SELECT r, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY i
 SELECT doc_id, g.r IS NOT NULL AS contaminated, coalesce(n_items, 0)::BIGINT AS n_items, coalesce(item_ids, '') AS item_ids, coalesce(best, 0)::BIGINT AS best_window
 FROM dt LEFT JOIN g USING (r)
 """
+
+# Every earlier line is tried: equal, or with one word replaced, added or left out.
+ORACLES["op2_line_dedup"] = r"""
+WITH l AS (SELECT doc_id, k, string_split(text, chr(10))[k] AS line FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS k FROM documents)),
+w AS (SELECT doc_id, k, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS ws FROM l),
+f AS (SELECT doc_id, k, ws, len(ws) AS n, doc_id * 1000000 + k AS pos, array_to_string(ws, ' ') AS s FROM w WHERE len(ws) >= 5),
+d AS (SELECT s, any_value(ws) AS ws, any_value(n) AS n, min(pos) AS pos FROM f GROUP BY s),
+v AS (SELECT pos, n, i, array_to_string(ws[1:i-1], ' ') || '|' || array_to_string(ws[i+1:], ' ') AS split, array_to_string(ws[1:i-1] || ws[i+1:], ' ') AS rest FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM d)),
+a AS (SELECT pos FROM v QUALIFY min(pos) OVER (PARTITION BY split) < pos),
+b AS (SELECT v.pos AS longer, d.pos AS shorter FROM v JOIN d ON v.rest = d.s),
+near AS (SELECT pos FROM a UNION SELECT longer FROM b WHERE shorter < longer UNION SELECT shorter FROM b WHERE longer < shorter),
+g AS (SELECT f.doc_id, f.k, f.pos > d.pos AS exact, near.pos IS NOT NULL AS near FROM f JOIN d USING (s) LEFT JOIN near ON near.pos = f.pos),
+x AS (SELECT l.doc_id, count(*) AS n_lines, count(*) FILTER (exact) AS n_exact, count(*) FILTER (near AND NOT exact) AS n_near,
+  coalesce(string_agg(line, chr(10) ORDER BY l.k) FILTER (NOT coalesce(exact OR near, false)), '') AS kept FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.k = g.k GROUP BY l.doc_id)
+SELECT doc_id, n_lines, n_exact, n_near, md5(kept) AS kept_md5 FROM x
+"""

@@ -24,6 +24,13 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_path(WORD_BPE))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import line_dedup
+
+    docs = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", "lines.n_lines", "lines.n_exact", "lines.n_near", F.md5(F.col("text").cast("binary")).alias("kept_md5"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language import fit_language, predict_language
 
