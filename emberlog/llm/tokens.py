@@ -8,8 +8,12 @@ from collections.abc import Iterator
 
 import numpy as np
 
+from .bpe import WordMerges, one_run
+
 #: Words kept in a task's memo; it is emptied when full, so that memory stays bounded.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 800_000
+#: Words of texts that are looked up together, so that new ones are many at once.
+GROUP_WORDS = 300_000
 
 
 def split_words(text: str) -> list[str]:
@@ -31,30 +35,47 @@ class WordMemoTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.merges = WordMerges(path)
+        self.marks = {"": b""} | dict(zip(".,;:!?", self.by_library(list(".,;:!?")), strict=True))
         self.memo: dict[str, bytes] = {}
 
     def learn(self, words: list[str]) -> None:
-        for i in range(0, len(words), 4096):
-            part = words[i : i + 4096]
-            for word, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self.memo[word] = np.asarray(e.ids, "<u4").tobytes()
+        """Words that are plainly one run of letters are merged together, others go through the library."""
+        plain, odd, wanted = [], [], {}
+        for word in words:
+            split = one_run(word)
+            if split:
+                plain.append((word, *split))
+                wanted.setdefault(split[0], len(wanted))
+            else:
+                odd.append(word)
+        raw = [b.encode() for b in wanted]
+        bodies = [ids for i in range(0, len(raw), 8192) for ids in self.merges.encode(raw[i : i + 8192])]
+        for word, body, mark in plain:
+            self.memo[word] = bodies[wanted[body]] + self.marks[mark]
+        for i in range(0, len(odd), 4096):
+            part = odd[i : i + 4096]
+            for word, ids in zip(part, self.by_library(part), strict=True):
+                self.memo[word] = ids
+
+    def by_library(self, words: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers; a null text is empty."""
-        for text in texts:
-            parts, words = [], split_words(text or "")
-            for i in range(0, len(words), 100_000):
-                block = words[i : i + 100_000]
-                found = list(map(self.memo.get, block))
-                if None in found:
-                    new = {w for w, x in zip(block, found, strict=True) if x is None}
-                    if len(self.memo) + len(new) > MEMO_WORDS:
-                        self.memo.clear()
-                        new = set(block)
-                    self.learn(list(new))
-                    found = list(map(self.memo.__getitem__, block))
-                parts.append(b"".join(found))
-            yield b"".join(parts)
+        group, size = [], 0
+        for i, text in enumerate(texts):
+            group.append(split_words(text or ""))
+            size += len(group[-1])
+            if size > GROUP_WORDS or i == len(texts) - 1:
+                new = {w for words in group for w in words if w not in self.memo}
+                if len(self.memo) + len(new) > MEMO_WORDS:
+                    self.memo.clear()
+                    new = {w for words in group for w in words}
+                self.learn(list(new))
+                for words in group:
+                    yield b"".join(map(self.memo.__getitem__, words))
+                group, size = [], 0
 
 
 def byte_bpe(path: str):
