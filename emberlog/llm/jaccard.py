@@ -8,12 +8,13 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import broadcast_if_small, written
 from .graph import components
-from .lines import BASES, mixed, powers, word_numbers
+from .words import Words, blocks, mixed, powers, text_bytes
 
 
 @dataclass(frozen=True)
@@ -39,23 +40,17 @@ class JaccardConfig:
         return math.ceil(math.log(1 - self.recall) / math.log(1 - self.threshold**self.band_rows))
 
 
-def shingles(texts: list[str | None], n: int, memo: dict[bytes, int]) -> list[np.ndarray]:
+def shingles(texts: list[bytes], n: int) -> list[np.ndarray]:
     """The hashes of each text's different runs of n words; words are split at ASCII white space."""
-    words: list[bytes] = []
-    ends = []
-    for t in texts:
-        words += (t or "").encode("utf-8", "surrogatepass").split()
-        ends.append(len(words))
-    numbers, up = word_numbers(words, memo), powers(BASES[0], n)
-    runs = np.zeros(max(0, len(words) - n + 1), np.uint64)
+    words = Words(texts)
+    up = powers(0xD6E8FEB86659FD93, n)
+    count = max(0, len(words.numbers) - n + 1)
+    runs = np.zeros(count, np.uint64)
     for k in range(n):
-        runs += numbers[k : len(words) - n + 1 + k] * up[k] if len(runs) else runs
+        runs += words.numbers[k : k + count] * up[k]
     runs = mixed(runs)
-    out, at = [], 0
-    for end in ends:
-        out.append(np.unique(runs[at : max(at, end - n + 1)]))
-        at = end
-    return out
+    ends = np.cumsum(words.counts)
+    return [np.unique(runs[a : max(a, b - n + 1)]) for a, b in zip((ends - words.counts).tolist(), ends.tolist(), strict=True)]
 
 
 def band_hashes(sets: list[np.ndarray], config: JaccardConfig) -> np.ndarray:
@@ -74,15 +69,18 @@ def band_hashes(sets: list[np.ndarray], config: JaccardConfig) -> np.ndarray:
     return out
 
 
+def parts_of(batch: pa.RecordBatch) -> list[pa.RecordBatch]:
+    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
+    return [batch.slice(g[0], len(g)) for g in blocks(sizes, list(range(batch.num_rows)))]
+
+
 def signatures(rows: DataFrame, config: JaccardConfig) -> DataFrame:
     """(node, doc, bands) of each row (node, doc, text); bands is empty where a text has fewer than n words."""
 
     def emit(batches):
-        memo: dict[bytes, int] = {}
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                sets = shingles(part.column("text").to_pylist(), config.n, memo)
+            for part in parts_of(batch):
+                sets = shingles(text_bytes(part.column("text")), config.n)
                 full = [i for i, s in enumerate(sets) if len(s)]
                 lengths = np.zeros(len(sets), np.int64)
                 lengths[full] = config.bands
@@ -97,11 +95,9 @@ def shingle_sets(rows: DataFrame, config: JaccardConfig) -> DataFrame:
     """(node, grams) of each row (node, text)."""
 
     def emit(batches):
-        memo: dict[bytes, int] = {}
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                sets = shingles(part.column("text").to_pylist(), config.n, memo)
+            for part in parts_of(batch):
+                sets = shingles(text_bytes(part.column("text")), config.n)
                 offsets = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
                 yield pa.RecordBatch.from_arrays([part.column("node"), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets).view(np.int64)))], names=["node", "grams"])
 

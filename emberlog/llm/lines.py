@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import row_key
+from .base import row_key, written
+from .words import Words, blocks, mixed, powers, signed, text_bytes
 
 
 @dataclass(frozen=True)
@@ -20,48 +21,14 @@ class LineConfig:
     min_words: int = 5
 
 
-_mult = np.uint64(0x9E3779B97F4A7C15)
 #: Odd bases of the two polynomial hashes over words.
 BASES = (0x100000001B3, 0xD6E8FEB86659FD93)
-EXACT, REPLACED, SHORTER, LONGER, REPEATED = range(5)
-#: Characters of texts whose words are held at once in a task.
-BLOCK_CHARS = 4_000_000
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def word_numbers(words: list[bytes], memo: dict[bytes, int]) -> np.ndarray:
-    """A 64-bit number of each word, the same in every task."""
-    import xxhash
-
-    found = list(map(memo.get, words))
-    if None in found:
-        if len(memo) > 400_000:
-            memo.clear()
-            found = [None] * len(words)
-        for i, x in enumerate(found):
-            if x is None:
-                w = words[i]
-                x = memo.get(w)
-                found[i] = memo.setdefault(w, xxhash.xxh64_intdigest(w)) if x is None else x
-    return np.array(found, np.uint64)
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base^0 .. base^(n-1) modulo 2^64."""
-    steps = np.full(n, base % (1 << 64), np.uint64)
-    steps[:1] = 1
-    return np.multiply.accumulate(steps)
-
+EXACT, REPLACED, SHORTER, LONGER, REPEATED, HALF = range(6)
 
 def keyed(hashes: np.ndarray, n_words: np.ndarray, kind: int, position: np.ndarray | int = 0) -> np.ndarray:
     """Keys of different kinds, lengths and positions differ."""
     salt = np.uint64(kind) + (np.asarray(n_words).astype(np.uint64) << np.uint64(3)) + (np.asarray(position).astype(np.uint64) << np.uint64(34))
-    return mixed(hashes + mixed(salt * _mult + np.uint64(1)))
+    return mixed(hashes + mixed(salt * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)))
 
 
 class Lines:
@@ -70,28 +37,21 @@ class Lines:
     of: the text of a line; at: its number there. A run's hash is the sum of word number times base^place, from place 0 on.
     """
 
-    def __init__(self, texts: list[str | None], min_words: int, memo: dict[bytes, int]):
-        words: list[bytes] = []
-        of, at, lengths = [], [], []
-        for t, text in enumerate(texts):
-            for k, line in enumerate((text or "").encode("utf-8", "surrogatepass").split(b"\n")):
-                own = line.split()
-                if len(own) >= min_words:
-                    words += own
-                    of.append(t)
-                    at.append(k)
-                    lengths.append(len(own))
-        self.of, self.at, self.n = np.array(of, np.int64), np.array(at, np.int64), np.array(lengths, np.int64)
-        self.end = np.cumsum(self.n)
-        self.start = self.end - self.n
-        numbers = word_numbers(words, memo)
-        place = np.arange(len(words)) - np.repeat(self.start, self.n)
-        top = int(self.n.max()) + 1 if len(self.n) else 1
+    def __init__(self, texts: list[bytes], min_words: int):
+        words = Words(texts)
+        new = np.flatnonzero(np.concatenate(([True], (words.text[1:] != words.text[:-1]) | (words.line[1:] != words.line[:-1])))) if len(words.line) else np.zeros(0, np.int64)
+        n = np.diff(np.append(new, len(words.line)))
+        long = n >= min_words
+        self.start, self.n = new[long], n[long]
+        self.end = self.start + self.n
+        self.of, self.at = words.text[self.start], words.line[self.start]
+        place = np.arange(len(words.line)) - np.repeat(new, n)
+        top = int(n.max(initial=0)) + 1
         self.back, self.sums = [], []
         for base in BASES:
             self.back.append(powers(pow(base, -1, 1 << 64), top))
-            sums = np.zeros(len(words) + 1, np.uint64)
-            np.cumsum(numbers * powers(base, top)[place], out=sums[1:])
+            sums = np.zeros(len(words.line) + 1, np.uint64)
+            np.cumsum(words.numbers * powers(base, top)[place], out=sums[1:])
             self.sums.append(sums)
 
     def run(self, which: int, line: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -107,115 +67,103 @@ class Lines:
         sums, at = self.sums[which], self.start[line]
         return (sums[at + i] - sums[at]) + (sums[self.end[line]] - sums[at + i + 1]) * self.back[which][1]
 
-    def half_keys(self, line: np.ndarray) -> np.ndarray:
-        """Keys of which two lines within one edit share one: the edit leaves alone the first or the last half, as the shorter
-        line counts it. A row of four for each line."""
-        out = []
-        for shorter in (self.n[line] - 1, self.n[line]):
-            half = shorter // 2
-            out.append(keyed(self.run(0, line, np.zeros_like(half), half), shorter, 4))
-            out.append(keyed(self.run(0, line, self.n[line] - half, self.n[line]), shorter, 5))
-        return np.stack(out, axis=1)
-
-
-def batches_of_lines(batch: pa.RecordBatch, config: LineConfig, memo: dict[bytes, int]):
-    """Yields (lines, rows, new): blocks of a batch in order of document; rows: a text's row in the batch; new: the lines of
-    which no equal one came before in the batch."""
-    docs, keys, texts = (batch.column(n).to_pylist() for n in ("_doc", "_key", "_text"))
-    order = sorted(range(batch.num_rows), key=lambda i: (docs[i] is not None, docs[i] or 0, keys[i]))
-    seen: set[tuple[int, int]] = set()
-    block, size = [], 0
-    for nth, i in enumerate(order):
-        block.append(i)
-        size += len(texts[i] or "")
-        if size > BLOCK_CHARS or nth == len(order) - 1:
-            lines = Lines([texts[j] for j in block], config.min_words, memo)
-            every = np.arange(len(lines.n))
-            new = np.zeros(len(every), bool)
-            for k, pair in enumerate(zip(lines.whole(0, every).tolist(), lines.whole(1, every).tolist(), strict=True)):
-                if pair not in seen:
-                    seen.add(pair)
-                    new[k] = True
-            yield lines, np.array(block, np.int64), new
-            block, size = [], 0
+    def half_keys(self, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(keys, lines): two lines within one edit share a key. The edit leaves alone the first or the last half, as the
+        shorter line counts it, which is this one or has one word less."""
+        keys, own = [], []
+        for less in (0, 1):
+            some = line if not less else line[self.n[line] % 2 == 0]  # else the half is the same
+            half = (self.n[some] - less) // 2
+            keys += [keyed(self.run(0, some, np.zeros_like(half), half), half, 5), keyed(self.run(0, some, self.n[some] - half, self.n[some]), half, 6)]
+            own += [some, some]
+        return np.concatenate(keys), np.concatenate(own)
 
 
 def picked(batch: pa.RecordBatch, name: str, rows: np.ndarray) -> pa.Array:
     return batch.column(name).take(pa.array(rows))
 
 
-def signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
-
+def line_rows(rows: DataFrame, doc_id: str, config: LineConfig) -> DataFrame:
+    """Rows (key, line, kind, _key, _doc, _at) of every line: its own hash as a key (EXACT) and those of its halves (HALF).
 
-def candidate_halves(rows: DataFrame, config: LineConfig) -> DataFrame:
-    """(half, line, _key, _at): four keys of each line, of equal lines in a batch only the earliest."""
+    In order of document, only the earliest of equal lines in a batch gets these; others have a row of the kind REPEATED.
+    """
 
     def emit(batches):
-        memo: dict[bytes, int] = {}
         for batch in batches:
-            for lines, row, new in batches_of_lines(batch, config, memo):
-                line = np.flatnonzero(new)
-                own = np.repeat(line, 4)
+            docs, keys, texts = batch.column(doc_id).cast(pa.int64()), batch.column("_key").to_pylist(), text_bytes(batch.column("_text"))
+            ids = docs.to_pylist()
+            order = sorted(range(batch.num_rows), key=lambda i: (ids[i] is not None, ids[i] or 0, keys[i]))
+            seen: set[tuple[int, int]] = set()
+            for block in blocks([len(t) for t in texts], order):
+                lines, row = Lines([texts[i] for i in block], config.min_words), np.array(block, np.int64)
+                every = np.arange(len(lines.n))
+                whole = keyed(lines.whole(0, every), lines.n, EXACT)
+                new = np.zeros(len(every), bool)
+                for k, pair in enumerate(zip(whole.tolist(), lines.whole(1, every).tolist(), strict=True)):
+                    if pair not in seen:
+                        seen.add(pair)
+                        new[k] = True
+                first, old = np.flatnonzero(new), np.flatnonzero(~new)
+                halves, of_half = lines.half_keys(first)
+                own = np.concatenate([old, first, of_half])
+                kinds = np.repeat(np.array([REPEATED, EXACT, HALF], np.int8), [len(old), len(first), len(of_half)])
+                at = row[lines.of[own]]
                 yield pa.RecordBatch.from_arrays(
-                    [signed(lines.half_keys(line).reshape(-1)), signed(keyed(lines.whole(0, own), lines.n[own], EXACT)), picked(batch, "_key", row[lines.of[own]]), pa.array(lines.at[own], pa.int32())],
-                    names=["half", "line", "_key", "_at"],
+                    [signed(np.concatenate([mixed(whole[old] + lines.at[old].astype(np.uint64)), whole[first], halves])), signed(whole[own]), pa.array(kinds), picked(batch, "_key", at), docs.take(pa.array(at)), pa.array(lines.at[own].astype(np.int32))],
+                    names=["key", "line", "kind", "_key", "_doc", "_at"],
                 )
 
-    return rows.select("_key", "_doc", "_text").mapInArrow(emit, "half long, line long, _key long, _at int")
-
+    return rows.mapInArrow(emit, "key long, line long, kind byte, _key long, _doc long, _at int")
 
-def key_rows(rows: DataFrame, config: LineConfig) -> DataFrame:
-    """A row for each hashed key of a line, of rows with _hot: the numbers of lines that share a half with another line.
 
-    Lines of which an equal one stands earlier in the batch get a row of the kind REPEATED and no keys. Others have their own
-    hash as a key, and lines in _hot also those of their variants: rests with the place of the word left out (REPLACED),
-    themselves (SHORTER), and rests (LONGER). check is a second, independent hash of the same words.
-    """
+def variant_rows(rows: DataFrame, doc_id: str, config: LineConfig) -> DataFrame:
+    """The hashed keys of variants of the lines in _hot: their rests with the place of the word left out (REPLACED),
+    themselves (SHORTER), and their rests (LONGER). check is a second, independent hash of the same words."""
 
     def emit(batches):
-        memo: dict[bytes, int] = {}
         for batch in batches:
-            hot = batch.column("_hot").to_pylist()
-            for lines, row, new in batches_of_lines(batch, config, memo):
-                line = np.flatnonzero(new)
-                wanted = {(t, k) for t, i in enumerate(row.tolist()) for k in hot[i] or ()}
-                near = line[[(t, k) in wanted for t, k in zip(lines.of[line].tolist(), lines.at[line].tolist(), strict=True)]] if wanted else line[:0]
-                each = np.repeat(near, lines.n[near])
-                place = np.arange(len(each)) - np.repeat(np.cumsum(lines.n[near]) - lines.n[near], lines.n[near])
-                rest, rest_check = lines.without(0, each, place), lines.without(1, each, place)
-                old = np.flatnonzero(~new)
-                parts = [
-                    (REPEATED, old, mixed(lines.whole(0, old) + old.astype(np.uint64)), lines.whole(1, old)),
-                    (EXACT, line, keyed(lines.whole(0, line), lines.n[line], EXACT), lines.whole(1, line)),
-                    (REPLACED, each, keyed(rest, lines.n[each] - 1, REPLACED, place + 1), rest_check),
-                    (SHORTER, near, keyed(lines.whole(0, near), lines.n[near], SHORTER), lines.whole(1, near)),
-                    (LONGER, each, keyed(rest, lines.n[each] - 1, SHORTER), rest_check),
-                ]
-                own = np.concatenate([p[1] for p in parts])
+            docs, texts, hot = batch.column(doc_id).cast(pa.int64()), batch.column("_text").cast(pa.binary()).to_pylist(), batch.column("_hot").to_pylist()
+            wanted, row, at = [], [], []
+            for i, text in enumerate(texts):
+                own = text.split(b"\n")
+                wanted += [own[k] for k in hot[i]]
+                row += [i] * len(hot[i])
+                at += hot[i]
+            for block in blocks([len(w) for w in wanted], list(range(len(wanted)))):
+                lines = Lines([wanted[i] for i in block], config.min_words)
+                line = np.arange(len(lines.n))
+                each = np.repeat(line, lines.n)
+                place = np.arange(len(each)) - np.repeat(np.cumsum(lines.n) - lines.n, lines.n)
+                rest, rest_check, n = lines.without(0, each, place), lines.without(1, each, place), lines.n[each] - 1
+                own = np.concatenate([each, line, each])
+                kinds = np.repeat(np.array([REPLACED, SHORTER, LONGER], np.int8), [len(each), len(line), len(each)])
+                which = np.array(block, np.int64)[lines.of[own]]
+                of = np.array(row, np.int64)[which]
                 yield pa.RecordBatch.from_arrays(
-                    [signed(np.concatenate([p[2] for p in parts])), signed(np.concatenate([p[3] for p in parts])), pa.array(np.repeat([p[0] for p in parts], [len(p[1]) for p in parts]), pa.int8()), picked(batch, "_key", row[lines.of[own]]), picked(batch, "_doc", row[lines.of[own]]), pa.array(lines.at[own], pa.int32())],
+                    [signed(np.concatenate([keyed(rest, n, REPLACED, place + 1), keyed(lines.whole(0, line), lines.n, SHORTER), keyed(rest, n, SHORTER)])), signed(np.concatenate([rest_check, lines.whole(1, line), rest_check])), pa.array(kinds), picked(batch, "_key", of), docs.take(pa.array(of)), pa.array(np.array(at, np.int32)[which])],
                     names=["key", "check", "kind", "_key", "_doc", "_at"],
                 )
 
     return rows.mapInArrow(emit, "key long, check long, kind byte, _key long, _doc long, _at int")
 
 
-def removed_lines(rows: DataFrame, config: LineConfig) -> DataFrame:
+def removed_lines(rows: DataFrame, doc_id: str, config: LineConfig) -> DataFrame:
     """(_key, _exact, _near): the numbers of a row's lines that go, since an earlier line equals them or is near."""
-    half = Window.partitionBy("half")
-    hot = candidate_halves(rows, config).withColumn("_other", F.min("line").over(half) != F.max("line").over(half)).filter("_other").groupBy("_key").agg(F.collect_set("_at").alias("_hot"))
-    keys = key_rows(rows.join(hot, "_key", "left"), config)
-    own = F.struct("_doc", "_key", "_at")
+    own, kind = F.struct("_doc", "_key", "_at"), F.col("kind")
+    same = Window.partitionBy("key")
+    first = line_rows(rows, doc_id, config).withColumn("_other", F.min("line").over(same) != F.max("line").over(same)).withColumn("_before", F.min(own).over(same) < own)
+    first = first.withColumn("_gone", (kind == REPEATED) | ((kind == EXACT) & F.col("_before"))).filter(F.col("_gone") | ((kind == HALF) & F.col("_other")))
+    marks = written(first.groupBy("_key").agg(F.collect_set(F.when(F.col("_gone"), F.col("_at"))).alias("_exact"), F.collect_set(F.when(~F.col("_gone"), F.col("_at"))).alias("_half")), "line-marks")
+    hot = marks.select("_key", F.array_except("_half", "_exact").alias("_hot")).filter(F.size("_hot") > 0)
+    keys = variant_rows(rows.join(hot, "_key"), doc_id, config)
     group = Window.partitionBy("key", "check")
-    first = lambda *kinds: F.min(F.when(F.col("kind").isin(*kinds), own)).over(group)
-    kind = F.col("kind")
-    earlier = keys.withColumn("_same", first(EXACT, REPLACED) < own).withColumn("_longer", first(LONGER) < own).withColumn("_shorter", first(SHORTER) < own)
-    exact = (kind == REPEATED) | ((kind == EXACT) & F.col("_same"))
-    near = ((kind == REPLACED) & F.col("_same")) | ((kind == SHORTER) & F.col("_longer")) | ((kind == LONGER) & F.col("_shorter"))
-    gone = earlier.select("_key", "_at", F.coalesce(exact, F.lit(False)).alias("_e"), F.coalesce(near, F.lit(False)).alias("_n")).filter("_e or _n")
-    sets = gone.groupBy("_key").agg(F.collect_set(F.when(F.col("_e"), F.col("_at"))).alias("_exact"), F.collect_set("_at").alias("_all"))
-    return sets.select("_key", "_exact", F.array_except("_all", "_exact").alias("_near"))
+    least = lambda k: F.min(F.when(kind == k, own)).over(group)
+    near = keys.withColumn("_replaced", least(REPLACED) < own).withColumn("_longer", least(LONGER) < own).withColumn("_shorter", least(SHORTER) < own)
+    near = near.filter(((kind == REPLACED) & F.col("_replaced")) | ((kind == SHORTER) & F.col("_longer")) | ((kind == LONGER) & F.col("_shorter")))
+    near = near.groupBy("_key").agg(F.collect_set("_at").alias("_near"))
+    none = F.array().cast("array<int>")
+    return marks.select("_key", "_exact").join(near, "_key", "full").select("_key", F.coalesce("_exact", none).alias("_exact"), F.coalesce("_near", none).alias("_near"))
 
 
 def without_lines(text: Column, gone: Column) -> Column:
@@ -240,13 +188,13 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", conf
     Whether an earlier near line itself goes doesn't matter. For lines of at least min_words that share a half with another
     line, all variants with a word left out go out as hashed keys: lines of one length meet in (place, rest), lines of
     neighbouring lengths in the shorter one's own hash. Equal keys of those kinds are edit distance 1 by what they hold; a
-    second hash, of other base, has to be equal too. Of equal lines only the earliest in each batch is shuffled.
+    second hash, of other base, has to be equal too. Of equal lines only the earliest in each batch is shuffled with keys.
 
     Null texts stay null. Rows with equal doc_id and text are one document: their lines are no copies of one another. Null
     doc_ids come first. Shorter lines stay. A document may end up with an empty text. A column of the name `to` is replaced.
     """
-    rows = docs.drop(to).withColumn("_key", row_key(doc_id, text)).withColumn("_doc", F.col(doc_id).cast("long")).withColumn("_text", F.col(text)).drop(text)
-    out = rows.join(removed_lines(rows, config), "_key", "left")
+    rows = docs.drop(to).withColumn("_key", row_key(doc_id, text)).withColumn("_text", F.col(text)).drop(text)
+    out = rows.join(removed_lines(rows, doc_id, config), "_key", "left")
     whole = F.coalesce(F.col("_text"), F.lit(""))
     counts = F.struct(
         (F.length(whole) - F.length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
