@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.operators import episodes as ep
+from emberlog.operators import matching as mt
 from emberlog.operators import novelty as nv
+from emberlog.operators import windows as wn
+from emberlog.sources import readers as rd
 from emberlog.sources import views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,3 +44,404 @@ def episodes_detect(spark, sf_dir):
         "episode_key", "source", "user", "start_time", "end_time", "duration", "events_count", "destination_count", "first_time_event_count", "first_time_signal_hits", six("novelty_ratio", "novelty"), six("compactness_score", "compactness"), six("fanout_velocity_score", "velocity"), F.col("peak_velocity_new_dests").alias("peak"),
         six("entropy_penalty"), six("raw_score"), six("score"), six("max_risk"), "candidate_gate", "suppression_reason", F.array_join("signals", ";").alias("signals"),
     )
+
+
+# Readers: raw lines made of the events table.
+
+
+def auth_lines(spark, sf_dir):
+    e = views.events(spark, sf_dir)
+    outcome = F.when(F.col("event_type") == "error", "Fail").otherwise("Success")
+    host = F.when(F.col("k") % 17 == 0, "?").otherwise(F.col("dest"))
+    return e.select("seq", F.concat_ws(",", F.when(F.col("k") % 23 == 0, "x").otherwise(F.col("time").cast("string")), F.when(F.col("k") % 5 == 0, "?").otherwise(F.col("user")), F.concat(F.lit("V"), F.col("k") % 7), "source", host, F.lit("Kerberos"), F.lit("Network"), F.lit("LogOn"), outcome).alias("value"))
+
+
+@query
+def read_auth_strict(spark, sf_dir):
+    return rd.auth_strict(auth_lines(spark, sf_dir)).select("seq", "time", "user", "source", "dest")
+
+
+@query
+def read_auth_permissive(spark, sf_dir):
+    return rd.auth_permissive(auth_lines(spark, sf_dir)).select("seq", "time", "src_user", "dst_user", "source", "dest", "success")
+
+
+@query
+def read_auth_tolerant(spark, sf_dir):
+    return rd.auth_tolerant(auth_lines(spark, sf_dir)).select("seq", "time", "src_user", "source", "dest", "raw")
+
+
+@query
+def read_flow(spark, sf_dir):
+    e = views.events(spark, sf_dir)
+    lines = e.select("seq", F.concat_ws(",", "time", F.lit("x"), "source", F.lit("N1"), "dest", F.lit(4440) + F.col("k") % 10, F.lit("6"), F.col("k") % 9, F.floor(F.col("value") * 100)).alias("value"))
+    return rd.flow(lines).select("seq", "time", "duration", "src", "src_port", "dst", "dst_port", "protocol", "packets", "bytes")
+
+
+@query
+def read_proc_dns(spark, sf_dir):
+    e = views.events(spark, sf_dir)
+    p = rd.proc(e.select("seq", F.concat_ws(",", "time", "user", "source", "dest", F.lit("Start")).alias("value")))
+    d = rd.dns(e.select("seq", F.concat_ws(",", "time", "source", "dest").alias("value")))
+    return p.join(d.select("seq", "src", "resolved"), "seq").select("seq", "time", "user", "computer", "process", "action", "src", "resolved")
+
+
+@query
+def read_labels(spark, sf_dir):
+    return views.labels(spark, sf_dir)
+
+
+@query
+def parse_quality(spark, sf_dir):
+    rows = rd.auth_permissive(auth_lines(spark, sf_dir))
+    return rd.parse_quality(rows, ~F.col("success"))
+
+
+@query
+def flatten_records(spark, sf_dir):
+    e = views.events(spark, sf_dir)
+    return rd.flattened(e.select("seq", F.struct("source", F.struct("dest", "k").alias("to")).alias("edge"))).toDF("seq", "edge_source", "edge_to_dest", "edge_to_k")
+
+
+@query
+def time_range_extract(spark, sf_dir):
+    return views.auth(spark, sf_dir).filter(F.col("time").between(20_000, 90_000))
+
+
+@query
+def substring_probe(spark, sf_dir):
+    return auth_lines(spark, sf_dir).filter(F.col("value").contains(",C1,D1")).agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"))
+
+
+# Windows of time.
+
+DURATION, STRIDE, MARGIN, BUCKET = 120, 60, 60, 60
+
+
+@query
+def interval_merge(spark, sf_dir):
+    return wn.merge_intervals(wn.around(views.labels(spark, sf_dir), 60))
+
+
+@query
+def interval_merge_adjacent(spark, sf_dir):
+    return wn.merge_intervals(wn.around(views.labels(spark, sf_dir), 60), reach=1)
+
+
+@query
+def sparse_window_filter(spark, sf_dir):
+    return wn.in_intervals(views.auth(spark, sf_dir), wn.merge_intervals(wn.around(views.labels(spark, sf_dir), 60)))
+
+
+@query
+def range_gate(spark, sf_dir):
+    return wn.in_range(views.auth(spark, sf_dir), views.labels(spark, sf_dir), 5)
+
+
+@query
+def observed_range(spark, sf_dir):
+    return views.auth(spark, sf_dir).agg(F.min("time").alias("lo"), F.max("time").alias("hi"))
+
+
+@query
+def candidate_cap(spark, sf_dir):
+    return wn.in_intervals(views.auth(spark, sf_dir), wn.merge_intervals(wn.around(views.labels(spark, sf_dir), 60))).orderBy("time", "seq").limit(500)
+
+
+@query
+def warmup_cut(spark, sf_dir):
+    e = views.auth(spark, sf_dir)
+    return e.crossJoin(F.broadcast(nv.warmup_end(e, e.count() // 20))).filter(nv.order_key() >= F.col("warm")).select("time", "seq")
+
+
+@query
+def time_profile(spark, sf_dir):
+    return wn.time_profile(views.auth(spark, sf_dir), BUCKET)
+
+
+@query
+def profile_summary(spark, sf_dir):
+    return wn.profile_summary(wn.time_profile(views.auth(spark, sf_dir), BUCKET)).withColumn("mean_count", F.round("mean_count", 6))
+
+
+@query
+def exclusion_zones(spark, sf_dir):
+    return wn.around(views.labels(spark, sf_dir), 300, clamp=True)
+
+
+def all_candidates(spark, sf_dir):
+    return wn.candidates(F.col("lo"), F.col("hi"), observed_range(spark, sf_dir), DURATION, STRIDE)
+
+
+def clean_candidates(spark, sf_dir):
+    return wn.without_overlap(all_candidates(spark, sf_dir), wn.merge_intervals(wn.around(views.labels(spark, sf_dir), MARGIN)))
+
+
+@query
+def candidate_windows(spark, sf_dir):
+    return all_candidates(spark, sf_dir)
+
+
+@query
+def windows_without_labels(spark, sf_dir):
+    return clean_candidates(spark, sf_dir)
+
+
+@query
+def nearest_label_distance(spark, sf_dir):
+    return wn.nearest_label(all_candidates(spark, sf_dir), views.labels(spark, sf_dir))
+
+
+@query
+def exact_window_counts(spark, sf_dir):
+    return wn.exact_counts(all_candidates(spark, sf_dir), views.auth(spark, sf_dir), DURATION)
+
+
+@query
+def prorated_window_counts(spark, sf_dir):
+    return wn.prorated_counts(all_candidates(spark, sf_dir), wn.time_profile(views.auth(spark, sf_dir), BUCKET), BUCKET)
+
+
+def dense(spark, sf_dir):
+    w = wn.exact_counts(clean_candidates(spark, sf_dir), views.auth(spark, sf_dir), DURATION).withColumnRenamed("n_events", "line_count")
+    return wn.banded(w.crossJoin(observed_range(spark, sf_dir)), F.col("lo"), F.col("hi")).drop("lo", "hi")
+
+
+@query
+def band_density(spark, sf_dir):
+    return dense(spark, sf_dir).withColumn("density_percentile", F.round("density_percentile", 6))
+
+
+@query
+def simple_window_select(spark, sf_dir):
+    return wn.first_windows(dense(spark, sf_dir), 2, 1_000_000, 20).select("start", "end", "line_count")
+
+
+@query
+def stratified_window_select(spark, sf_dir):
+    return wn.stratified_windows(dense(spark, sf_dir), 3, 0.5, 3600)
+
+
+@query
+def window_extraction(spark, sf_dir):
+    w = wn.merge_intervals(wn.around(views.labels(spark, sf_dir), 30)).withColumn("end", F.col("end") + 1)
+    return wn.in_intervals(views.auth(spark, sf_dir), w, half_open=True, keep=["start"]).groupBy("start").agg(F.count("*").alias("n"), F.min("time").alias("first_seen"), F.max("time").alias("last_seen"))
+
+
+@query
+def extract_reconcile(spark, sf_dir):
+    w = all_candidates(spark, sf_dir)
+    e = views.auth(spark, sf_dir)
+    both = wn.exact_counts(w, e, DURATION).join(wn.prorated_counts(w, wn.time_profile(e, BUCKET), BUCKET), ["start", "end"])
+    return both.select("start", (F.col("n_events") - F.col("line_count")).alias("delta"))
+
+
+# Signals of events.
+
+
+def signalled(spark, sf_dir):
+    e = views.auth(spark, sf_dir)
+    return nv.event_signals(e, novelty_config(e))
+
+
+@query
+def event_signals(spark, sf_dir):
+    return signalled(spark, sf_dir).select("time", "seq", "source", "user", "dest", F.array_join("signals", ";").alias("signals"), F.col("first_time_hits").cast("long").alias("hits"), six("risk"))
+
+
+@query
+def first_seen_edges(spark, sf_dir):
+    return nv.first_seen(views.auth(spark, sf_dir), ["source", "dest"]).select("source", "dest", F.col("first.time").alias("time"), F.col("first.seq").alias("seq"))
+
+
+@query
+def source_user_fanout(spark, sf_dir):
+    return nv.running_distinct(views.auth(spark, sf_dir), ["source"], "user").filter("n_before >= 3").select("time", "seq", "n_before")
+
+
+@query
+def numbered_fanout(spark, sf_dir):
+    return nv.running_distinct(views.auth(spark, sf_dir), ["source"], "dest").filter("n_before >= 5").select("seq", F.concat(F.lit("source_fanout_"), "n_before").alias("signal"))
+
+
+@query
+def sliding_velocity(spark, sf_dir):
+    return nv.trailing_distinct(views.auth(spark, sf_dir), ["source", "user"], "dest", 120).select("seq", F.col("n_recent").cast("long").alias("n_recent"), F.when(F.col("n_recent") >= 3, 0.22).otherwise(0.0).alias("score"))
+
+
+@query
+def dns_flood(spark, sf_dir):
+    return nv.bursts(views.lookups(spark, sf_dir), "src", 60, 2).select("seq", "src", "n_recent")
+
+
+@query
+def process_burst(spark, sf_dir):
+    return nv.bursts(views.procs(spark, sf_dir), "computer", 300, 4).select("seq", "computer", "n_recent")
+
+
+@query
+def flow_signals(spark, sf_dir):
+    return nv.flow_signals(views.flows(spark, sf_dir)).select("seq", "host", F.array_join("signals", ";").alias("signals"), "risk")
+
+
+@query
+def login_signals(spark, sf_dir):
+    return nv.login_signals(views.logins(spark, sf_dir)).select("seq", "host", F.array_join("signals", ";").alias("signals"), "risk")
+
+
+@query
+def action_entropy(spark, sf_dir):
+    return nv.entropy(views.events(spark, sf_dir), ["user"], "event_type").withColumn("entropy", F.round("entropy", 6))
+
+
+# Episodes.
+
+
+def session_rows(spark, sf_dir):
+    e = views.auth(spark, sf_dir)
+    return ep.sessions(nv.event_signals(e, novelty_config(e)).filter(F.size("signals") > 0), e)
+
+
+@query
+def episode_sessions(spark, sf_dir):
+    return session_rows(spark, sf_dir).select("seq", "source", "user", F.col("session").cast("long").alias("session"))
+
+
+@query
+def next_ticks(spark, sf_dir):
+    return ep.next_ticks(views.auth(spark, sf_dir), 600)
+
+
+@query
+def episodes_ranked(spark, sf_dir):
+    return ep.ranked(detected(spark, sf_dir), 1000).select("episode_key", six("score"), "candidate_gate")
+
+
+@query
+def episodes_suppressed(spark, sf_dir):
+    return detected(spark, sf_dir).filter("suppression_reason is not null").select("episode_key", "suppression_reason", six("score"))
+
+
+@query
+def episode_counters(spark, sf_dir):
+    return ep.summary_counts(detected(spark, sf_dir))
+
+
+@query
+def episode_numbers(spark, sf_dir):
+    e = views.auth(spark, sf_dir)
+    return ep.numbered(ep.raw_episodes(e, novelty_config(e))).select(F.col("episode_id").cast("long").alias("episode_id"), "episode_key")
+
+
+def preset_query(name):
+    def run(spark, sf_dir):
+        return detected(spark, sf_dir, ep.PRESETS[name]).select("episode_key", "candidate_gate", "suppression_reason", six("score"), F.array_join("signals", ";").alias("signals"))
+
+    QUERIES[f"preset_{name}"] = run
+
+
+for _name in ep.PRESETS:
+    preset_query(_name)
+
+
+@query
+def threshold_sweep(spark, sf_dir):
+    e = views.auth(spark, sf_dir)
+    all_ = ep.swept(ep.raw_episodes(e, novelty_config(e)), list(ep.PRESETS.values()))
+    return all_.groupBy("preset", "candidate_gate").agg(F.count("*").alias("n"), F.count_if(F.col("suppression_reason").isNull()).alias("accepted"))
+
+
+def host_signals(spark, sf_dir):
+    f = nv.flow_signals(views.flows(spark, sf_dir)).withColumn("source_rank", F.lit(0))
+    l = nv.login_signals(views.logins(spark, sf_dir)).withColumn("source_rank", F.lit(1))
+    p = nv.bursts(views.procs(spark, sf_dir), "computer", 300, 4).select("time", "seq", F.col("computer").alias("host"), F.array(F.lit("process_burst")).alias("signals"), F.lit(0.45).alias("risk"), F.lit(2).alias("source_rank"))
+    d = nv.bursts(views.lookups(spark, sf_dir), "src", 60, 2).select("time", "seq", F.col("src").alias("host"), F.array(F.lit("dns_flood")).alias("signals"), F.lit(0.35).alias("risk"), F.lit(3).alias("source_rank"))
+    return f.unionByName(l).unionByName(p).unionByName(d)
+
+
+@query
+def host_episodes(spark, sf_dir):
+    return ep.host_episodes(host_signals(spark, sf_dir)).select("host", "bucket", "start_time", "end_time", "events_count", six("max_risk"), F.array_join("signals", ";").alias("signals"), six("score"), "tier", "action", "first_example")
+
+
+@query
+def host_episodes_kept(spark, sf_dir):
+    return ep.kept_hosts(ep.host_episodes(host_signals(spark, sf_dir))).select("host", "bucket", "tier", six("score"))
+
+
+# Labels and episodes.
+
+
+@query
+def label_matches(spark, sf_dir):
+    return mt.matches(detected(spark, sf_dir), views.labels(spark, sf_dir), 600).select("label_redteam_index", "episode_key", "delta_start", "delta_end", "exact_start")
+
+
+@query
+def host_label_matches(spark, sf_dir):
+    return mt.host_matches(ep.host_episodes(host_signals(spark, sf_dir)), views.labels(spark, sf_dir), 60).select("redteam_index", "host", "bucket")
+
+
+@query
+def host_start_matches(spark, sf_dir):
+    return mt.start_matches(ep.host_episodes(host_signals(spark, sf_dir)), views.labels(spark, sf_dir), 60).agg(F.countDistinct("time").alias("matched_times"), F.countDistinct("host").alias("matched_hosts"))
+
+
+@query
+def edge_match_summary(spark, sf_dir):
+    d, l = detected(spark, sf_dir), views.labels(spark, sf_dir)
+    s = mt.overlap_summary(mt.edge_matches(d, l, 60), d, l)
+    return s.select("matched_labels", "matched_episodes", "episodes", "labels", six("overlap_rate"), six("recall"), six("harmonic"))
+
+
+@query
+def validation_summary(spark, sf_dir):
+    d, l = detected(spark, sf_dir), views.labels(spark, sf_dir)
+    s = mt.validation_summary(mt.matches(d, l, 600), d, l, observed_range(spark, sf_dir))
+    return s.select("matched_labels", "matched_episodes", "exact_starts", "labels", "labels_observed", "episodes", six("recall_all"), six("recall_observed"), six("overlap_rate"))
+
+
+@query
+def match_gate_counts(spark, sf_dir):
+    return mt.gate_counts(mt.matches(detected(spark, sf_dir), views.labels(spark, sf_dir), 600))
+
+
+@query
+def suppressed_near_matches(spark, sf_dir):
+    return mt.near_matches(detected(spark, sf_dir).filter("suppression_reason is not null"), views.labels(spark, sf_dir), 600).select("label_redteam_index", "episode_key", "suppression_reason")
+
+
+@query
+def scored_alignment(spark, sf_dir):
+    return mt.alignments(views.labels(spark, sf_dir), views.auth(spark, sf_dir))
+
+
+@query
+def run_comparison(spark, sf_dir):
+    l = views.labels(spark, sf_dir)
+    run = lambda p: mt.matches(detected(spark, sf_dir, p).filter("suppression_reason is null"), l, 600)
+    return mt.compare_runs(run(ep.RECALL), run(ep.PRUNED), ["label_time", "label_user", "source", "label_dest"])
+
+
+def maps(spark, sf_dir):
+    return mt.match_maps(mt.matches(detected(spark, sf_dir), views.labels(spark, sf_dir), 600))
+
+
+@query
+def episode_label_maps(spark, sf_dir):
+    return maps(spark, sf_dir).select("episode_key", F.array_join("label_ids", "+").alias("label_ids"), "exact_count")
+
+
+@query
+def label_components(spark, sf_dir):
+    return mt.label_groups(maps(spark, sf_dir)).select("episode_key", "group_id")
+
+
+@query
+def label_own_groups(spark, sf_dir):
+    return mt.own_groups(maps(spark, sf_dir)).select("episode_key", "group_id")
+
+
+@query
+def annotated_episodes(spark, sf_dir):
+    return mt.with_annotations(detected(spark, sf_dir), maps(spark, sf_dir)).select("episode_key", F.col("redteam_count").cast("long").alias("redteam_count"), "exact_count")
