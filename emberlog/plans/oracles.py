@@ -62,3 +62,111 @@ CHAIN = f"WITH {E}, {LABELS}, {SIGNALS}, {EPISODES}, {shaped(PRESETS['pruned'])}
 EVENT_CHAIN = f"WITH {E}, {LABELS}, {SIGNALS}"
 OUT = """episode_key, source, "user", start_time, end_time, dur AS duration, events_count, destination_count, first_time_event_count, first_time_signal_hits, round(nov, 6) AS novelty, round(cs, 6) AS compactness, round(vs, 6) AS velocity, peak, round(entropy_penalty, 6) AS entropy_penalty, round(raw_score, 6) AS raw_score, round(score, 6) AS score, round(max_risk, 6) AS max_risk, candidate_gate, suppression_reason, array_to_string(signals, ';') AS signals"""
 ORACLES["episodes_detect"] = f"{CHAIN} SELECT {OUT} FROM f"
+
+_LINES = """ln AS (SELECT seq, concat_ws(',', CASE WHEN k % 23 = 0 THEN 'x' ELSE time::VARCHAR END, CASE WHEN k % 5 = 0 THEN '?' ELSE "user" END, 'V' || (k % 7), source, CASE WHEN k % 17 = 0 THEN '?' ELSE dest END, 'Kerberos', 'Network', 'LogOn', CASE WHEN event_type = 'error' THEN 'Fail' ELSE 'Success' END) AS value FROM e),
+pf AS (SELECT seq, value, list_transform(string_split(value, ','), lambda x: CASE WHEN trim(x) IN ('?', '') THEN NULL ELSE trim(x) END) AS c FROM ln)"""
+ORACLES["read_auth_strict"] = f"""WITH {E}, {_LINES} SELECT seq, try_cast(c[1] AS BIGINT) AS time, coalesce(c[2], c[3], '') AS "user", c[4] AS source, c[5] AS dest FROM pf WHERE c[9] = 'Success' AND try_cast(c[1] AS BIGINT) IS NOT NULL AND c[4] IS NOT NULL AND c[5] IS NOT NULL"""
+ORACLES["read_auth_permissive"] = f"""WITH {E}, {_LINES} SELECT seq, coalesce(try_cast(c[1] AS BIGINT), -1) AS time, c[2] AS src_user, c[3] AS dst_user, c[4] AS source, c[5] AS dest, lower(c[9]) = 'success' AS success FROM pf"""
+ORACLES["read_auth_tolerant"] = f"""WITH {E}, {_LINES} SELECT seq, try_cast(c[1] AS BIGINT) AS time, c[2] AS src_user, c[4] AS source, c[5] AS dest, value AS raw FROM pf WHERE try_cast(c[1] AS BIGINT) IS NOT NULL"""
+ORACLES["read_flow"] = f"""WITH {E} SELECT seq, time, 0::BIGINT AS duration, source AS src, 0::BIGINT AS src_port, dest AS dst, 4440 + k % 10 AS dst_port, '6' AS protocol, k % 9 AS packets, floor(value * 100)::BIGINT AS bytes FROM e"""
+ORACLES["read_proc_dns"] = f"""WITH {E} SELECT seq, time, "user", source AS computer, dest AS process, 'Start' AS action, source AS src, dest AS resolved FROM e"""
+ORACLES["read_labels"] = f"""WITH {E}, {LABELS} SELECT * FROM labels_"""
+ORACLES["parse_quality"] = f"""WITH {E}, {_LINES} SELECT count(*) AS events, count(*) FILTER (try_cast(c[1] AS BIGINT) IS NULL) AS bad_lines, count(*) FILTER (c[9] <> 'Success' AND try_cast(c[1] AS BIGINT) IS NOT NULL) AS signal_events FROM pf"""
+ORACLES["flatten_records"] = f"""WITH {E} SELECT seq, source AS edge_source, dest AS edge_to_dest, k AS edge_to_k FROM e"""
+ORACLES["time_range_extract"] = f"""WITH {E} SELECT time, seq, source, "user", dest FROM e WHERE time BETWEEN 20000 AND 90000"""
+ORACLES["substring_probe"] = f"""WITH {E}, {_LINES} SELECT count(*) AS n, min(seq) AS first_seq FROM ln WHERE contains(value, ',C1,D1')"""
+
+
+def _merged(radius: int, reach: int = 0, name: str = "mi") -> str:
+    return f"""{name}_a AS (SELECT time - {radius} AS s, time + {radius} AS t FROM labels_),
+{name}_b AS (SELECT *, coalesce(s > max(t) OVER (ORDER BY s, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + {reach}, true) AS fresh FROM {name}_a),
+{name}_c AS (SELECT *, sum(fresh::INT) OVER (ORDER BY s, t ROWS UNBOUNDED PRECEDING) AS g FROM {name}_b),
+{name} AS (SELECT min(s) AS start, max(t) AS "end" FROM {name}_c GROUP BY g)"""
+
+
+_L = f"WITH {E}, {LABELS}"
+ORACLES["interval_merge"] = f"""{_L}, {_merged(60)} SELECT * FROM mi"""
+ORACLES["interval_merge_adjacent"] = f"""{_L}, {_merged(60, 1)} SELECT * FROM mi"""
+ORACLES["sparse_window_filter"] = f"""{_L} SELECT time, seq, source, "user", dest FROM e WHERE EXISTS (SELECT 1 FROM labels_ AS l WHERE abs(l.time - e.time) <= 60)"""
+ORACLES["range_gate"] = f"""{_L} SELECT time, seq, source, "user", dest FROM e WHERE time BETWEEN (SELECT min(time) FROM labels_) - 5 AND (SELECT max(time) FROM labels_) + 5"""
+ORACLES["observed_range"] = f"""WITH {E} SELECT min(time) AS lo, max(time) AS hi FROM e"""
+ORACLES["candidate_cap"] = f"""{_L} SELECT time, seq, source, "user", dest FROM e WHERE EXISTS (SELECT 1 FROM labels_ AS l WHERE abs(l.time - e.time) <= 60) ORDER BY time, seq LIMIT 500"""
+ORACLES["warmup_cut"] = f"""WITH {E} SELECT time, seq FROM e QUALIFY row_number() OVER (ORDER BY time, seq) >= {WARM}"""
+_PROFILE = "pr AS (SELECT time // 60 * 60 AS bucket_start, count(*) AS line_count FROM e GROUP BY ALL)"
+ORACLES["time_profile"] = f"""WITH {E}, {_PROFILE} SELECT bucket_start, line_count, bucket_start + 60 AS bucket_end, 60::BIGINT AS bucket_size FROM pr"""
+ORACLES["profile_summary"] = f"""WITH {E}, {_PROFILE} SELECT count(*) AS n_buckets, min(line_count) AS min_count, max(line_count) AS max_count, round(avg(line_count), 6) AS mean_count, median(line_count) AS median_count, count(*) FILTER (line_count > 0) AS nonempty FROM pr"""
+ORACLES["exclusion_zones"] = f"""{_L} SELECT greatest(time - 300, 0) AS start, time + 300 AS "end" FROM labels_"""
+_CAND = f"""cw AS (SELECT unnest(range(lo, hi - 120 + 1, 60)) AS start FROM (SELECT min(time) AS lo, max(time) AS hi FROM e)),
+ca AS (SELECT start, start + 120 AS "end" FROM cw)"""
+_CLEAN = f"""{_merged(60)}, cl AS (SELECT * FROM ca WHERE NOT EXISTS (SELECT 1 FROM mi WHERE ca.start < mi."end" AND ca."end" > mi.start))"""
+_DENSE = f"""dn AS (SELECT cl.*, (SELECT count(*) FROM e WHERE time >= cl.start AND time < cl."end") AS line_count FROM cl),
+bd AS (SELECT *, CASE WHEN (start + "end") / 2 < lo + (hi - lo) / 3 THEN 'early' WHEN (start + "end") / 2 < lo + 2 * ((hi - lo) / 3) THEN 'middle' ELSE 'late' END AS band FROM dn, (SELECT min(time) AS lo, max(time) AS hi FROM e)),
+de AS (SELECT start, "end", line_count, band, row_number() OVER (PARTITION BY band ORDER BY line_count DESC, start) AS density_rank, cume_dist() OVER (PARTITION BY band ORDER BY line_count) AS density_percentile FROM bd)"""
+ORACLES["candidate_windows"] = f"""WITH {E}, {_CAND} SELECT * FROM ca"""
+ORACLES["windows_without_labels"] = f"""{_L}, {_CAND}, {_CLEAN} SELECT * FROM cl"""
+ORACLES["nearest_label_distance"] = f"""{_L}, {_CAND} SELECT start, "end", min(CASE WHEN l.time >= start AND l.time < "end" THEN 0 WHEN l.time < start THEN start - l.time ELSE l.time - "end" END) AS distance FROM ca, labels_ AS l GROUP BY ALL"""
+ORACLES["exact_window_counts"] = f"""WITH {E}, {_CAND} SELECT ca.*, (SELECT count(*) FROM e WHERE time >= ca.start AND time < ca."end") AS n_events FROM ca"""
+ORACLES["prorated_window_counts"] = f"""WITH {E}, {_CAND}, {_PROFILE} SELECT start, "end", coalesce(sum(round_even(line_count * (least("end", bucket_start + 60) - greatest(start, bucket_start)) / 60, 0)), 0)::BIGINT AS line_count, count(line_count) AS bucket_count FROM ca LEFT JOIN pr ON bucket_start < "end" AND bucket_start + 60 > start GROUP BY ALL"""
+ORACLES["band_density"] = f"""{_L}, {_CAND}, {_CLEAN}, {_DENSE} SELECT start, "end", line_count, band, density_rank::INT AS density_rank, round(density_percentile, 6) AS density_percentile FROM de"""
+ORACLES["simple_window_select"] = f"""{_L}, {_CAND}, {_CLEAN}, {_DENSE} SELECT start, "end", line_count FROM de WHERE line_count BETWEEN 2 AND 1000000 ORDER BY start LIMIT 20"""
+ORACLES["window_extraction"] = f"""{_L}, {_merged(30)} SELECT mi.start, count(*) AS n, min(time) AS first_seen, max(time) AS last_seen FROM e JOIN mi ON time >= mi.start AND time <= mi."end" GROUP BY ALL"""
+ORACLES["extract_reconcile"] = f"""WITH {E}, {_CAND}, {_PROFILE}, x AS (SELECT ca.*, (SELECT count(*) FROM e WHERE time >= ca.start AND time < ca."end") AS n FROM ca), y AS (SELECT start, coalesce(sum(round_even(line_count * (least("end", bucket_start + 60) - greatest(start, bucket_start)) / 60, 0)), 0)::BIGINT AS c FROM ca LEFT JOIN pr ON bucket_start < "end" AND bucket_start + 60 > start GROUP BY ALL)
+SELECT start, n - c AS delta FROM x JOIN y USING (start)"""
+ORACLES["event_signals"] = f"""{EVENT_CHAIN} SELECT time, seq, source, "user", dest, array_to_string(signals, ';') AS signals, hits::BIGINT AS hits, round(risk, 6) AS risk FROM s"""
+ORACLES["first_seen_edges"] = f"""WITH {E} SELECT source, dest, time, seq FROM e QUALIFY row_number() OVER (PARTITION BY source, dest ORDER BY time, seq) = 1"""
+_RUN = """x AS (SELECT *, (row_number() OVER (PARTITION BY source, {c} ORDER BY time, seq) = 1)::INT AS f FROM e), y AS (SELECT *, coalesce(sum(f) OVER (PARTITION BY source ORDER BY time, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS n_before FROM x)"""
+ORACLES["source_user_fanout"] = f"""WITH {E}, {_RUN.format(c='"user"')} SELECT time, seq, n_before FROM y WHERE n_before >= 3"""
+ORACLES["numbered_fanout"] = f"""WITH {E}, {_RUN.format(c="dest")} SELECT seq, 'source_fanout_' || n_before AS signal FROM y WHERE n_before >= 5"""
+ORACLES["sliding_velocity"] = f"""WITH {E}, x AS (SELECT a.seq, count(DISTINCT b.dest) AS n_recent FROM e AS a JOIN e AS b ON a.source = b.source AND a."user" = b."user" AND b.time >= a.time - 120 AND (b.time < a.time OR b.time = a.time AND b.seq <= a.seq) GROUP BY ALL) SELECT seq, n_recent, CASE WHEN n_recent >= 3 THEN 0.22 ELSE 0 END::DOUBLE AS score FROM x"""
+_BURST = """SELECT a.seq, a.source AS {name}, count(*) AS n_recent FROM e AS a JOIN e AS b ON a.source = b.source AND b.event_type = a.event_type AND b.time >= a.time - {sec} AND (b.time < a.time OR b.time = a.time AND b.seq <= a.seq) WHERE a.event_type = '{kind}' GROUP BY ALL HAVING count(*) >= {n}"""
+ORACLES["dns_flood"] = f"WITH {E} " + _BURST.format(name="src", sec=60, kind="signup", n=2)
+ORACLES["process_burst"] = f"WITH {E} " + _BURST.format(name="computer", sec=300, kind="view", n=4)
+_PORTS = "(4444, 5555, 6666, 7777, 8888, 9999, 1337, 31337)"
+_FLOW = f"""fl AS (SELECT time, seq, unnest([source, dest]) AS host, list_filter([CASE WHEN 4440 + k % 10 IN {_PORTS} THEN 'suspicious_port' END, CASE WHEN floor(value * 100000) >= 10000000 THEN 'large_flow' END], lambda x: x IS NOT NULL) AS signals, CASE WHEN 4440 + k % 10 IN {_PORTS} THEN 0.75 ELSE 0.3 END::DOUBLE AS risk FROM e WHERE event_type = 'click' AND (4440 + k % 10 IN {_PORTS} OR floor(value * 100000) >= 10000000))"""
+_LOGIN = """lo AS (SELECT time, seq, unnest([source, dest]) AS host, [CASE WHEN event_type = 'error' THEN 'failed_auth' ELSE 'auth_lateral' END] AS signals, CASE WHEN event_type = 'error' THEN 0.55 ELSE 0.22 END::DOUBLE AS risk FROM e WHERE event_type = 'error' OR source <> dest)"""
+ORACLES["flow_signals"] = f"""WITH {E}, {_FLOW} SELECT seq, host, array_to_string(signals, ';') AS signals, risk FROM fl"""
+ORACLES["login_signals"] = f"""WITH {E}, {_LOGIN} SELECT seq, host, array_to_string(signals, ';') AS signals, risk FROM lo"""
+ORACLES["action_entropy"] = f"""WITH {E}, x AS (SELECT "user", event_type, count(*) AS n FROM e GROUP BY ALL), y AS (SELECT *, n / sum(n) OVER (PARTITION BY "user") AS p FROM x) SELECT "user", round(CASE WHEN count(*) > 1 THEN sum(-p * log2(p)) / log2(count(*)) ELSE 0 END, 6) AS entropy FROM y GROUP BY ALL"""
+_RAW = f"WITH {E}, {LABELS}, {SIGNALS}, {EPISODES}"
+ORACLES["episode_sessions"] = f"""{_RAW} SELECT seq, source, "user", session::BIGINT AS session FROM m"""
+ORACLES["next_ticks"] = f"""WITH {E}, t AS (SELECT DISTINCT time FROM e) SELECT a.time, b.time AS pop FROM t AS a ASOF LEFT JOIN t AS b ON a.time + 600 <= b.time"""
+ORACLES["episodes_ranked"] = f"""{CHAIN} SELECT episode_key, round(score, 6) AS score, candidate_gate FROM f WHERE suppression_reason IS NULL ORDER BY round(score, 9) DESC, round(raw_score, 9) DESC, vs DESC, episode_key LIMIT 1000"""
+ORACLES["episodes_suppressed"] = f"""{CHAIN} SELECT episode_key, suppression_reason, round(score, 6) AS score FROM f WHERE suppression_reason IS NOT NULL"""
+ORACLES["episode_counters"] = f"""{CHAIN} SELECT 'gate' AS kind, candidate_gate AS name, count(*) AS n FROM f GROUP BY ALL UNION ALL SELECT 'reason', coalesce(suppression_reason, 'accepted'), count(*) FROM f GROUP BY ALL UNION ALL SELECT 'signal', s, count(*) FROM (SELECT unnest(signals) AS s FROM f) GROUP BY ALL"""
+ORACLES["episode_numbers"] = f"""{_RAW} SELECT row_number() OVER (ORDER BY start_time, start_seq) AS episode_id, episode_key FROM r"""
+for _p in PRESETS.values():
+    ORACLES[f"preset_{_p.name}"] = f"""{_RAW}, {shaped(_p)} SELECT episode_key, candidate_gate, suppression_reason, round(score, 6) AS score, array_to_string(signals, ';') AS signals FROM f_{_p.name}"""
+ORACLES["threshold_sweep"] = f"""{_RAW}, {", ".join(shaped(p) for p in PRESETS.values())}, x AS ({" UNION ALL ".join(f"SELECT preset, candidate_gate, suppression_reason FROM f_{p}" for p in PRESETS)}) SELECT preset, candidate_gate, count(*) AS n, count(*) FILTER (suppression_reason IS NULL) AS accepted FROM x GROUP BY ALL"""
+_HOSTS = f"""{_FLOW}, {_LOGIN}, pb AS ({_BURST.format(name="host", sec=300, kind="view", n=4)}), df AS ({_BURST.format(name="host", sec=60, kind="signup", n=2)}),
+hs AS (SELECT 0 AS sr, time, seq, host, signals, risk FROM fl UNION ALL SELECT 1, time, seq, host, signals, risk FROM lo UNION ALL SELECT 2, time, e.seq, host, ['process_burst'], 0.45 FROM pb JOIN e USING (seq) UNION ALL SELECT 3, time, e.seq, host, ['dns_flood'], 0.35 FROM df JOIN e USING (seq)),
+hb AS (SELECT host, time // 300 AS bucket, min(time) AS start_time, max(time) AS end_time, count(*) AS events_count, max(risk) AS max_risk, list_sort(list_distinct(flatten(list(signals)))) AS sg, arg_min(seq, (sr, time, seq)) AS first_example FROM hs GROUP BY ALL),
+hw AS (SELECT *, round(100 * max_risk + list_sum(list_transform(sg, lambda x: CASE x WHEN 'suspicious_port' THEN 80 WHEN 'process_burst' THEN 45 WHEN 'failed_auth' THEN 45 WHEN 'auth_lateral' THEN 25 WHEN 'dns_flood' THEN 30 WHEN 'large_flow' THEN 15 ELSE 5 END)) + least(30, events_count // 10), 3) AS score,
+  list_contains(sg, 'suspicious_port') AND (list_contains(sg, 'process_burst') OR list_contains(sg, 'failed_auth') OR list_contains(sg, 'auth_lateral')) AS joint FROM hb),
+he AS (SELECT *, CASE WHEN joint THEN 1 WHEN list_contains(sg, 'failed_auth') AND (list_contains(sg, 'process_burst') OR list_contains(sg, 'dns_flood')) THEN 2 WHEN list_contains(sg, 'dns_flood') AND (list_contains(sg, 'process_burst') OR list_contains(sg, 'auth_lateral')) THEN 3 ELSE 4 END AS tier, CASE WHEN joint OR max_risk >= 0.75 OR score >= 140 THEN 'human_review' WHEN max_risk >= 0.45 OR score >= 90 THEN 'collect_evidence' ELSE 'watch' END AS action FROM hw)"""
+ORACLES["host_episodes"] = f"""WITH {E}, {_HOSTS} SELECT host, bucket, start_time, end_time, events_count, round(max_risk, 6) AS max_risk, array_to_string(sg, ';') AS signals, round(score, 6) AS score, tier, action, first_example FROM he"""
+ORACLES["host_episodes_kept"] = f"""WITH {E}, {_HOSTS} SELECT host, bucket, tier, round(score, 6) AS score FROM he WHERE len(sg) >= 2 OR max_risk >= 0.45"""
+#: Matches of labels and episodes of f.
+MATCHES = """ed AS (SELECT source, "user", session, list(DISTINCT dest) AS dests FROM m GROUP BY ALL),
+mm AS (SELECT l.redteam_index, l.time AS lt, l."user" AS lu, l.dest AS ld, f.*, l.time - start_time AS delta_start, l.time - end_time AS delta_end, l.time = start_time AS exact_start FROM f JOIN ed USING (source, "user", session) JOIN labels_ AS l ON l.source = f.source AND list_contains(dests, l.dest) AND l.time BETWEEN start_time - 600 AND end_time + 600)"""
+_M = f"{CHAIN}, {MATCHES}"
+ORACLES["label_matches"] = f"""{_M} SELECT redteam_index AS label_redteam_index, episode_key, delta_start, delta_end, exact_start FROM mm"""
+ORACLES["host_label_matches"] = f"""WITH {E}, {LABELS}, {_HOSTS} SELECT redteam_index, host, bucket FROM he JOIN labels_ AS l ON (l.source = host OR l.dest = host) AND start_time <= l.time + 60 AND end_time >= l.time - 60"""
+ORACLES["host_start_matches"] = f"""WITH {E}, {LABELS}, {_HOSTS} SELECT count(DISTINCT l.time) AS matched_times, count(DISTINCT host) AS matched_hosts FROM he JOIN labels_ AS l ON (l.source = host OR l.dest = host) AND abs(start_time - l.time) <= 60"""
+ORACLES["edge_match_summary"] = f"""{_M}, x AS (SELECT count(DISTINCT (lt, source, ld)) AS matched_labels, count(DISTINCT episode_key) AS matched_episodes FROM mm WHERE least(abs(delta_start), abs(delta_end)) <= 60), y AS (SELECT x.*, (SELECT count(*) FROM f) AS episodes, (SELECT count(*) FROM labels_) AS labels FROM x), z AS (SELECT *, matched_episodes / episodes AS a, matched_labels / labels AS b FROM y)
+SELECT matched_labels, matched_episodes, episodes, labels, round(a, 6) AS overlap_rate, round(b, 6) AS recall, round(2 * a * b / (a + b), 6) AS harmonic FROM z"""
+ORACLES["validation_summary"] = f"""{_M}, x AS (SELECT count(DISTINCT (lt, lu, source, ld)) AS matched_labels, count(DISTINCT episode_key) AS matched_episodes, count(*) FILTER (exact_start) AS exact_starts FROM mm), y AS (SELECT x.*, (SELECT count(*) FROM f) AS episodes, (SELECT count(DISTINCT (time, "user", source, dest)) FROM labels_) AS labels FROM x)
+SELECT matched_labels, matched_episodes, exact_starts, labels, labels AS labels_observed, episodes, round(matched_labels / labels, 6) AS recall_all, round(matched_labels / labels, 6) AS recall_observed, round(matched_episodes / episodes, 6) AS overlap_rate FROM y"""
+ORACLES["match_gate_counts"] = f"""{_M} SELECT candidate_gate, count(*) AS matches, count(*) FILTER (exact_start) AS exact, count(DISTINCT episode_key) AS episodes FROM mm GROUP BY ALL"""
+ORACLES["suppressed_near_matches"] = f"""{_M} SELECT redteam_index AS label_redteam_index, episode_key, suppression_reason FROM mm WHERE suppression_reason IS NOT NULL ORDER BY redteam_index, start_time, episode_key LIMIT 500"""
+ORACLES["scored_alignment"] = f"""{_L}, x AS (SELECT l.redteam_index, e.time, e.seq, abs(e.time - l.time) AS dt, 3 * (e.source = l.source)::INT + 3 * (e.dest = l.dest)::INT + 2 * (e."user" = l."user")::INT + CASE WHEN e.time = l.time THEN 3 WHEN abs(e.time - l.time) <= 10 THEN 2 ELSE 1 END AS score FROM labels_ AS l JOIN e ON abs(e.time - l.time) <= 300)
+SELECT redteam_index, time, seq, score, dt, CASE WHEN score >= 7 THEN 'strong' WHEN score >= 4 THEN 'medium' ELSE 'weak' END AS strength FROM x QUALIFY row_number() OVER (PARTITION BY redteam_index ORDER BY score DESC, time, seq) = 1"""
+ORACLES["run_comparison"] = f"""{_RAW}, {shaped(PRESETS["recall"])}, {shaped(PRESETS["pruned"])}, ed AS (SELECT source, "user", session, list(DISTINCT dest) AS dests FROM m GROUP BY ALL),
+rn AS (SELECT DISTINCT q.preset, l.time AS label_time, l."user" AS label_user, l.source, l.dest AS label_dest FROM (SELECT preset, source, "user", session, start_time, end_time FROM f_recall WHERE suppression_reason IS NULL UNION ALL SELECT preset, source, "user", session, start_time, end_time FROM f_pruned WHERE suppression_reason IS NULL) AS q JOIN ed USING (source, "user", session) JOIN labels_ AS l ON l.source = q.source AND list_contains(dests, l.dest) AND l.time BETWEEN start_time - 600 AND end_time + 600)
+SELECT label_time, label_user, source, label_dest, CASE WHEN count(*) = 2 THEN 'both' WHEN min(preset) = 'recall' THEN 'lost' ELSE 'new' END AS status FROM rn GROUP BY ALL"""
+_MAPS = f"""{_M}, mp AS (SELECT episode_key, list_sort(list(DISTINCT redteam_index)) AS ids, count(*) FILTER (exact_start) AS exact_count FROM mm GROUP BY ALL)"""
+ORACLES["episode_label_maps"] = f"""{_MAPS} SELECT episode_key, array_to_string(ids, '+') AS label_ids, exact_count FROM mp"""
+ORACLES["label_components"] = f"""{_MAPS.replace("WITH e AS", "WITH RECURSIVE e AS", 1)}, lk AS (SELECT DISTINCT a.l AS a, b.l AS b FROM (SELECT episode_key, unnest(ids) AS l FROM mp) AS a JOIN (SELECT episode_key, unnest(ids) AS l FROM mp) AS b USING (episode_key)),
+rc AS (SELECT a AS root, a AS node FROM lk UNION SELECT rc.root, lk.b FROM rc JOIN lk ON rc.node = lk.a), cm AS (SELECT node, min(root) AS c FROM rc GROUP BY ALL), nm AS (SELECT c, 'rtgrp:' || string_agg(node::VARCHAR, '+' ORDER BY node) AS group_id FROM cm GROUP BY c)
+SELECT episode_key, group_id FROM mp JOIN cm ON cm.node = ids[1] JOIN nm USING (c)"""
+ORACLES["label_own_groups"] = f"""{_MAPS} SELECT episode_key, 'rtgrp:' || array_to_string(ids, '+') AS group_id FROM mp"""
+ORACLES["annotated_episodes"] = f"""{_MAPS} SELECT f.episode_key, coalesce(len(ids), 0)::BIGINT AS redteam_count, coalesce(exact_count, 0)::BIGINT AS exact_count FROM f LEFT JOIN mp USING (episode_key)"""
