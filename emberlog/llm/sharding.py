@@ -6,16 +6,17 @@ import json
 import uuid
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .base import broadcast_if_small, shared_folder
+from .base import shared_folder
 
 
 @dataclass(frozen=True)
 class ShardConfig:
     """Shards are merged when at least fan_in of a tier are there; a tier spans sizes of factor fan_in, and shards of
-    target_bytes or more are final. small_bytes: the size that appended shards aim at."""
+    half of target_bytes or more are final. small_bytes: the size that appended shards aim at."""
 
     target_bytes: int = 128 << 20
     small_bytes: int = 8 << 20
@@ -56,80 +57,65 @@ class ShardStore:
 
     def shards(self, version: int | None = None) -> list[Shard]:
         version = self.version() if version is None else version
-        if not version:
-            return []
+        return [Shard(**x) for x in self._manifest(version)["shards"]] if version else []
+
+    def _manifest(self, version: int) -> dict:
         stream = self.fs.open(self.path(f"{self.folder}/manifests/v{version:010d}.json"))
         try:
-            text = bytes(stream.readAllBytes()).decode()
+            return json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
-        return [Shard(**x) for x in json.loads(text)["shards"]]
 
-    def commit(self, base: int, shards: list[Shard]) -> int:
+    def schema(self) -> StructType:
+        return StructType.fromJson(self._manifest(self.version())["schema"])
+
+    def commit(self, base: int, shards: list[Shard], schema: StructType) -> int:
         """Makes `shards` version base + 1; raises if that version is there already."""
         name = self.path(f"{self.folder}/manifests/v{base + 1:010d}.json")
         draft = self.path(f"{self.folder}/manifests/.{uuid.uuid4().hex}")
         stream = self.fs.create(draft, False)
-        stream.write(bytearray(json.dumps({"version": base + 1, "shards": [asdict(s) for s in shards]}).encode()))
+        stream.write(bytearray(json.dumps({"version": base + 1, "schema": schema.jsonValue(), "shards": [asdict(s) for s in shards]}).encode()))
         stream.close()
         if self.fs.exists(name) or not self.fs.rename(draft, name):
             self.fs.delete(draft, False)
             raise RuntimeError(f"version {base + 1} was committed by another writer")
         return base + 1
 
-    def _written(self, rows: DataFrame, columns: list[str], files: int, key: Column) -> list[Shard]:
-        """rows as new shards, dealt by key; sizes come from the files, row counts from their footers."""
+    def _written(self, rows: DataFrame, files: int) -> list[Shard]:
+        """rows as about so many new shards, without a shuffle: partitions of the scan are joined. Sizes come from the files, row
+        counts from their footers."""
         at = f"{self.folder}/data/{uuid.uuid4().hex}"
-        rows.repartition(files, key).select(*columns).write.option("compression", "zstd").parquet(at)
-        found = self.spark.read.parquet(at).groupBy(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_size").alias("b")).agg(F.count("*").alias("n"))
+        rows.coalesce(files).write.option("compression", "zstd").parquet(at)
+        found = self.spark.read.schema(rows.schema).parquet(at).groupBy(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_size").alias("b")).agg(F.count("*").alias("n"))
         return [Shard(r.p, r.b, r.n) for r in found.orderBy("p").collect()]
 
     def append(self, rows: DataFrame, n_bytes: int) -> int:
-        """Adds an arrival of about n_bytes as small shards. An empty arrival commits a version without new shards."""
+        """Adds an arrival of about n_bytes as small shards. An arrival without rows commits a version without new shards."""
         base = self.version()
-        files = max(1, -(-n_bytes // self.config.small_bytes))
-        new = self._written(rows, rows.columns, files, F.xxhash64(*(F.col(c) for c in rows.columns)))
-        return self.commit(base, self.shards(base) + new)
+        new = self._written(rows, max(1, -(-n_bytes // self.config.small_bytes)))
+        return self.commit(base, self.shards(base) + new, rows.schema)
 
     def plan(self, shards: list[Shard]) -> list[list[Shard]]:
-        """Runs of similarly sized shards to merge, each of about target_bytes at most (fan_in shards at least, of one tier)."""
+        """Runs to merge: shards of one tier, if there are fan_in or more."""
         tiers: dict[int, list[Shard]] = {}
         for s in shards:
-            if s.n_bytes < self.config.target_bytes:
+            if s.n_bytes < self.config.target_bytes // 2:
                 tiers.setdefault(s.tier(self.config), []).append(s)
-        runs = []
-        for _, own in sorted(tiers.items()):
-            run: list[Shard] = []
-            for s in sorted(own, key=lambda s: (s.n_bytes, s.path)):
-                if len(run) >= 2 and sum(x.n_bytes for x in run) + s.n_bytes > self.config.target_bytes:
-                    runs.append(run)
-                    run = []
-                run.append(s)
-            if len(run) >= self.config.fan_in:
-                runs.append(run)
-        return runs
+        return [sorted(own, key=lambda s: (s.n_bytes, s.path)) for _, own in sorted(tiers.items()) if len(own) >= self.config.fan_in]
 
     def compact(self) -> int:
-        """Merges runs, round by round, until none is left; every round is one job and one version. Old shards stay as files
-        for readers of older versions, until vacuum()."""
+        """Merges each run into shards of about target_bytes, until no run is left; every merge is one job and one version. Old
+        shards stay as files for readers of older versions, until vacuum()."""
         while True:
             base = self.version()
             shards = self.shards(base)
             runs = self.plan(shards)
             if not runs:
                 return base
-            merged = {s.path for run in runs for s in run}
-            keys = self._keys(len(runs))
-            which = self.spark.createDataFrame([(s.path, keys[i]) for i, run in enumerate(runs) for s in run], "_path string, _to long")
-            read = self.spark.read.parquet(*sorted(merged))
-            rows = read.select("*", F.col("_metadata.file_path").alias("_path")).join(broadcast_if_small(which, len(merged), 100_000), "_path")
-            new = self._written(rows, read.columns, len(runs), F.col("_to"))
-            self.commit(base, [s for s in shards if s.path not in merged] + new)
-
-    def _keys(self, n: int) -> list[int]:
-        """A key for each of n partitions that Spark's hash partitioning sends there, so that a run becomes one file."""
-        found = self.spark.range(64 * n + 64).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("p")).agg(F.min("id").alias("k")).collect()
-        return [r.k for r in found]
+            merged = {s.path for s in runs[0]}
+            files = max(1, round(sum(s.n_bytes for s in runs[0]) / self.config.target_bytes))
+            rows = self.spark.read.schema(self.schema()).parquet(*sorted(merged))
+            self.commit(base, [s for s in shards if s.path not in merged] + self._written(rows, files), rows.schema)
 
     def vacuum(self) -> None:
         """Deletes files that the newest version doesn't name."""
@@ -141,7 +127,8 @@ class ShardStore:
 
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version; Spark's _metadata column tells each row's shard."""
-        return self.spark.read.parquet(*(s.path for s in self.shards(version)))
+        paths = [s.path for s in self.shards(version)]
+        return self.spark.read.schema(self.schema()).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema())
 
 
 def shard_documents(docs: DataFrame, n_bytes: int, arrivals: int = 4, folder: str | None = None, config: ShardConfig = ShardConfig()) -> ShardStore:
