@@ -24,7 +24,7 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 #: Bytes of texts that are hashed at once in a task, unless one text has more.
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 1_000_000
 _BASE = 0x100000001B3
 _byte_numbers = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _space = np.zeros(256, bool)
