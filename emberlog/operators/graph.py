@@ -28,8 +28,8 @@ def components(links: DataFrame) -> DataFrame:
 
 def global_rank(rows: DataFrame, *order: Column, to: str = "rank") -> DataFrame:
     """Adds 1, 2, ... in the given total order, by a range sort and the counts of partitions before; no single task sorts all."""
-    parts = rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
-    counts = parts.groupBy("_p").agg(F.count("*").alias("_c"))
-    before = F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    nth = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
-    return parts.withColumn("_n", nth).join(F.broadcast(counts.select("_p", before.alias("_b"))), "_p").withColumn(to, F.col("_n") + F.col("_b")).drop("_p", "_n", "_b")
+    parts = rows.repartitionByRange(*order).withColumn("__p", F.spark_partition_id())
+    counts = parts.groupBy("__p").agg(F.count("*").alias("__c"))
+    before = F.coalesce(F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    nth = F.row_number().over(Window.partitionBy("__p").orderBy(*order))
+    return parts.withColumn("__n", nth).join(F.broadcast(counts.select("__p", before.alias("__b"))), "__p").withColumn(to, F.col("__n") + F.col("__b")).drop("__p", "__n", "__b")

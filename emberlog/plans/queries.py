@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from emberlog.operators import decisions as dc
 from emberlog.operators import episodes as ep
+from emberlog.operators import features as ft
+from emberlog.operators import geometry as gm
 from emberlog.operators import matching as mt
 from emberlog.operators import novelty as nv
+from emberlog.operators import queues as qu
+from emberlog.operators import variants as vr
 from emberlog.operators import windows as wn
+from emberlog.operators.graph import global_rank
 from emberlog.sources import readers as rd
 from emberlog.sources import views
 
@@ -445,3 +451,335 @@ def label_own_groups(spark, sf_dir):
 @query
 def annotated_episodes(spark, sf_dir):
     return mt.with_annotations(detected(spark, sf_dir), maps(spark, sf_dir)).select("episode_key", F.col("redteam_count").cast("long").alias("redteam_count"), "exact_count")
+
+
+# Features, queues, geometry, decisions.
+
+
+def feature_table(spark, sf_dir):
+    d = detected(spark, sf_dir)
+    return ft.feature_rows(d, mt.match_maps(mt.matches(d, views.labels(spark, sf_dir), 600)))
+
+
+def by_score(rows):
+    return global_rank(rows, F.desc(F.round("score", 9)), F.col("episode_key"))
+
+
+def queue(spark, sf_dir):
+    return by_score(detected(spark, sf_dir))
+
+
+def queues_of(spark, sf_dir):
+    return qu.sized(queue(spark, sf_dir))
+
+
+@query
+def feature_table_rows(spark, sf_dir):
+    f = feature_table(spark, sf_dir)
+    return f.select("episode_key", *(six(c) for c in ft.NUMERIC), *(f"sig__{s}" for s in ft.SIGNALS), "label", six_col(ft.feature_sum(), "feature_sum"))
+
+
+def six_col(c, name):
+    return F.round(c, 6).alias(name)
+
+
+@query
+def negative_sample_first(spark, sf_dir):
+    return ft.first_k(feature_table(spark, sf_dir).filter("label = 0"), 500).select("episode_key")
+
+
+@query
+def negative_sample_hashed(spark, sf_dir):
+    return ft.hashed_k(feature_table(spark, sf_dir).filter("label = 0"), 500, 7).select("episode_key")
+
+
+@query
+def split_by_time(spark, sf_dir):
+    return ft.time_split(feature_table(spark, sf_dir)).select("episode_key", "part")
+
+
+@query
+def split_stratified(spark, sf_dir):
+    return ft.stratified_split(feature_table(spark, sf_dir), 7).groupBy("label", "part").agg(F.count("*").alias("n"))
+
+
+@query
+def split_by_group(spark, sf_dir):
+    rows = feature_table(spark, sf_dir).withColumn("group_id", F.array_join("label_ids", "+"))
+    return ft.group_split(rows, "group_id", 7).groupBy("group_id", "part").agg(F.count("*").alias("n"))
+
+
+@query
+def ranker_auc_ap(spark, sf_dir):
+    rows = feature_table(spark, sf_dir).withColumn("feature_sum", F.round(ft.feature_sum(), 9))
+    out = None
+    for name in ("score", "raw_score", "feature_sum", "novelty_ratio", "fanout_velocity_score"):
+        one = ft.auc_ap(rows.withColumn("s_", F.round(name, 9)), "s_").select(F.lit(name).alias("ranker"), six("auc"), six("ap"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query
+def top_k_metrics(spark, sf_dir):
+    t = ft.top_k(by_score(feature_table(spark, sf_dir)), [20, 50, 100, 500, 1000])
+    return t.select("k", "hits", six("precision"), "labels", six("label_recall"), "exact_starts", "sources", "users")
+
+
+def fitted(kind):
+    def run(spark, sf_dir):
+        rows = ft.time_split(feature_table(spark, sf_dir)).cache()
+        model = ft.fit_ranker(rows.filter("part = 'train'"), kind)
+        return ft.model_score(model, rows.filter("part = 'test'")).select("episode_key", "label", "model_score")
+
+    QUERIES[f"ranker_{kind}"] = run
+
+
+for _kind in ("logistic", "tree", "forest", "boost"):
+    fitted(_kind)
+
+
+@query
+def deployment_queue(spark, sf_dir):
+    d = qu.deployment(queue(spark, sf_dir))
+    return d.withColumn("score", F.round("score", 6))
+
+
+@query
+def research_queue(spark, sf_dir):
+    q = mt.with_annotations(queue(spark, sf_dir), maps(spark, sf_dir))
+    return qu.research(q).select("rank", "episode_key", "severity", F.col("redteam_count").cast("long").alias("redteam_count"), "exact_count")
+
+
+@query
+def sized_queues(spark, sf_dir):
+    return queues_of(spark, sf_dir).select("queue_size", "rank", "episode_key")
+
+
+@query
+def tie_audit(spark, sf_dir):
+    head = queue(spark, sf_dir).filter("rank <= 1000")
+    order = [F.desc(F.round("score", 9)), F.desc(F.round("novelty_ratio", 9)), F.desc("first_time_signal_hits"), F.desc("destination_count"), F.asc("duration"), F.asc("episode_key")]
+    return qu.tie_audit(head, order).select("episode_key", "rank", F.col("new_rank").cast("long").alias("new_rank"), F.col("rank_delta").cast("long").alias("rank_delta"))
+
+
+@query
+def source_concentration(spark, sf_dir):
+    return qu.concentration(queues_of(spark, sf_dir), F.col("source"), ["queue_size"]).select("queue_size", "value", "place", "n", six("share"), six("cumulative_share"))
+
+
+@query
+def severity_distribution(spark, sf_dir):
+    q = queues_of(spark, sf_dir)
+    out = None
+    for name, c in (("severity", qu.severity(F.col("score"))), ("priority", qu.priority(F.col("rank"))), ("gate", F.col("candidate_gate")), ("band", qu.score_band(F.col("score")))):
+        one = qu.distribution(q, c, ["queue_size"]).select(F.lit(name).alias("field"), "queue_size", "value", "n", six("share"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query
+def metric_distribution(spark, sf_dir):
+    d = qu.nearest_rank_quantiles(queues_of(spark, sf_dir), "duration", ["queue_size"])
+    return d.select("queue_size", "min", "p25", "p50", "p75", six("mean"), "max")
+
+
+@query
+def queue_summary(spark, sf_dir):
+    s = qu.queue_summary(queues_of(spark, sf_dir), "C1")
+    return s.select("queue_size", "n", "sources", "users", six("focus_share"), six("median_score"), six("median_duration"), six("top1_share"), six("top5_share"), six("top10_share"))
+
+
+@query
+def source_capped_queue(spark, sf_dir):
+    return qu.source_capped(queue(spark, sf_dir), 5, 60).select("new_rank", "rank", "episode_key")
+
+
+@query
+def source_clusters(spark, sf_dir):
+    c = qu.source_clusters(queues_of(spark, sf_dir))
+    return c.select("queue_size", "source", "n", "best_rank", "worst_rank", six("max_score"), six("median_score"), six("min_score"), "first_start", "last_end", "users", "median_destinations", "top_gate", "top_users")
+
+
+@query
+def cluster_representatives(spark, sf_dir):
+    return qu.representatives(queues_of(spark, sf_dir)).select("queue_size", "source", "place", "episode_key")
+
+
+@query
+def annotation_diagnostic(spark, sf_dir):
+    q = queues_of(spark, sf_dir).join(maps(spark, sf_dir).select("episode_key", "label_ids"), "episode_key", "left")
+    d = qu.annotation_diagnostic(q)
+    return d.select("queue_size", "row_labels", "labels", "duplicates", six("duplicate_ratio"), six("official_recall"))
+
+
+@query
+def scope_summary(spark, sf_dir):
+    s = qu.scope_summary(detected(spark, sf_dir).withColumn("day", F.floor(F.col("start_time") / 20_000)), "day")
+    return s.select("scope", "n", *(six(f"p{q}") for q in (0, 50, 90, 95, 99, 100)), "high", six("top5_share"))
+
+
+@query
+def round_robin_queue(spark, sf_dir):
+    return qu.round_robin(queue(spark, sf_dir)).select("episode_key", "round")
+
+
+@query
+def source_recurrence(spark, sf_dir):
+    return qu.recurrence(queue(spark, sf_dir), 20_000, 10)
+
+
+@query
+def signal_composition(spark, sf_dir):
+    return qu.signal_composition(queue(spark, sf_dir), 500).withColumn("share", F.round("share", 6))
+
+
+def regime_rows(spark, sf_dir):
+    return gm.phi(gm.regimes(by_score(feature_table(spark, sf_dir)), 100, 2000))
+
+
+@query
+def score_regimes(spark, sf_dir):
+    r = regime_rows(spark, sf_dir)
+    return gm.score_stats(r, "score", ["regime"]).select("regime", "n", *(six(c) for c in ("mean", "std", "median", "p99", "max")))
+
+
+@query
+def phi_matrix(spark, sf_dir):
+    return regime_rows(spark, sf_dir).select("episode_key", "regime", six("first_time_density"), six("temporal_density"))
+
+
+@query
+def score_histogram(spark, sf_dir):
+    # The measure has few decimals, so that bin edges mean the same in every engine.
+    return gm.histogram(detected(spark, sf_dir), "duration", 20).select("bin", "n", F.round("density", 9).alias("density"))
+
+
+@query
+def kl_divergence(spark, sf_dir):
+    return gm.kl(regime_rows(spark, sf_dir), "duration", "regime", "R2", "R0", 20).select(six("kl"))
+
+
+@query
+def wasserstein_distance(spark, sf_dir):
+    return gm.wasserstein(regime_rows(spark, sf_dir), "duration", "regime", "R2", "R0").select(six("w1"))
+
+
+@query
+def wasserstein_features(spark, sf_dir):
+    long = gm.long_form(regime_rows(spark, sf_dir), list(ft.NUMERIC), "regime")
+    return gm.wasserstein(long, "v", "regime", "R2", "R0", ["feature"]).select("feature", six("w1"))
+
+
+@query
+def score_curvature(spark, sf_dir):
+    head = queue(spark, sf_dir).filter("rank <= 1000").withColumn("score", F.round("score", 6))
+    return gm.curvature(head, "score").select(*(F.round(c, 8).alias(c) for c in ("mean", "std", "abs_mean", "abs_max")))
+
+
+@query
+def centroid_distance(spark, sf_dir):
+    return gm.centroid_distances(regime_rows(spark, sf_dir), list(ft.NUMERIC), "regime").withColumn("distance", F.round("distance", 6))
+
+
+@query
+def feature_delta(spark, sf_dir):
+    d = gm.feature_delta(regime_rows(spark, sf_dir), list(ft.NUMERIC), "regime", "R2", "R0")
+    return d.select("feature", *(six(c) for c in ("mean_a", "std_a", "mean_b", "std_b", "delta", "standardised")))
+
+
+@query
+def window_stability(spark, sf_dir):
+    s = gm.window_stability(detected(spark, sf_dir).withColumn("day", F.floor(F.col("start_time") / 20_000)), "day")
+    return s.select("windows", six("var_mean"), six("var_p99"), six("var_max"))
+
+
+@query
+def gate_by_regime(spark, sf_dir):
+    return qu.distribution(regime_rows(spark, sf_dir), F.col("candidate_gate"), ["regime"]).withColumn("share", F.round("share", 6))
+
+
+@query
+def background_percentile(spark, sf_dir):
+    rows = feature_table(spark, sf_dir).withColumn("score", F.round("score", 9))
+    p = gm.background_place(rows.filter("label = 1"), rows.filter("label = 0"))
+    return p.select("episode_key", six("percentile"), "rank_equivalent")
+
+
+@query
+def threshold_placement(spark, sf_dir):
+    rows = feature_table(spark, sf_dir).withColumn("score", F.round("score", 9))
+    t = gm.thresholds(by_score(rows.filter("label = 0")), [100, 500, 1000], rows.filter("label = 1"))
+    return t.select("rank", six("threshold"), "n", six("share"))
+
+
+def tail(spark, sf_dir):
+    return gm.tail_strata(regime_rows(spark, sf_dir).filter("regime <> 'R0'"))
+
+
+@query
+def tail_strata(spark, sf_dir):
+    return tail(spark, sf_dir).select("episode_key", six("compact_index"), six("rescue_index"), "subtype")
+
+
+@query
+def subtype_shares(spark, sf_dir):
+    return qu.distribution(tail(spark, sf_dir), F.col("subtype"), ["regime"]).withColumn("share", F.round("share", 6))
+
+
+@query
+def triage_policies(spark, sf_dir):
+    rows = tail(spark, sf_dir).withColumn("score", F.round("score", 9)).cache()
+    return gm.prefix_recall(gm.policies(rows), [25, 50, 100, 500, 1000]).withColumn("recall", F.round("recall", 6))
+
+
+@query
+def policy_bootstrap(spark, sf_dir):
+    rows = tail(spark, sf_dir).withColumn("score", F.round("score", 9)).cache()
+    p = gm.policies(rows)
+    return gm.bootstrap_recall(p["A"], p["C"], 500, 500, 7)
+
+
+@query
+def anchored_sessions(spark, sf_dir):
+    return vr.anchored_sessions(signalled(spark, sf_dir).filter(F.size("signals") > 0))
+
+
+@query
+def ratchet_scores(spark, sf_dir):
+    return vr.ratchet_scores(session_rows(spark, sf_dir)).withColumn("score", F.round("score", 6))
+
+
+def example_policy(spark, sf_dir):
+    """Roles act as most of their events do: a role may do what it does in a twentieth of its events or more."""
+    e = views.access(spark, sf_dir)
+    n = e.groupBy("role", "action").agg(F.count("*").alias("n"))
+    may = n.withColumn("t", F.sum("n").over(Window.partitionBy("role"))).filter(F.col("n") * 20 >= F.col("t")).select("role", "action")
+    scope = e.filter("role <> 'role0'").groupBy("role", "resource").agg(F.count("*").alias("n")).filter("n >= 5").select("role", "resource").union(spark.range(1).select(F.lit("role0"), F.lit("*")))
+    return dc.Policy(may, scope, frozen=("D7",), needs_approval=("purchase",))
+
+
+@query
+def policy_risk(spark, sf_dir):
+    r = dc.policy_risk(views.access(spark, sf_dir), example_policy(spark, sf_dir))
+    return r.select("seq", six("semantic_risk"), F.array_join("policy_reasons", ";").alias("reasons"))
+
+
+@query
+def role_action_novelty(spark, sf_dir):
+    return dc.new_role_actions(views.access(spark, sf_dir)).select("seq", "new_role_action")
+
+
+@query
+def path_validity(spark, sf_dir):
+    return dc.valid_paths(views.access(spark, sf_dir), example_policy(spark, sf_dir)).select("seq", "path_valid")
+
+
+@query
+def access_decisions(spark, sf_dir):
+    d = dc.decide(views.access(spark, sf_dir), example_policy(spark, sf_dir))
+    return d.select("seq", "actor", "action_taken", *(F.round(c, 3).alias(c) for c in ("semantic_risk", "behavioral_risk", "graph_risk", "fusion_risk", "confidence")))
+
+
+@query
+def decision_metrics(spark, sf_dir):
+    return dc.decision_metrics(dc.decide(views.access(spark, sf_dir), example_policy(spark, sf_dir)))
