@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from emberlog.operators.episodes import PRESETS, Preset
+from emberlog.operators.features import NUMERIC
+from emberlog.operators.features import SIGNALS as TAGS
 
 ORACLES: dict[str, str] = {}
 
@@ -170,3 +172,95 @@ rc AS (SELECT a AS root, a AS node FROM lk UNION SELECT rc.root, lk.b FROM rc JO
 SELECT episode_key, group_id FROM mp JOIN cm ON cm.node = ids[1] JOIN nm USING (c)"""
 ORACLES["label_own_groups"] = f"""{_MAPS} SELECT episode_key, 'rtgrp:' || array_to_string(ids, '+') AS group_id FROM mp"""
 ORACLES["annotated_episodes"] = f"""{_MAPS} SELECT f.episode_key, coalesce(len(ids), 0)::BIGINT AS redteam_count, coalesce(exact_count, 0)::BIGINT AS exact_count FROM f LEFT JOIN mp USING (episode_key)"""
+
+_FR = f"""fr AS (SELECT f.episode_key, source, "user", start_time, end_time, dur::DOUBLE AS duration, events_count::DOUBLE AS events_count, destination_count::DOUBLE AS destination_count, 1.0::DOUBLE AS user_count, first_time_event_count::DOUBLE AS first_time_event_count,
+  CASE WHEN first_time_signal_hits = 0 THEN ft ELSE first_time_signal_hits END::DOUBLE AS first_time_signal_hits, destination_count::DOUBLE AS new_destination_event_count, CASE WHEN nov = 0 THEN least(1.0, destination_count / greatest(1, events_count)) ELSE nov END::DOUBLE AS novelty_ratio, cs::DOUBLE AS compactness_score, vs::DOUBLE AS fanout_velocity_score, peak::DOUBLE AS peak_velocity_new_dests,
+  score, raw_score, entropy_penalty, candidate_gate, suppression_reason, signals, {", ".join(f"list_contains(signals, '{t}')::INT::DOUBLE AS sig__{t}" for t in TAGS)}, ids, coalesce(exact_count, 0) AS exact_count, (ids IS NOT NULL)::INT AS label, row_number() OVER (ORDER BY round(score, 9) DESC, f.episode_key) AS rank FROM f LEFT JOIN mp USING (episode_key)),
+fs AS (SELECT *, novelty_ratio + compactness_score + fanout_velocity_score + 0.25 * sig__first_time_source_user_to_dest + 0.15 * sig__source_user_fanout - entropy_penalty AS feature_sum FROM fr)"""
+_F = f"{_MAPS}, {_FR}"
+_QS = "qs AS (SELECT fs.*, q.k AS queue_size FROM fs JOIN (VALUES (100), (500), (1000), (5000)) AS q(k) ON rank <= q.k)"
+_Q = f"{_F}, {_QS}"
+_SEV = "CASE WHEN score >= 0.90 THEN 'critical' WHEN score >= 0.75 THEN 'high' WHEN score >= 0.50 THEN 'medium' WHEN score >= 0.25 THEN 'low' ELSE 'low_review' END"
+_PRI = "CASE WHEN rank <= 100 THEN 'P1' WHEN rank <= 500 THEN 'P2' WHEN rank <= 1000 THEN 'P3' WHEN rank <= 5000 THEN 'P4' ELSE 'P5' END"
+_BAND = "CASE WHEN score >= 0.95 THEN '>=0.95' WHEN score >= 0.90 THEN '0.90-0.95' WHEN score >= 0.75 THEN '0.75-0.90' WHEN score >= 0.50 THEN '0.50-0.75' WHEN score >= 0.25 THEN '0.25-0.50' ELSE '<0.25' END"
+ORACLES["feature_table_rows"] = f"""{_F} SELECT episode_key, {", ".join(f"round({c}, 6) AS {c}" for c in NUMERIC)}, {", ".join(f"sig__{t}" for t in TAGS)}, label, round(feature_sum, 6) AS feature_sum FROM fs"""
+ORACLES["negative_sample_first"] = f"""{_F} SELECT episode_key FROM fs WHERE label = 0 ORDER BY start_time, episode_key LIMIT 500"""
+ORACLES["split_by_time"] = f"""{_F} SELECT episode_key, CASE WHEN row_number() OVER (ORDER BY start_time, episode_key) <= floor(0.7 * (SELECT count(*) FROM fs)) THEN 'train' ELSE 'test' END AS part FROM fs"""
+ORACLES["ranker_auc_ap"] = f"""{_F}, lr AS (UNPIVOT (SELECT episode_key, label, round(score, 9) AS score, round(raw_score, 9) AS raw_score, round(feature_sum, 9) AS feature_sum, round(novelty_ratio, 9) AS novelty_ratio, round(fanout_velocity_score, 9) AS fanout_velocity_score FROM fs) ON score, raw_score, feature_sum, novelty_ratio, fanout_velocity_score INTO NAME ranker VALUE s),
+ag AS (SELECT ranker, s, sum(label) AS p, sum(1 - label) AS n FROM lr GROUP BY ALL), ac AS (SELECT *, sum(p) OVER w AS cp, sum(n) OVER w AS cn FROM ag WINDOW w AS (PARTITION BY ranker ORDER BY s DESC ROWS UNBOUNDED PRECEDING))
+SELECT ranker, round(sum(n * (cp - p / 2)) / (sum(p) * sum(n)), 6) AS auc, round(sum(p * cp / (cp + cn)) / sum(p), 6) AS ap FROM ac GROUP BY ranker"""
+ORACLES["top_k_metrics"] = f"""{_F}, kk AS (SELECT fs.*, k FROM fs JOIN (VALUES (20), (50), (100), (500), (1000)) AS q(k) ON rank <= k), kl AS (SELECT k, count(DISTINCT l) AS labels FROM (SELECT k, unnest(ids) AS l FROM kk) GROUP BY k)
+SELECT k, count(*) FILTER (label = 1) AS hits, round(count(*) FILTER (label = 1) / count(*), 6) AS precision, coalesce(any_value(labels), 0) AS labels, round(coalesce(any_value(labels), 0) / (SELECT count(DISTINCT l) FROM (SELECT unnest(ids) AS l FROM fs)), 6) AS label_recall, sum(exact_count)::BIGINT AS exact_starts, count(DISTINCT source) AS sources, count(DISTINCT "user") AS users FROM kk LEFT JOIN kl USING (k) GROUP BY k"""
+ORACLES["research_queue"] = f"""{_F} SELECT rank, episode_key, {_SEV} AS severity, coalesce(len(ids), 0)::BIGINT AS redteam_count, exact_count FROM fs"""
+ORACLES["deployment_queue"] = f"""{_F} SELECT rank, round(score, 6) AS score, {_SEV} AS severity, {_PRI} AS priority, episode_key, source, "user", start_time, end_time, duration::BIGINT AS duration, events_count::BIGINT AS events_count, destination_count::BIGINT AS destination_count, candidate_gate,
+  concat_ws('; ', CASE WHEN sig__first_time_source_user_to_dest = 1 THEN 'new source-user-destination' END, CASE WHEN sig__source_user_fanout = 1 THEN 'source-user fan-out' END, CASE WHEN sig__compact_lateral_burst = 1 THEN 'compact burst' END, CASE WHEN sig__fanout_velocity = 1 THEN 'fast fan-out' END, destination_count::BIGINT || ' destinations in ' || duration::BIGINT || ' s') AS explanation FROM fs"""
+ORACLES["sized_queues"] = f"""{_Q} SELECT queue_size, rank, episode_key FROM qs"""
+ORACLES["tie_audit"] = f"""{_F}, ta AS (SELECT fs.episode_key, rank, row_number() OVER (ORDER BY round(fs.score, 9) DESC, round(nov, 9) DESC, f.first_time_signal_hits DESC, f.destination_count DESC, dur, fs.episode_key) AS new_rank FROM fs JOIN f USING (episode_key) WHERE rank <= 1000) SELECT *, new_rank - rank AS rank_delta FROM ta"""
+ORACLES["source_concentration"] = f"""{_Q}, sc AS (SELECT queue_size, source AS value, count(*) AS n FROM qs GROUP BY ALL), sp AS (SELECT queue_size, value, row_number() OVER w AS place, n, round(n / sum(n) OVER (PARTITION BY queue_size), 6) AS share, round(sum(n) OVER w / sum(n) OVER (PARTITION BY queue_size), 6) AS cumulative_share FROM sc WINDOW w AS (PARTITION BY queue_size ORDER BY n DESC, value ROWS UNBOUNDED PRECEDING)) SELECT * FROM sp WHERE place <= 50"""
+ORACLES["severity_distribution"] = f"""{_Q}, sv AS ({" UNION ALL ".join(f"SELECT '{n}' AS field, queue_size, {c} AS value FROM qs" for n, c in (("severity", _SEV), ("priority", _PRI), ("gate", "candidate_gate"), ("band", _BAND)))}), sn AS (SELECT field, queue_size, value, count(*) AS n FROM sv GROUP BY ALL) SELECT *, round(n / sum(n) OVER (PARTITION BY field, queue_size), 6) AS share FROM sn"""
+ORACLES["metric_distribution"] = f"""{_Q}, md AS (SELECT queue_size, duration::BIGINT AS v, row_number() OVER (PARTITION BY queue_size ORDER BY duration) - 1 AS i, count(*) OVER (PARTITION BY queue_size) AS n FROM qs)
+SELECT queue_size, min(v) AS min, max(v) FILTER (i = round_even((n - 1) * 0.25, 0)) AS p25, max(v) FILTER (i = round_even((n - 1) * 0.5, 0)) AS p50, max(v) FILTER (i = round_even((n - 1) * 0.75, 0)) AS p75, round(avg(v), 6) AS mean, max(v) AS max FROM md GROUP BY ALL"""
+ORACLES["queue_summary"] = f"""{_Q}, sc AS (SELECT queue_size, source, count(*) AS n FROM qs GROUP BY ALL), sp AS (SELECT queue_size, n / sum(n) OVER (PARTITION BY queue_size) AS share, row_number() OVER (PARTITION BY queue_size ORDER BY n DESC, source) AS place FROM sc),
+tp AS (SELECT queue_size, max(share) FILTER (place = 1) AS a, sum(share) FILTER (place <= 5) AS b, sum(share) FILTER (place <= 10) AS c FROM sp GROUP BY ALL)
+SELECT queue_size, count(*) AS n, count(DISTINCT source) AS sources, count(DISTINCT "user") AS users, round(count(*) FILTER (source = 'C1') / count(*), 6) AS focus_share, round(median(score), 6) AS median_score, round(median(duration), 6) AS median_duration, round(any_value(a), 6) AS top1_share, round(any_value(b), 6) AS top5_share, round(any_value(c), 6) AS top10_share FROM qs JOIN tp USING (queue_size) GROUP BY ALL"""
+ORACLES["source_capped_queue"] = f"""{_F}, cp AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY rank) AS own FROM fs) SELECT row_number() OVER (ORDER BY rank) AS new_rank, rank, episode_key FROM cp WHERE own <= 5 ORDER BY rank LIMIT 60"""
+ORACLES["source_clusters"] = f"""{_Q}, tg AS (SELECT queue_size, source, candidate_gate || ':' || count(*) AS top_gate FROM qs GROUP BY queue_size, source, candidate_gate QUALIFY row_number() OVER (PARTITION BY queue_size, source ORDER BY count(*) DESC, candidate_gate) = 1),
+tu AS (SELECT queue_size, source, string_agg(t, ';' ORDER BY i) AS top_users FROM (SELECT queue_size, source, "user" || ':' || count(*) AS t, row_number() OVER (PARTITION BY queue_size, source ORDER BY count(*) DESC, "user") AS i FROM qs GROUP BY queue_size, source, "user") WHERE i <= 3 GROUP BY ALL)
+SELECT queue_size, source, count(*) AS n, min(rank) AS best_rank, max(rank) AS worst_rank, round(max(score), 6) AS max_score, round(median(score), 6) AS median_score, round(min(score), 6) AS min_score, min(start_time) AS first_start, max(end_time) AS last_end, count(DISTINCT "user") AS users, median(destination_count) AS median_destinations, any_value(top_gate) AS top_gate, any_value(top_users) AS top_users FROM qs JOIN tg USING (queue_size, source) JOIN tu USING (queue_size, source) GROUP BY ALL"""
+ORACLES["cluster_representatives"] = f"""{_Q} SELECT queue_size, source, row_number() OVER (PARTITION BY queue_size, source ORDER BY rank) AS place, episode_key FROM qs QUALIFY place <= 5"""
+ORACLES["annotation_diagnostic"] = f"""{_Q}, an AS (SELECT queue_size, coalesce(sum(len(ids)), 0)::BIGINT AS row_labels FROM qs GROUP BY ALL), al AS (SELECT queue_size, count(DISTINCT l) AS labels FROM (SELECT queue_size, unnest(ids) AS l FROM qs) GROUP BY ALL), ax AS (SELECT queue_size, row_labels, coalesce(labels, 0) AS labels FROM an LEFT JOIN al USING (queue_size))
+SELECT *, row_labels - labels AS duplicates, round(coalesce((row_labels - labels) / nullif(row_labels, 0), 0), 6) AS duplicate_ratio, round(labels / max(labels) OVER (), 6) AS official_recall FROM ax"""
+ORACLES["scope_summary"] = f"""{_F}, sb AS (SELECT (start_time // 20000)::VARCHAR AS scope, source, score FROM fs UNION ALL SELECT 'all', source, score FROM fs), st AS (SELECT scope, sum(n) AS t FROM (SELECT scope, source, count(*) AS n FROM sb GROUP BY scope, source QUALIFY row_number() OVER (PARTITION BY scope ORDER BY count(*) DESC, source) <= 5) GROUP BY scope)
+SELECT scope, count(*) AS n, {", ".join(f"round(quantile_cont(score, {q}), 6) AS p{n}" for n, q in ((0, 0.0), (50, 0.5), (90, 0.9), (95, 0.95), (99, 0.99), (100, 1.0)))}, count(*) FILTER (score >= 0.75) AS high, round(any_value(t) / count(*), 6) AS top5_share FROM sb JOIN st USING (scope) GROUP BY scope"""
+ORACLES["round_robin_queue"] = f"""{_F} SELECT episode_key, row_number() OVER (PARTITION BY source ORDER BY rank) AS round FROM fs"""
+ORACLES["source_recurrence"] = f"""{_F}, rd AS (SELECT start_time // 20000 AS day, source, count(*) AS n FROM fs GROUP BY start_time // 20000, source QUALIFY row_number() OVER (PARTITION BY start_time // 20000 ORDER BY count(*) DESC, source) <= 10) SELECT source, count(*) AS days, sum(n)::BIGINT AS episodes FROM rd GROUP BY source HAVING count(*) > 1"""
+ORACLES["signal_composition"] = f"""{_F} SELECT signal, count(*) AS n, round(count(*) / 500, 6) AS share FROM (SELECT unnest(signals) AS signal FROM fs WHERE rank <= 500) GROUP BY signal"""
+_G = f"""{_F}, rg AS (SELECT *, CASE WHEN rank <= 100 THEN 'R2' WHEN rank <= 2000 THEN 'R1' ELSE 'R0' END AS regime FROM fs)"""
+ORACLES["score_regimes"] = f"""{_G} SELECT regime, count(*) AS n, round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS std, round(median(score), 6) AS median, round(quantile_cont(score, 0.99), 6) AS p99, round(max(score), 6) AS max FROM rg GROUP BY regime"""
+ORACLES["phi_matrix"] = f"""{_G} SELECT episode_key, regime, round(coalesce(first_time_signal_hits / nullif(events_count, 0), 0), 6) AS first_time_density, round(coalesce(events_count / nullif(duration, 0), 0), 6) AS temporal_density FROM rg"""
+_HIST = "(SELECT min(dur) AS lo, max(dur) AS hi FROM f)"
+ORACLES["score_histogram"] = f"""{CHAIN}, hh AS (SELECT least(19, floor((dur - lo) / ((hi - lo) / 20)))::BIGINT AS bin, count(*) AS n FROM f, {_HIST} GROUP BY ALL) SELECT g.bin, coalesce(n, 0) AS n, round(coalesce(n, 0) / (SELECT count(*) FROM f) / ((hi - lo) / 20), 9) AS density FROM (SELECT unnest(range(20)) AS bin) AS g LEFT JOIN hh USING (bin), {_HIST}"""
+ORACLES["kl_divergence"] = f"""{_G}, kr AS (SELECT * FROM rg WHERE regime <> 'R1'), kb AS (SELECT regime, least(19, floor((duration - lo) / ((hi - lo) / 20))) AS bin FROM kr, (SELECT min(duration) AS lo, max(duration) AS hi FROM kr)),
+kx AS (SELECT g.bin, count(*) FILTER (regime = 'R2') + 1e-12 AS x, count(*) FILTER (regime = 'R0') + 1e-12 AS y FROM (SELECT unnest(range(20)) AS bin) AS g LEFT JOIN kb USING (bin) GROUP BY ALL), ky AS (SELECT x / sum(x) OVER () AS x, y / sum(y) OVER () AS y FROM kx) SELECT round(sum(x * ln(x / y)), 6) AS kl FROM ky"""
+
+
+def _w1(rows: str, by: str) -> str:
+    part = f"PARTITION BY {by} " if by else ""
+    return f"""wv AS (SELECT {by + ',' if by else ''} v, count(*) FILTER (regime = 'R2') AS x, count(*) FILTER (regime = 'R0') AS y FROM {rows} WHERE regime <> 'R1' GROUP BY ALL),
+wc AS (SELECT *, abs(sum(x) OVER w / sum(x) OVER ({part}) - sum(y) OVER w / sum(y) OVER ({part})) * (lead(v) OVER ({part} ORDER BY v) - v) AS d FROM wv WINDOW w AS ({part} ORDER BY v ROWS UNBOUNDED PRECEDING))"""
+
+
+_LONG = f"lf AS (UNPIVOT (SELECT regime, {', '.join(NUMERIC)} FROM rg) ON {', '.join(NUMERIC)} INTO NAME feature VALUE v)"
+ORACLES["wasserstein_distance"] = f"""{_G}, wr AS (SELECT regime, duration AS v FROM rg), {_w1("wr", "")} SELECT round(coalesce(sum(d), 0), 6) AS w1 FROM wc"""
+ORACLES["wasserstein_features"] = f"""{_G}, {_LONG}, {_w1("lf", "feature")} SELECT feature, round(coalesce(sum(d), 0), 6) AS w1 FROM wc GROUP BY feature"""
+
+
+def _gradient(of: str, to: str, src: str, out: str) -> str:
+    return f"""{out} AS (SELECT *, CASE WHEN lag({of}) OVER w IS NULL THEN lead({of}) OVER w - {of} WHEN lead({of}) OVER w IS NULL THEN {of} - lag({of}) OVER w ELSE (lead({of}) OVER w - lag({of}) OVER w) / 2 END AS {to} FROM {src} WINDOW w AS (ORDER BY rank))"""
+
+
+ORACLES["score_curvature"] = f"""{_F}, g0 AS (SELECT rank, round(score, 6) AS s FROM fs WHERE rank <= 1000), {_gradient("s", "a", "g0", "g1")}, {_gradient("a", "b", "g1", "g2")} SELECT round(avg(b), 8) AS mean, round(stddev_pop(b), 8) AS std, round(avg(abs(b)), 8) AS abs_mean, round(max(abs(b)), 8) AS abs_max FROM g2"""
+ORACLES["centroid_distance"] = f"""{_G}, {_LONG}, lm AS (SELECT regime, feature, avg(v) AS m FROM lf GROUP BY ALL) SELECT x.regime AS a, y.regime AS b, round(sqrt(sum((x.m - y.m) ** 2)), 6) AS distance FROM lm AS x JOIN lm AS y ON x.feature = y.feature AND x.regime < y.regime GROUP BY ALL"""
+ORACLES["feature_delta"] = f"""{_G}, {_LONG}, ls AS (SELECT feature, avg(v) FILTER (regime = 'R2') AS ma, stddev_samp(v) FILTER (regime = 'R2') AS sa, avg(v) FILTER (regime = 'R0') AS mb, stddev_samp(v) FILTER (regime = 'R0') AS sb FROM lf GROUP BY ALL)
+SELECT feature, round(ma, 6) AS mean_a, round(sa, 6) AS std_a, round(mb, 6) AS mean_b, round(sb, 6) AS std_b, round(ma - mb, 6) AS delta, round(coalesce((ma - mb) / nullif(sqrt((sa ** 2 + sb ** 2) / 2), 0), 0), 6) AS standardised FROM ls"""
+ORACLES["window_stability"] = f"""{CHAIN}, ws AS (SELECT start_time // 20000 AS day, avg(score) AS m, quantile_cont(score, 0.99) AS p, max(score) AS x FROM f GROUP BY ALL) SELECT count(*) AS windows, round(var_pop(m), 6) AS var_mean, round(var_pop(p), 6) AS var_p99, round(var_pop(x), 6) AS var_max FROM ws"""
+ORACLES["gate_by_regime"] = f"""{_G}, gr AS (SELECT regime, candidate_gate AS value, count(*) AS n FROM rg GROUP BY ALL) SELECT *, round(n / sum(n) OVER (PARTITION BY regime), 6) AS share FROM gr"""
+ORACLES["background_percentile"] = f"""{_F}, bs AS (SELECT round(score, 9) AS s FROM fs WHERE label = 0) SELECT episode_key, round(100 * (SELECT count(*) FROM bs WHERE s <= round(fs.score, 9)) / (SELECT count(*) FROM bs), 6) AS percentile, 1 + (SELECT count(*) FROM bs WHERE s > round(fs.score, 9)) AS rank_equivalent FROM fs WHERE label = 1"""
+ORACLES["threshold_placement"] = f"""{_F}, bt AS (SELECT row_number() OVER (ORDER BY round(score, 9) DESC, episode_key) AS rank, round(score, 9) AS t FROM fs WHERE label = 0) SELECT bt.rank, round(t, 6) AS threshold, count(*) FILTER (round(score, 9) >= t) AS n, round(avg((round(score, 9) >= t)::INT), 6) AS share FROM fs, bt WHERE label = 1 AND bt.rank IN (100, 500, 1000) GROUP BY ALL"""
+_RES, _COM = ("destination_count", "duration", "events_count", "sig__source_user_fanout", "sig__entropy_soft_duration"), ("compactness_score", "fanout_velocity_score", "novelty_ratio", "sig__compact_lateral_burst", "sig__fanout_velocity", "sig__propagation_convergence_bonus")
+_Z = lambda names: "(" + " + ".join(f"coalesce(({c} - avg({c}) OVER ()) / nullif(stddev_samp({c}) OVER (), 0), 0)" for c in names) + f") / {len(names)}"
+_T = f"""{_G}, tz AS (SELECT *, {_Z(_COM)} AS ci, {_Z(_RES)} AS ri FROM rg WHERE regime <> 'R0'), tt AS (SELECT *, CASE WHEN ci - ri > 0.35 THEN 'compact' WHEN ci - ri < -0.35 THEN 'rescue' ELSE 'mixed' END AS subtype, round(score, 9) AS sc FROM tz)"""
+ORACLES["tail_strata"] = f"""{_T} SELECT episode_key, round(ci, 6) AS compact_index, round(ri, 6) AS rescue_index, subtype FROM tt"""
+ORACLES["subtype_shares"] = f"""{_T}, ts AS (SELECT regime, subtype AS value, count(*) AS n FROM tt GROUP BY ALL) SELECT *, round(n / sum(n) OVER (PARTITION BY regime), 6) AS share FROM ts"""
+ORACLES["triage_policies"] = f"""{_T}, r0 AS (SELECT *, row_number() OVER (PARTITION BY subtype ORDER BY sc DESC, episode_key) - 1 AS i, row_number() OVER (PARTITION BY subtype = 'rescue' ORDER BY sc DESC, episode_key) - 1 AS j FROM tt),
+pl AS (SELECT 'A' AS policy, label, row_number() OVER (ORDER BY sc DESC, episode_key) AS place FROM r0
+UNION ALL SELECT 'B', label, row_number() OVER (ORDER BY CASE subtype WHEN 'compact' THEN 0 WHEN 'mixed' THEN 1 ELSE 2 END, sc DESC, episode_key) FROM r0
+UNION ALL SELECT 'C', label, row_number() OVER (ORDER BY i // CASE subtype WHEN 'compact' THEN 7 WHEN 'mixed' THEN 2 ELSE 1 END, CASE subtype WHEN 'compact' THEN i % 7 WHEN 'mixed' THEN 7 + i % 2 ELSE 9 END, sc DESC, episode_key) FROM r0
+UNION ALL SELECT 'D', label, row_number() OVER (ORDER BY CASE WHEN subtype = 'compact' THEN 0 WHEN subtype = 'mixed' THEN 1 WHEN ri >= 0.5 THEN 2 ELSE 3 END, sc DESC, episode_key) FROM r0
+UNION ALL SELECT 'E', label, row_number() OVER (ORDER BY CASE WHEN subtype = 'rescue' THEN j ELSE j // 2 END, CASE WHEN subtype = 'rescue' THEN 2 ELSE j % 2 END, sc DESC, episode_key) FROM r0)
+SELECT policy, depth, coalesce(sum(label) FILTER (place <= depth), 0)::BIGINT AS hits, round(coalesce(sum(label) FILTER (place <= depth), 0) / sum(label), 6) AS recall FROM pl, (VALUES (25), (50), (100), (500), (1000)) AS d(depth) GROUP BY ALL"""
+_ACC = """ac AS (SELECT time, seq, "user" AS actor, 'role' || (user_id % 4) AS role, event_type AS action, dest AS resource, (k % 11) / 10 AS criticality FROM e), may AS (SELECT role, action FROM ac GROUP BY role, action QUALIFY count(*) * 20 >= sum(count(*)) OVER (PARTITION BY role)), sco AS (SELECT role, resource FROM ac WHERE role <> 'role0' GROUP BY ALL HAVING count(*) >= 5),
+pr AS (SELECT ac.*, role NOT IN (SELECT role FROM may) AS r1, may.role IS NULL AS r2, ac.role <> 'role0' AND sco.role IS NULL AS r3, resource = 'D7' AS r4, action = 'purchase' AS r5 FROM ac LEFT JOIN may USING (role, action) LEFT JOIN sco USING (role, resource))"""
+ORACLES["policy_risk"] = f"""WITH {E}, {_ACC} SELECT seq, round(least(1.0, r1::INT * 0.25 + r2::INT * 0.35 + r3::INT * 0.30 + r4::INT * 0.55 + r5::INT * 0.30), 6)::DOUBLE AS semantic_risk, concat_ws(';', CASE WHEN r1 THEN 'role_unknown' END, CASE WHEN r2 THEN 'role_action_mismatch' END, CASE WHEN r3 THEN 'resource_scope_mismatch' END, CASE WHEN r4 THEN 'resource_frozen' END, CASE WHEN r5 THEN 'missing_or_invalid_approval' END) AS reasons FROM pr"""
+ORACLES["path_validity"] = f"""WITH {E}, {_ACC} SELECT seq, NOT (r1 OR r2 OR r3 OR r5) AS path_valid FROM pr"""
+ORACLES["role_action_novelty"] = f"""WITH {E}, {_ACC} SELECT seq, row_number() OVER (PARTITION BY role, action ORDER BY time, seq) = 1 AS new_role_action FROM ac"""
