@@ -79,3 +79,30 @@ x AS (SELECT l.doc_id, count(*) AS n_lines, count(*) FILTER (exact) AS n_exact,
   coalesce(string_agg(line, chr(10) ORDER BY l.k) FILTER (NOT coalesce(exact OR near, false)), '') AS kept FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.k = g.k GROUP BY l.doc_id)
 SELECT doc_id, n_lines, n_exact, n_near, md5(kept) AS kept_md5 FROM x
 """
+
+# Every 200-byte string of every text, by position; texts as hexadecimal digits, two for each byte.
+ORACLES["op4_suffix_dedup"] = """
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT r, h, unnest(range(0, len(h) // 2 - 199)) AS k FROM t WHERE len(h) >= 400),
+w AS (SELECT r, k FROM (SELECT r, k, md5(substr(h, 2 * k + 1, 400)) AS m FROM p) QUALIFY count(*) OVER (PARTITION BY m) > 1),
+n AS (SELECT r, k, coalesce(k > lag(k) OVER (PARTITION BY r ORDER BY k) + 200, true)::INT AS fresh FROM w),
+g AS (SELECT r, k, sum(fresh) OVER (PARTITION BY r ORDER BY k ROWS UNBOUNDED PRECEDING) AS span FROM n),
+s AS (SELECT r, span, min(k) AS lo, max(k) + 200 AS hi FROM g GROUP BY r, span),
+x AS (SELECT r, span, lo, hi, coalesce(lag(hi) OVER (PARTITION BY r ORDER BY lo), 0) AS prev FROM s),
+k AS (SELECT r, sum(hi - lo) AS removed, count(*) AS spans, string_agg(substr(h, 2 * prev + 1, 2 * (lo - prev)), '' ORDER BY lo) || substr(any_value(h), 2 * max(hi) + 1) AS kept FROM x JOIN t USING (r) GROUP BY r)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM t LEFT JOIN k USING (r)
+"""
+
+# Every pair of texts that share a 5-word shingle; classes by walking along links.
+ORACLES["op9_jaccard_join"] = r"""
+WITH RECURSIVE t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+c AS (SELECT text, any_value(ws) AS ws, min(doc_id) AS node, count(*) AS copies FROM t GROUP BY text),
+g AS (SELECT DISTINCT node, array_to_string(ws[i:i+4], ' ') AS g FROM (SELECT node, ws, unnest(range(1, len(ws) - 3)) AS i FROM c)),
+n AS (SELECT node, count(*) AS n FROM g GROUP BY node),
+p AS (SELECT a.node AS a, b.node AS b, count(*) AS k FROM g AS a JOIN g AS b ON a.g = b.g AND a.node <> b.node GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n AS x ON x.node = a JOIN n AS y ON y.node = b WHERE k >= 0.8 * (x.n + y.n - k) - 1e-6),
+w AS (SELECT node AS root, node FROM c UNION SELECT w.root, l.b FROM w JOIN l ON w.node = l.a),
+k AS (SELECT node, min(root) AS class_id FROM w GROUP BY node),
+d AS (SELECT a AS node, sum(copies) AS links FROM l JOIN c ON c.node = l.b GROUP BY a)
+SELECT doc_id, class_id, copies - 1 AS n_copies, (coalesce(links, 0) + copies - 1)::BIGINT AS n_links FROM t JOIN c USING (text) JOIN k USING (node) LEFT JOIN d USING (node)
+"""
