@@ -35,8 +35,9 @@ def novelty_config(events: DataFrame) -> nv.NoveltyConfig:
 
 
 def detected(spark: SparkSession, sf_dir: str, preset: ep.Preset = ep.PRUNED) -> DataFrame:
+    """Kept by Spark for the session: range sorts and self-joins of later operators read it more than once."""
     events = views.auth(spark, sf_dir)
-    return ep.detect(events, novelty_config(events), preset)
+    return ep.detect(events, novelty_config(events), preset).cache()
 
 
 def six(name: str, alias: str | None = None):
@@ -458,7 +459,7 @@ def annotated_episodes(spark, sf_dir):
 
 def feature_table(spark, sf_dir):
     d = detected(spark, sf_dir)
-    return ft.feature_rows(d, mt.match_maps(mt.matches(d, views.labels(spark, sf_dir), 600)))
+    return ft.feature_rows(d, mt.match_maps(mt.matches(d, views.labels(spark, sf_dir), 600))).cache()
 
 
 def by_score(rows):
@@ -466,7 +467,7 @@ def by_score(rows):
 
 
 def queue(spark, sf_dir):
-    return by_score(detected(spark, sf_dir))
+    return by_score(detected(spark, sf_dir)).cache()
 
 
 def queues_of(spark, sf_dir):
@@ -634,7 +635,7 @@ def signal_composition(spark, sf_dir):
 
 
 def regime_rows(spark, sf_dir):
-    return gm.phi(gm.regimes(by_score(feature_table(spark, sf_dir)), 100, 2000))
+    return gm.phi(gm.regimes(by_score(feature_table(spark, sf_dir)), 100, 2000)).cache()
 
 
 @query
