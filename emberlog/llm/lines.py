@@ -86,14 +86,16 @@ def picked(batch: pa.RecordBatch, name: str, rows: np.ndarray) -> pa.Array:
 def line_rows(rows: DataFrame, doc_id: str, config: LineConfig) -> DataFrame:
     """Rows (key, line, kind, _key, _doc, _at) of every line: its own hash as a key (EXACT) and those of its halves (HALF).
 
-    In order of document, only the earliest of equal lines in a batch gets these; others have a row of the kind REPEATED.
+    In order of document, only the earliest of equal lines in a batch gets these; others have a row of the kind REPEATED. Of
+    rows with equal _key only one is looked at in a batch: their lines are the same lines.
     """
 
     def emit(batches):
         for batch in batches:
             docs, keys, texts = batch.column(doc_id).cast(pa.int64()), batch.column("_key").to_pylist(), text_bytes(batch.column("_text"))
             ids = docs.to_pylist()
-            order = sorted(range(batch.num_rows), key=lambda i: (ids[i] is not None, ids[i] or 0, keys[i]))
+            once = {k: i for i, k in enumerate(keys)}.values()
+            order = sorted(once, key=lambda i: (ids[i] is not None, ids[i] or 0, keys[i]))
             seen: set[tuple[int, int]] = set()
             for block in blocks([len(t) for t in texts], order):
                 lines, row = Lines([texts[i] for i in block], config.min_words), np.array(block, np.int64)

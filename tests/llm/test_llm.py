@@ -128,6 +128,14 @@ def test_line_dedup(spark):
     assert {r.text for r in lines.line_dedup(twice).collect()} == {base[4]}
 
 
+def test_lines_of_repeated_rows_in_one_batch(spark):
+    rng = random.Random(12)
+    a, b, c = (prose(rng, 12) for _ in range(3))
+    docs = table(spark, [a, a, f"{b}\n{b}", f"{b}\n{b}", c, c, f"{a}\nend"], [7, 7, 8, 8, None, None, 9]).coalesce(1)
+    out = collections.Counter((r.doc_id, r.text) for r in lines.line_dedup(docs).collect())
+    assert out == {(7, a): 2, (8, b): 2, (None, c): 2, (9, "end"): 1}
+
+
 @pytest.mark.parametrize("config", [jaccard.JaccardConfig(), jaccard.JaccardConfig(small_bucket=2, block=3)])
 def test_jaccard(spark, texts, config):
     sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in ((t or "").split() for t in texts)]
