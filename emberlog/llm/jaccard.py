@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import broadcast_if_small, written
@@ -138,6 +138,11 @@ def block_links(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     return pd.DataFrame({"node": nodes[keep], "other": label[keep], "links": links[keep]})
 
 
+def text_node(text: str) -> Column:
+    """The node of a text, which all its copies share."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", config: JaccardConfig = JaccardConfig()) -> DataFrame:
     """One row for each document: doc_id, class_id, n_copies, n_links.
 
@@ -152,7 +157,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Null texts are empty. Texts of fewer than n words are linked only with copies. A null doc_id is never a class_id unless a
     class has no other. Repeated rows are copies. Other columns are not read; an empty table gives no rows.
     """
-    rows = docs.select(F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("node"), F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
+    return classes_of_rows(docs, doc_id, text, config).select(F.col("doc").alias("doc_id"), "class_id", "n_copies", "n_links")
+
+
+def classes_of_rows(docs: DataFrame, doc_id: str, text: str, config: JaccardConfig) -> DataFrame:
+    """(node, doc, class_id, head, n_copies, n_links) of each document, as near_duplicates() describes; head is the least node of
+    those in the class that hold class_id."""
+    rows = docs.select(text_node(text).alias("node"), F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
     nodes = written(signatures(rows, config).groupBy("node").agg(F.min("doc").alias("doc"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "nodes")
     bucket = Window.partitionBy("bucket")
     keys = nodes.select("node", F.explode("bands").alias("bucket")).withColumn("size", F.count("*").over(bucket)).filter("size > 1")
@@ -192,17 +203,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     degree = linked.union(linked.select("b", "a")).join(size.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), F.col("copies").alias("links"))
     degree = degree.union(blocked.select("node", "links")).groupBy("node").agg(F.sum("links").alias("links"))
     found = nodes.select("node", "doc", "copies").join(classes, "node", "left").join(degree, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    heads = found.groupBy("component").agg(F.min("doc").alias("class_id"))
-    found = found.join(heads, "component").select("node", "class_id", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return rows.select("node", "doc").join(found, "node").select(F.col("doc").alias("doc_id"), "class_id", (F.col("copies") - 1).alias("n_copies"), "n_links")
+    heads = found.groupBy("component").agg(F.min("doc").alias("class_id"), F.min(F.struct(F.col("doc").isNull(), "doc", "node")).getField("node").alias("head"))
+    found = found.join(heads, "component").select("node", "class_id", "head", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return rows.select("node", "doc").join(found, "node").select("node", "doc", "class_id", "head", (F.col("copies") - 1).alias("n_copies"), "n_links")
 
 
 def one_of_each_class(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", config: JaccardConfig = JaccardConfig()) -> DataFrame:
-    """The documents with the smallest doc_id of each class of near duplicates, with their columns.
+    """The document with the smallest doc_id of each class of near duplicates, with its columns.
 
-    Rows with equal doc_id and text are one document and stay or go together; so do those of a class that has only null ids.
+    Rows with equal doc_id and text are one document and stay or go together. Ids don't have to be unique: of different texts
+    with the smallest doc_id, or in a class of only null ids, the one of the least hash stays.
     """
-    found = near_duplicates(docs, doc_id, text, config)
-    gone = written(found.filter("doc_id <> class_id or (doc_id is null and class_id is not null)").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    kept = docs.join(broadcast_if_small(gone, gone.count(), config.broadcast_rows), F.col(doc_id).cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    found = classes_of_rows(docs, doc_id, text, config)
+    stays = F.col("doc").eqNullSafe(F.col("class_id")) & (F.col("node") == F.col("head"))
+    gone = written(found.filter(~stays).select(F.col("doc").alias("_gone"), F.col("node").alias("_node")).distinct(), "gone")
+    same = F.col(doc_id).cast("long").eqNullSafe(F.col("_gone")) & (text_node(text) == F.col("_node"))
+    kept = docs.join(broadcast_if_small(gone, gone.count(), config.broadcast_rows), same, "left_anti")
     return kept.select(docs.columns)

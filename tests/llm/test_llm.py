@@ -152,6 +152,17 @@ def test_jaccard(spark, texts, config):
     assert kept == set(label)
 
 
+def test_one_of_each_class_with_null_and_repeated_ids(spark):
+    rng = random.Random(13)
+    a, b, c, d, e, f = (prose(rng, 80) for _ in range(6))
+    rows = [(1, a), (2, a + " so"), (2, b), (2, b), (None, a + " no"), (None, c), (None, c), (5, d), (5, d + " so"), (None, e), (None, e + " so"), (3, f), (None, f)]
+    docs = table(spark, [t for _, t in rows], [i for i, _ in rows])
+    out = collections.Counter((r.doc_id, r.text) for r in jaccard.one_of_each_class(docs).collect())
+    sure = {(1, a): 1, (2, b): 2, (None, c): 2, (3, f): 1}
+    assert all(out.pop(k) == n for k, n in sure.items())
+    assert [sorted(t[: len(d)] for i, t in out if i == k) for k in (5, None)] == [[d], [e]] and set(out.values()) == {1}
+
+
 def test_jaccard_of_no_rows(spark):
     assert jaccard.near_duplicates(table(spark, [])).count() == 0
 
