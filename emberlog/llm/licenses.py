@@ -107,8 +107,8 @@ SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same before lower-casing.
 SEPARATOR_BOTH = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: No rule and no base phrase matches a text without one of these, in lower case.
-GATE = ("licen", "copyright", "public", "rights", "proprietary", "permission", "redistribut", "unencumbered", "software", "apache", "gpl", "spdx")
+#: No rule and no base phrase matches a text without one of these, in lower case; "under" is the one word that all grants hold.
+GATE = ("licen", "under", "copyright", "public", "rights", "proprietary", "permission", "redistribut", "unencumbered", "software", "apache", "gpl", "spdx")
 #: Or without both of these.
 GATE_PAIR = ("cc", "by")
 

@@ -217,6 +217,49 @@ def test_licenses(spark):
     assert licenses.license_scan(table(spark, [])).count() == 0
 
 
+def test_license_gate_loses_nothing(spark):
+    """Grants without the word license, a text for each rule, and the SQL with its gate taken out."""
+    duckdb = pytest.importorskip("duckdb")
+    from re import _parser  # expands a pattern into a text that it matches
+
+    from emberlog.llm import oracles
+
+    rng = random.Random(15)
+
+    def example(parsed):
+        out = ""
+        for op, arg in parsed:
+            kind = str(op)
+            if kind == "LITERAL":
+                out += chr(arg)
+            elif kind == "BRANCH":
+                out += example(rng.choice(arg[1]))
+            elif kind == "SUBPATTERN":
+                out += example(arg[3])
+            elif kind == "MAX_REPEAT":
+                out += "".join(example(arg[2]) for _ in range(rng.randint(arg[0], min(arg[1], arg[0] + 1))))
+            else:
+                assert kind == "IN"
+                out += "7"
+        return out
+
+    grants = ["Released under MIT", "available under BSD 3-clause", "distributed under the terms of the MPL 2.0", "published under CC0 1.0", "released\nunder ISC", "covered under the WTFPL", "provided under the terms of the CDDL"]
+    samples = [example(_parser.parse(r.pattern)) for r in licenses.rules() for _ in range(4)]
+    texts = [*grants, *samples, *licenses.BASE_PHRASES, "nothing here", None]
+    out = licenses.license_scan(table(spark, texts)).orderBy("doc_id").collect()
+    labels = [r.licenses.labels for r in out]
+    assert ["mit" in labels[0], "bsd-3-clause" in labels[1], "mpl-2" in labels[2], "cc0-1" in labels[3], "isc" in labels[4], "wtfpl" in labels[5], "cddl-1" in labels[6]] == [True] * 7
+    assert all(labels[:-2]) and labels[-2:] == [[], []]
+    sql = oracles.ORACLES["op6_license_scan"]
+    gate = f"({oracles._GATE}) AS gate"
+    assert gate in sql
+    db = duckdb.connect()
+    db.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    db.executemany("INSERT INTO documents VALUES (?, ?)", [list(x) for x in enumerate(texts)])
+    want = {r[0]: r[6:8] for r in db.execute(sql.replace(gate, "true AS gate")).fetchall()}
+    assert {r.doc_id: (",".join(r.licenses.labels), r.licenses.score) for r in out} == want
+
+
 @pytest.mark.parametrize("limit", [500_000, 0])
 def test_decontamination(spark, limit):
     rng = random.Random(8)
