@@ -13,7 +13,8 @@ from .base import broadcast_if_small, row_key, written
 @dataclass(frozen=True)
 class SeedConfig:
     """A mask's 0s are ignored positions. With these masks, any window tokens of which at most max_substitutions differ hold a
-    hit, and so do short_window of which one differs; an item that is shorter has to occur as it is.
+    hit, and so do short_window of which one differs; an item that is shorter has to occur as it is. Items of fewer tokens
+    than a mask spans match nothing.
 
     broadcast_seeds: the most seeds, counted, that are sent to all tasks; with more, both sides are shuffled.
     """
@@ -51,8 +52,10 @@ def window_of(length: Column, config: SeedConfig) -> tuple[Column, Column]:
 
 
 def overlaps(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, config: SeedConfig) -> DataFrame:
-    """(_key, doc_id, item_id, best_window): the most agreeing tokens in a window of an item laid along a document."""
-    tests = written(items.select(F.col(item_id).alias("_item"), token_hashes(F.col(item_text)).alias("_it")).filter(F.size("_it") >= config.span).distinct(), "items")
+    """(_key, _id, _item, _item_id, _best): the most agreeing tokens in a window of an item laid along a document. _item is a key
+    of an item's id and tokens, so that items with a null or repeated id are told apart."""
+    tests = items.select(F.col(item_id).alias("_item_id"), token_hashes(F.col(item_text)).alias("_it")).filter(F.size("_it") >= config.span).distinct()
+    tests = written(tests.withColumn("_item", F.xxhash64("_item_id", F.col("_item_id").isNull(), "_it")), "items")
     marks = written(seeds(tests, "_it", "_ipos", config).select("seed", "_item", "_ipos", F.size("_it").alias("_len")), "seeds")
     n = marks.count()
     own = docs.select(row_key(doc_id, text).alias("_key"), F.col(doc_id).alias("_id"), token_hashes(F.col(text)).alias("_dt"))
@@ -70,7 +73,7 @@ def overlaps(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id:
     # Only diagonals with enough agreement in all are looked at window by window.
     enough = agree.filter(F.aggregate("_agree", F.lit(0), lambda s, x: s + x) >= F.col("_need"))
     sums = F.transform(F.sequence(F.lit(0), F.size("_agree") - F.col("_w")), lambda i: F.aggregate(F.slice("_agree", i + 1, F.col("_w")), F.lit(0), lambda s, x: s + x))
-    return enough.withColumn("_best", F.array_max(sums)).filter(F.col("_best") >= F.col("_need")).groupBy("_key", "_id", "_item").agg(F.max("_best").alias("_best"))
+    return enough.withColumn("_best", F.array_max(sums)).filter(F.col("_best") >= F.col("_need")).groupBy("_key", "_id", "_item", "_item_id").agg(F.max("_best").alias("_best"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", config: SeedConfig = SeedConfig()) -> DataFrame:
@@ -80,11 +83,12 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     max_substitutions tokens replaced. Items of fewer tokens than a mask spans say too little and match nothing.
 
     Null and empty texts are never contaminated. A null doc_id is kept as null. Repeated rows give a row each, with the same
-    result. Repeated items count once by id. Empty tables on either side give no contamination. Other columns are not read.
+    result. Repeated items count once by id; those with a null id count once by tokens, and item_ids leaves them out. Empty
+    tables on either side give no contamination. Other columns are not read.
     """
-    found = overlaps(docs, items, doc_id, text, item_id, item_text, config).groupBy("_key").agg(F.array_sort(F.collect_set("_item")).alias("_items"), F.max("_best").alias("_best"))
+    found = overlaps(docs, items, doc_id, text, item_id, item_text, config).groupBy("_key").agg(F.array_sort(F.collect_set("_item_id")).alias("_items"), F.size(F.collect_set(F.when(F.col("_item_id").isNull(), F.col("_item")))).alias("_nameless"), F.max("_best").alias("_best"))
     rows = docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("_key")).join(found, "_key", "left")
-    return rows.select("doc_id", F.col("_items").isNotNull().alias("contaminated"), F.coalesce(F.size("_items"), F.lit(0)).cast("long").alias("n_items"), F.coalesce(F.array_join(F.transform("_items", lambda x: x.cast("string")), ","), F.lit("")).alias("item_ids"), F.coalesce("_best", F.lit(0)).cast("long").alias("best_window"))
+    return rows.select("doc_id", F.col("_items").isNotNull().alias("contaminated"), F.coalesce(F.size("_items") + F.col("_nameless"), F.lit(0)).cast("long").alias("n_items"), F.coalesce(F.array_join(F.transform("_items", lambda x: x.cast("string")), ","), F.lit("")).alias("item_ids"), F.coalesce("_best", F.lit(0)).cast("long").alias("best_window"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", config: SeedConfig = SeedConfig()) -> DataFrame:

@@ -276,6 +276,18 @@ def test_decontamination(spark, limit):
     assert not any(r.contaminated for r in decontamination.contamination(table(spark, texts), b.limit(0), config=config).collect())
 
 
+@pytest.mark.parametrize("limit", [500_000, 0])
+def test_decontamination_by_items_with_null_and_repeated_ids(spark, limit):
+    rng = random.Random(14)
+    a, b, c, d = (prose(rng, n) for n in (20, 25, 30, 15))
+    items = spark.createDataFrame([(None, a), (None, b), (None, a), (1, c), (1, d)], "item_id long, text string")
+    texts = [prose(rng, 40), prose(rng, 9) + " " + a, f"{a} {b}", f"{c} and {a}", d, f"{d} {c}"]
+    config = decontamination.SeedConfig(broadcast_seeds=limit)
+    out = decontamination.contamination(table(spark, texts), items, config=config).orderBy("doc_id").collect()
+    assert [(r.contaminated, r.n_items, r.item_ids) for r in out] == [(False, 0, ""), (True, 1, ""), (True, 2, ""), (True, 2, "1"), (True, 1, "1"), (True, 1, "1")]
+    assert [r.doc_id for r in decontamination.decontaminate(table(spark, texts), items, config=config).collect()] == [0]
+
+
 def test_language(spark):
     rng = random.Random(2)
     tongues = {"xx": "ka lo mi ten ru".split(), "yy": "sch ver ung keit zu".split(), "zz": "eau oi que ment ré".split()}
