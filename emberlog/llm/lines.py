@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import row_key, written
-from .words import Words, blocks, mixed, powers, signed, text_bytes
+from .words import Words, blocks, give_back, mixed, powers, signed, text_bytes
 
 
 @dataclass(frozen=True)
@@ -92,6 +92,7 @@ def line_rows(rows: DataFrame, doc_id: str, config: LineConfig) -> DataFrame:
 
     def emit(batches):
         for batch in batches:
+            give_back()
             docs, keys, texts = batch.column(doc_id).cast(pa.int64()), batch.column("_key").to_pylist(), text_bytes(batch.column("_text"))
             ids = docs.to_pylist()
             once = {k: i for i, k in enumerate(keys)}.values()
@@ -125,6 +126,7 @@ def variant_rows(rows: DataFrame, doc_id: str, config: LineConfig) -> DataFrame:
 
     def emit(batches):
         for batch in batches:
+            give_back()
             docs, texts, hot = batch.column(doc_id).cast(pa.int64()), batch.column("_text").cast(pa.binary()).to_pylist(), batch.column("_hot").to_pylist()
             wanted, row, at = [], [], []
             for i, text in enumerate(texts):
@@ -173,6 +175,7 @@ def without_lines(text: Column, gone: Column) -> Column:
 
     @F.arrow_udf("string")
     def kept(texts: pa.Array, numbers: pa.Array) -> pa.Array:
+        give_back()
         out = []
         for t, own in zip(texts.to_pylist(), numbers.to_pylist(), strict=True):
             away = set(own or ())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -77,6 +79,14 @@ def text_bytes(texts: pa.Array) -> list[bytes]:
     return [x or b"" for x in texts.cast(pa.binary()).to_pylist()]
 
 
+def give_back() -> None:
+    """Returns this worker's freed memory to the system. Workers outlive tasks and stages, and share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def blocks(sizes: list[int], order: list[int], most: int = BLOCK_BYTES) -> list[list[int]]:
     """The numbers in `order` in groups of at most about `most` bytes."""
     out: list[list[int]] = []
