@@ -7,14 +7,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import broadcast_if_small, row_key, written
+from .base import Carried, broadcast_if_small, row_key, written
 
 
 @dataclass(frozen=True)
 class SeedConfig:
     """A mask's 0s are ignored positions. With these masks, any window tokens of which at most max_substitutions differ hold a
-    hit, and so do short_window of which one differs; an item that is shorter has to occur as it is. Items of fewer tokens
-    than a mask spans match nothing.
+    hit, and so do short_window of which one differs; an item that is shorter has to occur as it is. An item of fewer tokens
+    than a mask spans is its own seed, under a mask of as many 1s.
 
     broadcast_seeds: the most seeds, counted, that are sent to all tasks; with more, both sides are shuffled.
     """
@@ -36,12 +36,23 @@ def token_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def seeds(rows: DataFrame, tokens: str, position: str, config: SeedConfig) -> DataFrame:
-    """A row for each position of `tokens` and each mask that fits there, with the hash of the unmasked tokens."""
-    last = F.size(tokens) - config.span
-    at = rows.filter(last >= 0).withColumn(position, F.explode(F.sequence(F.lit(0), last)))
-    kept = [F.xxhash64(F.lit(k), *(F.get(F.col(tokens), F.col(position) + o) for o, c in enumerate(mask) if c == "1")) for k, mask in enumerate(config.masks)]
-    return at.withColumn("seed", F.explode(F.array(*kept)))
+def masks_for(tests: DataFrame, tokens: str, config: SeedConfig) -> tuple[str, ...]:
+    """The masks, and one of n 1s for each length n of items too short for them; there are fewer such lengths than a mask spans."""
+    short = tests.select(F.size(tokens).alias("n")).filter(F.col("n") < config.span).distinct().collect()
+    return (*config.masks, *("1" * r.n for r in sorted(short)))
+
+
+def seeds(rows: DataFrame, tokens: str, position: str, masks: tuple[str, ...], own: bool, config: SeedConfig) -> DataFrame:
+    """A row for each position of `tokens` and each mask that fits there, with the hash of the unmasked tokens. With own, a mask
+    shorter than the others only fits tokens of just its length."""
+    n, least = F.size(tokens), min(map(len, masks))
+    at = rows.filter(n >= least).withColumn(position, F.explode(F.sequence(F.lit(0), n - least)))
+    kept = []
+    for k, mask in enumerate(masks):
+        hashed = F.xxhash64(F.lit(k), *(F.get(F.col(tokens), F.col(position) + o) for o, c in enumerate(mask) if c == "1"))
+        fits = n == len(mask) if own and k >= len(config.masks) else F.col(position) + len(mask) <= n
+        kept.append(hashed if len(masks) == len(config.masks) and len(mask) == least else F.when(fits, hashed))
+    return at.withColumn("seed", F.explode(F.array(*kept) if len(masks) == len(config.masks) else F.array_compact(F.array(*kept))))
 
 
 def window_of(length: Column, config: SeedConfig) -> tuple[Column, Column]:
@@ -54,18 +65,19 @@ def window_of(length: Column, config: SeedConfig) -> tuple[Column, Column]:
 def overlaps(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, config: SeedConfig) -> DataFrame:
     """(_key, _id, _item, _item_id, _best): the most agreeing tokens in a window of an item laid along a document. _item is a key
     of an item's id and tokens, so that items with a null or repeated id are told apart."""
-    tests = items.select(F.col(item_id).alias("_item_id"), token_hashes(F.col(item_text)).alias("_it")).filter(F.size("_it") >= config.span).distinct()
+    tests = items.select(F.col(item_id).alias("_item_id"), token_hashes(F.col(item_text)).alias("_it")).filter(F.size("_it") > 0).distinct()
     tests = written(tests.withColumn("_item", F.xxhash64("_item_id", F.col("_item_id").isNull(), "_it")), "items")
-    marks = written(seeds(tests, "_it", "_ipos", config).select("seed", "_item", "_ipos", F.size("_it").alias("_len")), "seeds")
+    masks = masks_for(tests, "_it", config)
+    marks = written(seeds(tests, "_it", "_ipos", masks, True, config).select("seed", "_item", "_ipos", F.size("_it").alias("_len")), "seeds")
     n = marks.count()
     own = docs.select(row_key(doc_id, text).alias("_key"), F.col(doc_id).alias("_id"), token_hashes(F.col(text)).alias("_dt"))
     diagonal = (F.col("_pos") - F.col("_ipos")).alias("_diag")
     laid = F.transform(F.sequence(F.lit(0), F.col("_len") - 1), lambda k: F.when((k + F.col("_diag") >= 0) & (k + F.col("_diag") < F.size("_dt")), F.get(F.col("_dt"), k + F.col("_diag"))))
     if n <= config.broadcast_seeds:
-        hits = seeds(own, "_dt", "_pos", config).join(F.broadcast(marks), "seed").select("_key", "_id", "_dt", "_item", "_len", diagonal)
+        hits = seeds(own, "_dt", "_pos", masks, False, config).join(F.broadcast(marks), "seed").select("_key", "_id", "_dt", "_item", "_len", diagonal)
         hits = hits.select("_key", "_id", "_item", "_diag", laid.alias("_laid")).groupBy("_key", "_id", "_item", "_diag").agg(F.first("_laid").alias("_laid"))
     else:
-        hits = seeds(own, "_dt", "_pos", config).select("_key", "_pos", "seed").join(marks, "seed").select("_key", "_item", "_len", diagonal).distinct()
+        hits = seeds(own, "_dt", "_pos", masks, False, config).select("_key", "_pos", "seed").join(marks, "seed").select("_key", "_item", "_len", diagonal).distinct()
         hits = hits.join(own, "_key").select("_key", "_id", "_item", "_diag", laid.alias("_laid")).distinct()
     checked = hits.join(broadcast_if_small(tests, n, config.broadcast_seeds), "_item")
     window, need = window_of(F.size("_it"), config)
@@ -80,7 +92,7 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     """One row for each document: doc_id, contaminated, n_items, item_ids (comma-joined, in order), best_window.
 
     A document is contaminated if `window` consecutive tokens of an item, or all of a shorter item, stand in it with at most
-    max_substitutions tokens replaced. Items of fewer tokens than a mask spans say too little and match nothing.
+    max_substitutions tokens replaced. Items without a token match nothing; one of very few tokens matches wherever they stand.
 
     Null and empty texts are never contaminated. A null doc_id is kept as null. Repeated rows give a row each, with the same
     result. Repeated items count once by id; those with a null id count once by tokens, and item_ids leaves them out. Empty
@@ -94,5 +106,6 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
 def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", config: SeedConfig = SeedConfig()) -> DataFrame:
     """The documents without contaminated ones, with their columns; nulls and repeats as in contamination()."""
     bad = written(overlaps(docs, items, doc_id, text, item_id, item_text, config).select("_key").distinct(), "contaminated")
-    kept = docs.withColumn("_key", row_key(doc_id, text)).join(broadcast_if_small(bad, bad.count(), config.broadcast_seeds), "_key", "left_anti")
-    return kept.select(docs.columns)
+    own = Carried(docs)
+    kept = own.rows.withColumn("_key", row_key(own.at(doc_id), own.at(text))).join(broadcast_if_small(bad, bad.count(), config.broadcast_seeds), "_key", "left_anti")
+    return kept.select(*own.back())

@@ -12,9 +12,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import broadcast_if_small, written
+from .base import Carried, broadcast_if_small, written
 from .graph import components
-from .words import Words, blocks, mixed, powers, text_bytes
+from .words import Words, blocks, give_back, mixed, powers, text_bytes
 
 
 @dataclass(frozen=True)
@@ -79,6 +79,7 @@ def signatures(rows: DataFrame, config: JaccardConfig) -> DataFrame:
 
     def emit(batches):
         for batch in batches:
+            give_back()
             for part in parts_of(batch):
                 sets = shingles(text_bytes(part.column("text")), config.n)
                 full = [i for i, s in enumerate(sets) if len(s)]
@@ -96,6 +97,7 @@ def shingle_sets(rows: DataFrame, config: JaccardConfig) -> DataFrame:
 
     def emit(batches):
         for batch in batches:
+            give_back()
             for part in parts_of(batch):
                 sets = shingles(text_bytes(part.column("text")), config.n)
                 offsets = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
@@ -196,7 +198,9 @@ def classes_of_rows(docs: DataFrame, doc_id: str, text: str, config: JaccardConf
     dealt = in_cells.join(counts.select("cell", blocks.alias("blocks")), "cell").withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")))
     dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("lo", F.least("block", "with")).withColumn("hi", F.greatest("block", "with"))
     threshold = config.threshold
-    blocked = written(dealt.select("cell", "lo", "hi", "block", "node", "copies", "grams").groupBy("cell", "lo", "hi").applyInPandas(lambda pdf: block_links(pdf, threshold), "node long, other long, links long"), "blocked")
+    # Dealt by all three, since rows that lie by cell would stay so: a group's blocks are different tasks' work.
+    dealt = dealt.select("cell", "lo", "hi", "block", "node", "copies", "grams").repartition("cell", "lo", "hi")
+    blocked = written(dealt.groupBy("cell", "lo", "hi").applyInPandas(lambda pdf: block_links(pdf, threshold), "node long, other long, links long"), "blocked")
 
     classes = components(linked.union(blocked.select("node", "other")))
     size = nodes.select("node", "copies")
@@ -214,9 +218,10 @@ def one_of_each_class(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     Rows with equal doc_id and text are one document and stay or go together. Ids don't have to be unique: of different texts
     with the smallest doc_id, or in a class of only null ids, the one of the least hash stays.
     """
-    found = classes_of_rows(docs, doc_id, text, config)
+    own = Carried(docs)
+    found = classes_of_rows(own.rows, own.at(doc_id), own.at(text), config)
     stays = F.col("doc").eqNullSafe(F.col("class_id")) & (F.col("node") == F.col("head"))
     gone = written(found.filter(~stays).select(F.col("doc").alias("_gone"), F.col("node").alias("_node")).distinct(), "gone")
-    same = F.col(doc_id).cast("long").eqNullSafe(F.col("_gone")) & (text_node(text) == F.col("_node"))
-    kept = docs.join(broadcast_if_small(gone, gone.count(), config.broadcast_rows), same, "left_anti")
-    return kept.select(docs.columns)
+    same = F.col(own.at(doc_id)).cast("long").eqNullSafe(F.col("_gone")) & (text_node(own.at(text)) == F.col("_node"))
+    kept = own.rows.join(broadcast_if_small(gone, gone.count(), config.broadcast_rows), same, "left_anti")
+    return kept.select(*own.back())

@@ -10,19 +10,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import broadcast_if_small
+from .base import Carried, broadcast_if_small
 
 UNKNOWN = "und"
 
 
 @dataclass(frozen=True)
 class LanguageConfig:
-    """max_sample_per_lang bounds the training sample, landmarks the size of the kernel expansion."""
+    """max_sample_per_lang and max_sample bound the training sample: with many languages each gets its part of max_sample.
+    landmarks is the size of the kernel expansion, unless languages are so many that landmarks_per_lang of each are more."""
 
     orders: tuple[int, ...] = (1, 2, 3, 4)
     buckets: int = 1 << 15
     max_sample_per_lang: int = 400
+    max_sample: int = 40_000
     landmarks: int = 192
+    landmarks_per_lang: int = 2
     ridge: float = 1e-3
     softness: float = 8.0
 
@@ -74,16 +77,18 @@ class LanguageModel:
 
 
 def training_sample(docs: DataFrame, text: str, lang: str, key: str, config: LanguageConfig) -> DataFrame:
-    """At most max_sample_per_lang rows (lang, packed n-gram set) a language, chosen by a hash of the key and the text.
+    """A bounded number of rows (lang, packed n-gram set) for each language, chosen by a hash of the key, then the n-gram set.
 
     A threshold on the hash first leaves about twice the bound of each language, so that the exact bound orders few rows even
     where one language has most of the table.
     """
     rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
     counts = rows.groupBy(F.col(lang).alias("_l")).agg(F.count("*").alias("_n"))
-    counts = broadcast_if_small(counts, counts.count(), 100_000)
+    n_langs = counts.count()
+    each = max(config.landmarks_per_lang, min(config.max_sample_per_lang, config.max_sample // max(1, n_langs)))
+    counts = broadcast_if_small(counts, n_langs, 100_000)
     draw = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("language sample")), F.lit(1 << 30))
-    few = rows.select(F.col(lang).alias("_l"), F.col(text).alias("_t"), draw.alias("_d")).join(counts, "_l").filter(F.col("_d") < F.lit(float(1 << 30)) * 2 * config.max_sample_per_lang / F.col("_n") + (1 << 10))
+    few = rows.select(F.col(lang).alias("_l"), F.col(text).alias("_t"), draw.alias("_d")).join(counts, "_l").filter(F.col("_d") < F.lit(float(1 << 30)) * 2 * each / F.col("_n") + (1 << 10))
 
     @F.arrow_udf("binary")
     def packed(texts: pa.Array) -> pa.Array:
@@ -95,7 +100,7 @@ def training_sample(docs: DataFrame, text: str, lang: str, key: str, config: Lan
         return pa.array(out, pa.binary())
 
     first = Window.partitionBy("_l").orderBy("_d", "_s")
-    return few.select("_l", "_d", packed("_t").alias("_s")).filter("_s is not null").withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= config.max_sample_per_lang).select(F.col("_l").alias("lang"), F.col("_s").alias("grams"), F.col("_r").alias("nth"))
+    return few.select("_l", "_d", packed("_t").alias("_s")).filter("_s is not null").withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= each).select(F.col("_l").alias("lang"), F.col("_s").alias("grams"), F.col("_r").alias("nth"))
 
 
 def fit_language(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", config: LanguageConfig = LanguageConfig()) -> LanguageModel:
@@ -108,11 +113,13 @@ def fit_language(docs: DataFrame, text: str = "text", lang: str = "lang", key: s
     languages = sorted(pdf["lang"].unique().tolist())
     if not languages:
         return LanguageModel(config, [], np.zeros((config.buckets, 1), np.float32), np.ones(1, np.float32), np.zeros((1, 0), np.float32))
-    x = np.stack([np.unpackbits(np.frombuffer(g, np.uint8)) for g in pdf["grams"]]).astype(np.float32)
     y = np.where(pdf["lang"].to_numpy()[:, None] == np.array(languages)[None, :], 1.0, -1.0)
-    marks = x[: config.landmarks]
+    dense = lambda grams: np.stack([np.unpackbits(np.frombuffer(g, np.uint8)) for g in grams]).astype(np.float32)
     norm = lambda a: np.sqrt(np.maximum(1, a.sum(axis=1)))
-    k_nm = (x @ marks.T) / (norm(x)[:, None] * norm(marks)[None, :])
+    marks = dense(pdf["grams"][: max(config.landmarks, config.landmarks_per_lang * len(languages))])
+    # Rows stay packed, but for a block of them at a time.
+    blocks = (dense(pdf["grams"].iloc[i : i + 512]) for i in range(0, len(pdf), 512))
+    k_nm = np.concatenate([(x @ marks.T) / (norm(x)[:, None] * norm(marks)[None, :]) for x in blocks])
     k_mm = (marks @ marks.T) / (norm(marks)[:, None] * norm(marks)[None, :])
     values, vectors = np.linalg.eigh(k_mm.astype(np.float64))
     good = values > 1e-6 * values.max()
@@ -132,6 +139,7 @@ def predict_language(docs: DataFrame, model: LanguageModel, text: str = "text",
     A text that is null or has no letter is `und` with score 0, and so is any text if the model knows no language. Ties go to
     the first language in order. A column of the name `to` is replaced. The model has a fixed size and goes with the tasks.
     """
+    own = Carried(docs, to)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("struct<lang: string, score: double>")
@@ -147,4 +155,4 @@ def predict_language(docs: DataFrame, model: LanguageModel, text: str = "text",
                 lang[i], score[i] = m.languages[k], float(row[k])
         return pd.DataFrame({"lang": lang, "score": np.clip(score, 0, 1)})
 
-    return docs.withColumn(to, predict(F.col(text)))
+    return own.rows.select(*own.back(), predict(F.col(own.at(text))).alias(to))

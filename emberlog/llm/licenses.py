@@ -10,6 +10,8 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .base import Carried
+
 # Phrases that are always looked for, and their labels.
 BASE_PHRASES: dict[str, str] = {
     "under the mit license": "mit",
@@ -84,7 +86,7 @@ LICENCES: list[tuple[str, str, str]] = [
     ("zpl-2.1", r"zope public(?: license)?(?: version)?(?: 2 1)?", "zope"),
 ]
 
-# Other notices: label, regex, first words, confidence.
+# Openings and clauses of licence texts, header notices, addresses and other notices: label, regex, first words, confidence.
 NOTICES: list[tuple[str, str, str, float]] = [
     ("all-rights-reserved", r"rights reserved", "rights", 0.6),
     ("copyright", r"copyright (?:c )?(?:19|20)\d\d", "copyright", 0.5),
@@ -97,18 +99,76 @@ NOTICES: list[tuple[str, str, str, float]] = [
     ("mpl-2", r"source code form is subject to the terms of the mozilla public license", "source", 0.95),
     ("unlicense", r"unencumbered software released into the public domain", "unencumbered", 0.95),
     ("zlib", r"software is provided as is without any express or implied warranty", "software", 0.7),
+    ("mit", r"above copyright notice and this permission notice shall be included in all copies", "above", 0.9),
+    ("bsl-1", r"permission is hereby granted free of charge to any person or organization obtaining a copy", "permission", 0.95),
+    ("postgresql", r"permission to use copy modify and distribute this software and its documentation for any purpose without fee", "permission", 0.9),
+    ("hpnd", r"permission to use copy modify and distribute this software and its documentation for any purpose is hereby granted", "permission", 0.85),
+    ("ncsa", r"deal with the software without restriction", "deal", 0.85),
+    ("apache-2", r"obtain a copy of the license at (?:https? )?(?:www )?apache org licenses license 2 0", "obtain", 0.95),
+    ("apache-2", r"apache org licenses license 2 0", "apache", 0.9),
+    ("apache-2", r"unless required by applicable law or agreed to in writing software distributed under the license", "unless", 0.9),
+    ("bsd", r"redistributions of source code must retain the above copyright notice", "redistributions", 0.85),
+    ("bsd", r"redistributions in binary form must reproduce the above copyright notice", "redistributions", 0.85),
+    ("bsd-3-clause", r"neither the name of (?:[a-z0-9]+ ){1,8}nor the names of (?:its|their|the) contributors", "neither", 0.95),
+    ("bsd-4-clause", r"advertising materials mentioning features or use of this software must display", "advertising", 0.95),
+    ("gpl-2", r"either version 2 of the license or (?:at your option )?any later version", "either", 0.8),
+    ("gpl-3", r"either version 3 of the license or (?:at your option )?any later version", "either", 0.8),
+    ("lgpl-2.1", r"either version 2 1 of the license or (?:at your option )?any later version", "either", 0.85),
+    ("gpl", r"received a copy of the gnu general public license along with", "received", 0.9),
+    ("lgpl", r"received a copy of the gnu (?:lesser|library) general public license along with", "received", 0.9),
+    ("agpl-3", r"received a copy of the gnu affero general public license along with", "received", 0.9),
+    ("gpl-3", r"gnu org licenses gpl 3 0", "gnu", 0.9),
+    ("gpl-2", r"gnu org licenses (?:old licenses )?gpl 2 0", "gnu", 0.9),
+    ("lgpl-3", r"gnu org licenses lgpl 3 0", "gnu", 0.9),
+    ("agpl-3", r"gnu org licenses agpl 3 0", "gnu", 0.9),
+    ("gpl", r"everyone is permitted to copy and distribute verbatim copies of this license document", "everyone", 0.8),
+    ("wtfpl", r"everyone is permitted to copy and distribute verbatim or modified copies of this license document", "everyone", 0.95),
+    ("mpl-1.1", r"contents of this file are subject to the mozilla public license version 1 1", "contents", 0.95),
+    ("mpl-2", r"mozilla org mpl 2 0", "mozilla", 0.9),
+    ("epl-1", r"accompanying materials are made available under the terms of the eclipse public license v1 0", "accompanying", 0.95),
+    ("epl-2", r"accompanying materials are made available under the terms of the eclipse public license (?:v )?2 0", "accompanying", 0.95),
+    ("cddl-1", r"subject to the terms of the common development and distribution license", "subject", 0.95),
+    ("lppl-1.3c", r"under the conditions of the latex project public license", "under", 0.95),
+    ("zlib", r"origin of this software must not be misrepresented", "origin", 0.95),
+    ("zlib", r"altered source versions must be plainly marked as such", "altered", 0.95),
+    ("openssl", r"product includes software developed by the openssl project", "product", 0.95),
+    ("php-3", r"product includes php software freely available from", "product", 0.95),
+    ("ofl-1.1", r"font software is licensed under the sil open font license", "font", 0.95),
+    ("ofl-1.1", r"with reserved font name", "with", 0.8),
+    ("unlicense", r"unlicense org", "unlicense", 0.9),
+    ("cc-by-4", r"creativecommons org licenses by (?:4|3) 0", "creativecommons", 0.95),
+    ("cc-by-sa", r"creativecommons org licenses by sa", "creativecommons", 0.95),
+    ("cc-by-nc", r"creativecommons org licenses by nc", "creativecommons", 0.9),
+    ("cc-by-nd", r"creativecommons org licenses by nd", "creativecommons", 0.95),
+    ("cc-by-nc-sa", r"creativecommons org licenses by nc sa", "creativecommons", 0.95),
+    ("cc-by-nc-nd", r"creativecommons org licenses by nc nd", "creativecommons", 0.95),
+    ("cc0-1", r"creativecommons org publicdomain zero", "creativecommons", 0.95),
+    ("cc-by-4", r"attribution 4 0 international", "attribution", 0.8),
+    ("cc-by-sa", r"attribution share ?alike 4 0 international", "attribution", 0.85),
+    ("cc-by-nc", r"attribution non ?commercial 4 0 international", "attribution", 0.85),
+    ("cc-by-nc-sa", r"attribution non ?commercial share ?alike 4 0 international", "attribution", 0.85),
+    ("elastic-2", r"elastic license 2 0", "elastic", 0.95),
+    ("commons-clause", r"commons clause license condition", "commons", 0.95),
+    ("bsl-1.1", r"additional use grant", "additional", 0.7),
+    ("dual-licence", r"dual licen(?:s|c)ed", "dual", 0.7),
+    ("non-commercial", r"for non ?commercial (?:use|purposes) only", "for", 0.7),
+    ("non-commercial", r"not for commercial use", "not", 0.7),
+    ("proprietary", r"unauthorized copying of this file via any medium is strictly prohibited", "unauthorized", 0.9),
+    ("proprietary", r"contains (?:proprietary|confidential) (?:information|trade secrets)", "contains", 0.7),
+    ("eula", r"end user licen(?:s|c)e agreement", "end", 0.8),
+    ("licence-file", r"see (?:the )?(?:accompanying )?licen(?:s|c)e (?:file|txt|md)", "see", 0.5),
 ]
 
 LICENCE = r"(?:license|licence)"
 GRANT = r"(?:licensed|released|distributed|available|published|provided|covered) under(?: the)?(?: terms of)?(?: the)?"
 #: Words that a rule sees from its first word on.
-CONTEXT = 16
+CONTEXT = 20
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same before lower-casing.
 SEPARATOR_BOTH = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: No rule and no base phrase matches a text without one of these, in lower case; "under" is the one word that all grants hold.
-GATE = ("licen", "under", "copyright", "public", "rights", "proprietary", "permission", "redistribut", "unencumbered", "software", "apache", "gpl", "spdx")
+GATE = ("licen", "under", "copyright", "public", "rights", "proprietary", "permission", "redistribut", "unencumbered", "software", "apache", "gpl", "spdx", "contributors", "altered", "reserved", "creativecommons", "attribution", "grant", "commercial", "prohibited", "confidential", "mozilla")
 #: Or without both of these.
 GATE_PAIR = ("cc", "by")
 
@@ -135,8 +195,6 @@ def rules() -> list[Rule]:
         out.append((label, rf"{name} {LICENCE}(?: agreement)?(?: (?:version|v) ?\d+)?", first, 0.9))
     for label, name, _ in LICENCES:
         out.append((label, rf"{LICENCE}(?: is| type| name)? {name}", "license licence", 0.8))
-    for label, name, first in LICENCES:
-        out.append((label, rf"{name} {LICENCE} (?:see|text|terms|file|notice|header)", first, 0.6))
     out += NOTICES
     return [Rule(i, label, first, pattern, score) for i, (label, pattern, first, score) in enumerate(out)]
 
@@ -214,18 +272,19 @@ def license_scan(docs: DataFrame, text: str = "text", to: str = "licenses") -> D
     are looked at by rules, and a rule only at words that it can begin with. Where detections are contained in another, the
     outer one stays, and of equal intervals the rule that comes first. Labels of base phrases always stay.
 
-    A null text is empty. A column of the name `to` is replaced; all others stay. Repeated rows are judged alike. Work is linear
-    in a text's words; a very long text is one row in one task.
+    A null text is empty. A column of the name `to` is replaced; all others stay, whatever their names. Repeated rows are judged
+    alike. Work is linear in a text's words; a very long text is one row in one task.
     """
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     firsts = sorted({w for r in rules() for w in r.first.split()})
-    whole = F.coalesce(F.col(text), F.lit(""))
+    own = Carried(docs, to)
+    whole = F.coalesce(F.col(own.at(text)), F.lit(""))
     parts = F.col("_parts")
     blank = lambda x: (x == "").cast("int")
     n_words = F.greatest(F.lit(0), F.size(parts) - blank(F.get(parts, F.lit(0))) - blank(F.element_at(parts, -1)))
     own_words = F.filter(F.split(F.translate(whole, upper, upper.lower()), SEPARATOR), lambda w: w != "")
     gate = reduce(or_, (F.col("_low").contains(k) for k in GATE), F.col("_low").contains(GATE_PAIR[0]) & F.col("_low").contains(GATE_PAIR[1]))
-    rows = docs.withColumn("_parts", F.split(whole, SEPARATOR_BOTH)).withColumn("_n", n_words).withColumn("_low", F.lower(whole)).withColumn("_gate", gate)
+    rows = own.rows.withColumn("_parts", F.split(whole, SEPARATOR_BOTH)).withColumn("_n", n_words).withColumn("_low", F.lower(whole)).withColumn("_gate", gate)
     rows = rows.withColumn("_words", F.when(F.col("_gate"), own_words).otherwise(F.array().cast("array<string>")))
     words = F.col("_words")
     spots = F.flatten(F.array(*(labelled(places(words, p), label) for p, label in BASE_PHRASES.items())))
@@ -234,10 +293,10 @@ def license_scan(docs: DataFrame, text: str = "text", to: str = "licenses") -> D
     kept = F.when(F.col("_gate"), unsuppressed(detections(words, rules_by_word(), firsts)))
     rows = rows.withColumn("_kept", kept)
     base = F.array_sort(F.array_distinct(F.transform("_base", lambda p: p["label"])))
-    own = F.coalesce(F.col("_kept.labels"), F.array().cast("array<string>"))
+    labels = F.coalesce(F.col("_kept.labels"), F.array().cast("array<string>"))
     score = F.when(F.size("_base") > 0, 1.0).otherwise(F.coalesce("_kept.score", F.lit(0.0)))
-    result = F.struct(F.col("_n").cast("long").alias("n_words"), F.col("_base").alias("places"), base.alias("base_labels"), F.array_sort(F.array_union(base, own)).alias("labels"), score.alias("score"))
-    return rows.withColumn(to, result).drop("_parts", "_n", "_low", "_gate", "_words", "_base", "_kept")
+    result = F.struct(F.col("_n").cast("long").alias("n_words"), F.col("_base").alias("places"), base.alias("base_labels"), F.array_sort(F.array_union(base, labels)).alias("labels"), score.alias("score"))
+    return rows.select(*own.back(), result.alias(to))
 
 
 def rule_table(spark: SparkSession) -> DataFrame:

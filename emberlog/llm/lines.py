@@ -9,21 +9,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import row_key, written
+from .base import Carried, row_key, written
 from .words import Words, blocks, give_back, mixed, powers, signed, text_bytes
 
 
 @dataclass(frozen=True)
 class LineConfig:
-    """Two lines are near if one word replaced, added or left out makes them equal. Shorter lines than min_words stay: in five
-    words, one edit is a similarity of 0.8."""
+    """Two lines are near if one word replaced, added or left out makes them equal, and both have min_words or more: in five
+    words, one edit is a similarity of 0.8. Equal lines need no edit, so they may have any number of words."""
 
     min_words: int = 5
 
 
 #: Odd bases of the two polynomial hashes over words.
 BASES = (0x100000001B3, 0xD6E8FEB86659FD93)
-EXACT, REPLACED, SHORTER, LONGER, REPEATED, HALF = range(6)
+EXACT, REPLACED, SHORTER, LONGER, REPEATED, HALF, HOT, DONE = range(8)
+
 
 def keyed(hashes: np.ndarray, n_words: np.ndarray, kind: int, position: np.ndarray | int = 0) -> np.ndarray:
     """Keys of different kinds, lengths and positions differ."""
@@ -32,17 +33,16 @@ def keyed(hashes: np.ndarray, n_words: np.ndarray, kind: int, position: np.ndarr
 
 
 class Lines:
-    """The lines of at least min_words of some texts, with hashes of any run of a line's words.
+    """The lines with a word of some texts, with hashes of any run of a line's words.
 
     of: the text of a line; at: its number there. A run's hash is the sum of word number times base^place, from place 0 on.
     """
 
-    def __init__(self, texts: list[bytes], min_words: int):
+    def __init__(self, texts: list[bytes]):
         words = Words(texts)
         new = np.flatnonzero(np.concatenate(([True], (words.text[1:] != words.text[:-1]) | (words.line[1:] != words.line[:-1])))) if len(words.line) else np.zeros(0, np.int64)
         n = np.diff(np.append(new, len(words.line)))
-        long = n >= min_words
-        self.start, self.n = new[long], n[long]
+        self.start, self.n = new, n
         self.end = self.start + self.n
         self.of, self.at = words.text[self.start], words.line[self.start]
         place = np.arange(len(words.line)) - np.repeat(new, n)
@@ -68,8 +68,8 @@ class Lines:
         return (sums[at + i] - sums[at]) + (sums[self.end[line]] - sums[at + i + 1]) * self.back[which][1]
 
     def half_keys(self, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(keys, lines): two lines within one edit share a key. The edit leaves alone the first or the last half, as the
-        shorter line counts it, which is this one or has one word less."""
+        """(keys, lines): two of these lines within one edit share a key. The edit leaves alone the first or the last half, as
+        the shorter line counts it, which is this one or has one word less."""
         keys, own = [], []
         for less in (0, 1):
             some = line if not less else line[self.n[line] % 2 == 0]  # else the half is the same
@@ -83,23 +83,51 @@ def picked(batch: pa.RecordBatch, name: str, rows: np.ndarray) -> pa.Array:
     return batch.column(name).take(pa.array(rows))
 
 
-def line_rows(rows: DataFrame, doc_id: str, config: LineConfig) -> DataFrame:
+def firsts(*groups: np.ndarray) -> np.ndarray:
+    """For rows in order: whether a row is the first with its values."""
+    order = np.lexsort(groups[::-1])
+    new = np.zeros(len(order), bool)
+    for g in groups:
+        new[1:] |= g[order][1:] != g[order][:-1]
+    new[:1] = True
+    out = np.zeros(len(order), bool)
+    out[order[new]] = True
+    return out
+
+
+def shared_halves(keys: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(of a key that different lines here have, to be sent) for each row: of every key the first row and the first of another
+    line go out, from which any line elsewhere sees that it isn't alone."""
+    pair = firsts(keys, lines)
+    at = np.flatnonzero(pair)
+    order = at[np.argsort(keys[at], kind="stable")]
+    head = np.concatenate(([True], keys[order][1:] != keys[order][:-1])) if len(order) else np.zeros(0, bool)
+    start = np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))
+    sent = np.zeros(len(keys), bool)
+    sent[order[np.arange(len(order)) - start < 2]] = True
+    more = np.unique(keys[order[np.arange(len(order)) - start == 1]])
+    return np.isin(keys, more), sent
+
+
+def line_rows(rows: DataFrame, config: LineConfig) -> DataFrame:
     """Rows (key, line, kind, _key, _doc, _at) of every line: its own hash as a key (EXACT) and those of its halves (HALF).
 
-    In order of document, only the earliest of equal lines in a batch gets these; others have a row of the kind REPEATED. Of
-    rows with equal _key only one is looked at in a batch: their lines are the same lines.
+    In order of document, only the earliest of equal lines in a batch gets these; others have a row of the kind REPEATED. Lines
+    that share a half with another one of their block have a row of the kind HOT, and only two of them send the half: however
+    many lines of the corpus have a half, few rows of it meet. Of rows with equal _key only one is looked at in a batch: their
+    lines are the same lines.
     """
 
     def emit(batches):
         for batch in batches:
             give_back()
-            docs, keys, texts = batch.column(doc_id).cast(pa.int64()), batch.column("_key").to_pylist(), text_bytes(batch.column("_text"))
+            docs, keys, texts = batch.column("_doc"), batch.column("_key").to_pylist(), text_bytes(batch.column("_text"))
             ids = docs.to_pylist()
             once = {k: i for i, k in enumerate(keys)}.values()
             order = sorted(once, key=lambda i: (ids[i] is not None, ids[i] or 0, keys[i]))
             seen: set[tuple[int, int]] = set()
             for block in blocks([len(t) for t in texts], order):
-                lines, row = Lines([texts[i] for i in block], config.min_words), np.array(block, np.int64)
+                lines, row = Lines([texts[i] for i in block]), np.array(block, np.int64)
                 every = np.arange(len(lines.n))
                 whole = keyed(lines.whole(0, every), lines.n, EXACT)
                 new = np.zeros(len(every), bool)
@@ -108,63 +136,91 @@ def line_rows(rows: DataFrame, doc_id: str, config: LineConfig) -> DataFrame:
                         seen.add(pair)
                         new[k] = True
                 first, old = np.flatnonzero(new), np.flatnonzero(~new)
-                halves, of_half = lines.half_keys(first)
-                own = np.concatenate([old, first, of_half])
-                kinds = np.repeat(np.array([REPEATED, EXACT, HALF], np.int8), [len(old), len(first), len(of_half)])
+                halves, of_half = lines.half_keys(first[lines.n[first] >= config.min_words])
+                shared, sent = shared_halves(halves, whole[of_half])
+                hot = np.unique(of_half[shared])
+                halves, of_half = halves[sent], of_half[sent]
+                own = np.concatenate([old, first, of_half, hot])
+                kinds = np.repeat(np.array([REPEATED, EXACT, HALF, HOT], np.int8), [len(old), len(first), len(of_half), len(hot)])
                 at = row[lines.of[own]]
+                alone = lambda some: mixed(whole[some] + lines.at[some].astype(np.uint64))  # noqa: E731  keys that nothing meets
                 yield pa.RecordBatch.from_arrays(
-                    [signed(np.concatenate([mixed(whole[old] + lines.at[old].astype(np.uint64)), whole[first], halves])), signed(whole[own]), pa.array(kinds), picked(batch, "_key", at), docs.take(pa.array(at)), pa.array(lines.at[own].astype(np.int32))],
+                    [signed(np.concatenate([alone(old), whole[first], halves, alone(hot)])), signed(whole[own]), pa.array(kinds), picked(batch, "_key", at), docs.take(pa.array(at)), pa.array(lines.at[own].astype(np.int32))],
                     names=["key", "line", "kind", "_key", "_doc", "_at"],
                 )
 
-    return rows.mapInArrow(emit, "key long, line long, kind byte, _key long, _doc long, _at int")
+    return rows.select("_key", "_doc", "_text").mapInArrow(emit, "key long, line long, kind byte, _key long, _doc long, _at int")
+
 
+def resolved(key: np.ndarray, check: np.ndarray, kind: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(lines near an earlier one here, rows to be sent), for rows in order of their lines. Of a near line only those rows go out
+    that are the first of their kind with a key, which later lines may need."""
+    first = firsts(key, check, kind)
+    other = np.select([kind == SHORTER, kind == LONGER], [LONGER, SHORTER], kind)
+    order = np.lexsort((np.arange(len(key)), check, key))
+    group = np.cumsum(np.concatenate(([False], (key[order][1:] != key[order][:-1]) | (check[order][1:] != check[order][:-1])))) if len(key) else order
+    of = np.empty(len(key), np.int64)
+    of[order] = group
+    least = np.full((8, int(group[-1]) + 1 if len(key) else 0), np.iinfo(np.int64).max)
+    np.minimum.at(least, (kind, of), line)
+    near = np.unique(line[least[other, of] < line])
+    return near, first | ~np.isin(line, near)
 
-def variant_rows(rows: DataFrame, doc_id: str, config: LineConfig) -> DataFrame:
+
+def variant_rows(rows: DataFrame, config: LineConfig) -> DataFrame:
     """The hashed keys of variants of the lines in _hot: their rests with the place of the word left out (REPLACED),
-    themselves (SHORTER), and their rests (LONGER). check is a second, independent hash of the same words."""
+    themselves (SHORTER), and their rests (LONGER). check is a second, independent hash of the same words. Lines near an earlier
+    one of their block have a row of the kind DONE, see resolved()."""
 
     def emit(batches):
         for batch in batches:
             give_back()
-            docs, texts, hot = batch.column(doc_id).cast(pa.int64()), batch.column("_text").cast(pa.binary()).to_pylist(), batch.column("_hot").to_pylist()
+            docs, texts, hot, keys = batch.column("_doc"), batch.column("_text").cast(pa.binary()).to_pylist(), batch.column("_hot").to_pylist(), batch.column("_key").to_pylist()
+            ids = docs.to_pylist()
             wanted, row, at = [], [], []
-            for i, text in enumerate(texts):
-                own = text.split(b"\n")
-                wanted += [own[k] for k in hot[i]]
-                row += [i] * len(hot[i])
-                at += hot[i]
+            once = {k: i for i, k in enumerate(keys)}.values()  # repeated rows are one document
+            for i in sorted(once, key=lambda i: (ids[i] is not None, ids[i] or 0, keys[i])):
+                own = texts[i].split(b"\n")
+                numbers = sorted(hot[i])
+                wanted += [own[k] for k in numbers]
+                row += [i] * len(numbers)
+                at += numbers
             for block in blocks([len(w) for w in wanted], list(range(len(wanted)))):
-                lines = Lines([wanted[i] for i in block], config.min_words)
-                line = np.arange(len(lines.n))
-                each = np.repeat(line, lines.n)
-                place = np.arange(len(each)) - np.repeat(np.cumsum(lines.n) - lines.n, lines.n)
-                rest, rest_check, n = lines.without(0, each, place), lines.without(1, each, place), lines.n[each] - 1
-                own = np.concatenate([each, line, each])
+                lines = Lines([wanted[i] for i in block])
+                line = np.flatnonzero(lines.n >= config.min_words)
+                n = lines.n[line]
+                each = np.repeat(line, n)
+                place = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
+                rest, rest_check, n_rest = lines.without(0, each, place), lines.without(1, each, place), lines.n[each] - 1
+                key = np.concatenate([keyed(rest, n_rest, REPLACED, place + 1), keyed(lines.whole(0, line), n, SHORTER), keyed(rest, n_rest, SHORTER)])
+                check = np.concatenate([rest_check, lines.whole(1, line), rest_check])
                 kinds = np.repeat(np.array([REPLACED, SHORTER, LONGER], np.int8), [len(each), len(line), len(each)])
+                own = np.concatenate([each, line, each])
+                order = np.argsort(own, kind="stable")
+                key, check, kinds, own = key[order], check[order], kinds[order], own[order]
+                near, sent = resolved(key, check, kinds, own)
+                key, check, kinds, own = (np.concatenate([x[sent], y]) for x, y in ((key, lines.whole(0, near)), (check, near.astype(np.uint64)), (kinds, np.full(len(near), DONE, np.int8)), (own, near)))
                 which = np.array(block, np.int64)[lines.of[own]]
                 of = np.array(row, np.int64)[which]
-                yield pa.RecordBatch.from_arrays(
-                    [signed(np.concatenate([keyed(rest, n, REPLACED, place + 1), keyed(lines.whole(0, line), lines.n, SHORTER), keyed(rest, n, SHORTER)])), signed(np.concatenate([rest_check, lines.whole(1, line), rest_check])), pa.array(kinds), picked(batch, "_key", of), docs.take(pa.array(of)), pa.array(np.array(at, np.int32)[which])],
-                    names=["key", "check", "kind", "_key", "_doc", "_at"],
-                )
+                yield pa.RecordBatch.from_arrays([signed(key), signed(check), pa.array(kinds), picked(batch, "_key", of), docs.take(pa.array(of)), pa.array(np.array(at, np.int32)[which])], names=["key", "check", "kind", "_key", "_doc", "_at"])
 
-    return rows.mapInArrow(emit, "key long, check long, kind byte, _key long, _doc long, _at int")
+    return rows.select("_key", "_doc", "_text", "_hot").mapInArrow(emit, "key long, check long, kind byte, _key long, _doc long, _at int")
 
 
-def removed_lines(rows: DataFrame, doc_id: str, config: LineConfig) -> DataFrame:
-    """(_key, _exact, _near): the numbers of a row's lines that go, since an earlier line equals them or is near."""
+def removed_lines(rows: DataFrame, config: LineConfig) -> DataFrame:
+    """(_key, _exact, _near) of rows (_key, _doc, _text): the numbers of a row's lines that go, since an earlier line equals them
+    or is near."""
     own, kind = F.struct("_doc", "_key", "_at"), F.col("kind")
     same = Window.partitionBy("key")
-    first = line_rows(rows, doc_id, config).withColumn("_other", F.min("line").over(same) != F.max("line").over(same)).withColumn("_before", F.min(own).over(same) < own)
-    first = first.withColumn("_gone", (kind == REPEATED) | ((kind == EXACT) & F.col("_before"))).filter(F.col("_gone") | ((kind == HALF) & F.col("_other")))
+    first = line_rows(rows, config).withColumn("_other", F.min("line").over(same) != F.max("line").over(same)).withColumn("_before", F.min(own).over(same) < own)
+    first = first.withColumn("_gone", (kind == REPEATED) | ((kind == EXACT) & F.col("_before"))).filter(F.col("_gone") | (kind == HOT) | ((kind == HALF) & F.col("_other")))
     marks = written(first.groupBy("_key").agg(F.collect_set(F.when(F.col("_gone"), F.col("_at"))).alias("_exact"), F.collect_set(F.when(~F.col("_gone"), F.col("_at"))).alias("_half")), "line-marks")
     hot = marks.select("_key", F.array_except("_half", "_exact").alias("_hot")).filter(F.size("_hot") > 0)
-    keys = variant_rows(rows.join(hot, "_key"), doc_id, config)
+    keys = variant_rows(rows.join(hot, "_key"), config)
     group = Window.partitionBy("key", "check")
     least = lambda k: F.min(F.when(kind == k, own)).over(group)
     near = keys.withColumn("_replaced", least(REPLACED) < own).withColumn("_longer", least(LONGER) < own).withColumn("_shorter", least(SHORTER) < own)
-    near = near.filter(((kind == REPLACED) & F.col("_replaced")) | ((kind == SHORTER) & F.col("_longer")) | ((kind == LONGER) & F.col("_shorter")))
+    near = near.filter((kind == DONE) | ((kind == REPLACED) & F.col("_replaced")) | ((kind == SHORTER) & F.col("_longer")) | ((kind == LONGER) & F.col("_shorter")))
     near = near.groupBy("_key").agg(F.collect_set("_at").alias("_near"))
     none = F.array().cast("array<int>")
     return marks.select("_key", "_exact").join(near, "_key", "full").select("_key", F.coalesce("_exact", none).alias("_exact"), F.coalesce("_near", none).alias("_near"))
@@ -189,22 +245,27 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", conf
     """Takes out every line of which an earlier line, in order of doc_id and line, is equal or near; adds the struct column `to`:
     n_lines, n_exact, n_near (lines taken out).
 
-    Lines are split at \\n, words at ASCII white space; near means that one word replaced, added or left out makes them equal.
-    Whether an earlier near line itself goes doesn't matter. For lines of at least min_words that share a half with another
+    Lines are split at \\n, words at ASCII white space; near means that one word replaced, added or left out makes lines of at
+    least min_words equal. Whether an earlier near line itself goes doesn't matter. For such lines that share a half with another
     line, all variants with a word left out go out as hashed keys: lines of one length meet in (place, rest), lines of
     neighbouring lengths in the shorter one's own hash. Equal keys of those kinds are edit distance 1 by what they hold; a
-    second hash, of other base, has to be equal too. Of equal lines only the earliest in each batch is shuffled with keys.
+    second hash, of other base, has to be equal too. Of equal or near lines in a batch only the earliest is shuffled with its
+    keys, so that a line with very many copies meets as few rows as there are batches.
 
     Null texts stay null. Rows with equal doc_id and text are one document: their lines are no copies of one another. Null
-    doc_ids come first. Shorter lines stay. A document may end up with an empty text. A column of the name `to` is replaced.
+    doc_ids come first. Lines without a word stay. A document may end up with an empty text. A column of the name `to` is
+    replaced; other columns stay, whatever their names. A very long text is one row in one task.
     """
-    rows = docs.drop(to).withColumn("_key", row_key(doc_id, text)).withColumn("_text", F.col(text)).drop(text)
-    out = rows.join(removed_lines(rows, doc_id, config), "_key", "left")
-    whole = F.coalesce(F.col("_text"), F.lit(""))
+    own = Carried(docs, to)
+    of = F.col(own.at(text))
+    keyed_rows = own.rows.withColumn("_key", row_key(own.at(doc_id), own.at(text)))
+    rows = keyed_rows.select("_key", F.col(own.at(doc_id)).cast("long").alias("_doc"), of.alias("_text"))
+    out = keyed_rows.join(removed_lines(rows, config), "_key", "left")
+    whole = F.coalesce(of, F.lit(""))
     counts = F.struct(
         (F.length(whole) - F.length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
         F.coalesce(F.size("_exact"), F.lit(0)).cast("long").alias("n_exact"),
         F.coalesce(F.size("_near"), F.lit(0)).cast("long").alias("n_near"),
     )
-    kept = F.when(F.col("_exact").isNull(), F.col("_text")).otherwise(without_lines(F.col("_text"), F.array_union("_exact", "_near")))
-    return out.withColumn(to, counts).withColumn(text, kept).select(*(c for c in docs.columns if c != to), to)
+    kept = F.when(F.col("_exact").isNull(), of).otherwise(without_lines(of, F.array_union("_exact", "_near")))
+    return out.select(*own.back(**{own.at(text): kept}), counts.alias(to))

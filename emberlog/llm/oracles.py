@@ -52,7 +52,7 @@ FROM w LEFT JOIN bb USING (r) LEFT JOIN kk USING (r) LEFT JOIN ll USING (r)
 # Independent of seeds: every pair of equal tokens, counted along diagonals.
 ORACLES["op10_decontamination"] = r"""
 WITH dt AS (SELECT r, doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws FROM (SELECT *, row_number() OVER () AS r FROM documents)),
-bt AS (SELECT item_id, ws, len(ws) AS n FROM (SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws FROM benchmark) WHERE len(ws) >= 8),
+bt AS (SELECT item_id, ws, len(ws) AS n FROM (SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws FROM benchmark) WHERE len(ws) > 0),
 d AS (SELECT r, unnest(ws) AS w, unnest(range(len(ws))) AS p FROM dt),
 b AS (SELECT item_id, n, least(n, 13) AS win, least(n, 13) - CASE WHEN n >= 13 THEN 2 WHEN n >= 10 THEN 1 ELSE 0 END AS need, unnest(ws) AS w, unnest(range(n)) AS q FROM bt),
 m AS (SELECT r, item_id, p - q AS diag, q, win, need FROM d JOIN b USING (w)),
@@ -64,15 +64,15 @@ SELECT doc_id, g.r IS NOT NULL AS contaminated, coalesce(n_items, 0)::BIGINT AS
 FROM dt LEFT JOIN g USING (r)
 """
 
-# Every earlier line is tried: equal, or with one word replaced, added or left out.
+# Every earlier line is tried: equal, or, from five words on, with one word replaced, added or left out.
 ORACLES["op2_line_dedup"] = r"""
 WITH l AS (SELECT doc_id, k, string_split(text, chr(10))[k] AS line FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS k FROM documents)),
 w AS (SELECT doc_id, k, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS ws FROM l),
-f AS (SELECT doc_id, k, ws, len(ws) AS n, doc_id * 1000000 + k AS pos, array_to_string(ws, ' ') AS s FROM w WHERE len(ws) >= 5),
+f AS (SELECT doc_id, k, ws, len(ws) AS n, doc_id * 1000000 + k AS pos, array_to_string(ws, ' ') AS s FROM w WHERE len(ws) > 0),
 d AS (SELECT s, any_value(ws) AS ws, any_value(n) AS n, min(pos) AS pos FROM f GROUP BY s),
-v AS (SELECT pos, n, i, array_to_string(ws[1:i-1], ' ') || '|' || array_to_string(ws[i+1:], ' ') AS split, array_to_string(ws[1:i-1] || ws[i+1:], ' ') AS rest FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM d)),
+v AS (SELECT pos, n, i, array_to_string(ws[1:i-1], ' ') || '|' || array_to_string(ws[i+1:], ' ') AS split, array_to_string(ws[1:i-1] || ws[i+1:], ' ') AS rest FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM d WHERE n >= 5)),
 a AS (SELECT pos FROM v QUALIFY min(pos) OVER (PARTITION BY split) < pos),
-b AS (SELECT v.pos AS longer, d.pos AS shorter FROM v JOIN d ON v.rest = d.s),
+b AS (SELECT v.pos AS longer, d.pos AS shorter FROM v JOIN d ON v.rest = d.s WHERE d.n >= 5),
 near AS (SELECT pos FROM a UNION SELECT longer FROM b WHERE shorter < longer UNION SELECT shorter FROM b WHERE longer < shorter),
 g AS (SELECT f.doc_id, f.k, f.pos > d.pos AS exact, near.pos IS NOT NULL AS near FROM f JOIN d USING (s) LEFT JOIN near ON near.pos = f.pos),
 x AS (SELECT l.doc_id, count(*) AS n_lines, count(*) FILTER (exact) AS n_exact, count(*) FILTER (near AND NOT exact) AS n_near,

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .base import written
 from .tokens import WordMemoTokenizer, loaded
+from .words import give_back
 
 WINDOW = 2048
 EOS = 1
@@ -78,6 +79,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: st
 
     def cut(batches):
         t = loaded(WordMemoTokenizer, tokenizer)
+        give_back()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
@@ -88,6 +90,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: st
                     rows += [(key, s, min(window, n - s), zlib.crc32(ids[4 * s : 4 * (s + window)]), n) for s in range(0, n, window)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
         t.memo.clear()  # the worker process may go on to other tasks
+        give_back()
 
     return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(cut, PIECES)
 

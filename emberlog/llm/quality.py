@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import ASCII_SPACE
+from .base import ASCII_SPACE, Carried
+from .words import give_back
 
 SYMBOLS = b"#*$%&|<>"
 #: Words that one suffix array covers, unless a single text has more.
@@ -124,6 +125,7 @@ def quality_measures(text: Column, rules: QualityRules = QualityRules()) -> Colu
 
     @F.arrow_udf(f"struct<{SCHEMA}>")
     def measures(texts: pa.Array) -> pa.Array:
+        give_back()
         values, group, size, done = texts.to_pylist(), [], 0, []
         for i, value in enumerate(values):
             group.append(value)
@@ -146,9 +148,9 @@ def quality_rules(docs: DataFrame, text: str = "text", rules: QualityRules = Qua
     A null or empty text has no words and fails. A column of the name `to` is replaced; all others stay. Repeated rows are
     judged alike; an empty table stays empty. A very long text is one suffix array of its own, in one task.
     """
-    q = quality_measures(F.col(text), rules)
-    out = docs.withColumn(to, q)
-    n = F.col(f"{to}.n_words")
-    failed = (n < rules.min_words) | (100 * F.col(f"{to}.n_repeat_words") > rules.max_repeat_words_percent * n)
-    bad = failed | (100 * F.col(f"{to}.covered_words") > rules.max_covered_percent * n) | (F.col(f"{to}.longest_repeat") > rules.max_longest_repeat)
-    return out.withColumn(to, F.col(to).withField("base_failed", failed).withField("kept", ~bad))
+    own = Carried(docs, to)
+    out = own.rows.withColumn("_q", quality_measures(F.col(own.at(text)), rules))
+    n = F.col("_q.n_words")
+    failed = (n < rules.min_words) | (100 * F.col("_q.n_repeat_words") > rules.max_repeat_words_percent * n)
+    bad = failed | (100 * F.col("_q.covered_words") > rules.max_covered_percent * n) | (F.col("_q.longest_repeat") > rules.max_longest_repeat)
+    return out.select(*own.back(), F.col("_q").withField("base_failed", failed).withField("kept", ~bad).alias(to))

@@ -35,7 +35,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language import fit_language, predict_language
 
     docs = table(spark, sf_dir, "documents")
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 1
     model = fit_language(docs.filter(~held_out))
     return predict_language(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
 
@@ -76,9 +76,9 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard_documents
 
     docs = table(spark, sf_dir, "documents")
-    # The planner's estimate from the files' sizes; it sets the number of first shards.
-    n_bytes = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    store = shard_documents(docs, n_bytes)
+    # The files' sizes set the number of first shards; no column is read for them.
+    files = docs.select("_metadata.file_path", "_metadata.file_size").distinct()
+    store = shard_documents(docs, files.agg(F.coalesce(F.sum("file_size"), F.lit(0))).first()[0])
     version = store.version()
     rows = store.read(version).select("*", F.col("_metadata.file_name").alias("shard"), F.col("_metadata.file_size").alias("shard_bytes"))
     return rows.select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), "lang", "source", "n_chars", "shard", "shard_bytes", F.lit(version).cast("long").alias("version"))

@@ -6,7 +6,8 @@ import json
 import uuid
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -39,15 +40,14 @@ class Shard:
 class ShardStore:
     """A folder of shards (Parquet files, never changed) and manifests v%010d.json, each a whole list of live shards.
 
-    A version is committed by renaming a finished file to its name, which fails if another writer was first; readers take the
-    highest version. Files that no manifest names, of tasks that were lost or writers that failed, are never read. The driver
+    A version is committed by renaming a finished file to its name without overwriting, which the file system refuses if another
+    writer was first; readers take the highest version. Files that no manifest names, of tasks that were lost or writers that failed, are never read. The driver
     handles one line for each shard, never rows.
     """
 
     def __init__(self, spark: SparkSession, folder: str, config: ShardConfig = ShardConfig()):
         self.spark, self.folder, self.config = spark, folder.rstrip("/"), config
-        jvm = spark.sparkContext._jvm
-        self.path = jvm.org.apache.hadoop.fs.Path
+        self.path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self.fs = self.path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self.fs.mkdirs(self.path(f"{self.folder}/manifests"))
 
@@ -76,25 +76,54 @@ class ShardStore:
         stream = self.fs.create(draft, False)
         stream.write(bytearray(json.dumps({"version": base + 1, "schema": schema.jsonValue(), "shards": [asdict(s) for s in shards]}).encode()))
         stream.close()
-        if self.fs.exists(name) or not self.fs.rename(draft, name):
+        context = self.spark.sparkContext
+        hadoop = context._jvm.org.apache.hadoop.fs
+        plain = context._gateway.new_array(hadoop.Options.Rename, 0)  # no option: never onto a file that is there
+        try:
+            hadoop.FileContext.getFileContext(name.toUri(), context._jsc.hadoopConfiguration()).rename(self.fs.makeQualified(draft), self.fs.makeQualified(name), plain)
+        except Py4JJavaError as e:
             self.fs.delete(draft, False)
-            raise RuntimeError(f"version {base + 1} was committed by another writer")
+            if "FileAlreadyExists" in str(e.java_exception.toString()):
+                raise RuntimeError(f"version {base + 1} was committed by another writer") from e
+            raise
         return base + 1
 
-    def _written(self, rows: DataFrame, files: int) -> list[Shard]:
-        """rows as about so many new shards, without a shuffle: partitions of the scan are joined. Sizes come from the files, row
-        counts from their footers."""
-        at = f"{self.folder}/data/{uuid.uuid4().hex}"
+    def _new_folder(self, base: int) -> str:
+        """Where a writer that goes on from version `base` puts its shards; writers that race don't share one."""
+        return f"{self.folder}/data/after-{base:010d}-{uuid.uuid4().hex[:12]}"
+
+    def _written(self, rows: DataFrame, files: int, base: int) -> list[Shard]:
+        """rows as about so many new shards, without a shuffle: partitions of the scan are joined."""
+        at = self._new_folder(base)
         rows.coalesce(files).write.option("compression", "zstd").parquet(at)
-        found = self.spark.read.schema(rows.schema).parquet(at).groupBy(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_size").alias("b")).agg(F.count("*").alias("n"))
+        return self._shards_of(at, rows.schema)
+
+    def _shards_of(self, at: str, schema: StructType) -> list[Shard]:
+        """The shards in a folder: sizes from the files, row counts from their footers."""
+        found = self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(at).groupBy(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_size").alias("b")).agg(F.count("*").alias("n"))
         return [Shard(r.p, r.b, r.n) for r in found.orderBy("p").collect()]
 
     def append(self, rows: DataFrame, n_bytes: int) -> int:
         """Adds an arrival of about n_bytes as small shards. An arrival without rows commits a version without new shards."""
         base = self.version()
-        new = self._written(rows, max(1, -(-n_bytes // self.config.small_bytes)))
+        new = self._written(rows, max(1, -(-n_bytes // self.config.small_bytes)), base)
         return self.commit(base, self.shards(base) + new, rows.schema)
 
+    def append_all(self, rows: DataFrame, arrival: Column, arrivals: int, n_bytes: int) -> int:
+        """Appends the rows of which `arrival` is 0, then 1, and so on, and compacts after each. One pass over the rows writes
+        them all; each arrival becomes visible by its own commit."""
+        base, name = self.version(), "arrival"
+        while name in rows.columns:
+            name += "_"
+        at = self._new_folder(base)
+        rows.withColumn(name, arrival).coalesce(max(1, -(-n_bytes // arrivals // self.config.small_bytes))).write.partitionBy(name).option("compression", "zstd").parquet(at)
+        new = self._shards_of(at, rows.schema)
+        for k in range(arrivals):
+            base = self.version()
+            self.commit(base, self.shards(base) + [s for s in new if f"/{name}={k}/" in s.path], rows.schema)
+            self.compact()
+        return self.version()
+
     def plan(self, shards: list[Shard]) -> list[list[Shard]]:
         """Runs to merge: shards of one tier, if there are fan_in or more."""
         tiers: dict[int, list[Shard]] = {}
@@ -115,15 +144,18 @@ class ShardStore:
             merged = {s.path for s in runs[0]}
             files = max(1, round(sum(s.n_bytes for s in runs[0]) / self.config.target_bytes))
             rows = self.spark.read.schema(self.schema()).parquet(*sorted(merged))
-            self.commit(base, [s for s in shards if s.path not in merged] + self._written(rows, files), rows.schema)
-
-    def vacuum(self) -> None:
-        """Deletes files that the newest version doesn't name."""
-        live = {s.path.rsplit("/", 2)[-2] + "/" + s.path.rsplit("/", 1)[-1] for s in self.shards()}
-        for folder in self.fs.listStatus(self.path(f"{self.folder}/data")):
-            for f in self.fs.listStatus(folder.getPath()):
-                if f"{folder.getPath().getName()}/{f.getPath().getName()}" not in live:
-                    self.fs.delete(f.getPath(), True)
+            self.commit(base, [s for s in shards if s.path not in merged] + self._written(rows, files, base), rows.schema)
+
+    def vacuum(self, versions: int = 1) -> None:
+        """Deletes files that none of the newest `versions` names; readers of older ones have to be done."""
+        newest = self.version()
+        tail = lambda path: path.rsplit("/data/", 1)[-1]
+        live = {tail(s.path) for v in range(max(1, newest - versions + 1), newest + 1) for s in self.shards(v)}
+        files = self.fs.listFiles(self.path(f"{self.folder}/data"), True)
+        while files.hasNext():
+            f = files.next().getPath()
+            if tail(f.toString()) not in live:
+                self.fs.delete(f, False)
 
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version; Spark's _metadata column tells each row's shard."""
@@ -135,12 +167,11 @@ def shard_documents(docs: DataFrame, n_bytes: int, arrivals: int = 4, folder: st
     """Appends the documents as so many arrivals, dealt by a hash of the row, and compacts after each.
 
     Any column may be null, repeated rows stay repeated, and other columns go along. An empty table gives arrivals without
-    rows. n_bytes is the caller's estimate of the documents' size as Parquet; it only sets the number of first shards.
+    rows. n_bytes is the caller's estimate of the documents' size as Parquet; it only sets the number of first shards. A store
+    made here has no readers of older versions yet, so their files are deleted; in a folder of the caller's they stay.
     """
     store = ShardStore(docs.sparkSession, folder or f"{shared_folder(docs.sparkSession)}/shards-{uuid.uuid4().hex}", config)
-    deal = F.pmod(F.xxhash64(*(F.col(c) for c in docs.columns)), F.lit(arrivals))
-    for k in range(arrivals):
-        store.append(docs.filter(deal == k), -(-n_bytes // arrivals))
-    store.compact()
-    store.vacuum()
+    store.append_all(docs, F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)), F.lit(arrivals)), arrivals, n_bytes)
+    if folder is None:
+        store.vacuum()
     return store

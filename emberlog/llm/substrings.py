@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import broadcast_if_small, row_key, written
+from .base import Carried, broadcast_if_small, row_key, written
 from .words import BLOCK_BYTES, Hashed, signed
 
 
@@ -162,17 +162,17 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     place; of each other context one occurrence goes along, to be met there. Equality is that of 64-bit hashes of the bytes.
 
     Strings are judged on the input. A null text is empty; texts shorter than `length` keep all bytes. Rows with equal doc_id
-    and text are separate documents, and so repeat one another. A column of the name `to` is replaced, other columns stay. An
-    empty table gives none.
+    and text are separate documents, and so repeat one another. A column of the name `to` is replaced; other columns stay,
+    whatever their names. An empty table gives none.
     """
-    plain = docs.drop(to).withColumn("_key", row_key(doc_id, text)).withColumn("_text", F.coalesce(F.col(text).cast("binary"), F.lit(b"")))
-    ranges = repeated_ranges(plain.select("_key", "_text"), config)
-    ranges = written(ranges, "ranges")
-    hit = with_ranges(plain, ranges, "_ranges", config).withColumn("_cut", cut_ranges(config)("_text", "_ranges"))
+    own = Carried(docs, to)
+    of = F.coalesce(F.col(own.at(text)).cast("binary"), F.lit(b""))
+    keyed = own.rows.withColumn("_key", row_key(own.at(doc_id), own.at(text)))
+    ranges = written(repeated_ranges(keyed.select("_key", of.alias("_text")), config), "ranges")
+    hit = with_ranges(keyed, ranges, "_ranges", config).withColumn("_cut", cut_ranges(config)(of, "_ranges"))
     keys = ranges.select("_key").distinct()
-    rest = plain.join(broadcast_if_small(keys, keys.count(), config.broadcast_rows), "_key", "left_anti")
-    n = F.length("_text").cast("long").alias("n_bytes")
-    names = [c for c in docs.columns if c != to]
+    rest = keyed.join(broadcast_if_small(keys, keys.count(), config.broadcast_rows), "_key", "left_anti")
+    n = F.length(of).cast("long").alias("n_bytes")
     zero = F.lit(0).cast("long")
-    hit = hit.select(*names, F.struct(n, F.col("_cut.n_removed"), F.col("_cut.n_spans"), F.col("_cut.kept")).alias(to))
-    return hit.unionByName(rest.select(*names, F.struct(n, zero.alias("n_removed"), zero.alias("n_spans"), F.col("_text").alias("kept")).alias(to)))
+    hit = hit.select(*own.back(), F.struct(n, F.col("_cut.n_removed"), F.col("_cut.n_spans"), F.col("_cut.kept")).alias(to))
+    return hit.unionAll(rest.select(*own.back(), F.struct(n, zero.alias("n_removed"), zero.alias("n_spans"), of.alias("kept")).alias(to)))

@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .base import written
 from .tokens import byte_bpe, loaded
 
 #: Lengths under one heading in the two-level suffix sums; no window runs over all lengths at once.
@@ -24,12 +25,12 @@ def token_length(tokenizer: str):
 
 
 def length_histogram(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
-    """(length, n_docs): all documents by their exact encoded length.
+    """(length, n_docs): all documents by their exact encoded length, as a table, since whoever sums it reads it more than once.
 
     Null and empty texts have length 0; repeated rows count each time; an empty table gives no rows; other columns are not read.
     """
     lengths = docs.select(token_length(tokenizer)(F.col(text)).alias("length"))
-    return lengths.groupBy("length").agg(F.count("*").alias("n_docs"))
+    return written(lengths.groupBy("length").agg(F.count("*").alias("n_docs")), "lengths")
 
 
 def suffix_sums(histogram: DataFrame, block: int = BLOCK) -> DataFrame:

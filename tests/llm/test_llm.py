@@ -115,9 +115,9 @@ def test_line_dedup(spark):
                     del w[i]
             own.append(" ".join(w))
         docs.append("\n".join(own))
-    docs += [None, "", "a b", "a b"]
-    flat = [((i, k), x.split()) for i, d in enumerate(docs) for k, x in enumerate((d or "").split("\n")) if len(x.split()) >= 5]
-    gone = {p for n, (p, w) in enumerate(flat) if any(edit_one(w, v) for _, v in flat[:n])}
+    docs += [None, "", "a b", "a b", "buy now cheap\n\nbuy  now cheap\nbuy now dear"]
+    flat = [((i, k), x.split()) for i, d in enumerate(docs) for k, x in enumerate((d or "").split("\n")) if x.split()]
+    gone = {p for n, (p, w) in enumerate(flat) if any(w == v or len(w) >= 5 and len(v) >= 5 and edit_one(w, v) for _, v in flat[:n])}
     out = {r.doc_id: r for r in lines.line_dedup(table(spark, docs), to="lines").collect()}
     assert len(out) == len(docs) and out[40].text is None
     for i, d in enumerate(docs):
@@ -240,7 +240,8 @@ def test_license_gate_loses_nothing(spark):
                 out += "".join(example(arg[2]) for _ in range(rng.randint(arg[0], min(arg[1], arg[0] + 1))))
             else:
                 assert kind == "IN"
-                out += "7"
+                of, value = rng.choice(arg)
+                out += {"LITERAL": lambda v: chr(v), "RANGE": lambda v: chr(v[0]), "CATEGORY": lambda v: "7"}[str(of)](value)
         return out
 
     grants = ["Released under MIT", "available under BSD 3-clause", "distributed under the terms of the MPL 2.0", "published under CC0 1.0", "released\nunder ISC", "covered under the WTFPL", "provided under the terms of the CDDL"]
@@ -266,12 +267,12 @@ def test_decontamination(spark, limit):
     items = [prose(rng, 30), prose(rng, 9), prose(rng, 4), None]
     swap = lambda t, at: " ".join("zzz" if i in at else w for i, w in enumerate(t.split()))
     filler = lambda: prose(rng, 60)
-    texts = [None, "", filler(), filler() + " " + items[0].upper(), swap(items[0], {3, 12, 20}), swap(items[0], set(range(0, 30, 4))), items[1] + ".", swap(items[1], {4}), items[2], " ".join(items[0].split()[5:18])]
+    texts = [None, "", filler(), filler() + " " + items[0].upper(), swap(items[0], {3, 12, 20}), swap(items[0], set(range(0, 30, 4))), items[1] + ".", swap(items[1], {4}), filler() + " " + items[2] + " " + filler(), " ".join(items[0].split()[5:18]), " ".join(items[2].split()[:3]), swap(items[2], {1})]
     b = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     config = decontamination.SeedConfig(broadcast_seeds=limit)
     out = [r.contaminated for r in decontamination.contamination(table(spark, texts), b, config=config).orderBy("doc_id").collect()]
-    assert out == [False, False, False, True, True, False, True, False, False, True]
-    assert [r.doc_id for r in decontamination.decontaminate(table(spark, texts), b, config=config).orderBy("doc_id").collect()] == [0, 1, 2, 5, 7, 8]
+    assert out == [False, False, False, True, True, False, True, False, True, True, False, False]
+    assert [r.doc_id for r in decontamination.decontaminate(table(spark, texts), b, config=config).orderBy("doc_id").collect()] == [0, 1, 2, 5, 7, 10, 11]
     assert decontamination.contamination(table(spark, []), b, config=config).count() == 0
     assert not any(r.contaminated for r in decontamination.contamination(table(spark, texts), b.limit(0), config=config).collect())
 
@@ -346,3 +347,140 @@ def test_pipeline_stages(spark, tmp_path, texts):
     rows = pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in rows} == kept[-1]
     assert d.filter(F.col("doc_id") == 7).first().text == "short"
+
+
+CLASH = ("_key", "_text", "_doc", "_exact", "_near", "_ranges", "_cut", "_words", "_n", "_gone", "_node", "_item", "c0", "node", "key", "active")
+
+
+def clashing(spark, texts, ids=None):
+    """Documents with columns that are called as those inside operators are, and one with a dot."""
+    ids = ids or list(range(len(texts)))
+    names = ", ".join(f"`{c}` string" for c in (*CLASH, "a.b"))
+    return spark.createDataFrame([(i, t, *(f"{i} {c}" for c in (*CLASH, "a.b"))) for i, t in zip(ids, texts, strict=True)], f"doc_id long, text string, {names}")
+
+
+@pytest.mark.parametrize("operator", ["lines", "substrings", "licenses", "quality", "language", "jaccard", "decontamination"])
+def test_other_columns_stay_whatever_their_names(spark, texts, operator):
+    docs = clashing(spark, [*texts, "Released under MIT"])
+    items = spark.createDataFrame([(1, texts[4])], "item_id long, text string")
+    out = {
+        "lines": lambda: lines.line_dedup(docs),
+        "substrings": lambda: substrings.remove_repeats(docs),
+        "licenses": lambda: licenses.license_scan(docs),
+        "quality": lambda: quality.quality_rules(docs),
+        "language": lambda: language.predict_language(docs, language.fit_language(docs.limit(0).withColumn("lang", F.lit("x")))),
+        "jaccard": lambda: jaccard.one_of_each_class(docs),
+        "decontamination": lambda: decontamination.decontaminate(docs, items),
+    }[operator]()
+    assert out.columns[: len(docs.columns)] == docs.columns
+    rows = out.collect()
+    assert rows and all(r[c] == f"{r['doc_id']} {c}" for r in rows for c in (*CLASH, "a.b"))
+    if operator in ("lines", "substrings", "licenses", "quality", "language"):
+        assert len(rows) == len(texts) + 1
+
+
+@pytest.mark.parametrize("parts", [1, 2, 7])
+def test_line_dedup_is_the_same_in_any_partitions(spark, parts):
+    rng = random.Random(21)
+    a, b = prose(rng, 12), prose(rng, 9)
+    near = [a.replace(a.split()[k], f"nr{k}", 1) for k in range(8)]
+    texts = [a, f"{b}\n{b}", *near, "hi there\nhi there", a, None, "", "hi there"]
+    ids = [3, 4, *range(10, 18), 5, 3, 6, None, None]
+    docs = table(spark, texts, ids)
+    want = sorted(map(str, lines.line_dedup(docs.coalesce(1)).select("doc_id", "text", "lines").collect()))
+    assert sorted(map(str, lines.line_dedup(docs.repartition(parts)).select("doc_id", "text", "lines").collect())) == want
+    got = {(r.doc_id, r.text) for r in lines.line_dedup(docs).collect()}
+    assert (3, a) in got and (4, b) in got and (10, "") in got and (17, "") in got and (5, "") in got and (None, "hi there") in got
+
+
+def test_jaccard_recall_of_pairs_just_above_the_threshold(spark):
+    rng = random.Random(31)
+    docs, pairs = [], []
+    for k in range(400):
+        w = [f"{rng.choice(WORDS)}{rng.randrange(9)}" for _ in range(100)]
+        v = list(w)
+        for i in (10, 30):  # each change touches five of 96 shingles
+            v[i] = f"new{k}"
+        if k % 2:
+            v.append("end")
+        x, y = ({tuple(z[i : i + 5]) for i in range(len(z) - 4)} for z in (w, v))
+        assert 0.8 <= len(x & y) / len(x | y) < 0.85
+        pairs.append((2 * k, 2 * k + 1))
+        docs += [" ".join(w), " ".join(v)]
+    found = {r.doc_id: r.class_id for r in jaccard.near_duplicates(table(spark, docs)).collect()}
+    assert sum(found[a] == found[b] for a, b in pairs) / len(pairs) >= 0.95
+    assert all(found[a] >= a - a % 2 for a in found)  # and no others are linked
+
+
+def test_language_equals_dense_kernel_ridge(spark):
+    """With every row a landmark, scores are those of one-versus-rest kernel ridge regression over sets of n-grams."""
+    rng = random.Random(5)
+    tongues = {"xx": "ka lo mi ten ru".split(), "yy": "sch ver ung keit zu".split()}
+    say = lambda l: " ".join("".join(rng.choice(tongues[l]) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(5, 40)))
+    rows = [(i, say(l), l) for i, l in enumerate(["xx", "yy"] * 25)]
+    new = [(100 + i, say(l), l) for i, l in enumerate(["xx", "yy"] * 10)]
+    config = language.LanguageConfig(buckets=1 << 18, landmarks=50, ridge=1e-2)
+    model = language.fit_language(spark.createDataFrame(rows, "doc_id long, text string, lang string"), config=config)
+    grams = lambda t: {t[i : i + n] for n in config.orders for i in range(len(t) - n + 1)}
+    kernel = lambda a, b: np.array([[len(x & y) / (len(x) * len(y)) ** 0.5 for y in b] for x in a])
+    own, other = [grams(t) for _, t, _ in rows], [grams(t) for _, t, _ in new]
+    y = np.array([[1.0, -1.0] if l == "xx" else [-1.0, 1.0] for _, _, l in rows])
+    margin = config.softness * kernel(other, own) @ np.linalg.solve(kernel(own, own) + config.ridge * len(own) * np.eye(len(own)), y)
+    want = np.exp(margin) / np.exp(margin).sum(axis=1, keepdims=True)
+    out = {r.doc_id: r.language for r in language.predict_language(spark.createDataFrame(new, "doc_id long, text string, lang string"), model).collect()}
+    for (i, _, _), p in zip(new, want, strict=True):
+        assert out[i].lang == ("xx" if p[0] > p[1] else "yy") and out[i].score == pytest.approx(p.max(), abs=0.01)
+    assert language.predict_language(spark.createDataFrame([], "doc_id long, text string"), model).count() == 0
+
+
+def test_every_language_gets_landmarks(spark):
+    rows = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} word{i % 30}", f"l{i % 30:02d}") for i in range(300)]
+    config = language.LanguageConfig(landmarks=8, max_sample=90, buckets=1 << 10)
+    model = language.fit_language(spark.createDataFrame(rows, "doc_id long, text string, lang string"), config=config)
+    assert len(model.languages) == 30 and model.landmarks.shape[1] == 60
+
+
+def test_length_quantiles(spark, texts):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    from emberlog.llm.tokens import byte_bpe
+
+    lengths = sorted(len(byte_bpe(path).encode_ordinary(t or "")) for t in texts)
+    sums = token_counts.suffix_sums(token_counts.length_histogram(table(spark, texts), path), block=8)
+    q = spark.createDataFrame([(x,) for x in (0.1, 0.5, 0.9, 1.0)], "fraction double")
+    out = {r.fraction: r.length for r in token_counts.length_quantiles(sums, q).collect()}
+    assert out == {x: lengths[int(np.ceil(x * len(lengths))) - 1] for x in (0.1, 0.5, 0.9, 1.0)}
+
+
+def test_shard_tiers_and_versions(spark, texts, tmp_path):
+    config = sharding.ShardConfig(target_bytes=60_000, small_bytes=2_000, fan_in=3)
+    store = sharding.ShardStore(spark, str(tmp_path / "t"), config)
+    docs = table(spark, texts * 2)
+    for k in range(7):
+        store.append(docs.filter(F.pmod("doc_id", F.lit(7)) == k), 1)
+        store.compact()
+        assert not store.plan(store.shards())
+    shards = store.shards()
+    assert sum(s.n_rows for s in shards) == docs.count() == store.read().count() and len(shards) < 7
+    early = store.read(2)
+    n = early.count()
+    store.vacuum(versions=store.version())
+    assert early.count() == n  # its files are kept for readers of that version
+    store.vacuum()
+    assert store.read().count() == docs.count()
+    tail = lambda path: path.rsplit("/data/", 1)[1]
+    assert {tail(s.path) for s in store.shards()} == {tail(str(f)) for f in (tmp_path / "t" / "data").rglob("*.parquet")}
+
+
+def test_null_ids_and_very_long_texts(spark):
+    rng = random.Random(41)
+    long = prose(rng, 60_000)
+    docs = table(spark, [long, long, None, "one two", None], [None, 5, None, None, 7])
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert sum(r.length for r in packing.pack(docs, path).collect() if r.start == 0) > 0
+    assert {r.doc_id for r in packing.pack(docs, path).collect()} == {None, 5, 7}
+    assert collections.Counter(r.doc_id for r in jaccard.near_duplicates(docs).collect()) == {None: 3, 5: 1, 7: 1}
+    out = sorted(((r.doc_id or -1, r.repeats.n_bytes, r.repeats.n_removed) for r in substrings.remove_repeats(docs).collect()))
+    n = len(long)
+    assert out == [(-1, 0, 0), (-1, 7, 0), (-1, n, n), (5, n, n), (7, 0, 0)]
+    assert sorted(len(r.text) if r.text is not None else -1 for r in lines.line_dedup(docs).collect()) == [-1, -1, 0, 7, n]
+    assert quality.quality_rules(docs).filter("quality.kept").count() == 2
