@@ -7,6 +7,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import global_rank
 from .novelty import FANOUT, FIRST_TIME, NoveltyConfig, event_signals
 
 
@@ -144,6 +145,7 @@ def shape(episodes: DataFrame, p: Preset = PRUNED) -> DataFrame:
     df = df.withColumn("fanout_velocity_score", F.least(F.lit(1.0), F.col("peak_velocity_new_dests") / 3)).withColumn("novelty_ratio", F.col("first_time_event_count") / F.greatest(F.lit(1), F.col("events_count")))
     n, d, dur = F.col("events_count"), F.col("destination_count"), F.col("duration")
     df = tagged(df, compact_lateral_burst=n.between(3, 30) & d.between(3, p.compact_dests) & (span <= p.compact_duration), fanout_velocity=F.col("fanout_velocity_score") >= 0.60)
+    # The weights of an episode's signals.
     weights = (("first_time_source_user_to_dest", 0.42), ("first_time_user_to_dest", 0.22), ("first_time_source_to_dest", 0.18), ("source_user_fanout", 0.20), ("source_fanout", 0.10), ("user_fanout", 0.10), ("compact_lateral_burst", 0.22))
     raw = sum((F.when(has(k), v).otherwise(0.0) for k, v in weights), F.lit(0.0)) + F.when(has("fanout_velocity"), 0.22 * F.col("fanout_velocity_score")).otherwise(0.0) + 0.08 * F.col("compactness_score")
     classes = sum((has(k).cast("int") for k in (*FIRST_TIME, *FANOUT, "compact_lateral_burst", "fanout_velocity")), F.lit(0))
@@ -154,6 +156,7 @@ def shape(episodes: DataFrame, p: Preset = PRUNED) -> DataFrame:
     spread = sud & suf & (F.col("novelty_ratio") >= p.fanout_bonus_novelty) & F.lit(p.fanout_bonus > 0)
     df = df.withColumn("_raw", F.when(low, raw * 0.5).otherwise(raw) + F.when(converged, 0.10).otherwise(0.0) + F.when(rescue, p.compact_bonus).otherwise(0.0) + F.when(spread, p.fanout_bonus).otherwise(0.0))
     df = df.withColumn("raw_score", F.least(F.lit(1.0), F.col("_raw"))).drop("_raw")
+    # The penalties.
     penalties = {
         "entropy_many_events": (n > 80, 0.10),
         "entropy_extreme_events": (n > 200, 0.20),
@@ -203,13 +206,8 @@ def swept(episodes: DataFrame, presets: list[Preset]) -> DataFrame:
 
 
 def numbered(episodes: DataFrame) -> DataFrame:
-    """Adds episode_id in order of creation: a sort of episodes, not of events. Row numbers are dealt in partitions of a range
-    sort, with the counts of the partitions before."""
-    parts = episodes.repartitionByRange(F.col("start_time"), F.col("start_seq")).withColumn("_p", F.spark_partition_id())
-    counts = parts.groupBy("_p").agg(F.count("*").alias("_c"))
-    before = F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    nth = F.row_number().over(Window.partitionBy("_p").orderBy("start_time", "start_seq"))
-    return parts.withColumn("_n", nth).join(F.broadcast(counts.withColumn("_b", before).drop("_c")), "_p").withColumn("episode_id", F.col("_n") + F.col("_b")).drop("_p", "_n", "_b")
+    """Adds episode_id in order of creation: a sort of episodes, not of events."""
+    return global_rank(episodes, F.col("start_time"), F.col("start_seq"), to="episode_id")
 
 
 def ranked(episodes: DataFrame, limit: int = 10_000) -> DataFrame:

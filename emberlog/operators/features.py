@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import global_rank
+from .graph import Ordered, global_rank
 
 #: The features that a model may see.
 NUMERIC = ("duration", "events_count", "destination_count", "user_count", "first_time_event_count", "first_time_signal_hits", "new_destination_event_count", "novelty_ratio", "compactness_score", "fanout_velocity_score", "peak_velocity_new_dests")
+#: The signals that have a column.
 SIGNALS = (
-    "first_time_source_to_dest", "first_time_user_to_dest", "first_time_source_user_to_dest", "source_fanout", "user_fanout", "source_user_fanout", "compact_lateral_burst", "fanout_velocity", "low_convergence_penalty",
+    "first_time_source_to_dest", "first_time_user_to_dest", "first_time_source_user_to_dest", "source_fanout", "user_fanout", "source_user_fanout", "compact_lateral_burst", "fanout_velocity", "compact_rescue_bonus",
     "propagation_convergence_bonus", "entropy_many_events", "entropy_extreme_events", "entropy_long_duration", "entropy_soft_duration", "entropy_oversized_fanout", "entropy_excessive_destinations", "entropy_low_novelty", "source_user_fanout_rescue_bonus",
 )
 #: Columns that tell the label, or the hand-made score.
@@ -83,12 +84,7 @@ def auc_ap(rows: DataFrame, score: str, label: str = "label") -> DataFrame:
     Scores are first grouped; sums over the better ones run along a range sort of the groups.
     """
     g = rows.groupBy(F.col(score).alias("s")).agg(F.sum(label).alias("p"), F.sum(1 - F.col(label)).alias("n"))
-    parts = g.repartitionByRange(F.desc("s")).withColumn("_p", F.spark_partition_id())
-    tot = parts.groupBy("_p").agg(F.sum("p").alias("tp"), F.sum("n").alias("tn"))
-    w = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    tot = tot.select("_p", F.coalesce(F.sum("tp").over(w), F.lit(0)).alias("bp"), F.coalesce(F.sum("tn").over(w), F.lit(0)).alias("bn"))
-    own = Window.partitionBy("_p").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    r = parts.join(F.broadcast(tot), "_p").withColumn("cp", F.sum("p").over(own) + F.col("bp")).withColumn("cn", F.sum("n").over(own) + F.col("bn"))
+    r = Ordered(g, F.desc("s")).running(cp=(F.sum, "p", "upto"), cn=(F.sum, "n", "upto"))
     a = r.agg(F.sum(F.col("n") * (F.col("cp") - F.col("p") / 2)).alias("area"), F.sum(F.col("p") * F.col("cp") / (F.col("cp") + F.col("cn"))).alias("prec"), F.sum("p").alias("P"), F.sum("n").alias("N"))
     return a.select(F.try_divide("area", F.col("P") * F.col("N")).alias("auc"), F.when(F.col("N") > 0, F.try_divide("prec", "P")).alias("ap"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import global_rank
+from .graph import Ordered, beside, global_rank
 
 RESCUE = ("destination_count", "duration", "events_count", "sig__source_user_fanout", "sig__entropy_soft_duration")
 COMPACT = ("compactness_score", "fanout_velocity_score", "novelty_ratio", "sig__compact_lateral_burst", "sig__fanout_velocity", "sig__propagation_convergence_bonus")
@@ -52,25 +52,30 @@ def kl(rows: DataFrame, value: str, group: str, a: str, b: str, bins: int, eps:
 
 
 def wasserstein(rows: DataFrame, value: str, group: str, a: str, b: str, by: list[str] | None = None) -> DataFrame:
-    """Exact first Wasserstein distance of two groups (for each `by`): the area between their running shares."""
+    """Exact first Wasserstein distance of two groups (for each `by`, of which there are few): the area between their running
+    shares, along one stored order of the different values."""
     by = by or []
     v = rows.filter(F.col(group).isin(a, b)).groupBy(*by, F.col(value).alias("v")).agg(F.count_if(F.col(group) == a).alias("x"), F.count_if(F.col(group) == b).alias("y"))
-    w = Window.partitionBy(*by)
-    run = w.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    f = F.abs(F.sum("x").over(run) / F.sum("x").over(w) - F.sum("y").over(run) / F.sum("y").over(w))
-    return v.withColumn("part", f * (F.lead("v").over(w.orderBy("v")) - F.col("v"))).groupBy(*by).agg(F.coalesce(F.sum("part"), F.lit(0.0)).alias("w1"))
+    run = Ordered(v, *map(F.col, [*by, "v"])).running(cx=(F.sum, "x", "upto"), cy=(F.sum, "y", "upto"), after=(F.min, F.struct(*by, "v"), "after"))
+    whole = run.groupBy(*by).agg(F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.max("cx").alias("tx"), F.max("cy").alias("ty"))
+    both = run.join(F.broadcast(whole), by) if by else run.crossJoin(F.broadcast(whole))
+    share = lambda c, t, s: F.try_divide(F.col(c) - (F.col(t) - F.col(s)), F.col(s))  # noqa: E731  what earlier groups add goes
+    step = F.when(sum((F.when(F.col(f"after.{k}") != F.col(k), 1).otherwise(0) for k in by), F.lit(0)) == 0, F.col("after.v") - F.col("v"))
+    part = F.abs(share("cx", "tx", "sx") - share("cy", "ty", "sy")) * step
+    return both.groupBy(*by).agg(F.coalesce(F.sum(part), F.lit(0.0)).alias("w1"))
 
 
 def curvature(scores: DataFrame, value: str) -> DataFrame:
-    """Mean, std and absolute mean and max of the second gradient of the ordered scores; ends are one-sided differences."""
-
-    def gradient(df: DataFrame, of: str, to: str) -> DataFrame:
-        w = Window.orderBy("i")
-        before, after = F.lag(of).over(w), F.lead(of).over(w)
-        return df.withColumn(to, F.when(before.isNull(), after - F.col(of)).when(after.isNull(), F.col(of) - before).otherwise((after - before) / 2))
-
-    g = gradient(gradient(scores.select(value, F.col("rank").alias("i")), value, "g1"), "g1", "g2")
-    return g.agg(F.avg("g2").alias("mean"), F.stddev_pop("g2").alias("std"), F.avg(F.abs("g2")).alias("abs_mean"), F.max(F.abs("g2")).alias("abs_max"))
+    """Mean, std and absolute mean, maximum and 95th and 99th percentile of the second gradient of the scores in order of rank;
+    ends are one-sided differences, and fewer than five scores give zeros."""
+    at = beside(scores.select("rank", F.col(value).alias("s")), "s", (-2, -1, 1, 2))
+    s, (b2, b1, a1, a2) = F.col("s"), (F.col(f"s_{k}") for k in (-2, -1, 1, 2))
+    here = F.when(b1.isNull(), a1 - s).when(a1.isNull(), s - b1).otherwise((a1 - b1) / 2)
+    before = F.when(b2.isNull(), s - b1).otherwise((s - b2) / 2)
+    after = F.when(a2.isNull(), a1 - s).otherwise((a2 - s) / 2)
+    g = at.select(F.when(b1.isNull(), after - here).when(a1.isNull(), here - before).otherwise((after - before) / 2).alias("g"))
+    measures = {"mean": F.avg("g"), "std": F.stddev_pop("g"), "abs_mean": F.avg(F.abs("g")), "abs_max": F.max(F.abs("g")), "abs_p95": F.percentile(F.abs("g"), F.lit(0.95)), "abs_p99": F.percentile(F.abs("g"), F.lit(0.99))}
+    return g.agg(*(F.when(F.count("*") >= 5, m).otherwise(0.0).alias(n) for n, m in measures.items()))
 
 
 def long_form(rows: DataFrame, features: list[str], group: str) -> DataFrame:
@@ -104,11 +109,7 @@ def background_place(rows: DataFrame, background: DataFrame, value: str = "score
     """Adds percentile (100 times the share of background not above) and rank_equivalent (1 + background above): one ordered
     pass over distinct values of both, no join of all pairs."""
     v = rows.select(value).distinct().select(value, F.lit(0).alias("n")).union(background.groupBy(value).agg(F.count("*").alias("n"))).groupBy(value).agg(F.sum("n").alias("n"))
-    parts = v.repartitionByRange(value).withColumn("_p", F.spark_partition_id())
-    tot = parts.groupBy("_p").agg(F.sum("n").alias("t"))
-    tot = tot.select("_p", F.coalesce(F.sum("t").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("b"), F.sum("t").over(Window.partitionBy()).alias("total"))
-    run = F.sum("n").over(Window.partitionBy("_p").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    c = parts.join(F.broadcast(tot), "_p").select(value, (run + F.col("b")).alias("below"), "total")
+    c = Ordered(v, F.col(value)).running(below=(F.sum, "n", "upto")).select(value, "below").crossJoin(F.broadcast(background.agg(F.count("*").alias("total"))))
     return rows.join(c, value).withColumn("percentile", 100 * F.try_divide("below", "total")).withColumn("rank_equivalent", 1 + F.col("total") - F.col("below")).drop("below", "total")
 
 

@@ -1,35 +1,103 @@
-"""Connected components of small tables of links, and global ranks of large tables."""
+"""Connected components of small tables of links, and orders of large tables: ranks, running totals, neighbours."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import saved
+
+#: Rows of one stretch of ranks, see beside().
+STRETCH = 1 << 16
+
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, component) of links (a, b): the smallest node reached. Labels spread and jump each round; each round is
-    checkpointed into the shared folder of spark.checkpoint.dir."""
-    spark = links.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    edges = links.select("a", "b").union(links.select("b", "a")).distinct().checkpoint()
-    labels = edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("component")).checkpoint()
+    """(node, component) of links (a, b): the smallest node reached. Labels spread and jump each round; each round is a table in
+    the shared folder."""
+    edges = saved(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
+    labels = saved(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("component")), "labels")
     while True:
         sent = edges.join(labels, F.col("a") == F.col("node")).select(F.col("b").alias("node"), "component")
         least = sent.union(labels).groupBy("node").agg(F.min("component").alias("component"))
         ahead = least.select(F.col("node").alias("component"), F.col("component").alias("next"))
-        new = least.join(ahead, "component").select("node", F.least("component", "next").alias("component")).checkpoint()
+        new = saved(least.join(ahead, "component").select("node", F.least("component", "next").alias("component")), "labels")
         if new.join(labels.withColumnRenamed("component", "was"), "node").filter("component <> was").isEmpty():
             return new
         labels = new
 
 
+#: Frames of rows in one part of an order, and of the parts around it.
+INNER = {"before": (Window.unboundedPreceding, -1), "upto": (Window.unboundedPreceding, 0), "after": (1, Window.unboundedFollowing), "from": (0, Window.unboundedFollowing)}
+OUTER = {"before": INNER["before"], "upto": INNER["before"], "after": INNER["after"], "from": INNER["after"]}
+
+
+class Ordered:
+    """A table in a total order: stored once by a range sort, each row with the number of its part and its place there.
+
+    Everything that needs the order (ranks, running values) reads that one table, so that rows and the sums of the parts before
+    them can't come from different sorts. Parts are as many as the sort had partitions; only their totals are put in one row
+    of order.
+    """
+
+    def __init__(self, rows: DataFrame, *order: Column):
+        at = F.monotonically_increasing_id()
+        self.names = rows.columns
+        self.rows = saved(rows.orderBy(*order).withColumn("__at", at), "ordered").withColumn("__part", F.shiftright("__at", 33))
+        self.own = Window.partitionBy("__part").orderBy("__at")
+        self.parts = Window.orderBy("__part")
+
+    def ranked(self, to: str = "rank") -> DataFrame:
+        """Adds 1, 2, ... in order."""
+        n = self.rows.groupBy("__part").agg(F.count("*").alias("__c"))
+        before = n.select("__part", F.coalesce(F.sum("__c").over(self.parts.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
+        place = F.col("__at").bitwiseAND((1 << 33) - 1) + 1
+        return self.rows.join(F.broadcast(before), "__part").select(*self._names(), (place + F.col("__b")).alias(to))
+
+    def running(self, **values) -> DataFrame:
+        """Adds, for each name, what (aggregate, argument, frame) tells: F.sum, F.max or F.min over all rows before this one
+        ("before"), with it ("upto"), after it ("after") or from it on ("from"). An aggregate of no rows is null."""
+        totals = self.rows.groupBy("__part").agg(*(kind(arg).alias(k) for k, (kind, arg, _) in values.items()))
+        others = totals.select("__part", *(kind(k).over(self.parts.rowsBetween(*OUTER[f])).alias(f"__o_{k}") for k, (kind, _, f) in values.items()))
+        rows = self.rows.select("*", *(kind(arg).over(self.own.rowsBetween(*INNER[f])).alias(f"__i_{k}") for k, (kind, arg, f) in values.items()))
+        both = rows.join(F.broadcast(others), "__part")
+        return both.select(*self._names(), *(joined(v[0], F.col(f"__i_{k}"), F.col(f"__o_{k}")).alias(k) for k, v in values.items()))
+
+    def _names(self) -> list[Column]:
+        return [F.col(f"`{n}`") for n in self.names]
+
+
+def joined(kind, a: Column, b: Column) -> Column:
+    """An aggregate of two parts' aggregates; either may be null, for no rows."""
+    if kind is F.sum:
+        return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b)
+    return {F.max: F.greatest, F.min: F.least}[kind](a, b)
+
+
 def global_rank(rows: DataFrame, *order: Column, to: str = "rank") -> DataFrame:
-    """Adds 1, 2, ... in the given total order, by a range sort and the counts of partitions before; no single task sorts all."""
-    parts = rows.repartitionByRange(*order).withColumn("__p", F.spark_partition_id())
-    counts = parts.groupBy("__p").agg(F.count("*").alias("__c"))
-    before = F.coalesce(F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    nth = F.row_number().over(Window.partitionBy("__p").orderBy(*order))
-    return parts.withColumn("__n", nth).join(F.broadcast(counts.select("__p", before.alias("__b"))), "__p").withColumn(to, F.col("__n") + F.col("__b")).drop("__p", "__n", "__b")
+    """Adds 1, 2, ... in the given total order, by a stored range sort; no single task sorts all."""
+    return Ordered(rows, *order).ranked(to)
+
+
+def beside(ranked: DataFrame, of: str, steps: tuple[int, ...], rank: str = "rank") -> DataFrame:
+    """Adds of_<k>: the value of `of` k ranks on (before, if k is negative), null beyond the ends. Stretches of ranks are separate
+    groups; a row near an end of one is copied to its neighbour."""
+    stretch = lambda d: F.floor((F.col(rank) + d) / STRETCH)
+    reach = max(abs(s) for s in steps)
+    copies = ranked.withColumn("__s", F.explode(F.array_distinct(F.array(stretch(-reach), stretch(0), stretch(reach)))))
+    w = Window.partitionBy("__s").orderBy(rank)
+    out = copies.select("*", *((F.lead(of, s) if s > 0 else F.lag(of, -s)).over(w).alias(f"{of}_{s}") for s in steps))
+    return out.filter(F.col("__s") == stretch(0)).drop("__s")
+
+
+def bucketed(rows: DataFrame, bucket: Column, order: list, within: list[str], **values) -> DataFrame:
+    """As Ordered.running(), without a stored table: `bucket` (a function that rises with the order, as a span of time) makes the
+    groups. rows are read twice, so they should be cheap. Only one row a bucket is put in order, so spans have to be wide
+    enough that they are few."""
+    keyed = rows.withColumn("__k", bucket)
+    key = [*within, "__k"]
+    totals = keyed.groupBy(*key).agg(*(kind(arg).alias(k) for k, (kind, arg, _) in values.items()))
+    buckets, inside = Window.partitionBy(*within).orderBy("__k"), Window.partitionBy(*key).orderBy(*order)
+    others = totals.select(*(F.col(c).alias(f"__j{i}") for i, c in enumerate(key)), *(kind(k).over(buckets.rowsBetween(*OUTER[f])).alias(f"__o_{k}") for k, (kind, _, f) in values.items()))
+    here = keyed.select("*", *(kind(arg).over(inside.rowsBetween(*INNER[f])).alias(f"__i_{k}") for k, (kind, arg, f) in values.items()))
+    both = here.join(others, [F.col(c) == F.col(f"__j{i}") for i, c in enumerate(key)])
+    return both.select(*(F.col(f"`{c}`") for c in rows.columns), *(joined(v[0], F.col(f"__i_{k}"), F.col(f"__o_{k}")).alias(k) for k, v in values.items()))

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import saved
+
 #: An event's signals and their weights.
 EVENT_WEIGHTS = {"first_time_source_to_dest": 0.22, "first_time_user_to_dest": 0.26, "first_time_source_user_to_dest": 0.42, "source_fanout": 0.10, "user_fanout": 0.10, "source_user_fanout": 0.20}
 FIRST_TIME = ("first_time_source_to_dest", "first_time_user_to_dest", "first_time_source_user_to_dest")
@@ -40,39 +42,56 @@ def fanout_reached(edges: DataFrame, keys: list[str], k: int) -> DataFrame:
 
 
 def warmup_end(events: DataFrame, n: int, within: tuple[str, ...] = ()) -> DataFrame:
-    """The order key of the n-th event (of each run); none if there are fewer. A bounded top-n, no window over all events,
-    unless runs are told apart."""
-    if within:
-        nth = F.row_number().over(Window.partitionBy(*within).orderBy("time", "seq"))
-        return events.withColumn("n", nth).filter(F.col("n") == n).select(*within, order_key().alias("warm"))
-    return events.orderBy("time", "seq").limit(n).agg(F.max(order_key()).alias("warm"), F.count("*").alias("n")).filter(F.col("n") == n).select("warm")
+    """The order key of the n-th event (of each run); none if there are fewer. Events are counted by second; the hour, then the
+    second of the n-th is found from running counts, and only that second's events are put in order."""
+    w = list(within)
+    seconds = events.groupBy(*w, "time").agg(F.count("*").alias("c"))
+    hours = seconds.groupBy(*w, F.floor(F.col("time") / 3600).alias("h")).agg(F.sum("c").alias("c"))
+
+    def reaching(counts: DataFrame, key: str, base: Column) -> DataFrame:
+        """The one row of each run in which the n-th event lies, with the number of events before it."""
+        run = F.sum("c").over(Window.partitionBy(*w).orderBy(key)) + base
+        return counts.withColumn("_to", run).withColumn("_from", run - F.col("c")).filter((F.col("_from") < n) & (F.col("_to") >= n))
+
+    hour = reaching(hours, "h", F.lit(0)).select(*w, "h", F.col("_from").alias("_base"))
+    inside = seconds.withColumn("h", F.floor(F.col("time") / 3600)).join(F.broadcast(hour), [*w, "h"])  # a row a run
+    second = reaching(inside, "time", F.col("_base")).select(*w, "time", F.col("_from"))
+    nth = F.row_number().over(Window.partitionBy(*w, "time").orderBy("seq"))
+    rows = events.join(F.broadcast(second), [*w, "time"]).withColumn("_n", nth + F.col("_from")).filter(F.col("_n") == n)
+    return rows.select(*w, order_key().alias("warm"))
 
 
 def event_signals(events: DataFrame, config: NoveltyConfig = NoveltyConfig()) -> DataFrame:
     """Adds signals (sorted array), first_time_hits and risk to events (time, seq, source, user, dest) that come at or after the
     warm-up's end; the events before it are learnt and dropped here. Each event is compared with strictly earlier ones.
 
-    Three edge tables are aggregated once and joined back; they are far smaller than the events.
+    All memory follows from one table, the first event of each source, user and destination: an event that is new in a smaller
+    key is one of those first events, and a key's fan-out is reached at one of them. So events meet two tables, by source, user
+    and destination, and by source and user.
     """
     w = list(config.within)
-    sd, ud, sud = w + ["source", "dest"], w + ["user", "dest"], w + ["source", "user", "dest"]
-    triples = first_seen(events, sud)
-    by_sd = triples.groupBy(*sd).agg(F.min("first").alias("first"))
+    sud, su = w + ["source", "user", "dest"], w + ["source", "user"]
+    triples = saved(first_seen(events, sud), "triples")
+    first = lambda *keys: F.min("first").over(Window.partitionBy(*w, *keys)) == F.col("first")
+    marks = triples.select(*sud, "first", first("source", "dest").alias("_sd"), ((F.col("user") != "") & first("user", "dest")).alias("_ud"))
     named = triples.filter("user <> ''")
-    by_ud = named.groupBy(*ud).agg(F.min("first").alias("first"))
+    by_sd = triples.groupBy(*w, "source", "dest").agg(F.min("first").alias("first"))
+    by_ud = named.groupBy(*w, "user", "dest").agg(F.min("first").alias("first"))
+    reached = triples.select(*su).distinct()
+    for name, edges, keys, k in (("_rs", by_sd, w + ["source"], config.min_source_fanout), ("_ru", by_ud, w + ["user"], config.min_user_fanout), ("_rsu", named, su, config.min_source_user_fanout)):
+        reached = reached.join(fanout_reached(edges, keys, k).withColumnRenamed("reached", name), keys, "left")
     ends = warmup_end(events, config.warmup_events, config.within)
     scored = (events.join(F.broadcast(ends), w) if w else events.crossJoin(F.broadcast(ends))).filter(order_key() >= F.col("warm")).drop("warm")
-    out = scored.join(by_sd.withColumnRenamed("first", "f_sd"), sd, "left").join(by_ud.withColumnRenamed("first", "f_ud"), ud, "left").join(named.withColumnRenamed("first", "f_sud"), sud, "left")
-    for name, edges, keys, k in (("r_s", by_sd, w + ["source"], config.min_source_fanout), ("r_u", by_ud, w + ["user"], config.min_user_fanout), ("r_su", named, w + ["source", "user"], config.min_source_user_fanout)):
-        out = out.join(fanout_reached(edges, keys, k).withColumnRenamed("reached", name), keys, "left")
+    out = scored.join(marks, sud, "left").join(reached, su, "left")
     own, user = order_key(), F.col("user") != ""
+    new = own == F.col("first")
     tests = {
-        "first_time_source_to_dest": own == F.col("f_sd"),
-        "first_time_user_to_dest": user & (own == F.col("f_ud")),
-        "first_time_source_user_to_dest": user & (own == F.col("f_sud")),
-        "source_fanout": own > F.col("r_s"),
-        "user_fanout": user & (own > F.col("r_u")),
-        "source_user_fanout": user & (own > F.col("r_su")),
+        "first_time_source_to_dest": new & F.col("_sd"),
+        "first_time_user_to_dest": new & F.col("_ud"),
+        "first_time_source_user_to_dest": user & new,
+        "source_fanout": own > F.col("_rs"),
+        "user_fanout": user & (own > F.col("_ru")),
+        "source_user_fanout": user & (own > F.col("_rsu")),
     }
     tests = {k: F.coalesce(v, F.lit(False)) for k, v in tests.items()}
     signals = F.array_sort(F.array_compact(F.array(*(F.when(t, F.lit(n)) for n, t in tests.items()))))

@@ -5,14 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import Ordered, bucketed, global_rank
+from .tables import saved
+
+#: Seconds of a bucket of time whose totals are put in order; a year has 8,766.
+SPAN = 3600
 
 def merge_intervals(intervals: DataFrame, reach: int = 0) -> DataFrame:
     """(start, end) merged where one starts no later than `reach` after the end of those before: 0 joins touching intervals, 1
-    also adjacent ones. Intervals come from labels, of which there are few; they are ordered in one window."""
-    before = Window.orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-    fresh = F.coalesce(F.col("start") > F.max("end").over(before) + reach, F.lit(True))
-    island = F.sum(F.col("_new").cast("int")).over(Window.orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0))
-    return intervals.withColumn("_new", fresh).withColumn("_island", island).groupBy("_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
+    also adjacent ones. Running maxima over a stored order, whose parts are separate tasks."""
+    rows = Ordered(intervals.select("start", "end"), F.col("start"), F.col("end")).running(reached=(F.max, "end", "before"))
+    fresh = rows.filter(F.col("reached").isNull() | (F.col("start") > F.col("reached") + reach)).select("start", "reached")
+    # A merged interval ends where what the next one has seen of ends before it ends.
+    later = bucketed(fresh, F.floor(F.col("start") / SPAN), ["start"], [], later=(F.min, F.struct("start", "reached"), "after"))
+    return later.crossJoin(F.broadcast(rows.agg(F.max("end").alias("top")))).select("start", F.coalesce("later.reached", "top").alias("end"))
 
 
 def around(labels: DataFrame, radius: int, clamp: bool = False) -> DataFrame:
@@ -53,21 +59,22 @@ def candidates(t_min: Column, t_max: Column, bounds: DataFrame, duration: int, s
 
 
 def without_overlap(windows: DataFrame, exclusions: DataFrame) -> DataFrame:
-    """Windows that overlap no exclusion (half-open). Merged exclusions are few: a broadcast anti-join on the range."""
-    x = exclusions.select(F.col("start").alias("xs"), F.col("end").alias("xe"))
-    return windows.join(F.broadcast(x), (F.col("start") < F.col("xe")) & (F.col("end") > F.col("xs")), "left_anti")
+    """Windows (start, end) that overlap no exclusion (half-open): an equi-join on buckets of time and a test inside."""
+    spread = lambda df: df.select("start", "end", F.explode(F.sequence(F.floor(F.col("start") / SPAN), F.floor(F.col("end") / SPAN))).alias("_b"))
+    x = spread(exclusions).toDF("xs", "xe", "_b")
+    hit = spread(windows).join(x, "_b").filter((F.col("start") < F.col("xe")) & (F.col("end") > F.col("xs"))).select("start", "end").distinct()
+    return windows.join(hit, ["start", "end"], "left_anti")
 
 
 def nearest_label(windows: DataFrame, labels: DataFrame, closed: bool = False) -> DataFrame:
-    """Adds distance to the nearest label, 0 inside. The label before and after each window come from one ordered pass over
-    windows and labels together."""
-    pts = labels.select(F.col("time").alias("at"), F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("end"), F.col("time").alias("label"))
-    up = Window.orderBy("at", F.col("label").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.orderBy("at", F.col("label").isNotNull()).rowsBetween(0, Window.unboundedFollowing)
-    both = windows.select(F.col("start").alias("at"), "start", "end", F.lit(None).cast("long").alias("label")).union(pts)
-    seen = both.withColumn("before", F.max("label").over(up)).withColumn("after", F.min("label").over(down)).filter("start is not null")
-    inside = (F.col("after") <= F.col("end")) if closed else (F.col("after") < F.col("end"))
-    gap = F.when(inside, 0).otherwise(F.least(F.col("start") - F.col("before"), F.col("after") - F.col("end") + (0 if closed else 0)))
+    """Adds distance to the nearest label, 0 inside. Windows and labels stand in one stored order, in which each window sees the
+    last label before and the first after its start."""
+    at = lambda c: F.lit(None).cast("long").alias(c)
+    both = windows.select(F.col("start").alias("at"), "start", "end", at("label")).union(labels.select(F.col("time").alias("at"), at("start"), at("end"), F.col("time").alias("label")))
+    seen = Ordered(both, F.col("at"), F.col("label").isNull(), F.col("end")).running(before=(F.max, "label", "upto"), next=(F.min, "label", "after")).filter("start is not null")
+    after = F.when(F.col("before") == F.col("start"), F.col("start")).otherwise(F.col("next"))
+    inside = (after <= F.col("end")) if closed else (after < F.col("end"))
+    gap = F.when(inside, 0).otherwise(F.least(F.col("start") - F.col("before"), after - F.col("end")))
     return seen.select("start", "end", gap.cast("long").alias("distance"))
 
 
@@ -88,11 +95,16 @@ def prorated_counts(windows: DataFrame, profile: DataFrame, size: int) -> DataFr
 
 
 def banded(windows: DataFrame, t_min: Column, t_max: Column) -> DataFrame:
-    """Adds band: in which third of the time the centre lies; and rank and percentile of density in it."""
+    """Adds band: in which third of the time the centre lies; and rank and percentile of density in it. Ranks come from one
+    order of all windows, percentiles from counts of equal densities."""
     third = (t_max - t_min) / 3
     centre = (F.col("start") + F.col("end")) / 2
     rows = windows.withColumn("band", F.when(centre < t_min + third, "early").when(centre < t_min + 2 * third, "middle").otherwise("late"))
-    return rows.withColumn("density_rank", F.row_number().over(Window.partitionBy("band").orderBy(F.desc("line_count"), "start"))).withColumn("density_percentile", F.cume_dist().over(Window.partitionBy("band").orderBy("line_count")))
+    ranked = global_rank(rows, F.col("band"), F.desc("line_count"), F.col("start"), to="_rank")
+    first = F.broadcast(ranked.groupBy("band").agg(F.min("_rank").alias("_first")))  # a row a band
+    own = Window.partitionBy("band")
+    share = ranked.groupBy("band", "line_count").agg(F.count("*").alias("_n")).select("band", "line_count", (F.sum("_n").over(own.orderBy("line_count")) / F.sum("_n").over(own)).alias("density_percentile"))
+    return ranked.join(first, "band").join(share, ["band", "line_count"]).select(*windows.columns, "band", (F.col("_rank") - F.col("_first") + 1).cast("int").alias("density_rank"), "density_percentile")
 
 
 def first_windows(windows: DataFrame, least: int, most: int, k: int) -> DataFrame:
@@ -118,4 +130,13 @@ def stratified_windows(windows: DataFrame, per_band: int, quantile: float, separ
 
 def overlapping_pairs(windows: DataFrame) -> DataFrame:
     """Windows that start before an earlier one ends; extraction wants none."""
-    return windows.withColumn("before", F.max("end").over(Window.orderBy("start").rowsBetween(Window.unboundedPreceding, -1))).filter(F.col("start") < F.col("before"))
+    return Ordered(windows, F.col("start"), F.col("end")).running(before=(F.max, "end", "before")).filter(F.col("start") < F.col("before"))
+
+
+def extract(events: DataFrame, windows: DataFrame, keep: list[str], width: int = SPAN) -> DataFrame:
+    """Events inside half-open windows, with columns `keep` of their window; raises if windows overlap."""
+    windows = saved(windows, "windows")
+    bad = overlapping_pairs(windows).head(1)
+    if bad:
+        raise ValueError(f"windows overlap at {bad[0]['start']}")
+    return in_intervals(events, windows, width, half_open=True, keep=keep)

@@ -239,7 +239,7 @@ def _gradient(of: str, to: str, src: str, out: str) -> str:
     return f"""{out} AS (SELECT *, CASE WHEN lag({of}) OVER w IS NULL THEN lead({of}) OVER w - {of} WHEN lead({of}) OVER w IS NULL THEN {of} - lag({of}) OVER w ELSE (lead({of}) OVER w - lag({of}) OVER w) / 2 END AS {to} FROM {src} WINDOW w AS (ORDER BY rank))"""
 
 
-ORACLES["score_curvature"] = f"""{_F}, g0 AS (SELECT rank, round(score, 6) AS s FROM fs WHERE rank <= 1000), {_gradient("s", "a", "g0", "g1")}, {_gradient("a", "b", "g1", "g2")} SELECT round(avg(b), 8) AS mean, round(stddev_pop(b), 8) AS std, round(avg(abs(b)), 8) AS abs_mean, round(max(abs(b)), 8) AS abs_max FROM g2"""
+ORACLES["score_curvature"] = f"""{_F}, g0 AS (SELECT rank, round(score, 6) AS s FROM fs), {_gradient("s", "a", "g0", "g1")}, {_gradient("a", "b", "g1", "g2")} SELECT round(avg(b), 8) AS mean, round(stddev_pop(b), 8) AS std, round(avg(abs(b)), 8) AS abs_mean, round(max(abs(b)), 8) AS abs_max, round(quantile_cont(abs(b), 0.95), 8) AS abs_p95, round(quantile_cont(abs(b), 0.99), 8) AS abs_p99 FROM g2"""
 ORACLES["centroid_distance"] = f"""{_G}, {_LONG}, lm AS (SELECT regime, feature, avg(v) AS m FROM lf GROUP BY ALL) SELECT x.regime AS a, y.regime AS b, round(sqrt(sum((x.m - y.m) ** 2)), 6) AS distance FROM lm AS x JOIN lm AS y ON x.feature = y.feature AND x.regime < y.regime GROUP BY ALL"""
 ORACLES["feature_delta"] = f"""{_G}, {_LONG}, ls AS (SELECT feature, avg(v) FILTER (regime = 'R2') AS ma, stddev_samp(v) FILTER (regime = 'R2') AS sa, avg(v) FILTER (regime = 'R0') AS mb, stddev_samp(v) FILTER (regime = 'R0') AS sb FROM lf GROUP BY ALL)
 SELECT feature, round(ma, 6) AS mean_a, round(sa, 6) AS std_a, round(mb, 6) AS mean_b, round(sb, 6) AS std_b, round(ma - mb, 6) AS delta, round(coalesce((ma - mb) / nullif(sqrt((sa ** 2 + sb ** 2) / 2), 0), 0), 6) AS standardised FROM ls"""

@@ -17,6 +17,7 @@ from emberlog.operators import queues as qu
 from emberlog.operators import variants as vr
 from emberlog.operators import windows as wn
 from emberlog.operators.graph import global_rank
+from emberlog.operators.tables import saved, small
 from emberlog.sources import readers as rd
 from emberlog.sources import views
 
@@ -35,9 +36,9 @@ def novelty_config(events: DataFrame) -> nv.NoveltyConfig:
 
 
 def detected(spark: SparkSession, sf_dir: str, preset: ep.Preset = ep.PRUNED) -> DataFrame:
-    """Kept by Spark for the session: range sorts and self-joins of later operators read it more than once."""
+    """A table, since range sorts and self-joins of later operators read it more than once."""
     events = views.auth(spark, sf_dir)
-    return ep.detect(events, novelty_config(events), preset).cache()
+    return saved(ep.detect(events, novelty_config(events), preset), "episodes")
 
 
 def six(name: str, alias: str | None = None):
@@ -127,22 +128,22 @@ DURATION, STRIDE, MARGIN, BUCKET = 120, 60, 60, 60
 
 @query
 def interval_merge(spark, sf_dir):
-    return wn.merge_intervals(wn.around(views.labels(spark, sf_dir), 60))
+    return wn.merge_intervals(wn.around(views.unnumbered_labels(spark, sf_dir), 60))
 
 
 @query
 def interval_merge_adjacent(spark, sf_dir):
-    return wn.merge_intervals(wn.around(views.labels(spark, sf_dir), 60), reach=1)
+    return wn.merge_intervals(wn.around(views.unnumbered_labels(spark, sf_dir), 60), reach=1)
 
 
 @query
 def sparse_window_filter(spark, sf_dir):
-    return wn.in_intervals(views.auth(spark, sf_dir), wn.merge_intervals(wn.around(views.labels(spark, sf_dir), 60)))
+    return wn.in_intervals(views.auth(spark, sf_dir), wn.merge_intervals(wn.around(views.unnumbered_labels(spark, sf_dir), 60)))
 
 
 @query
 def range_gate(spark, sf_dir):
-    return wn.in_range(views.auth(spark, sf_dir), views.labels(spark, sf_dir), 5)
+    return wn.in_range(views.auth(spark, sf_dir), views.unnumbered_labels(spark, sf_dir), 5)
 
 
 @query
@@ -152,7 +153,7 @@ def observed_range(spark, sf_dir):
 
 @query
 def candidate_cap(spark, sf_dir):
-    return wn.in_intervals(views.auth(spark, sf_dir), wn.merge_intervals(wn.around(views.labels(spark, sf_dir), 60))).orderBy("time", "seq").limit(500)
+    return wn.in_intervals(views.auth(spark, sf_dir), wn.merge_intervals(wn.around(views.unnumbered_labels(spark, sf_dir), 60))).orderBy("time", "seq").limit(500)
 
 
 @query
@@ -173,7 +174,7 @@ def profile_summary(spark, sf_dir):
 
 @query
 def exclusion_zones(spark, sf_dir):
-    return wn.around(views.labels(spark, sf_dir), 300, clamp=True)
+    return wn.around(views.unnumbered_labels(spark, sf_dir), 300, clamp=True)
 
 
 def all_candidates(spark, sf_dir):
@@ -181,7 +182,7 @@ def all_candidates(spark, sf_dir):
 
 
 def clean_candidates(spark, sf_dir):
-    return wn.without_overlap(all_candidates(spark, sf_dir), wn.merge_intervals(wn.around(views.labels(spark, sf_dir), MARGIN)))
+    return wn.without_overlap(all_candidates(spark, sf_dir), wn.merge_intervals(wn.around(views.unnumbered_labels(spark, sf_dir), MARGIN)))
 
 
 @query
@@ -196,7 +197,7 @@ def windows_without_labels(spark, sf_dir):
 
 @query
 def nearest_label_distance(spark, sf_dir):
-    return wn.nearest_label(all_candidates(spark, sf_dir), views.labels(spark, sf_dir))
+    return wn.nearest_label(all_candidates(spark, sf_dir), views.unnumbered_labels(spark, sf_dir))
 
 
 @query
@@ -231,8 +232,8 @@ def stratified_window_select(spark, sf_dir):
 
 @query
 def window_extraction(spark, sf_dir):
-    w = wn.merge_intervals(wn.around(views.labels(spark, sf_dir), 30)).withColumn("end", F.col("end") + 1)
-    return wn.in_intervals(views.auth(spark, sf_dir), w, half_open=True, keep=["start"]).groupBy("start").agg(F.count("*").alias("n"), F.min("time").alias("first_seen"), F.max("time").alias("last_seen"))
+    w = wn.merge_intervals(wn.around(views.unnumbered_labels(spark, sf_dir), 30)).withColumn("end", F.col("end") + 1)
+    return wn.extract(views.auth(spark, sf_dir), w, ["start"]).groupBy("start").agg(F.count("*").alias("n"), F.min("time").alias("first_seen"), F.max("time").alias("last_seen"))
 
 
 @query
@@ -459,7 +460,7 @@ def annotated_episodes(spark, sf_dir):
 
 def feature_table(spark, sf_dir):
     d = detected(spark, sf_dir)
-    return ft.feature_rows(d, mt.match_maps(mt.matches(d, views.labels(spark, sf_dir), 600))).cache()
+    return saved(ft.feature_rows(d, mt.match_maps(mt.matches(d, views.labels(spark, sf_dir), 600))), "features")
 
 
 def by_score(rows):
@@ -467,7 +468,7 @@ def by_score(rows):
 
 
 def queue(spark, sf_dir):
-    return by_score(detected(spark, sf_dir)).cache()
+    return by_score(detected(spark, sf_dir))
 
 
 def queues_of(spark, sf_dir):
@@ -528,7 +529,7 @@ def top_k_metrics(spark, sf_dir):
 
 def fitted(kind):
     def run(spark, sf_dir):
-        rows = ft.time_split(feature_table(spark, sf_dir)).cache()
+        rows = ft.time_split(feature_table(spark, sf_dir))
         model = ft.fit_ranker(rows.filter("part = 'train'"), kind)
         return ft.model_score(model, rows.filter("part = 'test'")).select("episode_key", "label", "model_score")
 
@@ -635,7 +636,7 @@ def signal_composition(spark, sf_dir):
 
 
 def regime_rows(spark, sf_dir):
-    return gm.phi(gm.regimes(by_score(feature_table(spark, sf_dir)), 100, 2000)).cache()
+    return gm.phi(gm.regimes(by_score(feature_table(spark, sf_dir)), 100, 2000))
 
 
 @query
@@ -673,8 +674,8 @@ def wasserstein_features(spark, sf_dir):
 
 @query
 def score_curvature(spark, sf_dir):
-    head = queue(spark, sf_dir).filter("rank <= 1000").withColumn("score", F.round("score", 6))
-    return gm.curvature(head, "score").select(*(F.round(c, 8).alias(c) for c in ("mean", "std", "abs_mean", "abs_max")))
+    scores = queue(spark, sf_dir).withColumn("score", F.round("score", 6))
+    return gm.curvature(scores, "score").select(*(F.round(c, 8).alias(c) for c in ("mean", "std", "abs_mean", "abs_max", "abs_p95", "abs_p99")))
 
 
 @query
@@ -729,13 +730,13 @@ def subtype_shares(spark, sf_dir):
 
 @query
 def triage_policies(spark, sf_dir):
-    rows = tail(spark, sf_dir).withColumn("score", F.round("score", 9)).cache()
+    rows = saved(tail(spark, sf_dir).withColumn("score", F.round("score", 9)), "tail")
     return gm.prefix_recall(gm.policies(rows), [25, 50, 100, 500, 1000]).withColumn("recall", F.round("recall", 6))
 
 
 @query
 def policy_bootstrap(spark, sf_dir):
-    rows = tail(spark, sf_dir).withColumn("score", F.round("score", 9)).cache()
+    rows = saved(tail(spark, sf_dir).withColumn("score", F.round("score", 9)), "tail")
     p = gm.policies(rows)
     return gm.bootstrap_recall(p["A"], p["C"], 500, 500, 7)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberlog.operators.graph import bucketed
+
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -19,12 +21,14 @@ def auth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).select("time", "seq", "source", "user", "dest")
 
 
-def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Label events are few, so numbering them all in order is one small window."""
-    from pyspark.sql import Window
+def unnumbered_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events(spark, sf_dir).filter((F.col("event_type") == "purchase") & (F.col("value") > 60)).select("time", "seq", "user", "source", "dest")
 
-    rows = events(spark, sf_dir).filter((F.col("event_type") == "purchase") & (F.col("value") > 60))
-    return rows.select((F.row_number().over(Window.orderBy("time", "seq")) - 1).alias("redteam_index"), "time", "user", "source", "dest")
+
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label events, numbered in order: counts of the hours before, and numbers inside each hour."""
+    rows = bucketed(unnumbered_labels(spark, sf_dir), F.floor(F.col("time") / 3600), ["time", "seq"], [], n=(F.sum, F.lit(1), "upto"))
+    return rows.select((F.col("n") - 1).alias("redteam_index"), "time", "user", "source", "dest")
 
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
