@@ -69,8 +69,10 @@ def next_ticks(ticks: DataFrame, wait: int, within: tuple[str, ...] = ()) -> Dat
     return found.join(after, w + ["bucket"]).select(*w, F.col("t").alias("time"), F.coalesce("inside", "after").alias("pop"))
 
 
-def sessions(signals: DataFrame, ticks: DataFrame, window: int = 300, within: tuple[str, ...] = ()) -> DataFrame:
-    """Adds `session` (1, 2, ... for each source and user) to events with signals.
+def sessions(signals: DataFrame, ticks: DataFrame, window: int = 300, within: tuple[str, ...] = (), carried: DataFrame | None = None) -> DataFrame:
+    """Adds `session` (1, 2, ... for each source and user) to events with signals, and `pop`, the exit of their entries.
+
+    carried: rows of an earlier batch with both; their sessions stay, and open ones may go on.
 
     An episode is closed through one queue shared by all keys: an entry written at t leaves it at the first event of any key at
     t + 2 * window or later, and closes its key's episode if that has been silent for a window by then. In closed form: an
@@ -79,13 +81,23 @@ def sessions(signals: DataFrame, ticks: DataFrame, window: int = 300, within: tu
     """
     w = list(within)
     key = w + ["source", "user"]
-    rows = signals.join(next_ticks(ticks, 2 * window, within), w + ["time"])
+    times = ticks.select(*w, "time")
+    rows = signals.join(next_ticks(times if carried is None else times.union(carried.select(*w, "time")), 2 * window, within), w + ["time"])
+    known = F.lit(None).cast("long")
+    if carried is not None:
+        # An exit that no earlier batch had a tick for is the first one here, if there is one.
+        late = next_ticks(times.union(carried.select(*w, "time")), 2 * window, within).withColumnRenamed("pop", "_pop")
+        old = carried.join(late, w + ["time"], "left").withColumn("pop", F.coalesce("pop", "_pop")).drop("_pop")
+        rows, known = rows.withColumn("session", F.lit(None).cast("long")).unionByName(old), F.col("session")
     by_time = Window.partitionBy(*key).orderBy("time")
     in_order = Window.partitionBy(*key).orderBy("time", "seq")
     exit_ = F.max("pop").over(by_time.rangeBetween(Window.unboundedPreceding, -2 * window))
     before = F.lag("time").over(in_order)
     new = F.coalesce(before.isNull() | (exit_ >= before + window), F.lit(False))
-    return rows.withColumn("_new", new.cast("int")).withColumn("session", F.sum("_new").over(in_order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new", "pop")
+    rows = rows.withColumn("_known", known).withColumn("_new", F.when(F.col("_known").isNull(), new.cast("int")).otherwise(0))
+    before = F.coalesce(F.max("_known").over(Window.partitionBy(*key)), F.lit(0))
+    here = F.sum("_new").over(in_order.rowsBetween(Window.unboundedPreceding, 0)) + before
+    return rows.withColumn("session", F.coalesce("_known", here)).drop("_new", "_known")
 
 
 def aggregate(rows: DataFrame, velocity_window: int = 120, within: tuple[str, ...] = ()) -> DataFrame:

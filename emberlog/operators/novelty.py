@@ -61,17 +61,24 @@ def warmup_end(events: DataFrame, n: int, within: tuple[str, ...] = ()) -> DataF
     return rows.select(*w, order_key().alias("warm"))
 
 
-def event_signals(events: DataFrame, config: NoveltyConfig = NoveltyConfig()) -> DataFrame:
+def triples_of(events: DataFrame, within: tuple[str, ...] = (), known: DataFrame | None = None) -> DataFrame:
+    """The first event of each source, user and destination, those of an earlier table included: a detector's memory."""
+    key = [*within, "source", "user", "dest"]
+    new = first_seen(events, key)
+    return saved(new if known is None else new.unionByName(known).groupBy(*key).agg(F.min("first").alias("first")), "triples")
+
+
+def event_signals(events: DataFrame, config: NoveltyConfig = NoveltyConfig(), triples: DataFrame | None = None) -> DataFrame:
     """Adds signals (sorted array), first_time_hits and risk to events (time, seq, source, user, dest) that come at or after the
     warm-up's end; the events before it are learnt and dropped here. Each event is compared with strictly earlier ones.
 
     All memory follows from one table, the first event of each source, user and destination: an event that is new in a smaller
     key is one of those first events, and a key's fan-out is reached at one of them. So events meet two tables, by source, user
-    and destination, and by source and user.
+    and destination, and by source and user. triples: that table where it is there already. A warm-up of no events drops none.
     """
     w = list(config.within)
     sud, su = w + ["source", "user", "dest"], w + ["source", "user"]
-    triples = saved(first_seen(events, sud), "triples")
+    triples = triples_of(events, config.within) if triples is None else triples
     first = lambda *keys: F.min("first").over(Window.partitionBy(*w, *keys)) == F.col("first")
     marks = triples.select(*sud, "first", first("source", "dest").alias("_sd"), ((F.col("user") != "") & first("user", "dest")).alias("_ud"))
     named = triples.filter("user <> ''")
@@ -80,8 +87,10 @@ def event_signals(events: DataFrame, config: NoveltyConfig = NoveltyConfig()) ->
     reached = triples.select(*su).distinct()
     for name, edges, keys, k in (("_rs", by_sd, w + ["source"], config.min_source_fanout), ("_ru", by_ud, w + ["user"], config.min_user_fanout), ("_rsu", named, su, config.min_source_user_fanout)):
         reached = reached.join(fanout_reached(edges, keys, k).withColumnRenamed("reached", name), keys, "left")
-    ends = warmup_end(events, config.warmup_events, config.within)
-    scored = (events.join(F.broadcast(ends), w) if w else events.crossJoin(F.broadcast(ends))).filter(order_key() >= F.col("warm")).drop("warm")
+    scored = events
+    if config.warmup_events > 0:
+        ends = F.broadcast(warmup_end(events, config.warmup_events, config.within))  # a row a run
+        scored = (events.join(ends, w) if w else events.crossJoin(ends)).filter(order_key() >= F.col("warm")).drop("warm")
     out = scored.join(marks, sud, "left").join(reached, su, "left")
     own, user = order_key(), F.col("user") != ""
     new = own == F.col("first")
@@ -101,8 +110,8 @@ def event_signals(events: DataFrame, config: NoveltyConfig = NoveltyConfig()) ->
 
 
 def running_distinct(events: DataFrame, key: list[str], of: str) -> DataFrame:
-    """Adds n_before: different values of `of` in a key's strictly earlier events."""
-    first = F.row_number().over(Window.partitionBy(*key, of).orderBy("time", "seq")) == 1
+    """Adds n_before: different values of `of`, nulls left out, in a key's strictly earlier events."""
+    first = (F.row_number().over(Window.partitionBy(*key, of).orderBy("time", "seq")) == 1) & F.col(of).isNotNull()
     before = Window.partitionBy(*key).orderBy("time", "seq").rowsBetween(Window.unboundedPreceding, -1)
     return events.withColumn("_f", first.cast("int")).withColumn("n_before", F.coalesce(F.sum("_f").over(before), F.lit(0))).drop("_f")
 

@@ -1,65 +1,243 @@
-"""Older session rules, as folds over each key's events in order."""
+"""Older detectors: other session rules, scores that each event can raise, tags that stay."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
-SHARED = "seq long, source string, user string, session long, start_time long"
+from .episodes import has, sessions
+from .graph import bucketed
+from .novelty import FANOUT, FIRST_TIME, NoveltyConfig, event_signals, order_key, running_distinct, trailing_distinct, warmup_end
+from .tables import saved
 
+HOUR = 3600
+KEY = ["source", "user"]
+FAR = (1 << 62) - 1
+#: What signals add to an event's risk, in four detectors.
+EARLY_FIRST, EARLY_FANOUT = 0.35, 0.25
+RATCHET_WEIGHTS = {"first_time_source_to_dest": 0.28, "first_time_user_to_dest": 0.32, "first_time_source_user_to_dest": 0.38, "source_fanout": 0.14, "user_fanout": 0.14, "source_user_fanout": 0.24}
+STRICT_WEIGHTS = {"first_time_source_to_dest": 0.22, "first_time_user_to_dest": 0.26, "first_time_source_user_to_dest": 0.42, "source_fanout": 0.10, "user_fanout": 0.10, "source_user_fanout": 0.20, "fanout_velocity": 0.22}
+STICKY_WEIGHTS = {"first_time_source_to_dest": 0.16, "first_time_user_to_dest": 0.18, "first_time_source_user_to_dest": 0.30, "source_fanout": 0.12, "user_fanout": 0.10, "source_user_fanout": 0.16}
 
-def anchored_sessions(signals: DataFrame, window: int = 300) -> DataFrame:
-    """Sessions that end `window` seconds after their first event: an event starts a new one if it comes at start + window or
-    later. Rows of a key lie together, sorted, and a task holds one key's start at a time."""
+
+def next_tick(rows: DataFrame, at: Column, ticks: DataFrame, to: str) -> DataFrame:
+    """Adds the first tick (time, seq) at time `at` or later, as a struct; null if there is none."""
+    none = F.lit(None)
+    row = F.struct(*rows.columns)
+    kind = rows.select(row.alias("r")).schema["r"].dataType
+    both = rows.select(row.alias("_row"), at.alias("_at"), none.cast("struct<time: bigint, seq: bigint>").alias("_tick")).union(ticks.select(none.cast(kind), "time", F.struct("time", "seq")))
+    found = bucketed(both, F.floor(F.col("_at") / HOUR), ["_at", F.col("_tick").isNotNull()], [], **{to: (F.min, "_tick", "from")})
+    return found.filter("_row is not null").select("_row.*", to)
+
+
+def heads(events: DataFrame) -> DataFrame:
+    """The first event of each second."""
+    return events.groupBy("time").agg(F.min("seq").alias("seq"))
+
+
+def cleanup_ticks(ticks: DataFrame, window: int, span: int = 86_400) -> DataFrame:
+    """Times of clean-ups: the first tick more than a window after time 0, then always the first more than a window after the one
+    before.
+
+    A chain through all ticks, followed in spans of time at once: inside a span each tick's way out of it is found from the
+    last tick back; only ticks at which a chain can enter a span, at most `window` + 1 of each, are followed one after another;
+    then every span walks on from where the chain enters it.
+    """
+    after = saved(next_tick(ticks.select("time"), F.col("time") + window + 1, ticks, "_n").select("time", F.col("_n.time").alias("next"), F.floor(F.col("time") / span).alias("span")), "next-ticks")
+
+    def ways_out(pdf):
+        out = {}
+        for t, n in sorted(zip(pdf["time"], pdf["next"], strict=True), reverse=True):
+            out[t] = out.get(n, n)  # a tick in this span leads on as its own way out does
+        return pdf.assign(next=[out[t] for t in pdf["time"]])
+
+    out = after.groupBy("span").applyInPandas(ways_out, "time long, next double, span long").withColumn("next", F.col("next").cast("long"))
+    first = after.filter(F.col("time") > window).agg(F.min("time").alias("time"))
+    enters = out.select(F.col("next").alias("time")).filter("time is not null").union(first).distinct()
+    hops = out.join(enters, "time").select("time", "next").crossJoin(F.broadcast(first.withColumnRenamed("time", "start")))
+
+    def follow(pdf):
+        way, at, seen = dict(zip(pdf["time"], pdf["next"], strict=True)), pdf["start"].iloc[0], []
+        while at == at and at is not None and at in way:
+            seen.append(int(at))
+            at = way[at]
+        return pdf.iloc[:0][["time"]].reindex(range(len(seen))).assign(time=seen)
+
+    entered = hops.groupBy("start").applyInPandas(follow, "time long").select(F.floor(F.col("time") / span).alias("span"), F.col("time").alias("enter"))
+
+    def walk(pdf):
+        way, at, seen = dict(zip(pdf["time"], pdf["next"], strict=True)), pdf["enter"].iloc[0], []
+        while at == at and at is not None and at in way:
+            seen.append(int(at))
+            at = way[at]
+        return pdf.iloc[:0][["time"]].reindex(range(len(seen))).assign(time=seen)
+
+    return after.join(entered, "span").groupBy("span").applyInPandas(walk, "time long")
+
+
+def until_sessions(rows: DataFrame) -> DataFrame:
+    """Adds session and start_time to rows (source, user, time, seq, until: struct of time and seq): the first event of a session
+    says until when it lasts, that place included; null means to the end. Rows of a key lie together, sorted, and a task holds
+    one key's end at a time."""
 
     def fold(batches):
-        key, start, n = None, 0, 0
+        key, end, start, n = None, None, 0, 0
         for pdf in batches:
-            sessions, starts = [], []
-            for source, user, time in zip(pdf["source"], pdf["user"], pdf["time"], strict=True):
+            found, starts = [], []
+            for source, user, time, seq, ut, us in zip(pdf["source"], pdf["user"], pdf["time"], pdf["seq"], pdf["until_time"], pdf["until_seq"], strict=True):
                 if (source, user) != key:
-                    key, start, n = (source, user), time, 1
-                elif time >= start + window:
-                    start, n = time, n + 1
-                sessions.append(n)
+                    key, n, end = (source, user), 0, (-1, -1)
+                if (time, seq) > end:
+                    start, n, end = time, n + 1, (ut, us)
+                found.append(n)
                 starts.append(start)
-            yield pdf[["seq", "source", "user"]].assign(session=sessions, start_time=starts)
+            yield pdf[["source", "user", "time", "seq"]].assign(session=found, start_time=starts)
+
+    own = rows.select(*KEY, "time", "seq", F.coalesce("until.time", F.lit(FAR)).alias("until_time"), F.coalesce("until.seq", F.lit(FAR)).alias("until_seq"))
+    marks = own.repartition(*KEY).sortWithinPartitions(*KEY, "time", "seq").mapInPandas(fold, "source string, user string, time long, seq long, session long, start_time long")
+    return rows.drop("until").join(marks, [*KEY, "time", "seq"])
+
 
-    rows = signals.select("seq", "source", "user", "time").repartition("source", "user").sortWithinPartitions("source", "user", "time", "seq")
-    return rows.mapInPandas(fold, SHARED)
+def anchored_sessions(signals: DataFrame, window: int = 300) -> DataFrame:
+    """Sessions that end `window` seconds after their first event: an event starts a new one if it comes at start + window or
+    later."""
+    until = F.struct((F.col("time") + window - 1).alias("time"), F.lit(FAR).alias("seq"))
+    return until_sessions(signals.withColumn("until", until))
 
 
-def ratchet_scores(rows: DataFrame, config: tuple[float, float, float, float] = (0.18, 0.08, 0.30, 0.15)) -> DataFrame:
-    """One row for each episode of rows (source, user, session, time, seq, dest, risk, signals): a score that each event can
-    raise: the larger of the last score and the event's risk, plus a bonus while the episode is compact, plus one for each kind
-    of first-time signal so far, less penalties while it is oversized or long."""
-    compact, first, oversize, long = config
+def early_signals(events: DataFrame, warmup: int, gated: bool, numbered: bool, users_of_source: bool = False) -> DataFrame:
+    """Adds signals and risk to events (and, if there is one, a column success, without which nothing is signalled): first-time
+    edges after the warm-up, fan-out (after it too, if gated), named with its size if numbered, and users of a source."""
+    first = lambda *k: F.row_number().over(Window.partitionBy(*k).orderBy("time", "seq")) == 1
+    e = running_distinct(running_distinct(events, ["source"], "dest").withColumnRenamed("n_before", "_s"), ["user"], "dest").withColumnRenamed("n_before", "_u")
+    if users_of_source:
+        named = F.when(F.col("user") != "", F.col("user"))
+        e = running_distinct(e.withColumn("_named", named), ["source"], "_named").withColumnRenamed("n_before", "_su").drop("_named")
+    e = e.withColumn("_sd", first("source", "dest")).withColumn("_ud", first("user", "dest") & (F.col("user") != ""))
+    e = e.crossJoin(F.broadcast(warmup_end(events, warmup))).withColumn("_warm", order_key() >= F.col("warm"))
+    good = F.col("success") if "success" in events.columns else F.lit(True)
+    wide = good & (F.col("_warm") if gated else F.lit(True))
+    name = lambda kind, size: F.concat(F.lit(f"{kind}_"), size) if numbered else F.lit(kind)
+    tests = [(F.lit("first_time_user_to_dest"), EARLY_FIRST, good & F.col("_warm") & F.col("_ud")), (F.lit("first_time_source_to_dest"), EARLY_FIRST * 0.8, good & F.col("_warm") & F.col("_sd"))]
+    tests += [(name("source_fanout", F.col("_s")), EARLY_FANOUT, wide & (F.col("_s") >= 5)), (name("user_fanout", F.col("_u")), EARLY_FANOUT, wide & (F.col("user") != "") & (F.col("_u") >= 5))]
+    if users_of_source:
+        tests.append((F.lit("source_user_fanout"), EARLY_FANOUT, wide & (F.col("_su") >= 3)))
+    signals = F.array_sort(F.array_compact(F.array(*(F.when(t, n) for n, _, t in tests))))
+    risk = F.least(F.lit(1.0), sum((F.when(t, w).otherwise(0.0) for _, w, t in tests), F.lit(0.0)))
+    return e.select(*events.columns, signals.alias("signals"), risk.alias("risk"))
 
-    def fold(batches):
-        key, s = None, {}
-        out = []
-        for pdf in batches:
-            for e in pdf.itertuples(index=False):
-                own = (e.source, e.user, e.session)
-                if own != key:
-                    if key:
-                        out.append((*key, s["n"], s["score"]))
-                    key, s = own, {"n": 0, "score": 0.0, "start": e.time, "dests": set(), "tags": set()}
-                s["n"] += 1
-                s["dests"].add(e.dest)
-                s["tags"] |= {x for x in e.signals if x.startswith("first_time")}
-                duration, d = e.time - s["start"], len(s["dests"])
-                score = max(s["score"], e.risk) + compact * (3 <= d <= 12 and duration <= 600) + first * len(s["tags"]) - oversize * (d > 25) - long * (duration > 1200)
-                s["score"] = min(1.0, max(0.0, score))
-            if out:
-                yield frame(out)
-                out = []
-        if key:
-            yield frame([(*key, s["n"], s["score"])])
-
-    def frame(rows):
-        import pandas as pd
-
-        return pd.DataFrame(rows, columns=["source", "user", "session", "events_count", "score"])
-
-    ordered = rows.select("source", "user", "session", "time", "seq", "dest", "risk", "signals").repartition("source", "user").sortWithinPartitions("source", "user", "time", "seq")
-    return ordered.mapInPandas(fold, "source string, user string, session long, events_count long, score double")
+
+def early_episodes(rows: DataFrame, least_signals: int = 2, least_events: int = 1) -> DataFrame:
+    """One row for each session, and whether it is kept: enough different signals and events."""
+    out = rows.groupBy(*KEY, "session", "start_time").agg(F.max("time").alias("end_time"), F.count("*").alias("events_count"), F.countDistinct("dest").alias("destination_count"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("signals")))).alias("signals"), F.max("risk").alias("max_risk"))
+    return out.withColumn("kept", (F.size("signals") >= least_signals) & (F.col("events_count") >= least_events))
+
+
+def every_event_episodes(events: DataFrame, warmup: int, window: int = 300) -> DataFrame:
+    """Every event of a key joins its episode, also failed and unsignalled ones. The first event of any key that comes more than a
+    window after an episode's start closes it, and belongs to it if it is of its key."""
+    rows = early_signals(events, warmup, gated=False, numbered=True)
+    return early_episodes(until_sessions(next_tick(rows, F.col("time") + window + 1, heads(events), "until")))
+
+
+def cleanup_episodes(events: DataFrame, warmup: int, window: int = 300) -> DataFrame:
+    """Events with signals only; episodes older than a window are closed at clean-ups, which are more than a window apart."""
+    ticks = heads(events)
+    cleanups = saved(cleanup_ticks(ticks, window), "clean-ups").withColumn("seq", F.lit(FAR))
+    rows = early_signals(events, warmup, gated=True, numbered=True).filter(F.size("signals") > 0)
+    rows = next_tick(rows, F.col("time") + window + 1, cleanups, "_c")
+    until = F.when(F.col("_c").isNotNull(), F.struct((F.col("_c.time") - 1).alias("time"), F.lit(FAR).alias("seq")))
+    return early_episodes(until_sessions(rows.withColumn("until", until).drop("_c")))
+
+
+def anchored_episodes(events: DataFrame, warmup: int, window: int = 300) -> DataFrame:
+    """Events with signals, users of a source among them; sessions from a fixed start; two signals and three events at least."""
+    rows = early_signals(events, warmup, gated=True, numbered=False, users_of_source=True).filter(F.size("signals") > 0)
+    return early_episodes(anchored_sessions(rows, window), least_events=3)
+
+
+def risk_of(weights: dict[str, float]) -> Column:
+    return F.least(F.lit(1.0), sum((F.when(has(k), v).otherwise(0.0) for k, v in weights.items()), F.lit(0.0)))
+
+
+EPISODE = [*KEY, "session"]
+
+
+def so_far(rows: DataFrame, tags: tuple[str, ...]) -> DataFrame:
+    """Adds what an episode is at each of its events: n, d (destinations), duration, and s_<tag>, whether a tag has come up."""
+    w = Window.partitionBy(*EPISODE).orderBy("time", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    new = F.row_number().over(Window.partitionBy(*EPISODE, "dest").orderBy("time", "seq")) == 1
+    out = rows.withColumn("_new", new.cast("int")).withColumn("n", F.count("*").over(w)).withColumn("d", F.sum("_new").over(w)).withColumn("duration", F.col("time") - F.min("time").over(w))
+    return out.withColumns({f"s_{t}": F.max(has(t)).over(w) for t in tags}).drop("_new")
+
+
+def ratcheted(rows: DataFrame, change: Column) -> DataFrame:
+    """One row for each episode. At each event the score becomes the larger of itself and the event's risk, plus `change`, between
+    0 and 1; events are folded in order inside one expression."""
+    step = F.struct("time", "seq", F.col("risk").alias("e"), change.alias("b"))
+    fold = F.aggregate("_steps", F.lit(0.0), lambda score, x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.greatest(score, x["e"]) + x["b"])))
+    out = rows.groupBy(*EPISODE).agg(F.min("time").alias("start_time"), F.max("time").alias("end_time"), F.count("*").alias("events_count"), F.countDistinct("dest").alias("destination_count"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("signals")))).alias("signals"), F.array_sort(F.collect_list(step)).alias("_steps"))
+    return out.withColumn("score", fold).drop("_steps")
+
+
+def of(condition: Column, value: float) -> Column:
+    return F.when(condition, value).otherwise(0.0)
+
+
+def first_time_kinds() -> Column:
+    return sum((F.col(f"s_{t}").cast("int") for t in FIRST_TIME), F.lit(0))
+
+
+def ratchet_scores(events: DataFrame, novelty: NoveltyConfig = NoveltyConfig(), window: int = 300) -> DataFrame:
+    """Episodes whose score each event can raise: .18 while they are compact, .08 for each kind of first-time edge so far, less
+    .30 while they reach too many destinations and .15 while they are long. Kept with three events, .75 and a first-time edge."""
+    signals = event_signals(events, novelty).filter(F.size("signals") > 0).withColumn("risk", risk_of(RATCHET_WEIGHTS))
+    rows = so_far(sessions(signals, events, window), FIRST_TIME)
+    long = F.greatest(F.lit(1), F.col("duration"))
+    change = of(F.col("n").between(3, 25) & (F.col("d") <= 10) & (long <= window), 0.18) + 0.08 * first_time_kinds() - of(F.col("d") > 25, 0.30) - of(long > window, 0.15)
+    out = ratcheted(rows, change)
+    return out.withColumn("kept", (F.col("events_count") >= 3) & (F.col("score") >= 0.75 - 1e-9) & F.exists("signals", lambda s: s.startswith("first_time")))
+
+
+def strict_ratchet_scores(events: DataFrame, novelty: NoveltyConfig = NoveltyConfig(), window: int = 300) -> DataFrame:
+    """The same with a signal of its own for three destinations or more of a source and user in 120 seconds of events after the
+    warm-up, other steps, and stricter rules: .82, a new source-user-destination, and a new edge of the source or user."""
+    scored = trailing_distinct(event_signals(events, novelty), KEY, "dest", 120, "_v")
+    fast = F.when(F.col("_v") >= 3, F.array_sort(F.array_append("signals", F.lit("fanout_velocity")))).otherwise(F.col("signals"))
+    signals = scored.withColumn("signals", fast).drop("_v").filter(F.size("signals") > 0).withColumn("risk", risk_of(STRICT_WEIGHTS))
+    rows = so_far(sessions(signals, events, window), (*FIRST_TIME, "fanout_velocity"))
+    d, long = F.col("d"), F.col("duration")
+    change = of(F.col("n").between(3, 30) & (d <= 10) & (long <= 420), 0.22) + of(F.col("s_fanout_velocity"), 0.10) + 0.05 * first_time_kinds() - of(d > 25, 0.35) - F.when(long > 900, 0.30).when(long > window, 0.12).otherwise(0.0)
+    out = ratcheted(rows, change)
+    edge = has("first_time_source_to_dest") | has("first_time_user_to_dest")
+    return out.withColumn("kept", (F.col("events_count") >= 3) & (F.col("score") >= 0.82 - 1e-9) & has("first_time_source_user_to_dest") & edge)
+
+
+def sticky_episodes(events: DataFrame, novelty: NoveltyConfig = NoveltyConfig(), window: int = 300) -> DataFrame:
+    """Episodes that are shaped anew at each event, and keep every tag that they had once. First-time hits count each kind, so
+    novelty may exceed 1."""
+    signals = event_signals(events, novelty).filter(F.size("signals") > 0).withColumn("risk", risk_of(STICKY_WEIGHTS))
+    rows = so_far(sessions(signals, events, window), (*FIRST_TIME, *FANOUT))
+    w = Window.partitionBy(*EPISODE).orderBy("time", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    n, d, long = F.col("n"), F.col("d"), F.greatest(F.lit(1), F.col("duration"))
+    s = lambda *tags: sum((F.col(f"s_{t}").cast("int") for t in tags), F.lit(0))
+    rows = rows.withColumn("novelty", F.sum("first_time_hits").over(w) / n).withColumn("velocity", F.least(F.lit(1.0), d / F.greatest(long / 60, F.lit(1.0)) / 3.0))
+    rows = rows.withColumn("s_compact", F.max(n.between(3, 35) & d.between(3, 12) & (long <= 600)).over(w)).withColumn("s_velocity", F.max(F.col("velocity") >= 0.65).over(w))
+    rows = rows.withColumn("kinds", s(*FIRST_TIME, *FANOUT, "compact", "velocity"))
+    penalties = {"entropy_many_events": (n > 80, 0.10), "entropy_extreme_events": (n > 200, 0.20), "entropy_long_duration": (F.col("duration") > 1800, 0.15), "entropy_excessive_destinations": (d > 40, 0.20), "entropy_low_novelty": (F.col("novelty") < 0.25, 0.20)}
+    converged = F.col("s_first_time_source_user_to_dest") & F.col("s_compact") & (F.col("s_source_user_fanout") | F.col("s_source_fanout"))
+    tags = {"compact_lateral_burst": F.col("s_compact"), "fanout_velocity": F.col("s_velocity"), "low_convergence_penalty": F.col("kinds") < 3, "propagation_convergence_bonus": converged, **{k: c for k, (c, _) in penalties.items()}}
+    now = F.struct("n", "d", "duration", "novelty", "velocity", "kinds", *(F.col(f"s_{t}") for t in (*FIRST_TIME, *FANOUT, "compact", "velocity")))
+    out = rows.groupBy(*EPISODE).agg(F.min("time").alias("start_time"), F.max("time").alias("end_time"), F.max("risk").alias("max_risk"), F.max_by(now, order_key()).alias("x"), *(F.max(c).alias(f"t_{t}") for t, c in tags.items())).select("*", "x.*").drop("x")
+    # The weights of an episode's tags.
+    weights = (("first_time_source_user_to_dest", 0.30), ("first_time_user_to_dest", 0.18), ("first_time_source_to_dest", 0.16), ("source_user_fanout", 0.16), ("source_fanout", 0.12), ("user_fanout", 0.10), ("compact", 0.18))
+    compactness = F.least(F.lit(1.0), d / long / 0.03)
+    raw = sum((of(F.col(f"s_{t}"), v) for t, v in weights), F.lit(0.0)) + F.when(F.col("s_velocity"), 0.18 * F.col("velocity")).otherwise(0.0) + 0.10 * compactness
+    raw = F.least(F.lit(1.0), F.when(F.col("kinds") < 3, raw * 0.5).otherwise(raw) + of(converged, 0.12))
+    penalty = F.least(F.lit(0.65), sum((of(c, v) for c, v in penalties.values()), F.lit(0.0)))
+    first = s(*FIRST_TIME)
+    gate = F.when(F.col("s_first_time_source_user_to_dest") & F.col("s_compact") & (s(*FANOUT) > 0), "A").when((F.col("velocity") >= 0.65) & (first >= 2), "B").when((F.col("novelty") >= 0.50) & (d >= 3) & (F.col("duration") <= 600), "C").otherwise("none")
+    out = out.withColumn("raw_score", raw).withColumn("entropy_penalty", penalty).withColumn("score", F.greatest(F.lit(0.0), F.col("raw_score") - F.col("entropy_penalty"))).withColumn("candidate_gate", gate)
+    reason = F.when(n < 3, "too_few_events").when(first == 0, "no_first_time_edge").when(F.col("candidate_gate") == "none", "no_candidate_gate").when(F.col("score") < 0.75 - 1e-9, "below_min_score")
+    names = F.array_sort(F.array_compact(F.array(*(F.when(F.col(f"s_{t}"), F.lit(t)) for t in (*FIRST_TIME, *FANOUT)), *(F.when(F.col(f"t_{t}"), F.lit(t)) for t in tags))))
+    return out.withColumn("suppression_reason", reason).withColumn("signals", names).withColumnRenamed("n", "events_count").withColumnRenamed("d", "destination_count").drop(*(c for c in out.columns if c.startswith(("s_", "t_"))), "kinds")

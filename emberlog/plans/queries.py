@@ -14,7 +14,6 @@ from emberlog.operators import geometry as gm
 from emberlog.operators import matching as mt
 from emberlog.operators import novelty as nv
 from emberlog.operators import queues as qu
-from emberlog.operators import variants as vr
 from emberlog.operators import windows as wn
 from emberlog.operators.graph import global_rank
 from emberlog.operators.tables import saved, small
@@ -741,16 +740,6 @@ def policy_bootstrap(spark, sf_dir):
     return gm.bootstrap_recall(p["A"], p["C"], 500, 500, 7)
 
 
-@query
-def anchored_sessions(spark, sf_dir):
-    return vr.anchored_sessions(signalled(spark, sf_dir).filter(F.size("signals") > 0))
-
-
-@query
-def ratchet_scores(spark, sf_dir):
-    return vr.ratchet_scores(session_rows(spark, sf_dir)).withColumn("score", F.round("score", 6))
-
-
 def example_policy(spark, sf_dir):
     """Roles act as most of their events do: a role may do what it does in a twentieth of its events or more."""
     e = views.access(spark, sf_dir)
