@@ -5,10 +5,14 @@ from __future__ import annotations
 import math
 from collections import Counter
 from dataclasses import dataclass
+from types import SimpleNamespace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .features import auc_ap
+from .tables import saved, small
+
 
 @dataclass(frozen=True)
 class DecisionConfig:
@@ -38,7 +42,8 @@ class DecisionConfig:
 
 @dataclass(frozen=True)
 class Policy:
-    """Tables of a policy, all small: (role, action), (role, resource) where * allows all, and lists."""
+    """Tables of a policy: (role, action), (role, resource) where * allows all, and lists. A table is broadcast if it was counted
+    and is small, else joined as any other."""
 
     role_actions: DataFrame
     role_resources: DataFrame
@@ -58,10 +63,9 @@ def with_defaults(events: DataFrame) -> DataFrame:
 
 def policy_risk(events: DataFrame, policy: Policy) -> DataFrame:
     """Adds semantic_risk and policy_reasons (array of codes)."""
-    a = F.broadcast(policy.role_actions.select("role", "action").distinct().withColumn("_ra", F.lit(True)))
-    r = F.broadcast(policy.role_resources.select("role", "resource").distinct().withColumn("_rr", F.lit(True)))
-    known = F.broadcast(policy.role_actions.select("role").distinct().withColumn("_known", F.lit(True)))
-    every = F.broadcast(policy.role_resources.filter("resource = '*'").select("role").distinct().withColumn("_all", F.lit(True)))
+    actions, resources = saved(policy.role_actions.select("role", "action").distinct(), "role-actions"), saved(policy.role_resources.select("role", "resource").distinct(), "role-resources")
+    a, r = small(actions.withColumn("_ra", F.lit(True))), small(resources.withColumn("_rr", F.lit(True)))
+    known, every = small(actions.select("role").distinct().withColumn("_known", F.lit(True))), small(resources.filter("resource = '*'").select("role").withColumn("_all", F.lit(True)))
     e = with_defaults(events).join(a, ["role", "action"], "left").join(r, ["role", "resource"], "left").join(known, "role", "left").join(every, "role", "left")
     rules = (
         ("role_unknown", 0.25, F.col("_known").isNull()),
@@ -80,7 +84,7 @@ def new_role_actions(events: DataFrame) -> DataFrame:
     """Adds new_role_action: no earlier event of any actor has this role and action. The one memory that actors share, so it is
     taken before events are dealt to actors."""
     first = events.groupBy("role", "action").agg(F.min(F.struct("time", "seq")).alias("_f"))
-    return events.join(F.broadcast(first), ["role", "action"]).withColumn("new_role_action", F.col("_f") == F.struct("time", "seq")).drop("_f")
+    return events.join(first, ["role", "action"]).withColumn("new_role_action", F.col("_f") == F.struct("time", "seq")).drop("_f")
 
 
 def list_entropy(values: list[str]) -> float:
@@ -109,6 +113,8 @@ class Past:
 
 
 class Actor(Past):
+    """An actor's memory; kept() and recalled() turn it into a row of ACTORS and back."""
+
     def __init__(self):
         super().__init__()
         self.roles, self.acts, self.uses, self.devices, self.ips = set(), set(), set(), set(), set()
@@ -145,6 +151,25 @@ class Actor(Past):
         self.suspicion = min(1.0, c.suspicion_decay * self.suspicion + (1 - c.suspicion_decay) * fused)
 
 
+    def kept(self, actor: str) -> tuple:
+        own = lambda p: (p.n, p.actions, p.resources, p.baseline)
+        contexts = [{"role": r, "resource": x, **dict(zip(("n", "actions", "resources", "baseline"), own(p), strict=True))} for (r, x), p in sorted(self.contexts.items())]
+        return (actor, *own(self), *map(sorted, (self.roles, self.acts, self.uses, self.devices, self.ips)), self.risk, self.suspicion, contexts)
+
+    @classmethod
+    def recalled(cls, row) -> Actor:
+        out = cls()
+        for p, x in ((out, row), *((out.contexts.setdefault((c["role"], c["resource"]), Past()), c) for c in row["contexts"])):
+            p.n, p.actions, p.resources, p.baseline = int(x["n"]), list(x["actions"]), list(x["resources"]), x["baseline"]
+        out.roles, out.acts, out.uses, out.devices, out.ips = (set(row[k]) for k in ("roles", "acts", "uses", "devices", "ips"))
+        out.risk, out.suspicion = row["risk"], row["suspicion"]
+        return out
+
+
+PAST = "n long, actions array<string>, resources array<string>, baseline double"
+ACTORS = f"actor string, {PAST}, roles array<string>, acts array<string>, uses array<string>, devices array<string>, ips array<string>, risk double, suspicion double, contexts array<struct<role string, resource string, {PAST}>>"
+
+
 def confidence_of(s: float, b: float, g: float) -> float:
     agree, low, support = 1 - (max(s, b, g) - min(s, b, g)), 1 - max(s, b, g), 1 - abs(s - b)
     return min(1.0, max(0.0, 0.45 * agree + 0.40 * low + 0.15 * support))
@@ -209,21 +234,111 @@ def decide(events: DataFrame, policy: Policy, config: DecisionConfig = DecisionC
     return governed(risks(new_role_actions(policy_risk(events, policy)), config), config)
 
 
+@dataclass(frozen=True)
+class DecisionState:
+    """What decisions remember, as tables: a row for each actor (see ACTORS), and the roles' actions that are known."""
+
+    actors: DataFrame
+    role_actions: DataFrame
+
+    def save(self, folder: str) -> None:
+        self.actors.write.mode("overwrite").parquet(f"{folder}/actors")
+        self.role_actions.write.mode("overwrite").parquet(f"{folder}/role_actions")
+
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str) -> DecisionState:
+        return cls(spark.read.parquet(f"{folder}/actors"), spark.read.parquet(f"{folder}/role_actions"))
+
+
+def learnt(events: DataFrame, policy: Policy, config: DecisionConfig = DecisionConfig()) -> DecisionState:
+    """The state after all these events."""
+
+    def fold(batches):
+        import pandas as pd
+
+        names = ["actor", "n", "actions", "resources", "baseline", "roles", "acts", "uses", "devices", "ips", "risk", "suspicion", "contexts"]
+        actor, state = None, Actor()
+        for pdf in batches:
+            out = []
+            for e in pdf.itertuples(index=False):
+                if e.actor != actor:
+                    if actor is not None:
+                        out.append(state.kept(actor))
+                    actor, state = e.actor, Actor()
+                b, _ = state.behaviour(e, config)
+                g, _ = state.graph(e)
+                state.remember(e, fused_of(e.semantic_risk, b, g, confidence_of(e.semantic_risk, b, g), config), config)
+            if out:
+                yield pd.DataFrame(out, columns=names)
+        if actor is not None:
+            yield pd.DataFrame([state.kept(actor)], columns=names)
+
+    rows = new_role_actions(policy_risk(events, policy)).repartition("actor").sortWithinPartitions("actor", "time", "seq")
+    return DecisionState(saved(rows.mapInPandas(fold, ACTORS), "actors"), saved(events.select("role", "action").distinct(), "known-actions"))
+
+
+def frozen_decisions(events: DataFrame, policy: Policy, state: DecisionState, config: DecisionConfig = DecisionConfig()) -> DataFrame:
+    """Decisions on events against a state that they don't change: each is judged on its own, so order and batches don't matter.
+    Events meet their actor's row; rows of an actor lie together, and its memory is read once for each batch."""
+
+    def judge(batches):
+        for pdf in batches:
+            known, out = {}, []
+            for e in pdf.to_dict("records"):
+                actor = known.get(e["actor"])
+                if actor is None:
+                    actor = known[e["actor"]] = Actor.recalled(e["_state"]) if e["_state"] is not None else Actor()
+                row = SimpleNamespace(**e)
+                b, why = actor.behaviour(row, config)
+                g, edges = actor.graph(row)
+                conf = confidence_of(row.semantic_risk, b, g)
+                out.append((b, g, conf, fused_of(row.semantic_risk, b, g, conf, config), [*row.policy_reasons, *why, *edges]))
+            yield pdf.drop(columns="_state").assign(**{n: [o[i] for o in out] for i, n in enumerate(("behavioral_risk", "graph_risk", "confidence", "fusion_risk", "reasons"))})
+
+    known = state.role_actions.withColumn("_old", F.lit(True))
+    rows = policy_risk(events, policy).join(small(known), ["role", "action"], "left").withColumn("new_role_action", F.col("_old").isNull()).drop("_old")
+    actors = state.actors.select("actor", F.struct(*state.actors.columns).alias("_state"))
+    both = rows.join(actors, "actor", "left").sortWithinPartitions("actor")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(both.columns[:-1]).schema)
+    return governed(both.mapInPandas(judge, f"{schema}, {RISKS}"), config)
+
+
 def decision_metrics(decisions: DataFrame) -> DataFrame:
     """(kind, name, n): actions and reasons."""
     a = decisions.groupBy(F.lit("action").alias("kind"), F.col("action_taken").alias("name")).agg(F.count("*").alias("n"))
     return a.union(decisions.select(F.explode("reasons").alias("r")).groupBy(F.lit("reason"), "r").agg(F.count("*")))
 
 
+def risk_metrics(decisions: DataFrame) -> DataFrame:
+    """Events, mean and largest fused risk, mean confidence, and the mean of each risk."""
+    return decisions.agg(F.count("*").alias("events"), F.avg("fusion_risk").alias("mean_risk"), F.max("fusion_risk").alias("max_risk"), F.avg("confidence").alias("mean_confidence"), *(F.avg(f"{c}_risk").alias(f"mean_{c}") for c in ("semantic", "behavioral", "graph")))
+
+
 def audit(decisions: DataFrame, n: int = 1000) -> DataFrame:
+    """The last n decisions, the newest first."""
     return decisions.orderBy(F.desc("time"), F.desc("seq")).limit(n)
 
 
+#: Sets of actions that governance is measured on.
+HARD = ("block", "human_review")
+FRICTION = (*HARD, "queue_review", "step_up_auth", "session_reverify")
+EVIDENCE = (*FRICTION, "shadow_observe", "collect_evidence", "watch")
+
+
 def governance(decisions: DataFrame, bad: Column) -> DataFrame:
     """True and false positive rates of hard, friction and evidence actions."""
-    sets = {"hard": ("block", "human_review"), "friction": ("block", "human_review", "queue_review", "step_up_auth", "session_reverify"), "evidence": ("block", "human_review", "queue_review", "step_up_auth", "session_reverify", "shadow_observe", "collect_evidence", "watch")}
     rate = lambda acts, of: F.avg(F.when(of, F.col("action_taken").isin(*acts).cast("double")))
-    return decisions.agg(*(rate(v, w).alias(f"{k}_{n}") for k, v in sets.items() for n, w in (("tpr", bad), ("fpr", ~bad))))
+    return decisions.agg(*(rate(v, w).alias(f"{k}_{n}") for k, v in (("hard", HARD), ("friction", FRICTION), ("evidence", EVIDENCE)) for n, w in (("tpr", bad), ("fpr", ~bad))))
+
+
+def risk_aucs(decisions: DataFrame, bad: Column) -> DataFrame:
+    """(risk, auc, ap): how well each risk tells bad events from others."""
+    out = None
+    rows = decisions.withColumn("_bad", bad.cast("int"))
+    for name in ("semantic_risk", "behavioral_risk", "graph_risk", "fusion_risk"):
+        one = auc_ap(rows.withColumn("_s", F.round(name, 9)), "_s", "_bad").select(F.lit(name).alias("risk"), "auc", "ap")
+        out = one if out is None else out.union(one)
+    return out
 
 
 def valid_paths(events: DataFrame, policy: Policy) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import json
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import Ordered, global_rank
@@ -19,10 +22,14 @@ FORBIDDEN = ("score", "raw_score", "entropy_penalty", "max_risk", "candidate_gat
 
 
 def feature_rows(episodes: DataFrame, maps: DataFrame | None = None) -> DataFrame:
-    """11 numeric and 18 signal columns as doubles, and the label columns of match maps. A count of 0 first-time hits falls back
-    to the number of first-time tags, and a novelty of 0 to new destinations over events, at most 1."""
+    """11 numeric and 18 signal columns as doubles, and the label columns of match maps. A missing count of destinations falls
+    back to the list of them, a count of 0 first-time hits to the number of first-time tags, and a novelty of 0 to new
+    destinations over events, at most 1; other missing numbers are 0."""
+    if "destinations" in episodes.columns:
+        episodes = episodes.withColumn("destination_count", F.coalesce("destination_count", F.size("destinations")))
+    episodes = episodes.fillna(0, [c for c in NUMERIC if c in episodes.columns])
     new = F.col("destination_count")
-    e = episodes.withColumn("new_destination_event_count", new)
+    e = episodes if "new_destination_event_count" in episodes.columns else episodes.withColumn("new_destination_event_count", new)
     tags = F.size(F.filter("signals", lambda s: s.startswith("first_time")))
     e = e.withColumn("first_time_signal_hits", F.when(F.col("first_time_signal_hits") == 0, tags).otherwise(F.col("first_time_signal_hits")))
     e = e.withColumn("novelty_ratio", F.when(F.col("novelty_ratio") == 0, F.least(F.lit(1.0), new / F.greatest(F.lit(1), F.col("events_count")))).otherwise(F.col("novelty_ratio")))
@@ -55,9 +62,14 @@ def first_k(rows: DataFrame, k: int) -> DataFrame:
     return rows.orderBy("start_time", "episode_key").limit(k)
 
 
+def hashed(key: Column, seed: int) -> Column:
+    """A uniform number in [0, 1) of a key, the same on every run and in every engine: 32 bits of an MD5."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), key)), 1, 8), 16, 10).cast("long") / (1 << 32)
+
+
 def hashed_k(rows: DataFrame, k: int, seed: int) -> DataFrame:
-    """A uniform sample of k rows by the order of a hash, the same on every run."""
-    return rows.orderBy(F.xxhash64("episode_key", F.lit(seed)), "episode_key").limit(k)
+    """A uniform sample of k rows by the order of a hash."""
+    return rows.orderBy(hashed(F.col("episode_key"), seed), "episode_key").limit(k)
 
 
 def time_split(rows: DataFrame, fraction: float = 0.7) -> DataFrame:
@@ -67,14 +79,17 @@ def time_split(rows: DataFrame, fraction: float = 0.7) -> DataFrame:
 
 
 def stratified_split(rows: DataFrame, seed: int, fraction: float = 0.7) -> DataFrame:
-    """The same share of each label trains, drawn by a threshold on a hash: no window over a label's rows."""
-    u = F.pmod(F.xxhash64("episode_key", F.lit(seed)), F.lit(1 << 20)) / (1 << 20)
-    return rows.withColumn("part", F.when(u < fraction, "train").otherwise("test"))
+    """Just floor(fraction * n) rows of each label train, those of least hash: places in one order of labels and hashes, less the
+    first place of the label."""
+    ranked = global_rank(rows, F.col("label"), hashed(F.col("episode_key"), seed), F.col("episode_key"), to="_n")
+    sizes = ranked.groupBy("label").agg(F.min("_n").alias("_first"), F.count("*").alias("_all"))  # two rows
+    place = F.col("_n") - F.col("_first") + 1
+    return ranked.join(F.broadcast(sizes), "label").withColumn("part", F.when(place <= F.floor(F.lit(fraction) * F.col("_all")), "train").otherwise("test")).drop("_n", "_first", "_all")
 
 
 def group_split(rows: DataFrame, group: str, seed: int, fraction: float = 0.7) -> DataFrame:
     """No group is in both parts; rows without a group are groups of their own."""
-    u = F.pmod(F.xxhash64(F.coalesce(F.col(group), F.col("episode_key")), F.lit(seed)), F.lit(1 << 20)) / (1 << 20)
+    u = hashed(F.coalesce(F.col(group), F.col("episode_key")), seed)
     return rows.withColumn("part", F.when(u < fraction, "train").otherwise("test"))
 
 
@@ -100,9 +115,29 @@ def top_k(ranked: DataFrame, ks: list[int], label_ids: str = "label_ids") -> Dat
     return agg.join(labels, "k", "left").crossJoin(F.broadcast(every)).select("k", "hits", (F.col("hits") / F.col("n")).alias("precision"), F.coalesce("labels", F.lit(0)).alias("labels"), F.try_divide(F.coalesce("labels", F.lit(0)), "all_labels").alias("label_recall"), "exact_starts", "sources", "users")
 
 
-def fit_ranker(train: DataFrame, kind: str = "forest", seed: int = 42):
-    """A pipeline model over feature_names: impute medians, then logistic, tree, forest or boost; positives weigh neg / pos in
-    logistic and boost."""
+@dataclass(frozen=True)
+class RankerConfig:
+    """What kinds of rankers are and how they are fitted. Steps of gradient boosting follow one another, so they take long."""
+
+    depth: int = 6
+    min_leaf: int = 5
+    trees: int = 200
+    forest_depth: int = 10
+    boost_rounds: int = 60
+    boost_rate: float = 0.08
+    penalty: float = 0.01
+    seed: int = 42
+
+
+#: Kinds of rankers: of the linear ones the share of the L1 penalty, the penalty itself (none: that of the config), and whether
+#: positives weigh neg / pos.
+LINEAR = {"logistic": (0.0, None, True), "logistic_l1": (1.0, None, True), "sgd": (0.0, 1e-4, False), "sgd_balanced": (0.0, 1e-4, True)}
+KINDS = (*LINEAR, "tree", "forest", "boost")
+
+
+def fit_ranker(train: DataFrame, kind: str = "forest", config: RankerConfig = RankerConfig()):
+    """A pipeline model over feature_names: impute medians (and standardise, if linear), then one of KINDS. Forests and trees
+    weigh all rows alike; boosting and the balanced linear ones weigh positives by neg / pos."""
     from pyspark.ml import Pipeline
     from pyspark.ml import classification as C
     from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
@@ -111,13 +146,17 @@ def fit_ranker(train: DataFrame, kind: str = "forest", seed: int = 42):
     n = train.agg(F.sum("label"), F.count("*")).first()
     train = train.withColumn("weight", F.when(F.col("label") == 1, (n[1] - n[0]) / max(1, n[0])).otherwise(1.0))
     steps = [Imputer(inputCols=names, outputCols=[f"{c}_i" for c in names], strategy="median"), VectorAssembler(inputCols=[f"{c}_i" for c in names], outputCol="raw")]
-    model = {
-        "logistic": lambda: C.LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", regParam=0.01, elasticNetParam=0.0, maxIter=50),
-        "tree": lambda: C.DecisionTreeClassifier(featuresCol="features", labelCol="label", maxDepth=6, minInstancesPerNode=5, seed=seed),
-        "forest": lambda: C.RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=60, maxDepth=10, seed=seed),
-        "boost": lambda: C.GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxIter=20, stepSize=0.08, seed=seed),
-    }[kind]()
-    steps.append(StandardScaler(inputCol="raw", outputCol="features", withMean=True) if kind == "logistic" else VectorAssembler(inputCols=["raw"], outputCol="features"))
+    columns = {"featuresCol": "features", "labelCol": "label"}
+    if kind in LINEAR:
+        share, penalty, balanced = LINEAR[kind]
+        model = C.LogisticRegression(**columns, regParam=config.penalty if penalty is None else penalty, elasticNetParam=share, maxIter=100, **({"weightCol": "weight"} if balanced else {}))
+    else:
+        model = {
+            "tree": lambda: C.DecisionTreeClassifier(**columns, maxDepth=config.depth, minInstancesPerNode=config.min_leaf, seed=config.seed),
+            "forest": lambda: C.RandomForestClassifier(**columns, numTrees=config.trees, maxDepth=config.forest_depth, seed=config.seed),
+            "boost": lambda: C.GBTClassifier(**columns, weightCol="weight", maxIter=config.boost_rounds, stepSize=config.boost_rate, seed=config.seed),
+        }[kind]()
+    steps.append(StandardScaler(inputCol="raw", outputCol="features", withMean=True) if kind in LINEAR else VectorAssembler(inputCols=["raw"], outputCol="features"))
     return Pipeline(stages=[*steps, model]).fit(train)
 
 
@@ -130,6 +169,28 @@ def model_score(model, rows: DataFrame) -> DataFrame:
 
 
 def importances(model, names: list[str], k: int = 20) -> list[tuple[str, float]]:
+    """The k features of largest importance, or coefficient by its absolute value; there is one number a feature."""
     last = model.stages[-1]
     values = (last.featureImportances if hasattr(last, "featureImportances") else last.coefficients).toArray()
-    return sorted(zip(names, map(float, values), strict=True), key=lambda x: -abs(x[1]))[:k]
+    return sorted(zip(names, map(float, values), strict=True), key=lambda x: (-abs(x[1]), x[0]))[:k]
+
+
+def save_ranker(model, folder: str, names: list[str], spark: SparkSession, **about: str) -> None:
+    """The model with the names of its features in order, and whatever else is told about it."""
+    model.write().overwrite().save(f"{folder}/model")
+    spark.createDataFrame([(json.dumps({"feature_names": names, **about}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/about")
+
+
+def load_ranker(folder: str, rows: DataFrame):
+    """(model, what was saved about it); raises if the artefact names no features, or the rows lack one, or one tells the answer."""
+    from pyspark.ml import PipelineModel
+
+    about = json.loads(rows.sparkSession.read.text(f"{folder}/about").first()["value"])
+    names = about.get("feature_names") or []
+    if not names:
+        raise ValueError(f"{folder} names no features")
+    refuse_leaks(names)
+    missing = sorted(set(names) - set(rows.columns))
+    if missing:
+        raise ValueError(f"the rows have no columns {missing}")
+    return PipelineModel.load(f"{folder}/model"), about

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import Ordered, beside, global_rank
+from .tables import saved
 
 RESCUE = ("destination_count", "duration", "events_count", "sig__source_user_fanout", "sig__entropy_soft_duration")
 COMPACT = ("compactness_score", "fanout_velocity_score", "novelty_ratio", "sig__compact_lateral_burst", "sig__fanout_velocity", "sig__propagation_convergence_bonus")
@@ -168,12 +169,92 @@ def prefix_recall(queues: dict[str, DataFrame], depths: list[int]) -> DataFrame:
     return out
 
 
-def bootstrap_recall(place_a: DataFrame, place_b: DataFrame, depth: int, rounds: int, seed: int) -> DataFrame:
-    """Labelled rows drawn again with repetition, `rounds` times: mean improvement of policy b over a in recall at a depth, 95 %
-    interval, and the share of rounds in which it is better. Every row's count in a round is a Poisson draw from a hash, so rounds
-    need neither a driver loop nor row numbers."""
-    both = place_a.filter("label = 1").select("episode_key", (F.col("place") <= depth).cast("int").alias("a")).join(place_b.select("episode_key", (F.col("place") <= depth).cast("int").alias("b")), "episode_key")
-    u = (F.pmod(F.xxhash64("episode_key", "round", F.lit(seed)), F.lit(1 << 30)) + 0.5) / (1 << 30)
-    times = sum((F.when(u > c, 1).otherwise(0) for c in (0.3678794, 0.7357589, 0.9196986, 0.9810118, 0.9963402, 0.9994058)), F.lit(0))
-    r = both.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("n", times).groupBy("round").agg(F.try_divide(F.sum(F.col("n") * (F.col("b") - F.col("a"))), F.sum("n")).alias("d"))
-    return r.agg(F.avg("d").alias("mean"), F.percentile("d", F.lit(0.025)).alias("lo"), F.percentile("d", F.lit(0.975)).alias("hi"), F.avg((F.col("d") > 0).cast("double")).alias("p_better"))
+def rank_stats(queues: dict[str, DataFrame]) -> DataFrame:
+    """Where labelled rows stand in each policy's queue: first, median, 75th and 90th percentile (linear), last and mean place."""
+    out = None
+    for name, q in queues.items():
+        p = F.percentile("place", F.array(F.lit(0.5), F.lit(0.75), F.lit(0.9)))
+        one = q.filter("label = 1").agg(F.count("*").alias("labelled"), F.min("place").alias("first_place"), p.alias("p"), F.max("place").alias("last_place"), F.avg("place").alias("mean_place"))
+        one = one.select(F.lit(name).alias("policy"), "labelled", "first_place", F.col("p")[0].alias("median_place"), F.col("p")[1].alias("p75_place"), F.col("p")[2].alias("p90_place"), "last_place", "mean_place")
+        out = one if out is None else out.union(one)
+    return out
+
+
+def prefix_table(queues: dict[str, DataFrame], depths: list[int]) -> DataFrame:
+    """Each policy's queue to each depth: rows, labelled ones and recall, background share, scores, sources, users, subtypes."""
+    out = None
+    for name, q in queues.items():
+        total = F.broadcast(q.agg(F.sum("label").alias("total")))
+        top = q.filter(F.col("place") <= max(depths)).withColumn("depth", F.explode(F.array(*map(F.lit, depths)))).filter(F.col("place") <= F.col("depth")).crossJoin(total)
+        subtype = lambda s: F.count_if(F.col("subtype") == s).alias(f"{s}_count")
+        one = top.groupBy("depth").agg(
+            F.count("*").alias("n"), F.sum("label").alias("labelled"), F.try_divide(F.sum("label"), F.max("total")).alias("recall"), (1 - F.avg("label")).alias("background_share"), F.avg("score").alias("mean_score"), F.min("score").alias("min_score"), F.max("score").alias("max_score"),
+            F.countDistinct("source").alias("sources"), F.countDistinct("user").alias("users"), subtype("compact"), subtype("mixed"), subtype("rescue"),
+        ).withColumn("policy", F.lit(name))
+        out = one if out is None else out.union(one)
+    return out
+
+
+def tail_groups(rows: DataFrame) -> DataFrame:
+    """Adds tail_group: labelled rows, and the background of the two upper regimes."""
+    return rows.withColumn("tail_group", F.when(F.col("label") == 1, "redteam_associated").when(F.col("regime") == "R2", "background_R2").otherwise("background_R1_tail"))
+
+
+def group_subtypes(rows: DataFrame, features: list[str] | None = None) -> DataFrame:
+    """(tail_group, subtype, n, share, means): with features, their means as <feature>_mean too."""
+    means = {"score_mean": "score", "rescue_index_mean": "rescue_index", "compact_index_mean": "compact_index", **{f"{f}_mean": f for f in features or []}}
+    n = rows.groupBy("tail_group", "subtype").agg(F.count("*").alias("n"), *(F.avg(c).alias(m) for m, c in means.items()))
+    return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("tail_group")))
+
+
+def subtype_contrast(rows: DataFrame) -> DataFrame:
+    """For each subtype its share among labelled rows and both backgrounds, and the differences of shares."""
+    g = rows.groupBy("subtype").agg(*(F.count_if(F.col("tail_group") == t).alias(f"{n}_count") for n, t in TAIL_GROUPS.items()))
+    all_ = rows.agg(*(F.count_if(F.col("tail_group") == t).alias(f"_{n}") for n, t in TAIL_GROUPS.items()))
+    out = g.crossJoin(F.broadcast(all_)).withColumns({f"{n}_share": F.coalesce(F.try_divide(f"{n}_count", f"_{n}"), F.lit(0.0)) for n in TAIL_GROUPS})
+    return out.drop(*(f"_{n}" for n in TAIL_GROUPS)).withColumn("minus_r2_share", F.col("redteam_share") - F.col("r2_share")).withColumn("minus_r1_share", F.col("redteam_share") - F.col("r1_share"))
+
+
+TAIL_GROUPS = {"redteam": "redteam_associated", "r2": "background_R2", "r1": "background_R1_tail"}
+
+
+def standardised_distance(rows: DataFrame, features: list[str], group: str, a: str, b: str) -> DataFrame:
+    """Length of the difference of two groups' means, each feature over the sample deviation of both groups' rows together; a
+    feature that doesn't vary adds nothing."""
+    long = long_form(rows.filter(F.col(group).isin(a, b)), features, group).groupBy("feature").agg(F.stddev_samp("v").alias("s"), *(F.avg(F.when(F.col(group) == g, F.col("v"))).alias(n) for g, n in ((a, "x"), (b, "y"))))
+    z = F.coalesce(F.when(F.col("s") > 0, (F.col("x") - F.col("y")) / F.col("s")), F.lit(0.0))
+    return long.agg(F.sqrt(F.sum(z * z)).alias("distance"), F.count("*").alias("features"))
+
+
+def slot_sweep(rows: DataFrame, slots: list[tuple[int, int, int]], margins: list[float], depth: int) -> DataFrame:
+    """(slots, margin, hits, recall): policy C with other slots for compact, mixed and rescue, and subtypes at other margins."""
+    out = None
+    d = F.col("compact_index") - F.col("rescue_index")
+    for margin in margins:
+        cut = rows.withColumn("subtype", F.when(d > margin, "compact").when(d < -margin, "rescue").otherwise("mixed"))
+        for s in slots:
+            q = weighted_round_robin(cut, dict(zip(("compact", "mixed", "rescue"), s, strict=True)), "subtype")
+            one = q.agg(F.coalesce(F.sum(F.when(F.col("place") <= depth, F.col("label"))), F.lit(0)).alias("hits"), F.sum("label").alias("total"))
+            one = one.select(F.lit(":".join(map(str, s))).alias("slots"), F.lit(margin).alias("margin"), "hits", F.try_divide("hits", "total").alias("recall"))
+            out = one if out is None else out.union(one)
+    return out
+
+
+def bootstrap_recall(place_a: DataFrame, place_b: DataFrame, depths: list[int], rounds: int, seed: int) -> DataFrame:
+    """For each depth: labelled rows drawn again with repetition, `rounds` times, as many of each subtype as there are. Mean
+    improvement of policy b over a in recall, its 95 % interval, the share of rounds in which b is better, and in which it isn't
+    worse.
+
+    Draws are rows of their own: round, subtype and number of the draw give a hash, which names the row that is drawn. They meet
+    the labelled rows of the tail, whose number the regimes bound, in an equi-join.
+    """
+    both = place_a.filter("label = 1").select("episode_key", "subtype", F.col("place").alias("a")).join(place_b.select("episode_key", F.col("place").alias("b")), "episode_key")
+    own = saved(both.withColumn("i", F.row_number().over(Window.partitionBy("subtype").orderBy("episode_key")) - 1), "labelled")
+    strata = own.groupBy("subtype").agg(F.count("*").alias("n"))
+    draws = strata.crossJoin(own.sparkSession.range(1, rounds + 1).withColumnRenamed("id", "round")).withColumn("draw", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    name = F.concat_ws(":", F.lit(seed), "subtype", "round", "draw")
+    draws = draws.withColumn("i", F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long") % F.col("n"))
+    hit = lambda c: (F.col(c) <= F.col("depth")).cast("int")
+    drawn = draws.join(own, ["subtype", "i"]).withColumn("depth", F.explode(F.array(*map(F.lit, depths))))
+    r = drawn.groupBy("depth", "round").agg(F.avg(hit("b") - hit("a")).alias("d"))
+    return r.groupBy("depth").agg(F.avg("d").alias("mean"), F.percentile("d", F.lit(0.025)).alias("lo"), F.percentile("d", F.lit(0.975)).alias("hi"), F.avg((F.col("d") > 0).cast("double")).alias("p_better"), F.avg((F.col("d") >= 0).cast("double")).alias("p_not_worse"))

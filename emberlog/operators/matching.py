@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
+from .windows import around, in_intervals, merge_intervals
 
 LABEL = ("redteam_index", "time", "user", "source", "dest")
 
@@ -104,7 +105,70 @@ def own_groups(maps: DataFrame) -> DataFrame:
     return maps.withColumn("group_id", F.concat(F.lit("rtgrp:"), F.array_join("label_ids", "+")))
 
 
-def with_annotations(rows: DataFrame, notes: DataFrame, key: str = "episode_key") -> DataFrame:
-    """Left join of label counts onto deployed rows; 0 where there are none, and the last of repeated notes."""
-    last = notes.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("exact_count")))).filter("_n = 1")
-    return rows.join(last.select(key, F.size("label_ids").alias("redteam_count"), "exact_count"), key, "left").fillna(0, ["redteam_count", "exact_count"])
+def with_annotations(rows: DataFrame, notes: DataFrame, key: str = "episode_key", order: str = "exact_count") -> DataFrame:
+    """Left join of label counts onto deployed rows; 0 where there are none, and of repeated notes the last in `order`."""
+    last = notes.groupBy(key).agg(F.max_by(F.struct("label_ids", "exact_count"), F.struct(order, "label_ids")).alias("_n"))
+    return rows.join(last.select(key, F.size("_n.label_ids").alias("redteam_count"), "_n.exact_count"), key, "left").fillna(0, ["redteam_count", "exact_count"])
+
+
+def label_window_rows(events: DataFrame, labels: DataFrame, window: int, k: int = 20) -> DataFrame:
+    """(field, value, n, place): the most frequent sources and destinations of events within `window` of a label. An event counts
+    once, however many labels are near."""
+    near = in_intervals(events, merge_intervals(around(labels, window)))
+    n = near.select(F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in ("source", "dest")))).alias("x")).groupBy("x.field", "x.value").agg(F.count("*").alias("n"))
+    return n.withColumn("place", F.row_number().over(Window.partitionBy("field").orderBy(F.desc("n"), "value"))).filter(F.col("place") <= k)
+
+
+#: Parts of names of columns that tell a label, values that count as yes and no, and names of ids and keys.
+TELLING = ("redteam", "matched_red", "represented_red", "is_positive", "positive", "label", "match_indices")
+YES, NO = ("true", "yes", "y", "1", "positive", "matched", "redteam"), ("false", "no", "n", "0", "none", "nan", "null", "[]", "{}")
+ID_NAMES = ("episode_id", "accepted_episode_id", "matched_episode_id", "source_episode_id", "episode_index", "idx", "id")
+KEY_NAMES = ("background_episode_key", "episode_key", "accepted_episode_key", "matched_episode_key")
+
+
+def says_yes(df: DataFrame, name: str) -> Column:
+    """Whether a value of a column tells a label: true, above 0, not empty, or a word for yes."""
+    kind = df.schema[name].dataType.typeName()
+    c = F.col(f"`{name}`")
+    if kind == "boolean":
+        out = c
+    elif kind in ("array", "map"):
+        out = F.size(c) > 0
+    elif kind == "struct":
+        out = c.isNotNull()
+    elif kind == "string":
+        text = F.lower(F.trim(c))
+        out = text.isin(*YES) | (~text.isin(*NO) & text.startswith("[") & text.endswith("]") & (F.length(text) > 2))
+    else:
+        out = ~F.isnan(c.cast("double")) & (c > 0)
+    return F.coalesce(out, F.lit(False))
+
+
+def label_mask(rows: DataFrame, matched: DataFrame) -> tuple[DataFrame, str]:
+    """(rows with a column is_labelled, how it was found): by the rows' own columns that tell a label; else by ids, else by keys
+    that the matches name too; else none is. Which way, is asked of whole tables with counts; rows are joined, never collected."""
+    telling = [c for c in rows.columns if any(t in c.lower() for t in TELLING)]
+    if telling:
+        hits = rows.agg(*(F.count_if(says_yes(rows, c)).alias(f"c{i}") for i, c in enumerate(telling))).first()
+        used = [c for i, c in enumerate(telling) if hits[i]]
+        if used:
+            mask = says_yes(rows, used[0])
+            for c in used[1:]:
+                mask = mask | says_yes(rows, c)
+            return rows.withColumn("is_labelled", mask), "direct"
+    for how, names in (("ids", ID_NAMES), ("keys", KEY_NAMES)):
+        theirs = [c for c in names if c in matched.columns]
+        if not theirs:
+            continue
+        values = matched.select(F.explode(F.array(*(F.col(c).cast("string") for c in theirs))).alias("_v")).filter("_v is not null").distinct().withColumn("is_labelled", F.lit(True))
+        for c in names:
+            if c in rows.columns:
+                out = rows.join(values, F.col(c).cast("string") == F.col("_v"), "left").drop("_v").fillna(False, ["is_labelled"])
+                if not out.filter("is_labelled").isEmpty():
+                    return out, how
+    return rows.withColumn("is_labelled", F.lit(False)), "none"
+
+
+def without_near_matches(rows: DataFrame, near: DataFrame, as_observed: bool = False, key: str = "episode_key") -> DataFrame:
+    """Rows that are no near match. as_observed: nothing is left out, as by loaders that look for an id where there is none."""
+    return rows if as_observed else rows.join(near.select(key).distinct(), key, "left_anti")

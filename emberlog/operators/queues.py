@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .features import refuse_leaks
+from .graph import global_rank
 
 SIZES = (100, 500, 1000, 5000)
 
@@ -51,9 +52,46 @@ def sized(ranked: DataFrame, sizes=SIZES) -> DataFrame:
     return ranked.filter(F.col("rank") <= max(sizes)).withColumn("queue_size", F.explode(F.array(*map(F.lit, sizes)))).filter(F.col("rank") <= F.col("queue_size"))
 
 
-def tie_audit(ranked: DataFrame, order: list[Column]) -> DataFrame:
-    """Rank by other keys beside the given one, and their difference; for the head of a queue."""
-    return ranked.withColumn("new_rank", F.row_number().over(Window.orderBy(*order))).withColumn("rank_delta", F.col("new_rank") - F.col("rank"))
+def tie_order() -> list[Column]:
+    """Score, novelty, first-time hits, destinations, velocity, peak velocity, compactness from the largest down, duration from
+    the shortest up, events from the most down, and the rank that was there."""
+    r = lambda c: F.desc(F.round(c, 9))  # noqa: E731  sums of decimals that differ in the last bit tie
+    return [r("score"), r("novelty_ratio"), F.desc("first_time_signal_hits"), F.desc("destination_count"), r("fanout_velocity_score"), F.desc("peak_velocity_new_dests"), r("compactness_score"), F.asc("duration"), F.desc("events_count"), F.asc("rank")]
+
+
+def tie_audit(ranked: DataFrame, order: list[Column] | None = None) -> DataFrame:
+    """Rank by other keys beside the given one, and their difference."""
+    return global_rank(ranked, *(order or tie_order()), to="new_rank").withColumn("rank_delta", F.col("rank") - F.col("new_rank"))
+
+
+def tie_effect(audited: DataFrame, ks: list[int], label_ids: str = "label_ids") -> DataFrame:
+    """For each k, episodes with labels and labels among the first k of both orders, and their differences."""
+    labels = F.coalesce(F.size(label_ids), F.lit(0)) if "label_ids" == label_ids else F.col(label_ids)
+    rows = audited.filter(F.least("rank", "new_rank") <= max(ks)).select("rank", "new_rank", F.greatest(F.lit(0), labels).alias("n")).withColumn("k", F.explode(F.array(*map(F.lit, ks))))
+    sums = {f"{name}_{what}": F.sum(F.when(F.col(r) <= F.col("k"), value).otherwise(0)) for name, r in (("original", "rank"), ("tie", "new_rank")) for what, value in (("episodes", (F.col("n") > 0).cast("int")), ("labels", F.col("n")))}
+    out = rows.groupBy("k").agg(*(v.alias(n) for n, v in sums.items()))
+    return out.withColumn("delta_episodes", F.col("tie_episodes") - F.col("original_episodes")).withColumn("delta_labels", F.col("tie_labels") - F.col("original_labels"))
+
+
+def repaired_ranks(rows: DataFrame, rank: str = "rank", score: str = "score", key: str = "episode_key") -> DataFrame:
+    """Ranks as whole numbers, 0 where they are none; if none is above 0, ranks by score from the largest down."""
+    n = F.coalesce(F.col(rank).try_cast("double"), F.lit(0.0)).cast("long")
+    top = rows.agg(F.max(n)).first()[0]
+    if (top or 0) > 0:
+        return rows.withColumn(rank, n)
+    return global_rank(rows.drop(rank), F.desc(F.coalesce(F.col(score).try_cast("double"), F.lit(0.0))), F.col(key), to=rank)
+
+
+def window_ranks(rows: DataFrame, window: str, *order: Column) -> DataFrame:
+    """Adds rank over all rows and rank_in_window: places in one order of windows, less the first place of the window."""
+    by_window = global_rank(global_rank(rows, *order), F.col(window), F.col("rank"), to="_w")
+    first = by_window.groupBy(window).agg(F.min("_w").alias("_first"))
+    return by_window.join(first, window).withColumn("rank_in_window", F.col("_w") - F.col("_first") + 1).drop("_w", "_first")
+
+
+def sized_in_windows(ranked: DataFrame, window: str, sizes=SIZES) -> DataFrame:
+    """The first rows of each window's queue once for each size."""
+    return ranked.filter(F.col("rank_in_window") <= max(sizes)).withColumn("queue_size", F.explode(F.array(*map(F.lit, sizes)))).filter(F.col("rank_in_window") <= F.col("queue_size"))
 
 
 def concentration(rows: DataFrame, field: Column, group: list[str], most: int = 50) -> DataFrame:
@@ -87,13 +125,34 @@ def queue_summary(queues: DataFrame, focus: str) -> DataFrame:
 
 
 def source_capped(ranked: DataFrame, cap: int, target: int, by: str = "source") -> DataFrame:
-    """Rows in rank order, at most `cap` of a source, until `target`; with new_rank. Only the first rows of each source, a
-    bounded number, are ranked again."""
+    """Rows in rank order, at most `cap` of a source, until `target`; with new_rank. Only the first rows of each source are
+    looked at, and only the queue, of a fixed size, is ranked again."""
     own = F.row_number().over(Window.partitionBy(by).orderBy("rank"))
     kept = ranked.withColumn("_own", own).filter(F.col("_own") <= cap).orderBy("rank").limit(target)
     return kept.withColumn("new_rank", F.row_number().over(Window.orderBy("rank"))).drop("_own")
 
 
+def capped_sweep(ranked: DataFrame, caps: tuple[int, ...], sizes: tuple[int, ...], by: str = "source") -> DataFrame:
+    """The queues of all caps and sizes, with source_cap, queue_size and new_rank."""
+    own = F.row_number().over(Window.partitionBy(by).orderBy("rank"))
+    firsts, out = ranked.withColumn("_own", own).filter(F.col("_own") <= max(caps)), None
+    for cap in caps:
+        one = firsts.filter(F.col("_own") <= cap).orderBy("rank").limit(max(sizes)).withColumn("source_cap", F.lit(cap))
+        out = one if out is None else out.union(one)
+    placed = out.withColumn("new_rank", F.row_number().over(Window.partitionBy("source_cap").orderBy("rank"))).drop("_own")
+    return placed.withColumn("queue_size", F.explode(F.array(*map(F.lit, sizes)))).filter(F.col("new_rank") <= F.col("queue_size"))
+
+
+def capped_summary(sweep: DataFrame, label_ids: str = "label_ids") -> DataFrame:
+    """For each cap and size: rows, whether the size was reached, sources, the largest source's share, episodes with labels, and
+    labels, each once."""
+    key = ["source_cap", "queue_size"]
+    base = sweep.groupBy(*key).agg(F.count("*").alias("n"), F.countDistinct("source").alias("sources"), F.count_if(F.col(label_ids).isNotNull()).alias("positive_episodes"), F.median("score").alias("median_score")).withColumn("filled", F.col("n") >= F.col("queue_size"))
+    top = concentration(sweep, F.col("source"), key, 1).select(*key, F.col("value").alias("top_source"), F.col("share").alias("top_share"))
+    labels = sweep.select(*key, F.explode(label_ids).alias("l")).groupBy(*key).agg(F.countDistinct("l").alias("labels"))
+    return base.join(top, key).join(labels, key, "left").fillna(0, ["labels"])
+
+
 def compact_counts(rows: DataFrame, key: list[str], field: str, k: int, to: str) -> DataFrame:
     n = rows.groupBy(*key, field).agg(F.count("*").alias("n"))
     top = n.withColumn("i", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("n"), field))).filter(F.col("i") <= k)
@@ -148,3 +207,29 @@ def recurrence(ranked: DataFrame, seconds: int, k: int, by: str = "source") -> D
 def signal_composition(ranked: DataFrame, k: int) -> DataFrame:
     head = ranked.filter(F.col("rank") <= k)
     return head.select(F.explode("signals").alias("signal")).groupBy("signal").agg(F.count("*").alias("n")).withColumn("share", F.col("n") / F.lit(k))
+
+
+def analyst_packet(queues: DataFrame, clusters: int = 10, examples: int = 5, only_source: str | None = None) -> DataFrame:
+    """What an analyst opens first, as rows (queue_size, section, place, source, episode_key, n, share, best_rank, score): a brief
+    of each queue (rows, share of the largest cluster), its largest clusters, and the first episodes of those or of one source."""
+    c = source_clusters(queues).withColumn("place", F.row_number().over(Window.partitionBy("queue_size").orderBy(F.desc("n"), "best_rank"))).withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("queue_size")))
+    none = lambda t: F.lit(None).cast(t)
+    head = c.groupBy("queue_size").agg(F.sum("n").alias("n"), F.max("share").alias("share"), F.min_by("source", "place").alias("source"), F.min("best_rank").alias("best_rank"), F.max("max_score").alias("score"))
+    brief = head.select("queue_size", F.lit("brief").alias("section"), F.lit(1).alias("place"), "source", none("string").alias("episode_key"), "n", "share", "best_rank", "score")
+    top = c.filter(F.col("place") <= clusters)
+    listed = top.select("queue_size", F.lit("cluster"), "place", "source", none("string"), "n", "share", "best_rank", F.col("max_score"))
+    wanted = top.select("queue_size", "source") if only_source is None else top.filter(F.col("source") == only_source).select("queue_size", "source")
+    reps = representatives(queues, examples).join(wanted, ["queue_size", "source"]).select("queue_size", F.lit("representative"), "place", "source", "episode_key", none("long"), none("double"), F.col("rank"), "score")
+    return brief.union(listed).union(reps)
+
+
+def host_triage(ranked: DataFrame, host: str, window: str, high: float) -> DataFrame:
+    """Adds presentation_class, by the number of windows in which a host is in the queue, and triage_tier: of a persistent host
+    the first row stands for it (C) and the others are members (D); rows above `high` of recurring hosts are B, of others A; the
+    rest is context (E). And cluster_order, in which members come last."""
+    spans = ranked.groupBy(host).agg(F.countDistinct(window).alias("windows"), F.min("rank").alias("best_rank"))
+    w = F.col("windows")
+    kind = F.when(w >= 20, "persistent_cross_signal_infrastructure_like_cluster").when(w >= 10, "recurrent_cross_signal_cluster").when(w >= 3, "recurring_candidate_cluster").otherwise("distinct_host_window_spike")
+    tier = F.when((w >= 20) & (F.col("rank") == F.col("best_rank")), "C_persistent_cluster_representative").when(w >= 20, "D_persistent_cluster_member").when((F.col("score") > high) & (w >= 3), "B_recurrent_high_signal_candidate").when(F.col("score") > high, "A_distinct_high_signal_candidate").otherwise("E_context_queue")
+    out = ranked.join(spans, host).withColumn("presentation_class", kind).withColumn("triage_tier", tier)
+    return global_rank(out, F.col("triage_tier") == "D_persistent_cluster_member", F.col("rank"), to="cluster_order")

@@ -1,7 +1,7 @@
 """The registered queries and the same in DuckDB's SQL."""
 
-from . import detectors
+from . import detectors, review
 from .oracles import ORACLES
 from .queries import FLAGSHIP, QUERIES
 
-__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "detectors"]
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "detectors", "review"]

@@ -76,7 +76,9 @@ ORACLES["read_labels"] = f"""WITH {E}, {LABELS} SELECT * FROM labels_"""
 ORACLES["parse_quality"] = f"""WITH {E}, {_LINES} SELECT count(*) AS events, count(*) FILTER (try_cast(c[1] AS BIGINT) IS NULL) AS bad_lines, count(*) FILTER (c[9] <> 'Success' AND try_cast(c[1] AS BIGINT) IS NOT NULL) AS signal_events FROM pf"""
 ORACLES["flatten_records"] = f"""WITH {E} SELECT seq, source AS edge_source, dest AS edge_to_dest, k AS edge_to_k FROM e"""
 ORACLES["time_range_extract"] = f"""WITH {E} SELECT time, seq, source, "user", dest FROM e WHERE time BETWEEN 20000 AND 90000"""
-ORACLES["substring_probe"] = f"""WITH {E}, {_LINES} SELECT count(*) AS n, min(seq) AS first_seq FROM ln WHERE contains(value, ',C1,D1')"""
+ORACLES["substring_probe"] = f"""WITH {E}, {_LINES} SELECT count(*) AS n, min(seq) AS first_seq, (SELECT string_agg(value, '|' ORDER BY seq) FROM (SELECT * FROM ln WHERE contains(value, ',C1,D1') ORDER BY seq LIMIT 5)) AS examples FROM ln WHERE contains(value, ',C1,D1')"""
+ORACLES["read_text_lines"] = f"""WITH {E}, {_LINES} SELECT value, count(*) AS n FROM ln GROUP BY value"""
+ORACLES["read_json_records"] = f"""WITH {E} SELECT seq, source, dest FROM e WHERE k % 23 <> 0"""
 
 
 def _merged(radius: int, reach: int = 0, name: str = "mi") -> str:
@@ -195,7 +197,8 @@ ORACLES["research_queue"] = f"""{_F} SELECT rank, episode_key, {_SEV} AS severit
 ORACLES["deployment_queue"] = f"""{_F} SELECT rank, round(score, 6) AS score, {_SEV} AS severity, {_PRI} AS priority, episode_key, source, "user", start_time, end_time, duration::BIGINT AS duration, events_count::BIGINT AS events_count, destination_count::BIGINT AS destination_count, candidate_gate,
   concat_ws('; ', CASE WHEN sig__first_time_source_user_to_dest = 1 THEN 'new source-user-destination' END, CASE WHEN sig__source_user_fanout = 1 THEN 'source-user fan-out' END, CASE WHEN sig__compact_lateral_burst = 1 THEN 'compact burst' END, CASE WHEN sig__fanout_velocity = 1 THEN 'fast fan-out' END, destination_count::BIGINT || ' destinations in ' || duration::BIGINT || ' s') AS explanation FROM fs"""
 ORACLES["sized_queues"] = f"""{_Q} SELECT queue_size, rank, episode_key FROM qs"""
-ORACLES["tie_audit"] = f"""{_F}, ta AS (SELECT fs.episode_key, rank, row_number() OVER (ORDER BY round(fs.score, 9) DESC, round(nov, 9) DESC, f.first_time_signal_hits DESC, f.destination_count DESC, dur, fs.episode_key) AS new_rank FROM fs JOIN f USING (episode_key) WHERE rank <= 1000) SELECT *, new_rank - rank AS rank_delta FROM ta"""
+TIES = f"""{_F}, ta AS (SELECT fs.*, row_number() OVER (ORDER BY round(fs.score, 9) DESC, round(nov, 9) DESC, f.first_time_signal_hits DESC, f.destination_count DESC, round(vs, 9) DESC, peak DESC, round(cs, 9) DESC, dur, f.events_count DESC, rank) AS new_rank FROM fs JOIN f USING (episode_key))"""
+ORACLES["tie_audit"] = f"""{TIES} SELECT episode_key, rank, new_rank, rank - new_rank AS rank_delta FROM ta"""
 ORACLES["source_concentration"] = f"""{_Q}, sc AS (SELECT queue_size, source AS value, count(*) AS n FROM qs GROUP BY ALL), sp AS (SELECT queue_size, value, row_number() OVER w AS place, n, round(n / sum(n) OVER (PARTITION BY queue_size), 6) AS share, round(sum(n) OVER w / sum(n) OVER (PARTITION BY queue_size), 6) AS cumulative_share FROM sc WINDOW w AS (PARTITION BY queue_size ORDER BY n DESC, value ROWS UNBOUNDED PRECEDING)) SELECT * FROM sp WHERE place <= 50"""
 ORACLES["severity_distribution"] = f"""{_Q}, sv AS ({" UNION ALL ".join(f"SELECT '{n}' AS field, queue_size, {c} AS value FROM qs" for n, c in (("severity", _SEV), ("priority", _PRI), ("gate", "candidate_gate"), ("band", _BAND)))}), sn AS (SELECT field, queue_size, value, count(*) AS n FROM sv GROUP BY ALL) SELECT *, round(n / sum(n) OVER (PARTITION BY field, queue_size), 6) AS share FROM sn"""
 ORACLES["metric_distribution"] = f"""{_Q}, md AS (SELECT queue_size, duration::BIGINT AS v, row_number() OVER (PARTITION BY queue_size ORDER BY duration) - 1 AS i, count(*) OVER (PARTITION BY queue_size) AS n FROM qs)

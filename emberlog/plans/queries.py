@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from emberlog.operators import decisions as dc
 from emberlog.operators import episodes as ep
@@ -15,8 +17,8 @@ from emberlog.operators import matching as mt
 from emberlog.operators import novelty as nv
 from emberlog.operators import queues as qu
 from emberlog.operators import windows as wn
-from emberlog.operators.graph import global_rank
-from emberlog.operators.tables import saved, small
+from emberlog.operators.graph import bucketed, global_rank
+from emberlog.operators.tables import saved, shared_folder
 from emberlog.sources import readers as rd
 from emberlog.sources import views
 
@@ -95,7 +97,30 @@ def read_proc_dns(spark, sf_dir):
 
 @query
 def read_labels(spark, sf_dir):
-    return views.labels(spark, sf_dir)
+    """Label lines with some that are malformed, parsed and numbered in file order."""
+    l = views.unnumbered_labels(spark, sf_dir)
+    lines = l.select("time", "seq", F.concat_ws(",", "time", "user", "source", "dest").alias("value")).union(l.select("time", "seq", F.concat_ws(",", F.lit("x"), "user", "source")))
+    rows = rd.label_events(lines.drop("time"))
+    numbered = bucketed(rows, F.floor(F.col("time") / 3600), ["time", "seq"], [], n=(F.sum, F.lit(1), "upto"))
+    return numbered.select((F.col("n") - 1).alias("redteam_index"), "time", "user", "source", "dest")
+
+
+@query
+def read_text_lines(spark, sf_dir):
+    """Lines written as compressed text, and read again."""
+    folder = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+    auth_lines(spark, sf_dir).select("value").write.text(folder, compression="gzip")
+    return rd.text_lines(spark, folder).groupBy("value").agg(F.count("*").alias("n"))
+
+
+@query
+def read_json_records(spark, sf_dir):
+    """Records written as JSON lines, some of them cut off, and read again without those."""
+    folder = f"{shared_folder(spark)}/records-{uuid.uuid4().hex}"
+    e = views.events(spark, sf_dir)
+    whole = F.to_json(F.struct("seq", "source", "dest"))
+    e.select(F.when(F.col("k") % 23 == 0, F.substring(whole, 1, 9)).otherwise(whole).alias("value")).write.text(folder)
+    return rd.json_records(spark, folder, T.StructType.fromDDL("seq long, source string, dest string"))
 
 
 @query
@@ -117,7 +142,10 @@ def time_range_extract(spark, sf_dir):
 
 @query
 def substring_probe(spark, sf_dir):
-    return auth_lines(spark, sf_dir).filter(F.col("value").contains(",C1,D1")).agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"))
+    """Lines that hold a text, and the first five of them."""
+    hits = auth_lines(spark, sf_dir).filter(F.col("value").contains(",C1,D1"))
+    examples = hits.orderBy("seq").limit(5).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "value"))), lambda x: x["value"]), "|").alias("examples"))
+    return hits.agg(F.count("*").alias("n"), F.min("seq").alias("first_seq")).crossJoin(examples)
 
 
 # Windows of time.
@@ -529,13 +557,14 @@ def top_k_metrics(spark, sf_dir):
 def fitted(kind):
     def run(spark, sf_dir):
         rows = ft.time_split(feature_table(spark, sf_dir))
-        model = ft.fit_ranker(rows.filter("part = 'train'"), kind)
+        config = ft.RankerConfig(boost_rounds=20) if kind == "boost" else ft.RankerConfig()
+        model = ft.fit_ranker(rows.filter("part = 'train'"), kind, config)
         return ft.model_score(model, rows.filter("part = 'test'")).select("episode_key", "label", "model_score")
 
     QUERIES[f"ranker_{kind}"] = run
 
 
-for _kind in ("logistic", "tree", "forest", "boost"):
+for _kind in ft.KINDS:
     fitted(_kind)
 
 
@@ -558,9 +587,7 @@ def sized_queues(spark, sf_dir):
 
 @query
 def tie_audit(spark, sf_dir):
-    head = queue(spark, sf_dir).filter("rank <= 1000")
-    order = [F.desc(F.round("score", 9)), F.desc(F.round("novelty_ratio", 9)), F.desc("first_time_signal_hits"), F.desc("destination_count"), F.asc("duration"), F.asc("episode_key")]
-    return qu.tie_audit(head, order).select("episode_key", "rank", F.col("new_rank").cast("long").alias("new_rank"), F.col("rank_delta").cast("long").alias("rank_delta"))
+    return qu.tie_audit(queue(spark, sf_dir)).select("episode_key", "rank", "new_rank", "rank_delta")
 
 
 @query
@@ -735,9 +762,9 @@ def triage_policies(spark, sf_dir):
 
 @query
 def policy_bootstrap(spark, sf_dir):
-    rows = saved(tail(spark, sf_dir).withColumn("score", F.round("score", 9)), "tail")
-    p = gm.policies(rows)
-    return gm.bootstrap_recall(p["A"], p["C"], 500, 500, 7)
+    p = gm.policies(saved(tail(spark, sf_dir).withColumn("score", F.round("score", 9)), "tail"))
+    r = gm.bootstrap_recall(p["A"], p["C"], [25, 100, 500], 5000, 7)
+    return r.select("depth", *(six(c) for c in ("mean", "lo", "hi", "p_better", "p_not_worse")))
 
 
 def example_policy(spark, sf_dir):
@@ -768,7 +795,7 @@ def path_validity(spark, sf_dir):
 @query
 def access_decisions(spark, sf_dir):
     d = dc.decide(views.access(spark, sf_dir), example_policy(spark, sf_dir))
-    return d.select("seq", "actor", "action_taken", *(F.round(c, 3).alias(c) for c in ("semantic_risk", "behavioral_risk", "graph_risk", "fusion_risk", "confidence")))
+    return d.select("seq", "actor", "action_taken", *(six(c) for c in ("semantic_risk", "behavioral_risk", "graph_risk", "fusion_risk", "confidence")), F.array_join("reasons", ";").alias("reasons"))
 
 
 @query
