@@ -109,7 +109,7 @@ def shared_halves(keys: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, np.n
     return np.isin(keys, more), sent
 
 
-def line_rows(rows: DataFrame, config: LineConfig) -> DataFrame:
+def line_rows(rows: DataFrame, doc_id: str, text: str, config: LineConfig) -> DataFrame:
     """Rows (key, line, kind, _key, _doc, _at) of every line: its own hash as a key (EXACT) and those of its halves (HALF).
 
     In order of document, only the earliest of equal lines in a batch gets these; others have a row of the kind REPEATED. Lines
@@ -121,7 +121,8 @@ def line_rows(rows: DataFrame, config: LineConfig) -> DataFrame:
     def emit(batches):
         for batch in batches:
             give_back()
-            docs, keys, texts = batch.column("_doc"), batch.column("_key").to_pylist(), text_bytes(batch.column("_text"))
+            docs, keys, texts = batch.column(doc_id).cast(pa.int64()), batch.column("_key").to_pylist(), text_bytes(batch.column(text))
+            row_keys = mixed(np.array(keys, np.int64).view(np.uint64))
             ids = docs.to_pylist()
             once = {k: i for i, k in enumerate(keys)}.values()
             order = sorted(once, key=lambda i: (ids[i] is not None, ids[i] or 0, keys[i]))
@@ -143,13 +144,13 @@ def line_rows(rows: DataFrame, config: LineConfig) -> DataFrame:
                 own = np.concatenate([old, first, of_half, hot])
                 kinds = np.repeat(np.array([REPEATED, EXACT, HALF, HOT], np.int8), [len(old), len(first), len(of_half), len(hot)])
                 at = row[lines.of[own]]
-                alone = lambda some: mixed(whole[some] + lines.at[some].astype(np.uint64))  # noqa: E731  keys that nothing meets
+                alone = lambda some: mixed(whole[some] + lines.at[some].astype(np.uint64) + row_keys[row[lines.of[some]]])  # noqa: E731  keys that nothing meets
                 yield pa.RecordBatch.from_arrays(
                     [signed(np.concatenate([alone(old), whole[first], halves, alone(hot)])), signed(whole[own]), pa.array(kinds), picked(batch, "_key", at), docs.take(pa.array(at)), pa.array(lines.at[own].astype(np.int32))],
                     names=["key", "line", "kind", "_key", "_doc", "_at"],
                 )
 
-    return rows.select("_key", "_doc", "_text").mapInArrow(emit, "key long, line long, kind byte, _key long, _doc long, _at int")
+    return rows.select("_key", doc_id, text).mapInArrow(emit, "key long, line long, kind byte, _key long, _doc long, _at int")
 
 
 def resolved(key: np.ndarray, check: np.ndarray, kind: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -167,7 +168,7 @@ def resolved(key: np.ndarray, check: np.ndarray, kind: np.ndarray, line: np.ndar
     return near, first | ~np.isin(line, near)
 
 
-def variant_rows(rows: DataFrame, config: LineConfig) -> DataFrame:
+def variant_rows(rows: DataFrame, doc_id: str, text: str, config: LineConfig) -> DataFrame:
     """The hashed keys of variants of the lines in _hot: their rests with the place of the word left out (REPLACED),
     themselves (SHORTER), and their rests (LONGER). check is a second, independent hash of the same words. Lines near an earlier
     one of their block have a row of the kind DONE, see resolved()."""
@@ -175,7 +176,7 @@ def variant_rows(rows: DataFrame, config: LineConfig) -> DataFrame:
     def emit(batches):
         for batch in batches:
             give_back()
-            docs, texts, hot, keys = batch.column("_doc"), batch.column("_text").cast(pa.binary()).to_pylist(), batch.column("_hot").to_pylist(), batch.column("_key").to_pylist()
+            docs, texts, hot, keys = batch.column(doc_id).cast(pa.int64()), batch.column(text).cast(pa.binary()).to_pylist(), batch.column("_hot").to_pylist(), batch.column("_key").to_pylist()
             ids = docs.to_pylist()
             wanted, row, at = [], [], []
             once = {k: i for i, k in enumerate(keys)}.values()  # repeated rows are one document
@@ -204,19 +205,20 @@ def variant_rows(rows: DataFrame, config: LineConfig) -> DataFrame:
                 of = np.array(row, np.int64)[which]
                 yield pa.RecordBatch.from_arrays([signed(key), signed(check), pa.array(kinds), picked(batch, "_key", of), docs.take(pa.array(of)), pa.array(np.array(at, np.int32)[which])], names=["key", "check", "kind", "_key", "_doc", "_at"])
 
-    return rows.select("_key", "_doc", "_text", "_hot").mapInArrow(emit, "key long, check long, kind byte, _key long, _doc long, _at int")
+    return rows.mapInArrow(emit, "key long, check long, kind byte, _key long, _doc long, _at int")
 
 
-def removed_lines(rows: DataFrame, config: LineConfig) -> DataFrame:
-    """(_key, _exact, _near) of rows (_key, _doc, _text): the numbers of a row's lines that go, since an earlier line equals them
+def removed_lines(rows: DataFrame, doc_id: str, text: str, config: LineConfig) -> DataFrame:
+    """(_key, _exact, _near) of rows (_key, doc_id, text): the numbers of a row's lines that go, since an earlier line equals them
     or is near."""
     own, kind = F.struct("_doc", "_key", "_at"), F.col("kind")
     same = Window.partitionBy("key")
-    first = line_rows(rows, config).withColumn("_other", F.min("line").over(same) != F.max("line").over(same)).withColumn("_before", F.min(own).over(same) < own)
+    first = line_rows(rows, doc_id, text, config).withColumn("_other", F.min("line").over(same) != F.max("line").over(same)).withColumn("_before", F.min(own).over(same) < own)
     first = first.withColumn("_gone", (kind == REPEATED) | ((kind == EXACT) & F.col("_before"))).filter(F.col("_gone") | (kind == HOT) | ((kind == HALF) & F.col("_other")))
     marks = written(first.groupBy("_key").agg(F.collect_set(F.when(F.col("_gone"), F.col("_at"))).alias("_exact"), F.collect_set(F.when(~F.col("_gone"), F.col("_at"))).alias("_half")), "line-marks")
     hot = marks.select("_key", F.array_except("_half", "_exact").alias("_hot")).filter(F.size("_hot") > 0)
-    keys = variant_rows(rows.join(hot, "_key"), config)
+    # All columns go along: so the rows are dealt as for the last join, and Spark deals them once.
+    keys = variant_rows(rows.join(hot, "_key"), doc_id, text, config)
     group = Window.partitionBy("key", "check")
     least = lambda k: F.min(F.when(kind == k, own)).over(group)
     near = keys.withColumn("_replaced", least(REPLACED) < own).withColumn("_longer", least(LONGER) < own).withColumn("_shorter", least(SHORTER) < own)
@@ -258,9 +260,8 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", conf
     """
     own = Carried(docs, to)
     of = F.col(own.at(text))
-    keyed_rows = own.rows.withColumn("_key", row_key(own.at(doc_id), own.at(text)))
-    rows = keyed_rows.select("_key", F.col(own.at(doc_id)).cast("long").alias("_doc"), of.alias("_text"))
-    out = keyed_rows.join(removed_lines(rows, config), "_key", "left")
+    rows = own.rows.withColumn("_key", row_key(own.at(doc_id), own.at(text)))
+    out = rows.join(removed_lines(rows, own.at(doc_id), own.at(text), config), "_key", "left")
     whole = F.coalesce(of, F.lit(""))
     counts = F.struct(
         (F.length(whole) - F.length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
