@@ -121,7 +121,7 @@ ORACLES["first_seen_edges"] = f"""WITH {E} SELECT source, dest, time, seq FROM e
 _RUN = """x AS (SELECT *, (row_number() OVER (PARTITION BY source, {c} ORDER BY time, seq) = 1)::INT AS f FROM e), y AS (SELECT *, coalesce(sum(f) OVER (PARTITION BY source ORDER BY time, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS n_before FROM x)"""
 ORACLES["source_user_fanout"] = f"""WITH {E}, {_RUN.format(c='"user"')} SELECT time, seq, n_before FROM y WHERE n_before >= 3"""
 ORACLES["numbered_fanout"] = f"""WITH {E}, {_RUN.format(c="dest")} SELECT seq, 'source_fanout_' || n_before AS signal FROM y WHERE n_before >= 5"""
-ORACLES["sliding_velocity"] = f"""WITH {E}, x AS (SELECT a.seq, count(DISTINCT b.dest) AS n_recent FROM e AS a JOIN e AS b ON a.source = b.source AND a."user" = b."user" AND b.time >= a.time - 120 AND (b.time < a.time OR b.time = a.time AND b.seq <= a.seq) GROUP BY ALL) SELECT seq, n_recent, CASE WHEN n_recent >= 3 THEN 0.22 ELSE 0 END::DOUBLE AS score FROM x"""
+ORACLES["sliding_velocity"] = f"""{EVENT_CHAIN}, x AS (SELECT a.seq, count(DISTINCT b.dest) AS n_recent FROM s AS a JOIN s AS b ON a.source = b.source AND a."user" = b."user" AND b.time >= a.time - 120 AND b.nth <= a.nth GROUP BY ALL) SELECT seq, n_recent, CASE WHEN n_recent >= 3 THEN 0.22 ELSE 0 END::DOUBLE AS score FROM x"""
 _BURST = """SELECT a.seq, a.source AS {name}, count(*) AS n_recent FROM e AS a JOIN e AS b ON a.source = b.source AND b.event_type = a.event_type AND b.time >= a.time - {sec} AND (b.time < a.time OR b.time = a.time AND b.seq <= a.seq) WHERE a.event_type = '{kind}' GROUP BY ALL HAVING count(*) >= {n}"""
 ORACLES["dns_flood"] = f"WITH {E} " + _BURST.format(name="src", sec=60, kind="signup", n=2)
 ORACLES["process_burst"] = f"WITH {E} " + _BURST.format(name="computer", sec=300, kind="view", n=4)

@@ -15,7 +15,7 @@ from emberlog.operators import queues as qu
 from emberlog.operators.tables import saved, shared_folder
 from emberlog.sources import sinks, views
 
-from .oracles import _ACC, _F, _G, _M, _MAPS, _T, ORACLES, TIES, E, LABELS
+from .oracles import _ACC, _F, _G, _M, _MAPS, _T, CHAIN, ORACLES, TIES, E, LABELS
 from .queries import by_score, detected, example_policy, feature_table, maps, query, queue, queues_of, regime_rows, six, tail
 
 _L = f"WITH {E}, {LABELS}"
@@ -135,6 +135,16 @@ def cross_branch_metrics(spark, sf_dir):
 # Queues.
 
 
+@query
+def multi_key_ranks(spark, sf_dir):
+    """Score, novelty, hits, destinations and velocity from the largest down, duration from the shortest up, then the key."""
+    r = lambda c: F.desc(F.round(c, 9))
+    return qu.global_rank(detected(spark, sf_dir), r("score"), r("novelty_ratio"), F.desc("first_time_signal_hits"), F.desc("destination_count"), r("fanout_velocity_score"), F.asc("duration"), F.asc("episode_key")).select("episode_key", "rank")
+
+
+ORACLES["multi_key_ranks"] = f"""{CHAIN} SELECT episode_key, row_number() OVER (ORDER BY round(score, 9) DESC, round(nov, 9) DESC, first_time_signal_hits DESC, destination_count DESC, round(vs, 9) DESC, dur, episode_key) AS rank FROM f"""
+
+
 @query
 def tie_effect(spark, sf_dir):
     q = queue(spark, sf_dir).join(maps(spark, sf_dir).select("episode_key", "label_ids"), "episode_key", "left")
