@@ -17,6 +17,10 @@ from .graph import components
 from .words import Words, blocks, give_back, mixed, powers, text_bytes
 
 
+#: Numbers of one dense slice of texts by shingles.
+DENSE = 2_000_000
+
+
 @dataclass(frozen=True)
 class JaccardConfig:
     """Links are pairs of texts whose sets of n-word shingles have a Jaccard similarity of threshold or more.
@@ -117,7 +121,7 @@ def block_links(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     row, column = row[shared], number[inverse[shared]]
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
-    common, step = np.zeros((len(pdf), len(pdf)), np.float32), max(1, 20_000_000 // max(1, len(pdf)))
+    common, step = np.zeros((len(pdf), len(pdf)), np.float32), max(1, DENSE // max(1, len(pdf)))
     for lo in range(0, int(column[-1]) + 1 if len(column) else 0, step):
         a, b = np.searchsorted(column, (lo, lo + step))
         dense = np.zeros((len(pdf), min(step, int(column[-1]) + 1 - lo)), np.float32)
@@ -137,6 +141,8 @@ def block_links(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
             break
         label = new
     keep = links > 0
+    del pdf, row, column, inverse, counts, number, order, common, linked
+    give_back()  # several blocks are worked on at once in an executor
     return pd.DataFrame({"node": nodes[keep], "other": label[keep], "links": links[keep]})
 
 
