@@ -130,13 +130,14 @@ def stratified_windows(windows: DataFrame, per_band: int, quantile: float, separ
 
 def overlapping_pairs(windows: DataFrame) -> DataFrame:
     """Windows that start before an earlier one ends; extraction wants none."""
-    return Ordered(windows, F.col("start"), F.col("end")).running(before=(F.max, "end", "before")).filter(F.col("start") < F.col("before"))
+    return bucketed(windows, F.floor(F.col("start") / SPAN), ["start", "end"], [], before=(F.max, "end", "before")).filter(F.col("start") < F.col("before"))
 
 
-def extract(events: DataFrame, windows: DataFrame, keep: list[str], width: int = SPAN) -> DataFrame:
-    """Events inside half-open windows, with columns `keep` of their window; raises if windows overlap."""
-    windows = saved(windows, "windows")
-    bad = overlapping_pairs(windows).head(1)
-    if bad:
-        raise ValueError(f"windows overlap at {bad[0]['start']}")
+def extract(events: DataFrame, windows: DataFrame, keep: list[str], width: int = SPAN, merged: bool = False) -> DataFrame:
+    """Events inside half-open windows, with columns `keep` of their window; raises if windows overlap, which merged ones can't."""
+    if not merged:
+        windows = saved(windows, "windows")
+        bad = overlapping_pairs(windows).head(1)
+        if bad:
+            raise ValueError(f"windows overlap at {bad[0]['start']}")
     return in_intervals(events, windows, width, half_open=True, keep=keep)

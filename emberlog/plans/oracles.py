@@ -113,6 +113,7 @@ ORACLES["exact_window_counts"] = f"""WITH {E}, {_CAND} SELECT ca.*, (SELECT coun
 ORACLES["prorated_window_counts"] = f"""WITH {E}, {_CAND}, {_PROFILE} SELECT start, "end", coalesce(sum(round_even(line_count * (least("end", bucket_start + 60) - greatest(start, bucket_start)) / 60, 0)), 0)::BIGINT AS line_count, count(line_count) AS bucket_count FROM ca LEFT JOIN pr ON bucket_start < "end" AND bucket_start + 60 > start GROUP BY ALL"""
 ORACLES["band_density"] = f"""{_L}, {_CAND}, {_CLEAN}, {_DENSE} SELECT start, "end", line_count, band, density_rank::INT AS density_rank, round(density_percentile, 6) AS density_percentile FROM de"""
 ORACLES["simple_window_select"] = f"""{_L}, {_CAND}, {_CLEAN}, {_DENSE} SELECT start, "end", line_count FROM de WHERE line_count BETWEEN 2 AND 1000000 ORDER BY start LIMIT 20"""
+ORACLES["chosen_window_events"] = f"""{_L}, {_CAND}, {_CLEAN}, {_DENSE}, sw AS (SELECT start, "end" FROM (SELECT * FROM de WHERE line_count BETWEEN 2 AND 1000000 ORDER BY start LIMIT 20) WHERE start % 120 = 0) SELECT sw.start, count(*) AS n, min(time) AS first_seen, max(time) AS last_seen FROM e JOIN sw ON time >= sw.start AND time < sw."end" GROUP BY ALL"""
 ORACLES["window_extraction"] = f"""{_L}, {_merged(30)} SELECT mi.start, count(*) AS n, min(time) AS first_seen, max(time) AS last_seen FROM e JOIN mi ON time >= mi.start AND time <= mi."end" GROUP BY ALL"""
 ORACLES["extract_reconcile"] = f"""WITH {E}, {_CAND}, {_PROFILE}, x AS (SELECT ca.*, (SELECT count(*) FROM e WHERE time >= ca.start AND time < ca."end") AS n FROM ca), y AS (SELECT start, coalesce(sum(round_even(line_count * (least("end", bucket_start + 60) - greatest(start, bucket_start)) / 60, 0)), 0)::BIGINT AS c FROM ca LEFT JOIN pr ON bucket_start < "end" AND bucket_start + 60 > start GROUP BY ALL)
 SELECT start, n - c AS delta FROM x JOIN y USING (start)"""

@@ -260,7 +260,15 @@ def stratified_window_select(spark, sf_dir):
 @query
 def window_extraction(spark, sf_dir):
     w = wn.merge_intervals(wn.around(views.unnumbered_labels(spark, sf_dir), 30)).withColumn("end", F.col("end") + 1)
-    return wn.extract(views.auth(spark, sf_dir), w, ["start"]).groupBy("start").agg(F.count("*").alias("n"), F.min("time").alias("first_seen"), F.max("time").alias("last_seen"))
+    return wn.extract(views.auth(spark, sf_dir), w, ["start"], merged=True).groupBy("start").agg(F.count("*").alias("n"), F.min("time").alias("first_seen"), F.max("time").alias("last_seen"))
+
+
+@query
+def chosen_window_events(spark, sf_dir):
+    """Events of chosen windows, which are checked not to overlap."""
+    w = wn.first_windows(dense(spark, sf_dir), 2, 1_000_000, 20).select("start", "end")
+    apart = w.filter(F.col("start") % (2 * STRIDE) == 0)
+    return wn.extract(views.auth(spark, sf_dir), apart, ["start"]).groupBy("start").agg(F.count("*").alias("n"), F.min("time").alias("first_seen"), F.max("time").alias("last_seen"))
 
 
 @query
