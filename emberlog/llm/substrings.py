@@ -9,18 +9,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberlog.operators.graph import Ordered, global_rank
+
 from .base import Carried, broadcast_if_small, row_key, written
-from .words import BLOCK_BYTES, Hashed, signed
+from .words import BLOCK_BYTES, Hashed, give_back, mixed, signed
 
 
 @dataclass(frozen=True)
 class SubstringConfig:
     """length: bytes of a string that counts as repeated. spacings: for each round, in how many places a trigger is looked for;
-    the last is 1, where every place is one. gram: bytes of the rolling hash that picks triggers."""
+    the last is 1: the places that are left are put in corpus order. gram: bytes of the rolling hash that picks triggers.
+    modulus: in the last round, one place in about so many is a trigger."""
 
     length: int = 200
     spacings: tuple[int, ...] = (96, 16, 1)
     gram: int = 8
+    modulus: int = 16
     broadcast_rows: int = 1_000_000
 
 
@@ -41,15 +45,20 @@ def triggers(hashed: Hashed, n: int, spacing: int, gram: int) -> np.ndarray:
 
 
 def phrases(rows: DataFrame, config: SubstringConfig, spacing: int) -> DataFrame:
-    """(phrase, context, _key, lo, hi) for runs of places lo..hi whose strings share a trigger.
+    """(phrase, context, _key, lo, hi, times) for runs of places lo..hi whose strings share a trigger.
 
     phrase: the bytes from the trigger on that all strings with that trigger hold. context: all bytes of the run's strings.
     Equal strings have equal phrases, at the same distance. Only places in the column `active` (of lo, hi), if there is one.
+
+    Of runs of one block with equal phrase and context the first stands for all, `times` of them; the others, which are repeated
+    already, have times 0 and a phrase of their own. So a passage with very many copies meets in as many rows as there are
+    blocks.
     """
     length, gram = config.length, config.gram
 
     def emit(batches):
         for batch in batches:
+            give_back()
             keys, texts = batch.column("_key").to_pylist(), batch.column("_text")
             active = batch.column("active").to_pylist() if "active" in batch.schema.names else None
             block, size = [], 0
@@ -79,19 +88,23 @@ def phrases(rows: DataFrame, config: SubstringConfig, spacing: int) -> DataFrame
             wanted[at + n - length + 1 : at + n] = False
         places = np.flatnonzero(wanted)
         hashed = Hashed(raw)
-        trigger = places if spacing == 1 else triggers(hashed, len(raw), spacing, gram)[places]
+        trigger = triggers(hashed, len(raw), spacing, gram)[places]
         new = np.flatnonzero(np.concatenate(([True], (trigger[1:] != trigger[:-1]) | (places[1:] != places[:-1] + 1)))) if len(places) else places
         lo, hi, trigger = places[new], places[np.append(new[1:], len(places)) - 1] if len(places) else places, trigger[new]
         of = np.searchsorted(first, lo, side="right") - 1
-        return pa.RecordBatch.from_arrays(
-            [signed(hashed.run(trigger, length - spacing + 1)), signed(hashed.run(lo, hi + length - lo)), pa.array(np.array([k for k, _, _ in block], np.int64)[of]), pa.array((lo - first[of]).astype(np.int32)), pa.array((hi - first[of]).astype(np.int32))],
-            names=["phrase", "context", "_key", "lo", "hi"],
-        )
+        phrase, context = hashed.run(trigger, length - spacing + 1), hashed.run(lo, hi + length - lo)
+        keys = np.array([k for k, _, _ in block], np.int64)[of]
+        _, head, counts = np.unique(phrase ^ mixed(context), return_index=True, return_counts=True)
+        times = np.zeros(len(lo), np.int32)
+        times[head] = counts
+        start = (lo - first[of]).astype(np.int32)
+        phrase = np.where(times > 0, phrase, mixed(mixed(keys.view(np.uint64)) + start.astype(np.uint64)))
+        return pa.RecordBatch.from_arrays([signed(phrase), signed(context), pa.array(keys), pa.array(start), pa.array((hi - first[of]).astype(np.int32)), pa.array(times)], names=["phrase", "context", "_key", "lo", "hi", "times"])
 
-    return rows.mapInArrow(emit, "phrase long, context long, _key long, lo int, hi int")
+    return rows.mapInArrow(emit, "phrase long, context long, _key long, lo int, hi int, times int")
 
 
-def settled(found: DataFrame, last: bool) -> DataFrame:
+def settled(found: DataFrame) -> DataFrame:
     """(_key, lo, hi, repeated, open) of runs whose phrase is there more than once.
 
     repeated: the same context is there again, so all strings of the run are repeated. open: strings of the run have to be
@@ -100,15 +113,107 @@ def settled(found: DataFrame, last: bool) -> DataFrame:
     """
     found = found.repartition("phrase")
     same, exact = Window.partitionBy("phrase"), Window.partitionBy("phrase", "context")
-    out = found.withColumn("n", F.count("*").over(exact))
-    if last:
-        return out.filter("n > 1").select("_key", "lo", "hi", F.lit(True).alias("repeated"), F.lit(False).alias("open"))
-    own = F.struct("_key", "lo")
-    out = out.withColumn("first", F.min(own).over(exact) == own).withColumn("all", F.count("*").over(same)).withColumn("lone", F.max(F.col("n") == 1).over(same))
-    out = out.filter("all > 1").select("_key", "lo", "hi", (F.col("n") > 1).alias("repeated"), ((F.col("n") == 1) | (F.col("lone") & F.col("first"))).alias("open"))
+    copy, own = F.col("times") == 0, F.struct("_key", "lo")
+    out = found.withColumn("n", F.when(copy, 2).otherwise(F.sum("times").over(exact)))
+    out = out.withColumn("first", F.min(own).over(exact) == own).withColumn("all", F.sum("times").over(same)).withColumn("lone", F.max(F.col("n") == 1).over(same))
+    open_ = ~copy & ((F.col("n") == 1) | (F.col("lone") & F.col("first")))
+    out = out.filter(copy | (F.col("all") > 1)).select("_key", "lo", "hi", (F.col("n") > 1).alias("repeated"), open_.alias("open"))
     return out.filter("repeated or open")
 
 
+def open_segments(ranges: list[dict], n: int, length: int) -> list[tuple[int, int]]:
+    """Maximal runs of places lo..hi at which a string of `length` bytes starts, of a text of n bytes."""
+    out: list[tuple[int, int]] = []
+    for r in sorted(ranges, key=lambda r: r["lo"]):
+        lo, hi = r["lo"], min(r["hi"], n - length)
+        if out and lo <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(out[-1][1], hi))
+        elif lo <= hi:
+            out.append((lo, hi))
+    return out
+
+
+def parsed(rows: DataFrame, config: SubstringConfig) -> DataFrame:
+    """The prefix-free parse of the open segments of rows (_key, _text, active): (_key, seg, j, lo, bytes, own).
+
+    Triggers are places whose rolling hash is 0 by the modulus, so they depend on their own bytes alone. With lo null, bytes is
+    phrase j of a segment: from its trigger to the end of the next one's gram. With lo, it is what place lo has before phrase j:
+    the suffix of a phrase, up to the end of the gram that phrase j starts with; own is the hash of the place's string. No
+    phrase or suffix is a prefix of another, as a trigger ends it, unless the segment or the string ends first.
+    """
+    length, gram, modulus = config.length, config.gram, np.uint64(config.modulus)
+
+    def emit(batches):
+        for batch in batches:
+            give_back()
+            keys, texts, active = batch.column("_key").to_pylist(), batch.column("_text"), batch.column("active").to_pylist()
+            for i in range(batch.num_rows):
+                raw = texts[i].as_py()
+                for lo, hi in open_segments(active[i], len(raw), length):
+                    for start in range(lo, hi + 1, BLOCK_BYTES):  # a very long segment is taken in pieces that overlap by a string
+                        yield from parse(keys[i], raw, start, min(hi, start + BLOCK_BYTES - 1))
+
+    def parse(key: int, raw: bytes, lo: int, hi: int):
+        text = raw[lo : hi + length]
+        hashed = Hashed(np.frombuffer(text, np.uint8))
+        grams = np.arange(len(text) - gram + 1)
+        at = np.flatnonzero(hashed.run(grams, gram) % modulus == 0)
+        places = np.arange(hi - lo + 1)
+        j = np.searchsorted(at, places)
+        ends = np.minimum(np.append(at, len(text))[j] + gram, places + length)
+        strings = [text[p:e] for p, e in zip(places.tolist(), ends.tolist(), strict=True)]
+        closes = np.minimum(np.append(at[1:], len(text)) + gram, at + length)
+        phrases = [text[p:e] for p, e in zip(at.tolist(), closes.tolist(), strict=True)]
+        n, m = len(places), len(at)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.full(n + m, key, np.int64)), pa.array(np.full(n + m, lo, np.int32)), pa.array(np.concatenate([j, np.arange(m)]).astype(np.int32)), pa.array([*(places + lo).tolist(), *[None] * m], pa.int32()),
+                pa.array([*strings, *phrases], pa.binary()), pa.array(np.concatenate([hashed.run(places, length), at.astype(np.uint64)]).view(np.int64)),
+            ],
+            names=["_key", "seg", "j", "lo", "bytes", "own"],
+        )
+
+    return rows.mapInArrow(emit, "_key long, seg int, j int, lo int, bytes binary, own long")
+
+
+def parse_suffixes(parse: DataFrame, length: int) -> DataFrame:
+    """(_key, seg, j, suffix): from each phrase of a segment on, the ranks of as many phrases as hold `length` bytes. parse: rows
+    (_key, seg, phrases: array of struct of j, own (where it starts) and rank, in order)."""
+
+    def emit(batches):
+        for batch in batches:
+            for key, seg, phrases in zip(*(batch.column(c).to_pylist() for c in ("_key", "seg", "phrases")), strict=True):
+                ranks, starts = np.array([p["rank"] for p in phrases], np.int64), np.array([p["own"] for p in phrases], np.int64)
+                n = len(ranks)
+                take = np.searchsorted(starts, starts + length) - np.arange(n)
+                offsets = np.concatenate(([0], np.cumsum(take)))
+                flat = ranks[np.arange(offsets[-1]) - np.repeat(offsets[:-1] - np.arange(n), take)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, key, np.int64)), pa.array(np.full(n, seg, np.int32)), pa.array(np.array([p["j"] for p in phrases], np.int32)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))], names=["_key", "seg", "j", "suffix"])
+
+    return parse.mapInArrow(emit, "_key long, seg int, j int, suffix array<long>")
+
+
+def in_corpus_order(rows: DataFrame, config: SubstringConfig) -> DataFrame:
+    """(_key, lo, hi) of open places of rows (_key, _text, active) whose string starts at another open place too.
+
+    The dictionary's suffix array ranks the different suffixes of phrases by their bytes; the parse's suffix array ranks every
+    phrase of the parse by the phrases that follow. A place's own suffix and then the phrase behind it put all places in the
+    order of their texts: both arrays and their combination are sorts partitioned by range of prefixes. Strings that are equal
+    stand together in it, so each place is compared with its neighbours.
+    """
+    parse = written(parsed(rows, config), "parse")
+    phrases, places = parse.filter("lo is null"), parse.filter("lo is not null")
+    dictionary = global_rank(phrases.select("bytes").distinct(), F.col("bytes"))
+    ranked = phrases.join(dictionary, "bytes").groupBy("_key", "seg").agg(F.array_sort(F.collect_list(F.struct("j", "own", "rank"))).alias("phrases"))
+    followed = global_rank(parse_suffixes(ranked, config.length), F.col("suffix"), F.col("_key"), F.col("seg"), F.col("j"), to="parse_rank")
+    suffixes = global_rank(places.select("bytes").distinct(), F.col("bytes"), to="suffix_rank")
+    both = places.join(suffixes, "bytes").join(followed.select("_key", "seg", "j", "parse_rank"), ["_key", "seg", "j"], "left")
+    corpus = both.select("_key", "lo", "suffix_rank", F.coalesce("parse_rank", F.lit(0).cast("long")).alias("parse_rank"), "own")
+    place = F.struct("suffix_rank", "parse_rank", "own", "_key", "lo")
+    seen = Ordered(corpus, *map(F.col, ("suffix_rank", "parse_rank", "own", "_key", "lo"))).running(before=(F.max, place, "before"), after=(F.min, place, "after"))
+    return seen.filter((F.col("before.own") == F.col("own")) | (F.col("after.own") == F.col("own"))).select("_key", "lo", F.col("lo").alias("hi"))
+
+
 def with_ranges(rows: DataFrame, ranges: DataFrame, to: str, config: SubstringConfig) -> DataFrame:
     """Rows that have ranges, with them as an array; texts of other rows are not shuffled if the keys are few."""
     lists = ranges.groupBy("_key").agg(F.collect_list(F.struct("lo", "hi")).alias(to))
@@ -120,10 +225,12 @@ def repeated_ranges(rows: DataFrame, config: SubstringConfig) -> DataFrame:
     """(_key, lo, hi): places of rows (_key, _text) where a string starts that also starts elsewhere."""
     parts, todo = [], rows
     for spacing in config.spacings:
-        level = written(settled(phrases(todo, config, spacing), spacing == 1), "phrases")
+        if spacing == 1:
+            parts.append(in_corpus_order(todo, config))
+            continue
+        level = written(settled(phrases(todo, config, spacing)), "phrases")
         parts.append(level.filter("repeated").select("_key", "lo", "hi"))
-        if spacing > 1:
-            todo = with_ranges(rows, level.filter("open").select("_key", "lo", "hi"), "active", config)
+        todo = with_ranges(rows, level.filter("open").select("_key", "lo", "hi"), "active", config)
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
@@ -153,13 +260,13 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """Removes each byte covered by a string of `length` bytes that also starts anywhere else in the corpus, the same document
     included. Adds the struct column `to`: n_bytes, n_removed, n_spans (maximal removed runs), kept (the rest as bytes).
 
-    A prefix-free parse at the scale of a corpus. Triggers are places of locally least rolling hash, so that every string of
-    the length has one and its choice depends on the string alone. The phrase at a trigger goes into a dictionary, which
-    groups all its occurrences in the corpus; in it the parse around each occurrence (its context) is compared. Of the corpus
-    order that suffix arrays of dictionary and parse give, only one thing is asked here: whether neighbours agree on `length`
-    bytes. Equal (phrase, context) tell this for a whole run of places at once, without a row for each place. Runs that
-    differ from all others of their phrase, at the ends of repeats, are parsed again with denser triggers, at last place by
-    place; of each other context one occurrence goes along, to be met there. Equality is that of 64-bit hashes of the bytes.
+    A prefix-free parse at the scale of a corpus, in rounds. In the first rounds triggers are places of locally least rolling
+    hash, so that every string of the length has one and its choice depends on the string alone. The phrase at a trigger goes
+    into a dictionary, which groups all its occurrences in the corpus; in it the parse around each occurrence (its context) is
+    compared: equal (phrase, context) settle a whole run of places at once, without a row for each. Runs that differ from all
+    others of their phrase, at the ends of repeats, are parsed again with denser triggers; of each other context one occurrence
+    goes along, to be met there. What is then left open is a small part of the corpus, and is put in corpus order by suffix
+    arrays of its dictionary and parse, see in_corpus_order(). Equality is that of 64-bit hashes of the bytes.
 
     Strings are judged on the input. A null text is empty; texts shorter than `length` keep all bytes. Rows with equal doc_id
     and text are separate documents, and so repeat one another. A column of the name `to` is replaced; other columns stay,
