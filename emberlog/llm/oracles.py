@@ -1,6 +1,6 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-from .licenses import BASE_PHRASES, CONTEXT, GATE, GATE_PAIR, WORD, anchored, rules
+from .licenses import BASE_PHRASES, CONTEXT, WORD, anchored, rules
 
 ORACLES: dict[str, str] = {}
 
@@ -30,12 +30,12 @@ def _quoted(x: str) -> str:
 
 
 _BASE = ", ".join(f"({_quoted(p)}, {_quoted(label)}, {len(p.split())})" for p, label in BASE_PHRASES.items())
-_GATE = " OR ".join([f"contains(lower(text), '{k}')" for k in GATE] + [" AND ".join(f"contains(lower(text), '{k}')" for k in GATE_PAIR)])
 _RULES = ", ".join(f"({r.order}, {_quoted(r.label)}, {_quoted(r.first)}, {_quoted(anchored(r))}, {r.score})" for r in rules())
+# Every rule at every word, without the keyword gate.
 ORACLES["op6_license_scan"] = rf"""
 WITH t AS (SELECT row_number() OVER () AS r, doc_id, text, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),
-w AS (SELECT r, doc_id, regexp_extract_all(low, {_quoted(WORD)}) AS ws, ({_GATE}) AS gate FROM t),
-p AS (SELECT r, ws, unnest(range(len(ws))) AS i FROM w WHERE gate),
+w AS (SELECT r, doc_id, regexp_extract_all(low, {_quoted(WORD)}) AS ws FROM t),
+p AS (SELECT r, ws, unnest(range(len(ws))) AS i FROM w),
 b AS (SELECT r, i, x.label FROM p JOIN (VALUES {_BASE}) AS x(phrase, label, k) ON array_to_string(ws[i+1:i+k], ' ') = phrase),
 rules AS (SELECT ord, label, unnest(string_split(firsts, ' ')) AS w, pattern, score FROM (VALUES {_RULES}) AS x(ord, label, firsts, pattern, score)),
 h AS (SELECT p.r, i, ord, label, score, regexp_extract(array_to_string(ws[i+1:i+{CONTEXT}], ' '), pattern, 1) AS hit FROM p JOIN rules ON ws[i+1] = rules.w),
