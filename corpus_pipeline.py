@@ -14,31 +14,43 @@ from emberlog.llm.quality import quality_rules
 from emberlog.llm.queries import WORD_BPE, public_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Documents that go to a Python worker at once. Workers and the JVM hold a few batches each, and stay from stage to stage.
+BATCH = "2000"
+
+
+def session(spark: SparkSession) -> SparkSession:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
+    return spark
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality rules: rejected documents go."""
+    session(spark)
     return quality_rules(docs).filter("quality.kept").select(*COLUMNS)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Line dedup: lines that an earlier line equals or nearly equals go, and documents of which no word is left."""
+    session(spark)
     out = line_dedup(docs).withColumn("n_chars", F.when(F.col("lines.n_exact") + F.col("lines.n_near") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.filter("lines.n_exact + lines.n_near = 0 or trim(text) <> ''").select(*COLUMNS)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join: one document of each group of near duplicates stays."""
+    session(spark)
     return one_of_each_class(docs).select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark decontamination: documents that hold a test item go."""
+    session(spark)
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packing: pieces of all remaining documents in windows."""
+    session(spark)
     return pack(docs, public_path(WORD_BPE))
 
 
