@@ -58,10 +58,11 @@ def next_ticks(ticks: DataFrame, wait: int, within: tuple[str, ...] = ()) -> Dat
     w = list(within)
     base = ticks.select(*w, "time").distinct().withColumn("bucket", F.floor(F.col("time") / wait))
     heads = base.groupBy(*w, "bucket").agg(F.min("time").alias("head"))
-    later = Window.partitionBy(*w).orderBy("bucket").rowsBetween(1, Window.unboundedFollowing)
+    # Later rows as those before in the opposite order, which Spark goes through once.
+    later = Window.partitionBy(*w).orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
     targets = base.select(*w, (F.col("time") + wait).alias("at"), (F.col("bucket") + 1).alias("bucket"), F.col("time").alias("t"))
     both = targets.select(*w, "bucket", "at", "t", F.lit(None).cast("long").alias("tick")).union(base.select(*w, "bucket", F.col("time").alias("at"), F.lit(None).cast("long").alias("t"), F.col("time").alias("tick")))
-    inside = F.min("tick").over(Window.partitionBy(*w, "bucket").orderBy("at").rangeBetween(0, Window.unboundedFollowing))
+    inside = F.min("tick").over(Window.partitionBy(*w, "bucket").orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, 0))
     found = both.withColumn("inside", inside).filter("t is not null")
     # The next bucket with a tick after each target's bucket; targets' buckets may be empty, so they stand among the heads.
     marks = found.select(*w, "bucket").distinct().join(heads, w + ["bucket"], "left").union(heads.join(found.select(*w, "bucket").distinct(), w + ["bucket"], "left_anti").select(*w, "bucket", "head"))

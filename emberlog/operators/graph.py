@@ -26,9 +26,14 @@ def components(links: DataFrame) -> DataFrame:
         labels = new
 
 
-#: Frames of rows in one part of an order, and of the parts around it.
-INNER = {"before": (Window.unboundedPreceding, -1), "upto": (Window.unboundedPreceding, 0), "after": (1, Window.unboundedFollowing), "from": (0, Window.unboundedFollowing)}
-OUTER = {"before": INNER["before"], "upto": INNER["before"], "after": INNER["after"], "from": INNER["after"]}
+def rows_of(frame: str, partition: list[str], order: list, outer: bool = False):
+    """The rows "before" a row, "upto" it, "after" it or "from" it on; outer: of the groups around, itself never included. What
+    comes later is what comes before in the opposite order: Spark goes through a frame that grows once, but anew for each row of
+    one that shrinks."""
+    back = frame in ("after", "from")
+    by = [F.col(c) if isinstance(c, str) else c for c in order]
+    w = Window.partitionBy(*partition).orderBy(*(c.desc() if back else c.asc() for c in by))
+    return w.rowsBetween(Window.unboundedPreceding, 0 if frame in ("upto", "from") and not outer else -1)
 
 
 class Ordered:
@@ -43,13 +48,11 @@ class Ordered:
         at = F.monotonically_increasing_id()
         self.names = rows.columns
         self.rows = saved(rows.orderBy(*order).withColumn("__at", at), "ordered").withColumn("__part", F.shiftright("__at", 33))
-        self.own = Window.partitionBy("__part").orderBy("__at")
-        self.parts = Window.orderBy("__part")
 
     def ranked(self, to: str = "rank") -> DataFrame:
         """Adds 1, 2, ... in order."""
         n = self.rows.groupBy("__part").agg(F.count("*").alias("__c"))
-        before = n.select("__part", F.coalesce(F.sum("__c").over(self.parts.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
+        before = n.select("__part", F.coalesce(F.sum("__c").over(rows_of("before", [], ["__part"])), F.lit(0)).alias("__b"))
         place = F.col("__at").bitwiseAND((1 << 33) - 1) + 1
         return self.rows.join(F.broadcast(before), "__part").select(*self._names(), (place + F.col("__b")).alias(to))
 
@@ -57,8 +60,8 @@ class Ordered:
         """Adds, for each name, what (aggregate, argument, frame) tells: F.sum, F.max or F.min over all rows before this one
         ("before"), with it ("upto"), after it ("after") or from it on ("from"). An aggregate of no rows is null."""
         totals = self.rows.groupBy("__part").agg(*(kind(arg).alias(k) for k, (kind, arg, _) in values.items()))
-        others = totals.select("__part", *(kind(k).over(self.parts.rowsBetween(*OUTER[f])).alias(f"__o_{k}") for k, (kind, _, f) in values.items()))
-        rows = self.rows.select("*", *(kind(arg).over(self.own.rowsBetween(*INNER[f])).alias(f"__i_{k}") for k, (kind, arg, f) in values.items()))
+        others = totals.select("__part", *(kind(k).over(rows_of(f, [], ["__part"], outer=True)).alias(f"__o_{k}") for k, (kind, _, f) in values.items()))
+        rows = self.rows.select("*", *(kind(arg).over(rows_of(f, ["__part"], ["__at"])).alias(f"__i_{k}") for k, (kind, arg, f) in values.items()))
         both = rows.join(F.broadcast(others), "__part")
         return both.select(*self._names(), *(joined(v[0], F.col(f"__i_{k}"), F.col(f"__o_{k}")).alias(k) for k, v in values.items()))
 
@@ -96,8 +99,7 @@ def bucketed(rows: DataFrame, bucket: Column, order: list, within: list[str], **
     keyed = rows.withColumn("__k", bucket)
     key = [*within, "__k"]
     totals = keyed.groupBy(*key).agg(*(kind(arg).alias(k) for k, (kind, arg, _) in values.items()))
-    buckets, inside = Window.partitionBy(*within).orderBy("__k"), Window.partitionBy(*key).orderBy(*order)
-    others = totals.select(*(F.col(c).alias(f"__j{i}") for i, c in enumerate(key)), *(kind(k).over(buckets.rowsBetween(*OUTER[f])).alias(f"__o_{k}") for k, (kind, _, f) in values.items()))
-    here = keyed.select("*", *(kind(arg).over(inside.rowsBetween(*INNER[f])).alias(f"__i_{k}") for k, (kind, arg, f) in values.items()))
+    others = totals.select(*(F.col(c).alias(f"__j{i}") for i, c in enumerate(key)), *(kind(k).over(rows_of(f, within, ["__k"], outer=True)).alias(f"__o_{k}") for k, (kind, _, f) in values.items()))
+    here = keyed.select("*", *(kind(arg).over(rows_of(f, key, order)).alias(f"__i_{k}") for k, (kind, arg, f) in values.items()))
     both = here.join(others, [F.col(c) == F.col(f"__j{i}") for i, c in enumerate(key)])
     return both.select(*(F.col(f"`{c}`") for c in rows.columns), *(joined(v[0], F.col(f"__i_{k}"), F.col(f"__o_{k}")).alias(k) for k, v in values.items()))
