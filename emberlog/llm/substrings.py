@@ -15,6 +15,10 @@ from .base import Carried, broadcast_if_small, row_key, written
 from .words import BLOCK_BYTES, Hashed, give_back, mixed, signed
 
 
+#: Bytes of open segments that are parsed at once.
+PARSE_BYTES = 250_000
+
+
 @dataclass(frozen=True)
 class SubstringConfig:
     """length: bytes of a string that counts as repeated. spacings: for each round, in how many places a trigger is looked for;
@@ -147,28 +151,43 @@ def parsed(rows: DataFrame, config: SubstringConfig) -> DataFrame:
         for batch in batches:
             give_back()
             keys, texts, active = batch.column("_key").to_pylist(), batch.column("_text"), batch.column("active").to_pylist()
+            block, size = [], 0
             for i in range(batch.num_rows):
                 raw = texts[i].as_py()
                 for lo, hi in open_segments(active[i], len(raw), length):
-                    for start in range(lo, hi + 1, BLOCK_BYTES):  # a very long segment is taken in pieces that overlap by a string
-                        yield from parse(keys[i], raw, start, min(hi, start + BLOCK_BYTES - 1))
+                    for start in range(lo, hi + 1, PARSE_BYTES):  # a very long segment is taken in pieces that overlap by a string
+                        end = min(hi, start + PARSE_BYTES - 1)
+                        block.append((keys[i], start, end - start + 1, raw[start : end + length]))
+                        size += end - start + length
+                        if size >= PARSE_BYTES:
+                            yield parse(block)
+                            block, size = [], 0
+            if block:
+                yield parse(block)
 
-    def parse(key: int, raw: bytes, lo: int, hi: int):
-        text = raw[lo : hi + length]
+    def parse(block) -> pa.RecordBatch:
+        text = b"".join(t for *_, t in block)
+        keys, lo, n = (np.array([x[k] for x in block], np.int64) for k in range(3))
+        first = np.cumsum([0, *(len(t) for *_, t in block)])
         hashed = Hashed(np.frombuffer(text, np.uint8))
-        grams = np.arange(len(text) - gram + 1)
-        at = np.flatnonzero(hashed.run(grams, gram) % modulus == 0)
-        places = np.arange(hi - lo + 1)
+        at = np.flatnonzero(hashed.run(np.arange(len(text) - gram + 1), gram) % modulus == 0)
+        of = np.searchsorted(first, at, side="right") - 1
+        inside = at + gram <= first[of + 1]
+        at, of = at[inside], of[inside]
+        number = np.arange(len(at)) - np.searchsorted(at, first)[of]
+        ahead, ahead_of = np.append(at, 0), np.append(of, -1)
+        closes = np.minimum(np.where(ahead_of[1:] == of, ahead[1:] + gram, first[of + 1]), at + length)
+        seg = np.repeat(np.arange(len(n)), n)
+        places = np.arange(len(seg)) + np.repeat(first[:-1] - (np.cumsum(n) - n), n)
         j = np.searchsorted(at, places)
-        ends = np.minimum(np.append(at, len(text))[j] + gram, places + length)
-        strings = [text[p:e] for p, e in zip(places.tolist(), ends.tolist(), strict=True)]
-        closes = np.minimum(np.append(at[1:], len(text)) + gram, at + length)
-        phrases = [text[p:e] for p, e in zip(at.tolist(), closes.tolist(), strict=True)]
-        n, m = len(places), len(at)
-        yield pa.RecordBatch.from_arrays(
+        ends = np.where(ahead_of[j] == seg, np.minimum(ahead[j] + gram, places + length), places + length)
+        own_number = j - np.searchsorted(at, first)[seg]
+        strings = [text[p:e] for p, e in zip(np.concatenate([places, at]).tolist(), np.concatenate([ends, closes]).tolist(), strict=True)]
+        which = np.concatenate([seg, of])
+        return pa.RecordBatch.from_arrays(
             [
-                pa.array(np.full(n + m, key, np.int64)), pa.array(np.full(n + m, lo, np.int32)), pa.array(np.concatenate([j, np.arange(m)]).astype(np.int32)), pa.array([*(places + lo).tolist(), *[None] * m], pa.int32()),
-                pa.array([*strings, *phrases], pa.binary()), pa.array(np.concatenate([hashed.run(places, length), at.astype(np.uint64)]).view(np.int64)),
+                pa.array(keys[which]), pa.array(lo[which].astype(np.int32)), pa.array(np.concatenate([own_number, number]).astype(np.int32)), pa.array(np.concatenate([places - first[seg] + lo[seg], at]).astype(np.int32), mask=np.arange(len(which)) >= len(seg)),
+                pa.array(strings, pa.binary()), pa.array(np.concatenate([hashed.run(places, length), (at - first[of]).astype(np.uint64)]).view(np.int64)),
             ],
             names=["_key", "seg", "j", "lo", "bytes", "own"],
         )
@@ -182,13 +201,17 @@ def parse_suffixes(parse: DataFrame, length: int) -> DataFrame:
 
     def emit(batches):
         for batch in batches:
-            for key, seg, phrases in zip(*(batch.column(c).to_pylist() for c in ("_key", "seg", "phrases")), strict=True):
-                ranks, starts = np.array([p["rank"] for p in phrases], np.int64), np.array([p["own"] for p in phrases], np.int64)
-                n = len(ranks)
-                take = np.searchsorted(starts, starts + length) - np.arange(n)
-                offsets = np.concatenate(([0], np.cumsum(take)))
-                flat = ranks[np.arange(offsets[-1]) - np.repeat(offsets[:-1] - np.arange(n), take)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, key, np.int64)), pa.array(np.full(n, seg, np.int32)), pa.array(np.array([p["j"] for p in phrases], np.int32)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))], names=["_key", "seg", "j", "suffix"])
+            phrases = batch.column("phrases")
+            flat = phrases.flatten()
+            count = np.diff(phrases.offsets.to_numpy())
+            of = np.repeat(np.arange(batch.num_rows), count)
+            ranks, starts = flat.field("rank").to_numpy(), flat.field("own").to_numpy() + (of << 40)  # segments lie far apart
+            each = np.arange(len(starts))
+            take = np.searchsorted(starts, starts + length) - each
+            offsets = np.concatenate(([0], np.cumsum(take)))
+            suffix = ranks[np.arange(offsets[-1]) - np.repeat(offsets[:-1] - each, take)]
+            rows = pa.array(of)
+            yield pa.RecordBatch.from_arrays([batch.column("_key").take(rows), batch.column("seg").take(rows), flat.field("j"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(suffix))], names=["_key", "seg", "j", "suffix"])
 
     return parse.mapInArrow(emit, "_key long, seg int, j int, suffix array<long>")
 
@@ -205,7 +228,7 @@ def in_corpus_order(rows: DataFrame, config: SubstringConfig) -> DataFrame:
     phrases, places = parse.filter("lo is null"), parse.filter("lo is not null")
     dictionary = global_rank(phrases.select("bytes").distinct(), F.col("bytes"))
     ranked = phrases.join(dictionary, "bytes").groupBy("_key", "seg").agg(F.array_sort(F.collect_list(F.struct("j", "own", "rank"))).alias("phrases"))
-    followed = global_rank(parse_suffixes(ranked, config.length), F.col("suffix"), F.col("_key"), F.col("seg"), F.col("j"), to="parse_rank")
+    followed = global_rank(written(parse_suffixes(ranked, config.length), "parse-suffixes"), F.col("suffix"), F.col("_key"), F.col("seg"), F.col("j"), to="parse_rank")
     suffixes = global_rank(places.select("bytes").distinct(), F.col("bytes"), to="suffix_rank")
     both = places.join(suffixes, "bytes").join(followed.select("_key", "seg", "j", "parse_rank"), ["_key", "seg", "j"], "left")
     corpus = both.select("_key", "lo", "suffix_rank", F.coalesce("parse_rank", F.lit(0).cast("long")).alias("parse_rank"), "own")
