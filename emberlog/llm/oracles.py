@@ -106,3 +106,9 @@ k AS (SELECT node, min(root) AS class_id FROM w GROUP BY node),
 d AS (SELECT a AS node, sum(copies) AS links FROM l JOIN c ON c.node = l.b GROUP BY a)
 SELECT doc_id, class_id, copies - 1 AS n_copies, (coalesce(links, 0) + copies - 1)::BIGINT AS n_links FROM t JOIN c USING (text) JOIN k USING (node) LEFT JOIN d USING (node)
 """
+
+ORACLES["op11_exact_dedup"] = r"""
+WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS cp, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size, row_number() OVER w = 1 AS kept, text_sha256 FROM t
+WINDOW w AS (PARTITION BY text_sha256 ORDER BY cp DESC, doc_id)
+"""

@@ -102,6 +102,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .exact import exact_dedup, normalised
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.sha2(normalised(F.col("text")), 256).alias("text_sha256"))
+    return exact_dedup(docs).select("doc_id", "copies.keep_id", "copies.group_size", "copies.kept", "text_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
