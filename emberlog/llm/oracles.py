@@ -112,3 +112,20 @@ WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS cp, sha256(regexp_replac
 SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size, row_number() OVER w = 1 AS kept, text_sha256 FROM t
 WINDOW w AS (PARTITION BY text_sha256 ORDER BY cp DESC, doc_id)
 """
+
+# The checksum byte by byte from its table; near words by deleting each letter of every word.
+ORACLES["op12_spelling_variants"] = r"""
+WITH RECURSIVE tab AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c FROM range(256) AS r(i))),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+') AS ws FROM documents),
+c AS (SELECT doc_id, w, count(*) AS n FROM (SELECT r, doc_id, unnest(ws) AS w FROM d) GROUP BY r, doc_id, w),
+h AS (SELECT w, n, list_transform(regexp_extract_all(hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || w)), '..'), lambda x: ('0x' || x)::BIGINT) AS bytes FROM c),
+k AS (SELECT w, n, xor(list_reduce(bytes, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) AS crc FROM h, tab),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM (SELECT CASE WHEN crc % 97 = 0 THEN substr(w, 1, crc % length(w)) || substr(w, crc % length(w) + 2) ELSE w END AS word, n FROM k) WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+x AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+p AS (SELECT a.word, b.word AS near, b.n AS near_n FROM x AS a JOIN x AS b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT x.word, v.word, v.n FROM x JOIN v ON x.rest = v.word UNION SELECT v.word, x.word, x.n FROM x JOIN v ON x.rest = v.word),
+f AS (SELECT word, count(*) AS n_near, arg_min(near, (-near_n, near)) AS near, max(near_n) AS near_n FROM p GROUP BY word),
+g AS (SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN near_n >= 2 * v.n THEN near END AS form, CASE WHEN near_n >= 2 * v.n THEN near_n END AS form_n FROM v LEFT JOIN f ON v.word = f.word),
+w AS (SELECT word, word AS root, form AS ahead FROM g UNION ALL SELECT w.word, g.word, g.form FROM w JOIN g ON g.word = w.ahead)
+SELECT g.word, form, root, n, n_near, form_n FROM g JOIN w ON g.word = w.word WHERE w.ahead IS NULL
+"""
