@@ -129,3 +129,20 @@ g AS (SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN near_
 w AS (SELECT word, word AS root, form AS ahead FROM g UNION ALL SELECT w.word, g.word, g.form FROM w JOIN g ON g.word = w.ahead)
 SELECT g.word, form, root, n, n_near, form_n FROM g JOIN w ON g.word = w.word WHERE w.ahead IS NULL
 """
+
+# Every pair of sources over every kept term, counts of 0 included.
+ORACLES["op13_source_divergence"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+c AS (SELECT r, lang, source, term, count(*) AS n FROM (SELECT r, lang, source, unnest(ts) AS term FROM d) GROUP BY ALL),
+k AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL HAVING count(*) >= 30),
+v AS (SELECT lang, count(*) AS v, sum(n) AS n FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+s AS (SELECT lang, source, term, sum(n) AS n FROM c SEMI JOIN k USING (lang, term) GROUP BY ALL),
+gn AS (SELECT g.lang, g.source, coalesce(v, 0) AS v, coalesce((SELECT sum(n) FROM s WHERE s.lang = g.lang AND s.source = g.source), 0) AS n FROM g LEFT JOIN v USING (lang)),
+p AS (SELECT gn.lang, gn.source, k.term, coalesce(s.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(s.n, 0) + 5)) // (gn.n + 5 * gn.v) AS p FROM gn JOIN k USING (lang) LEFT JOIN s USING (lang, source, term)),
+q AS (SELECT k.lang, term, 1 + (1000000000::HUGEINT * (k.n + 5)) // (v.n + 5 * v.v) AS q FROM k JOIN v USING (lang)),
+pp AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p AS a JOIN p AS b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+x AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g AS a JOIN g AS b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pp ON pp.lang = a.lang AND pp.source = a.source AND pp.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM x) WHERE part = 'pair' OR rank <= 50
+"""
