@@ -16,6 +16,9 @@ MEMO_WORDS = 400_000
 GROUP_WORDS = 300_000
 
 
+WHITE = re.compile(r"\s")
+
+
 def split_words(text: str) -> list[str]:
     """Splits at white space. str.split() also splits at four separator characters that are not white space elsewhere."""
     if any(c in text for c in "\x1c\x1d\x1e\x1f"):
@@ -27,14 +30,16 @@ class WordMemoTokenizer:
     """A `tokenizers` file whose pre-tokens never hold white space, with a memo of the ids of each word.
 
     For such a file (word_bpe_49k.json: white space only separates) a text's ids are its words' ids one after another, so each
-    distinct word is encoded once. Strings of special tokens in a text are ordinary text.
+    distinct word is encoded once. A special token's string in a text is that token, as the library has it; such strings hold no
+    white space either, so they lie inside a word.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        if any(WHITE.search(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()):
+            raise ValueError("a token of this file holds white space, so texts can't be encoded word by word")
         self.merges = WordMerges(path)
         self.marks = {"": b""} | dict(zip(".,;:!?", self.by_library(list(".,;:!?")), strict=True))
         self.memo: dict[str, bytes] = {}
