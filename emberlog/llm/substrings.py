@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -138,8 +139,9 @@ def open_segments(ranges: list[dict], n: int, length: int) -> list[tuple[int, in
 
 
 def parsed(rows: DataFrame, config: SubstringConfig) -> DataFrame:
-    """The prefix-free parse of the open segments of rows (_key, _text, active): (_key, seg, j, lo, bytes, own).
+    """The prefix-free parse of the open segments of rows (_key, _text, active): (_key, row, seg, j, lo, bytes, own).
 
+    row numbers the rows, since repeated rows have one _key; it is part of a stored table, so it stays what it is.
     Triggers are places whose rolling hash is 0 by the modulus, so they depend on their own bytes alone. With lo null, bytes is
     phrase j of a segment: from its trigger to the end of the next one's gram. With lo, it is what place lo has before phrase j:
     the suffix of a phrase, up to the end of the gram that phrase j starts with; own is the hash of the place's string. No
@@ -148,16 +150,18 @@ def parsed(rows: DataFrame, config: SubstringConfig) -> DataFrame:
     length, gram, modulus = config.length, config.gram, np.uint64(config.modulus)
 
     def emit(batches):
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
             give_back()
             keys, texts, active = batch.column("_key").to_pylist(), batch.column("_text"), batch.column("active").to_pylist()
             block, size = [], 0
             for i in range(batch.num_rows):
+                row += 1
                 raw = texts[i].as_py()
                 for lo, hi in open_segments(active[i], len(raw), length):
                     for start in range(lo, hi + 1, PARSE_BYTES):  # a very long segment is taken in pieces that overlap by a string
                         end = min(hi, start + PARSE_BYTES - 1)
-                        block.append((keys[i], start, end - start + 1, raw[start : end + length]))
+                        block.append((keys[i], start, end - start + 1, row, raw[start : end + length]))
                         size += end - start + length
                         if size >= PARSE_BYTES:
                             yield parse(block)
@@ -167,7 +171,7 @@ def parsed(rows: DataFrame, config: SubstringConfig) -> DataFrame:
 
     def parse(block) -> pa.RecordBatch:
         text = b"".join(t for *_, t in block)
-        keys, lo, n = (np.array([x[k] for x in block], np.int64) for k in range(3))
+        keys, lo, n, row = (np.array([x[k] for x in block], np.int64) for k in range(4))
         first = np.cumsum([0, *(len(t) for *_, t in block)])
         hashed = Hashed(np.frombuffer(text, np.uint8))
         at = np.flatnonzero(hashed.run(np.arange(len(text) - gram + 1), gram) % modulus == 0)
@@ -186,18 +190,18 @@ def parsed(rows: DataFrame, config: SubstringConfig) -> DataFrame:
         which = np.concatenate([seg, of])
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(keys[which]), pa.array(lo[which].astype(np.int32)), pa.array(np.concatenate([own_number, number]).astype(np.int32)), pa.array(np.concatenate([places - first[seg] + lo[seg], at]).astype(np.int32), mask=np.arange(len(which)) >= len(seg)),
+                pa.array(keys[which]), pa.array(row[which]), pa.array(lo[which].astype(np.int32)), pa.array(np.concatenate([own_number, number]).astype(np.int32)), pa.array(np.concatenate([places - first[seg] + lo[seg], at]).astype(np.int32), mask=np.arange(len(which)) >= len(seg)),
                 pa.array(strings, pa.binary()), pa.array(np.concatenate([hashed.run(places, length), (at - first[of]).astype(np.uint64)]).view(np.int64)),
             ],
-            names=["_key", "seg", "j", "lo", "bytes", "own"],
+            names=["_key", "row", "seg", "j", "lo", "bytes", "own"],
         )
 
-    return rows.mapInArrow(emit, "_key long, seg int, j int, lo int, bytes binary, own long")
+    return rows.mapInArrow(emit, "_key long, row long, seg int, j int, lo int, bytes binary, own long")
 
 
 def parse_suffixes(parse: DataFrame, length: int) -> DataFrame:
-    """(_key, seg, j, suffix): from each phrase of a segment on, the ranks of as many phrases as hold `length` bytes. parse: rows
-    (_key, seg, phrases: array of struct of j, own (where it starts) and rank, in order)."""
+    """(row, seg, j, suffix): from each phrase of a segment on, the ranks of as many phrases as hold `length` bytes. parse: rows
+    (row, seg, phrases: array of struct of j, own (where it starts) and rank, in order)."""
 
     def emit(batches):
         for batch in batches:
@@ -211,9 +215,9 @@ def parse_suffixes(parse: DataFrame, length: int) -> DataFrame:
             offsets = np.concatenate(([0], np.cumsum(take)))
             suffix = ranks[np.arange(offsets[-1]) - np.repeat(offsets[:-1] - each, take)]
             rows = pa.array(of)
-            yield pa.RecordBatch.from_arrays([batch.column("_key").take(rows), batch.column("seg").take(rows), flat.field("j"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(suffix))], names=["_key", "seg", "j", "suffix"])
+            yield pa.RecordBatch.from_arrays([batch.column("row").take(rows), batch.column("seg").take(rows), flat.field("j"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(suffix))], names=["row", "seg", "j", "suffix"])
 
-    return parse.mapInArrow(emit, "_key long, seg int, j int, suffix array<long>")
+    return parse.mapInArrow(emit, "row long, seg int, j int, suffix array<long>")
 
 
 def in_corpus_order(rows: DataFrame, config: SubstringConfig) -> DataFrame:
@@ -227,10 +231,10 @@ def in_corpus_order(rows: DataFrame, config: SubstringConfig) -> DataFrame:
     parse = written(parsed(rows, config), "parse")
     phrases, places = parse.filter("lo is null"), parse.filter("lo is not null")
     dictionary = global_rank(phrases.select("bytes").distinct(), F.col("bytes"))
-    ranked = phrases.join(dictionary, "bytes").groupBy("_key", "seg").agg(F.array_sort(F.collect_list(F.struct("j", "own", "rank"))).alias("phrases"))
-    followed = global_rank(written(parse_suffixes(ranked, config.length), "parse-suffixes"), F.col("suffix"), F.col("_key"), F.col("seg"), F.col("j"), to="parse_rank")
+    ranked = phrases.join(dictionary, "bytes").groupBy("row", "seg").agg(F.array_sort(F.collect_list(F.struct("j", "own", "rank"))).alias("phrases"))
+    followed = global_rank(written(parse_suffixes(ranked, config.length), "parse-suffixes"), F.col("suffix"), F.col("row"), F.col("seg"), F.col("j"), to="parse_rank")
     suffixes = global_rank(places.select("bytes").distinct(), F.col("bytes"), to="suffix_rank")
-    both = places.join(suffixes, "bytes").join(followed.select("_key", "seg", "j", "parse_rank"), ["_key", "seg", "j"], "left")
+    both = places.join(suffixes, "bytes").join(followed.select("row", "seg", "j", "parse_rank"), ["row", "seg", "j"], "left")
     corpus = both.select("_key", "lo", "suffix_rank", F.coalesce("parse_rank", F.lit(0).cast("long")).alias("parse_rank"), "own")
     place = F.struct("suffix_rank", "parse_rank", "own", "_key", "lo")
     seen = Ordered(corpus, *map(F.col, ("suffix_rank", "parse_rank", "own", "_key", "lo"))).running(before=(F.max, place, "before"), after=(F.min, place, "after"))
@@ -239,7 +243,7 @@ def in_corpus_order(rows: DataFrame, config: SubstringConfig) -> DataFrame:
 
 def with_ranges(rows: DataFrame, ranges: DataFrame, to: str, config: SubstringConfig) -> DataFrame:
     """Rows that have ranges, with them as an array; texts of other rows are not shuffled if the keys are few."""
-    lists = ranges.groupBy("_key").agg(F.collect_list(F.struct("lo", "hi")).alias(to))
+    lists = ranges.groupBy("_key").agg(F.collect_set(F.struct("lo", "hi")).alias(to))  # repeated rows have the same ranges
     keys = ranges.select("_key").distinct()
     return rows.join(broadcast_if_small(keys, keys.count(), config.broadcast_rows), "_key", "left_semi").join(lists, "_key")
 

@@ -2,6 +2,7 @@
 
 import collections
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -40,17 +41,30 @@ def texts():
     return [None, "", " \n ", "one", *base, *near, base[0], base[0], prose(rng, 5000), "\n".join([prose(rng, 12)] * 9), "x " * 400]
 
 
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+
+
+SPECIAL = ["hello world <|endoftext|> x", "<|endoftext|><|startoftext|>", "a<|endoftext|>b. <|ENDOFTEXT|> <|endof text|>", "Σ<|endoftext|>ΑΣ ΑΣ<|startoftext|>\n"]
+
+
 def test_tokenizer_memo_equals_the_library():
-    t = WordMemoTokenizer(public_tokenizers.path("word_bpe_49k.json"))
-    for x in ["it's it's. DON'T! Straße İstanbul ΣΑΣ ΌΣΟΣ. éé. ﬁne x\x1cy à́ ÀÉ.. aaaaaaaaaaaa banana. q z ǅ. K Å", "a b c <|endoftext|> 12.5%", ""]:
-        assert next(t.encode([x])) == np.asarray(t.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
+    t, own = WordMemoTokenizer(public_tokenizers.path("word_bpe_49k.json")), library()
+    for x in [*SPECIAL, "it's it's. DON'T! Straße İstanbul ΣΑΣ ΌΣΟΣ. éé. ﬁne x\x1cy à́ ÀÉ.. aaaaaaaaaaaa banana. q z ǅ. K Å", "a b c <|endoftext|> 12.5%", ""]:
+        assert next(t.encode([x])) == np.asarray(own.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
+    assert 49407 in own.encode(SPECIAL[0], add_special_tokens=False).ids
 
 
 def test_packing(spark, texts):
-    path = public_tokenizers.path("word_bpe_49k.json")
-    t = WordMemoTokenizer(path)
+    path, own = public_tokenizers.path("word_bpe_49k.json"), library()
+    texts = [*texts, *SPECIAL, "word " * 50_000]
     rows = packing.pack(table(spark, texts), path, window=64, pieces_a_task=20).collect()
-    want = {i: len(next(t.encode([x]))) // 4 + 1 for i, x in enumerate(texts)}
+    ids = [np.asarray([*own.encode(x or "", add_special_tokens=False).ids, 1], "<u4") for x in texts]
+    want = {i: len(x) for i, x in enumerate(ids)}
+    for r in rows:
+        assert r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes()) and r.doc_tokens == want[r.doc_id]
     got = collections.defaultdict(list)
     seqs = collections.defaultdict(list)
     for r in rows:
@@ -191,6 +205,29 @@ def test_substrings(spark, texts, config):
     assert substrings.remove_repeats(table(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 4])
+@pytest.mark.parametrize("length", [200, 40])
+def test_substrings_of_repeated_rows_beside_near_copies(spark, parts, length):
+    """Repeated rows have one key; near copies differ from them every `length` bytes or so, so that much is left for the last round."""
+    rng = random.Random(length)
+    config = substrings.SubstringConfig() if length == 200 else substrings.SubstringConfig(length=40, spacings=(16, 4, 1), gram=4)
+    rows = []
+    for group in range(10):
+        base = bytearray(prose(rng, 600)[:3000].encode())
+        at, edited = 0, bytearray(base)
+        while at < len(base):
+            edited[at] = ord("#")
+            at += rng.randint(length - 5, length + 12)
+        key = None if group % 3 == 0 else group
+        rows += [(key, base.decode()), (key, base.decode()), (100 + group, edited.decode()), (200 + group, base.decode()[1500:] + prose(rng, 30))]
+    rng.shuffle(rows)
+    raws = [t.encode() for _, t in rows]
+    want = collections.Counter((i, t, sum(gone)) for (i, t), gone in zip(rows, removed(raws, length), strict=True))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    out = substrings.remove_repeats(docs, config=config).collect()
+    assert collections.Counter((r.doc_id, r.text, r.repeats.n_removed) for r in out) == want
+
+
 def test_quality(spark, texts):
     out = {r.doc_id: r.quality for r in quality.quality_rules(table(spark, texts)).collect()}
     for i, t in enumerate(texts):
