@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
+from .intervals import interval_join
 from .windows import around, in_intervals, merge_intervals
 
 LABEL = ("redteam_index", "time", "user", "source", "dest")
@@ -17,23 +18,26 @@ def as_label(labels: DataFrame) -> DataFrame:
 
 def matches(episodes: DataFrame, labels: DataFrame, window: int) -> DataFrame:
     """Label and episode of one source, with the label's destination among the episode's, in [start - w, end + w]. The user is
-    not compared. An equi-join on source and destination; labels are the small side, which Spark broadcasts if it is."""
+    not compared. Source, destination and a bucket of time are the join's keys."""
     t = F.col("label_time")
     eps = episodes.withColumn("label_dest", F.explode("destinations"))
-    joined = eps.join(as_label(labels).withColumnRenamed("label_source", "source"), ["source", "label_dest"])
-    rows = joined.filter((t >= F.col("start_time") - window) & (t <= F.col("end_time") + window))
+    rows = interval_join(eps, as_label(labels).withColumnRenamed("label_source", "source"), ["source", "label_dest"], F.col("start_time") - window, F.col("end_time") + window, t)
     return rows.withColumn("delta_start", t - F.col("start_time")).withColumn("delta_end", t - F.col("end_time")).withColumn("exact_start", t == F.col("start_time"))
 
 
+def label_hosts(labels: DataFrame) -> DataFrame:
+    """Labels once for each host that they name."""
+    return labels.select(*LABEL, F.explode(F.array_distinct(F.array("source", "dest"))).alias("host"))
+
+
 def host_matches(hosts: DataFrame, labels: DataFrame, window: int) -> DataFrame:
     """Host episodes and labels that name the host on either side, once each, with overlapping times."""
-    l = labels.select(*LABEL, F.explode(F.array_distinct(F.array("source", "dest"))).alias("host"))
-    return hosts.join(l, "host").filter((F.col("start_time") <= F.col("time") + window) & (F.col("end_time") >= F.col("time") - window))
+    return interval_join(hosts, label_hosts(labels), ["host"], F.col("start_time") - window, F.col("end_time") + window, F.col("time"))
 
 
 def start_matches(hosts: DataFrame, labels: DataFrame, window: int) -> DataFrame:
-    l = labels.select(*LABEL, F.explode(F.array_distinct(F.array("source", "dest"))).alias("host"))
-    return hosts.join(l, "host").filter(F.abs(F.col("start_time") - F.col("time")) <= window)
+    """Host episodes that start within `window` of a label that names the host."""
+    return interval_join(hosts, label_hosts(labels), ["host"], F.col("start_time") - window, F.col("start_time") + window, F.col("time"))
 
 
 def edge_matches(episodes: DataFrame, labels: DataFrame, window: int) -> DataFrame:

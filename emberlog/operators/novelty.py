@@ -109,11 +109,49 @@ def event_signals(events: DataFrame, config: NoveltyConfig = NoveltyConfig(), tr
     return out.select(*events.columns, signals.alias("signals"), hits.alias("first_time_hits"), risk.alias("risk"))
 
 
+#: Seconds of a bucket of time in which events of a key are counted together.
+SPAN = 3600
+
+
+def running_distincts(events: DataFrame, measures: dict[str, tuple[list[str], str]], span: int = SPAN) -> DataFrame:
+    """Adds, for each name: (key, of) in measures, name: how many different values of `of`, nulls left out, the key's strictly
+    earlier events have; and name_first: whether this event brings a new one.
+
+    A count changes only where a value comes up first in its key. These places come from an aggregate; counted by key and bucket
+    of time and added up over buckets they give what a bucket starts with; the rest is a window inside the bucket, in which
+    those places and that start stand as rows among the events. So a key that has all events is as many groups as it has
+    buckets, and only bucket totals of a key are put in one order. Events are told apart by (time, seq).
+    """
+    at, out = ["time", "seq"], events
+    for key in dict.fromkeys(tuple(k) for k, _ in measures.values()):
+        own = {name: of for name, (k, of) in measures.items() if tuple(k) == key}
+        bucket = F.floor(F.col("time") / span).alias("_bucket")
+        marks = None
+        for name, of in own.items():
+            first = events.filter(F.col(of).isNotNull()).groupBy(*key, of).agg(F.min(order_key()).alias("_first"))
+            rows = first.select(*key, "_first.time", "_first.seq", *(F.lit(int(n == name)).cast("long").alias(n) for n in own))
+            marks = rows if marks is None else marks.union(rows)
+        marks = marks.groupBy(*key, *at).agg(*(F.sum(n).alias(n) for n in own)).select("*", bucket, F.lit(2).alias("_kind"))
+        zero = {n: F.lit(0).cast("long") for n in own}
+        places = events.select(*key, bucket).distinct().withColumns(zero).union(marks.select(*key, "_bucket", *own))
+        totals = places.groupBy(*key, "_bucket").agg(*(F.sum(n).alias(n) for n in own))
+        before = Window.partitionBy(*key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        starts = totals.select(*key, "_bucket", *(F.coalesce(F.sum(n).over(before), F.lit(0)).alias(n) for n in own), F.lit(0).alias("_kind"))
+        rows = out.withColumns(zero).select("*", bucket, F.lit(1).alias("_kind"))
+        rows = rows.unionByName(marks, allowMissingColumns=True).unionByName(starts, allowMissingColumns=True)
+        order = Window.partitionBy(*key, "_bucket").orderBy(F.when(F.col("_kind") == 0, 0).otherwise(1), *at, "_kind")
+        upto = order.rowsBetween(Window.unboundedPreceding, 0)
+        here = F.lead(F.struct("_kind", *at, *own)).over(order).alias("_next")
+        rows = rows.select("*", *(F.sum(n).over(upto).alias(f"_sum_{n}") for n in own), here).filter("_kind = 1")
+        same = (F.col("_next._kind") == 2) & (F.col("_next.time") == F.col("time")) & (F.col("_next.seq") == F.col("seq"))
+        new = {f"{n}_first": F.coalesce(same & (F.col(f"_next.{n}") > 0), F.lit(False)) for n in own}
+        out = rows.withColumns(new).withColumns({n: F.col(f"_sum_{n}") for n in own}).drop("_bucket", "_kind", "_next", *(f"_sum_{n}" for n in own))
+    return out
+
+
 def running_distinct(events: DataFrame, key: list[str], of: str) -> DataFrame:
     """Adds n_before: different values of `of`, nulls left out, in a key's strictly earlier events."""
-    first = (F.row_number().over(Window.partitionBy(*key, of).orderBy("time", "seq")) == 1) & F.col(of).isNotNull()
-    before = Window.partitionBy(*key).orderBy("time", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    return events.withColumn("_f", first.cast("int")).withColumn("n_before", F.coalesce(F.sum("_f").over(before), F.lit(0))).drop("_f")
+    return running_distincts(events, {"n_before": (key, of)}).drop("n_before_first")
 
 
 def trailing(events: DataFrame, key: list[str], seconds: int, agg, to: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .episodes import has, sessions
 from .graph import bucketed
-from .novelty import FANOUT, FIRST_TIME, NoveltyConfig, event_signals, order_key, running_distinct, trailing_distinct, warmup_end
+from .novelty import FANOUT, FIRST_TIME, NoveltyConfig, event_signals, order_key, running_distincts, trailing_distinct, warmup_end
 from .tables import saved
 
 HOUR = 3600
@@ -108,12 +108,9 @@ def anchored_sessions(signals: DataFrame, window: int = 300) -> DataFrame:
 def early_signals(events: DataFrame, warmup: int, gated: bool, numbered: bool, users_of_source: bool = False) -> DataFrame:
     """Adds signals and risk to events (and, if there is one, a column success, without which nothing is signalled): first-time
     edges after the warm-up, fan-out (after it too, if gated), named with its size if numbered, and users of a source."""
-    first = lambda *k: F.row_number().over(Window.partitionBy(*k).orderBy("time", "seq")) == 1
-    e = running_distinct(running_distinct(events, ["source"], "dest").withColumnRenamed("n_before", "_s"), ["user"], "dest").withColumnRenamed("n_before", "_u")
-    if users_of_source:
-        named = F.when(F.col("user") != "", F.col("user"))
-        e = running_distinct(e.withColumn("_named", named), ["source"], "_named").withColumnRenamed("n_before", "_su").drop("_named")
-    e = e.withColumn("_sd", first("source", "dest")).withColumn("_ud", first("user", "dest") & (F.col("user") != ""))
+    named = events.withColumn("_named", F.when(F.col("user") != "", F.col("user")))
+    measures = {"_s": (["source"], "dest"), "_u": (["user"], "dest")} | ({"_su": (["source"], "_named")} if users_of_source else {})
+    e = running_distincts(named, measures).withColumn("_sd", F.col("_s_first")).withColumn("_ud", F.col("_u_first") & (F.col("user") != ""))
     e = e.crossJoin(F.broadcast(warmup_end(events, warmup))).withColumn("_warm", order_key() >= F.col("warm"))
     good = F.col("success") if "success" in events.columns else F.lit(True)
     wide = good & (F.col("_warm") if gated else F.lit(True))
