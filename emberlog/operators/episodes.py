@@ -7,8 +7,9 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import global_rank
+from .graph import bucketed, global_rank
 from .novelty import FANOUT, FIRST_TIME, NoveltyConfig, event_signals
+from .tables import saved, small
 
 
 @dataclass(frozen=True)
@@ -90,15 +91,35 @@ def sessions(signals: DataFrame, ticks: DataFrame, window: int = 300, within: tu
         late = next_ticks(times.union(carried.select(*w, "time")), 2 * window, within).withColumnRenamed("pop", "_pop")
         old = carried.join(late, w + ["time"], "left").withColumn("pop", F.coalesce("pop", "_pop")).drop("_pop")
         rows, known = rows.withColumn("session", F.lit(None).cast("long")).unionByName(old), F.col("session")
-    by_time = Window.partitionBy(*key).orderBy("time")
-    in_order = Window.partitionBy(*key).orderBy("time", "seq")
-    exit_ = F.max("pop").over(by_time.rangeBetween(Window.unboundedPreceding, -2 * window))
-    before = F.lag("time").over(in_order)
-    new = F.coalesce(before.isNull() | (exit_ >= before + window), F.lit(False))
-    rows = rows.withColumn("_known", known).withColumn("_new", F.when(F.col("_known").isNull(), new.cast("int")).otherwise(0))
-    before = F.coalesce(F.max("_known").over(Window.partitionBy(*key)), F.lit(0))
-    here = F.sum("_new").over(in_order.rowsBetween(Window.unboundedPreceding, 0)) + before
-    return rows.withColumn("session", F.coalesce("_known", here)).drop("_new", "_known")
+    rows = saved(rows.withColumn("_known", known), "signals")
+    marked = starts(rows, key, window).withColumn("_new", F.when(F.col("_known").isNull(), F.col("_new").cast("int")).otherwise(0))
+    out = bucketed(marked, F.col("_bucket"), ["time", "seq"], key, _here=(F.sum, "_new", "upto"))
+    if carried is None:
+        return out.withColumn("session", F.col("_here")).drop("_here", "_new", "_known", "_bucket")
+    newest = small(carried.groupBy(*key).agg(F.max("session").alias("_newest")))
+    out = out.join(newest, key, "left").withColumn("session", F.coalesce("_known", F.col("_here") + F.coalesce("_newest", F.lit(0))))
+    return out.drop("_here", "_new", "_known", "_bucket", "_newest")
+
+
+def starts(rows: DataFrame, key: list[str], window: int, span: int = 3600) -> DataFrame:
+    """Adds `_new`, whether a row (key, time, seq, pop) starts a session, and `_bucket`, its span of time; see sessions().
+
+    A key is as many groups as it has spans. What a row has to see of earlier ones is in its own span, in the one before (whose
+    rows come along, without their other columns), or else is the last row before those: exits rise with time, so the last
+    entry has the latest one, and it is more than two windows old. That row is found from each span's last.
+    """
+    span = max(span, 2 * window)
+    rows = rows.withColumn("_bucket", F.floor(F.col("time") / span))
+    past = rows.select(*key, (F.col("_bucket") + 1).alias("_bucket"), "time", "seq", "pop")
+    last = rows.groupBy(*key, "_bucket").agg(F.max(F.struct("time", "seq")).alias("_at"), F.max("pop").alias("pop"))
+    older = Window.partitionBy(*key).orderBy("_bucket").rangeBetween(Window.unboundedPreceding, -2)
+    carry = last.select(*key, "_bucket", F.max("_at").over(older).alias("_at"), F.max("pop").over(older).alias("pop")).filter("_at is not null")
+    beside = past.union(carry.select(*key, "_bucket", "_at.time", "_at.seq", "pop")).withColumn("_past", F.lit(True))
+    both = rows.withColumn("_past", F.lit(False)).unionByName(beside, allowMissingColumns=True)
+    by_time = Window.partitionBy(*key, "_bucket").orderBy("time").rangeBetween(Window.unboundedPreceding, -2 * window)
+    before = F.lag("time").over(Window.partitionBy(*key, "_bucket").orderBy("time", "seq"))
+    new = F.coalesce(before.isNull() | (F.max("pop").over(by_time) >= before + window), F.lit(False))
+    return both.withColumn("_new", new).filter(~F.col("_past")).drop("_past")
 
 
 def aggregate(rows: DataFrame, velocity_window: int = 120, within: tuple[str, ...] = ()) -> DataFrame:

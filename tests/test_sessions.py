@@ -75,3 +75,23 @@ def test_anchored_sessions(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "time long, seq long, source string, user string, dest string, signals array<string>")
     assert episodes.sessions(df, df, W).count() == 0
+
+
+def test_one_key_is_many_tasks_work(spark):
+    """One source and user with all events: sessions as by the simulation, found by spans of time in many tasks."""
+    rng = random.Random(8)
+    events, t = [], 0
+    for _ in range(4000):
+        t += rng.choice([0, 1, 40, 150, 290, 310, 500])
+        events.append((t, rng.choice(["a", "a", None])))
+    assert run(spark, events) == simulated(events)
+    rows = spark.createDataFrame([(t, i, "a", "u", t + 700) for i, (t, k) in enumerate(events)], "time long, seq long, source string, user string, pop long")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        new = episodes.starts(rows, ["source", "user"], W)
+        parts = [r.rows for r in new.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("rows"), F.count_if("_new")).collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sum(parts) == len(events) and len(parts) >= 16 and max(parts) < len(events) / 8
