@@ -160,21 +160,55 @@ def risk_of(weights: dict[str, float]) -> Column:
 EPISODE = [*KEY, "session"]
 
 
+def in_spans(rows: DataFrame, **values) -> DataFrame:
+    """Running values (see graph.bucketed) of episodes by span of time, so that a long episode is many groups. rows are read twice, so
+    they are stored first."""
+    return bucketed(saved(rows, "steps"), F.floor(F.col("time") / HOUR), ["time", "seq"], EPISODE, **values)
+
+
 def so_far(rows: DataFrame, tags: tuple[str, ...]) -> DataFrame:
     """Adds what an episode is at each of its events: n, d (destinations), duration, and s_<tag>, whether a tag has come up."""
-    w = Window.partitionBy(*EPISODE).orderBy("time", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    new = F.row_number().over(Window.partitionBy(*EPISODE, "dest").orderBy("time", "seq")) == 1
-    out = rows.withColumn("_new", new.cast("int")).withColumn("n", F.count("*").over(w)).withColumn("d", F.sum("_new").over(w)).withColumn("duration", F.col("time") - F.min("time").over(w))
-    return out.withColumns({f"s_{t}": F.max(has(t)).over(w) for t in tags}).drop("_new")
+    out = running_distincts(saved(rows, "episode-events"), {"_d": (EPISODE, "dest")}).withColumn("d", F.col("_d") + F.col("_d_first").cast("long")).drop("_d", "_d_first")
+    out = in_spans(out, n=(F.sum, F.lit(1), "upto"), _start=(F.min, F.col("time"), "upto"), **{f"s_{t}": (F.max, has(t), "upto") for t in tags})
+    return out.withColumn("duration", F.col("time") - F.col("_start")).drop("_start")
+
+
+#: Events, and chunks of them, that one fold takes at once.
+CHUNK = 1024
+
+
+def clamped(x: Column, lo: Column, hi: Column) -> Column:
+    return F.least(hi, F.greatest(lo, x))
 
 
-def ratcheted(rows: DataFrame, change: Column) -> DataFrame:
+def chained(steps: Column) -> Column:
+    """One step that does what an array of steps does in order. A step (c, lo, hi) takes a score s to s + c, held between lo and hi;
+    two of them in a row are such a step again."""
+    first = F.struct(F.lit(0.0).alias("c"), F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"))
+
+    def then(f: Column, g: Column) -> Column:
+        return F.struct((f["c"] + g["c"]).alias("c"), clamped(f["lo"] + g["c"], g["lo"], g["hi"]).alias("lo"), clamped(f["hi"] + g["c"], g["lo"], g["hi"]).alias("hi"))
+
+    return F.aggregate(steps, first, then)
+
+
+def ratcheted(rows: DataFrame, change: Column, chunk: int | None = None) -> DataFrame:
     """One row for each episode. At each event the score becomes the larger of itself and the event's risk, plus `change`, between
-    0 and 1; events are folded in order inside one expression."""
-    step = F.struct("time", "seq", F.col("risk").alias("e"), change.alias("b"))
-    fold = F.aggregate("_steps", F.lit(0.0), lambda score, x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.greatest(score, x["e"]) + x["b"])))
-    out = rows.groupBy(*EPISODE).agg(F.min("time").alias("start_time"), F.max("time").alias("end_time"), F.count("*").alias("events_count"), F.countDistinct("dest").alias("destination_count"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("signals")))).alias("signals"), F.array_sort(F.collect_list(step)).alias("_steps"))
-    return out.withColumn("score", fold).drop("_steps")
+    0 and 1.
+
+    That is s -> s + change, not below risk + change and inside 0 and 1: a step as chained() puts together. So events, numbered by
+    n in their episode, are folded chunk by chunk, the chunks' steps again, and then what is left, which is one array of an
+    episode's events over chunk * chunk.
+    """
+    size = chunk or CHUNK
+    low = clamped(F.col("risk") + F.col("_b"), F.lit(0.0), F.lit(1.0))
+    steps = rows.withColumn("_b", change.cast("double")).select(*EPISODE, (F.col("n") - 1).alias("at"), F.col("_b").alias("c"), low.alias("lo"), F.lit(1.0).alias("hi"))
+    for last in (False, False, True):
+        steps = steps.withColumn("_at", F.lit(0).cast("long") if last else F.floor(F.col("at") / size)).groupBy(*EPISODE, "_at").agg(chained(F.array_sort(F.collect_list(F.struct("at", "c", "lo", "hi")))).alias("x"))
+        steps = steps.select(*EPISODE, F.col("_at").alias("at"), "x.*")
+    score = steps.select(*EPISODE, clamped(F.col("c"), F.col("lo"), F.col("hi")).alias("score"))
+    out = rows.groupBy(*EPISODE).agg(F.min("time").alias("start_time"), F.max("time").alias("end_time"), F.count("*").alias("events_count"), F.countDistinct("dest").alias("destination_count"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("signals")))).alias("signals"))
+    return out.join(score, EPISODE)
 
 
 def of(condition: Column, value: float) -> Column:
@@ -215,11 +249,11 @@ def sticky_episodes(events: DataFrame, novelty: NoveltyConfig = NoveltyConfig(),
     novelty may exceed 1."""
     signals = event_signals(events, novelty).filter(F.size("signals") > 0).withColumn("risk", risk_of(STICKY_WEIGHTS))
     rows = so_far(sessions(signals, events, window), (*FIRST_TIME, *FANOUT))
-    w = Window.partitionBy(*EPISODE).orderBy("time", "seq").rowsBetween(Window.unboundedPreceding, 0)
     n, d, long = F.col("n"), F.col("d"), F.greatest(F.lit(1), F.col("duration"))
     s = lambda *tags: sum((F.col(f"s_{t}").cast("int") for t in tags), F.lit(0))
-    rows = rows.withColumn("novelty", F.sum("first_time_hits").over(w) / n).withColumn("velocity", F.least(F.lit(1.0), d / F.greatest(long / 60, F.lit(1.0)) / 3.0))
-    rows = rows.withColumn("s_compact", F.max(n.between(3, 35) & d.between(3, 12) & (long <= 600)).over(w)).withColumn("s_velocity", F.max(F.col("velocity") >= 0.65).over(w))
+    rows = rows.withColumn("velocity", F.least(F.lit(1.0), d / F.greatest(long / 60, F.lit(1.0)) / 3.0))
+    rows = in_spans(rows, _hits=(F.sum, F.col("first_time_hits"), "upto"), s_compact=(F.max, n.between(3, 35) & d.between(3, 12) & (long <= 600), "upto"), s_velocity=(F.max, F.col("velocity") >= 0.65, "upto"))
+    rows = rows.withColumn("novelty", F.col("_hits") / n).drop("_hits")
     rows = rows.withColumn("kinds", s(*FIRST_TIME, *FANOUT, "compact", "velocity"))
     penalties = {"entropy_many_events": (n > 80, 0.10), "entropy_extreme_events": (n > 200, 0.20), "entropy_long_duration": (F.col("duration") > 1800, 0.15), "entropy_excessive_destinations": (d > 40, 0.20), "entropy_low_novelty": (F.col("novelty") < 0.25, 0.20)}
     converged = F.col("s_first_time_source_user_to_dest") & F.col("s_compact") & (F.col("s_source_user_fanout") | F.col("s_source_fanout"))
