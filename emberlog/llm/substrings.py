@@ -65,7 +65,7 @@ def phrases(rows: DataFrame, config: SubstringConfig, spacing: int) -> DataFrame
         for batch in batches:
             give_back()
             keys, texts = batch.column("_key").to_pylist(), batch.column("_text")
-            active = batch.column("active").to_pylist() if "active" in batch.schema.names else None
+            active = ranges_of(batch.column("active")) if "active" in batch.schema.names else None
             block, size = [], 0
             for i in range(batch.num_rows):
                 raw = texts[i].as_buffer()
@@ -83,12 +83,7 @@ def phrases(rows: DataFrame, config: SubstringConfig, spacing: int) -> DataFrame
         if block[0][2] is None:
             wanted = np.ones(len(raw), bool)
         else:
-            edge = np.zeros(len(raw) + 1, np.int32)
-            lo = np.concatenate([[r["lo"] for r in ranges] + at for at, (_, _, ranges) in zip(first, block, strict=True)])
-            hi = np.concatenate([[r["hi"] for r in ranges] + at for at, (_, _, ranges) in zip(first, block, strict=True)])
-            np.add.at(edge, lo, 1)
-            np.add.at(edge, hi + 1, -1)
-            wanted = np.cumsum(edge[:-1]) > 0
+            wanted = covered(len(raw), *(np.concatenate([ends[k] + at for at, (_, _, ends) in zip(first, block, strict=True)]) for k in (0, 1)))
         for at, n in zip(first, sizes, strict=True):
             wanted[at + n - length + 1 : at + n] = False
         places = np.flatnonzero(wanted)
@@ -126,16 +121,27 @@ def settled(found: DataFrame) -> DataFrame:
     return out.filter("repeated or open")
 
 
-def open_segments(ranges: list[dict], n: int, length: int) -> list[tuple[int, int]]:
+def ranges_of(column: pa.ListArray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Each row's lo and hi, of an array of struct of lo and hi."""
+    flat, at = column.flatten(), np.concatenate(([0], np.cumsum(column.value_lengths().to_numpy()))).tolist()
+    lo, hi = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("lo", "hi"))
+    return [(lo[a:b], hi[a:b]) for a, b in zip(at, at[1:])]
+
+
+def covered(n: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Which of the places 0 .. n-1 lie in any range lo..hi; a hi beyond them is taken as the last."""
+    edge = np.bincount(lo, minlength=n + 1)[: n + 1] - np.bincount(np.minimum(hi + 1, n), minlength=n + 1)
+    return np.cumsum(edge[:-1]) > 0
+
+
+def open_segments(ends: tuple[np.ndarray, np.ndarray], n: int, length: int) -> list[tuple[int, int]]:
     """Maximal runs of places lo..hi at which a string of `length` bytes starts, of a text of n bytes."""
-    out: list[tuple[int, int]] = []
-    for r in sorted(ranges, key=lambda r: r["lo"]):
-        lo, hi = r["lo"], min(r["hi"], n - length)
-        if out and lo <= out[-1][1] + 1:
-            out[-1] = (out[-1][0], max(out[-1][1], hi))
-        elif lo <= hi:
-            out.append((lo, hi))
-    return out
+    lo, hi = ends[0], np.minimum(ends[1], n - length)
+    lo, hi = lo[lo <= hi], hi[lo <= hi]
+    order = np.argsort(lo, kind="stable")
+    lo, reach = lo[order], np.maximum.accumulate(hi[order])
+    new = np.flatnonzero(np.concatenate(([True], lo[1:] > reach[:-1] + 1))) if len(lo) else lo
+    return list(zip(lo[new].tolist(), reach[np.append(new[1:], len(lo)) - 1].tolist(), strict=True)) if len(lo) else []
 
 
 def parsed(rows: DataFrame, config: SubstringConfig) -> DataFrame:
@@ -153,7 +159,7 @@ def parsed(rows: DataFrame, config: SubstringConfig) -> DataFrame:
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             give_back()
-            keys, texts, active = batch.column("_key").to_pylist(), batch.column("_text"), batch.column("active").to_pylist()
+            keys, texts, active = batch.column("_key").to_pylist(), batch.column("_text"), ranges_of(batch.column("active"))
             block, size = [], 0
             for i in range(batch.num_rows):
                 row += 1
@@ -270,14 +276,12 @@ def cut_ranges(config: SubstringConfig):
     @F.arrow_udf("struct<n_removed: bigint, n_spans: bigint, kept: binary>")
     def cut(texts: pa.Array, ranges: pa.Array) -> pa.Array:
         removed, spans, kept = [], [], []
-        for raw, own in zip(texts.to_pylist(), ranges.to_pylist(), strict=True):
-            edge = np.zeros(len(raw) + 1, np.int32)
-            np.add.at(edge, [r["lo"] for r in own], 1)
-            np.add.at(edge, [r["hi"] + length for r in own], -1)
-            gone = np.cumsum(edge[:-1]) > 0
+        for raw, (lo, hi) in zip(texts, ranges_of(ranges), strict=True):
+            text = np.frombuffer(raw.as_buffer(), np.uint8)
+            gone = covered(len(text), lo, hi + (length - 1))
             removed.append(int(gone.sum()))
             spans.append(int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1])))
-            kept.append(np.frombuffer(raw, np.uint8)[~gone].tobytes())
+            kept.append(text[~gone].tobytes())
         return pa.StructArray.from_arrays([pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], names=["n_removed", "n_spans", "kept"])
 
     return cut
