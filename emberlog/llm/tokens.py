@@ -38,8 +38,12 @@ class WordMemoTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        if any(WHITE.search(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()):
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if any(map(WHITE.search, self.special)):
             raise ValueError("a token of this file holds white space, so texts can't be encoded word by word")
+        # Words without such a string, which are nearly all, needn't be searched for one.
+        self.ordinary = Tokenizer.from_file(path)
+        self.ordinary.encode_special_tokens = True
         self.merges = WordMerges(path)
         self.marks = {"": b""} | dict(zip(".,;:!?", self.by_library(list(".,;:!?")), strict=True))
         self.memo: dict[str, bytes] = {}
@@ -64,7 +68,12 @@ class WordMemoTokenizer:
                 self.memo[word] = ids
 
     def by_library(self, words: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        """The ids of each word; a word with a special token's string is encoded with it."""
+        out = [np.asarray(e.ids, "<u4").tobytes() for e in self.ordinary.encode_batch(words, add_special_tokens=False)]
+        for i, word in enumerate(words):
+            if any(s in word for s in self.special):
+                out[i] = np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        return out
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers; a null text is empty."""
