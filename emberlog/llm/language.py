@@ -18,7 +18,8 @@ UNKNOWN = "und"
 @dataclass(frozen=True)
 class LanguageConfig:
     """max_sample_per_lang and max_sample bound the training sample: with many languages each gets its part of max_sample.
-    landmarks is the size of the kernel expansion, unless languages are so many that landmarks_per_lang of each are more."""
+    landmarks is the size of the kernel expansion, unless languages are so many that landmarks_per_lang of each are more. The model
+    grows with them (about 0.26 MB a language, sent to every executor), so more than max_languages are refused."""
 
     orders: tuple[int, ...] = (1, 2, 3, 4)
     buckets: int = 1 << 15
@@ -26,6 +27,7 @@ class LanguageConfig:
     max_sample: int = 40_000
     landmarks: int = 192
     landmarks_per_lang: int = 2
+    max_languages: int = 1_000
     ridge: float = 1e-3
     softness: float = 8.0
 
@@ -85,6 +87,8 @@ def training_sample(docs: DataFrame, text: str, lang: str, key: str, config: Lan
     rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
     counts = rows.groupBy(F.col(lang).alias("_l")).agg(F.count("*").alias("_n"))
     n_langs = counts.count()
+    if n_langs > config.max_languages:
+        raise ValueError(f"{n_langs} languages are more than max_languages ({config.max_languages}) of the configuration")
     each = max(config.landmarks_per_lang, min(config.max_sample_per_lang, config.max_sample // max(1, n_langs)))
     counts = broadcast_if_small(counts, n_langs, 100_000)
     draw = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("language sample")), F.lit(1 << 30))
@@ -107,7 +111,7 @@ def fit_language(docs: DataFrame, text: str = "text", lang: str = "lang", key: s
     """Fits on a sample bounded by config; landmarks are the first rows of each language's sample in turn.
 
     Rows with a null language or a text that is null or has no letter are not learnt from. No language at all gives a model
-    that answers `und`.
+    that answers `und`; more than config.max_languages raise ValueError.
     """
     pdf = training_sample(docs, text, lang, key, config).toPandas().sort_values(["nth", "lang"], kind="stable")
     languages = sorted(pdf["lang"].unique().tolist())

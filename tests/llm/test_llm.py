@@ -476,6 +476,13 @@ def test_every_language_gets_landmarks(spark):
     assert len(model.languages) == 30 and model.landmarks.shape[1] == 60
 
 
+def test_more_languages_than_the_limit_are_refused(spark, texts):
+    docs = table(spark, texts).withColumn("lang", F.concat(F.lit("l"), F.col("doc_id") % 5))
+    with pytest.raises(ValueError, match="5 languages"):
+        language.fit_language(docs, config=language.LanguageConfig(max_languages=4))
+    assert len(language.fit_language(docs, config=language.LanguageConfig(max_languages=5)).languages) == 5
+
+
 def test_length_quantiles(spark, texts):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     from emberlog.llm.tokens import byte_bpe
