@@ -157,6 +157,121 @@ NOTICES: list[tuple[str, str, str, float]] = [
     ("proprietary", r"contains (?:proprietary|confidential) (?:information|trade secrets)", "contains", 0.7),
     ("eula", r"end user licen(?:s|c)e agreement", "end", 0.8),
     ("licence-file", r"see (?:the )?(?:accompanying )?licen(?:s|c)e (?:file|txt|md)", "see", 0.5),
+    # Openings, grants, conditions and disclaimers of further licence texts.
+    ("mit", r"software is provided as is without warranty of any kind express or implied including but not limited to", "software", 0.85),
+    ("mit", r"in no event shall the authors or copyright holders be liable for any claim damages or other liability", "in", 0.85),
+    ("x11", r"name of the x consortium shall not be used in advertising or otherwise", "name", 0.95),
+    ("isc", r"software is provided as is and the author disclaims all warranties", "software", 0.9),
+    ("isc", r"in no event shall the author be liable for any special direct indirect or consequential damages", "in", 0.8),
+    ("bsd", r"software is provided by the (?:copyright holders|regents|author|authors)(?: and contributors)? as is", "software", 0.9),
+    ("bsd-2-clause", r"views and conclusions contained in the software and documentation are those of the authors", "views", 0.9),
+    ("bsd-3-clause", r"may be used to endorse or promote products derived from this software without specific prior written permission", "may", 0.9),
+    ("bsd-4-clause", r"product includes software developed by the university of california berkeley and its contributors", "product", 0.95),
+    ("bsd-3-clause-clear", r"no express or implied licenses to any party s patent rights are granted by this license", "no", 0.95),
+    ("bsd-patent", r"each copyright holder and contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free", "each", 0.9),
+    ("apache-2", r"you may not use this file except in compliance with the license", "you", 0.85),
+    ("apache-2", r"see the license for the specific language governing permissions and limitations under the license", "see", 0.85),
+    ("apache-2", r"licensed to the apache software foundation asf under one or more contributor license agreements", "licensed", 0.95),
+    ("apache-2", r"each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license", "each", 0.85),
+    ("apache-1.1", r"product includes software developed by the apache software foundation", "product", 0.9),
+    ("gpl", r"in the hope that it will be useful but without any warranty", "in", 0.8),
+    ("gpl-2", r"licenses for most software are designed to take away your freedom to share and change it", "licenses", 0.9),
+    ("gpl-3", r"gnu general public license is a free copyleft license for software and other kinds of works", "gnu", 0.95),
+    ("agpl-3", r"gnu affero general public license is a free copyleft license for software and other kinds of works", "gnu", 0.95),
+    ("agpl-3", r"remote network interaction use with the gnu general public license", "remote", 0.95),
+    ("lgpl-2.1", r"first released version of the lesser gpl", "first", 0.9),
+    ("lgpl-3", r"incorporates the terms and conditions of version 3 of the gnu general public license", "incorporates", 0.95),
+    ("gpl-link-exception", r"as a special exception the copyright holders of this library give you permission to link", "as", 0.95),
+    ("gfdl-1.3", r"permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license", "permission", 0.95),
+    ("gfdl-1.3", r"with no invariant sections no front cover texts and no back cover texts", "with", 0.9),
+    ("mpl-2", r"if a copy of the mpl was not distributed with this file you can obtain one at", "if", 0.95),
+    ("mpl-2", r"incompatible with secondary licenses as defined by the mozilla public license", "incompatible", 0.9),
+    ("mpl-1.1", r"contents of this file may be used under the terms of either the gnu general public license", "contents", 0.85),
+    ("epl-1", r"eclipse org legal epl v10", "eclipse", 0.9),
+    ("epl-2", r"eclipse org legal epl (?:2 0|v20)", "eclipse", 0.9),
+    ("epl-2", r"accompanying program is provided under the terms of this eclipse public license", "accompanying", 0.9),
+    ("cpl-1", r"accompanying program is provided under the terms of this common public license", "accompanying", 0.95),
+    ("cddl-1", r"you can obtain a copy of the license at (?:usr src )?opensolaris license", "you", 0.9),
+    ("artistic-1", r"intent of this document is to state the conditions under which a package may be copied", "intent", 0.95),
+    ("artistic-2", r"license establishes the terms under which a given free software package may be copied modified distributed", "license", 0.95),
+    ("perl", r"redistribute it and or modify it under the same terms as perl itself", "redistribute", 0.95),
+    ("psf-2", r"license agreement is between the python software foundation", "license", 0.95),
+    ("psf-2", r"psf hereby grants licensee a nonexclusive royalty free world wide license", "psf", 0.9),
+    ("cnri-python", r"cnri hereby grants licensee a nonexclusive royalty free world wide license", "cnri", 0.9),
+    ("ruby", r"you may make and give away verbatim copies of the source form of the software without restriction", "you", 0.9),
+    ("php-3", r"products derived from this software may not be called php", "products", 0.9),
+    ("zlib", r"permission is granted to anyone to use this software for any purpose including commercial applications", "permission", 0.95),
+    ("libpng", r"contributing authors and group 42 inc disclaim all warranties expressed or implied", "contributing", 0.9),
+    ("curl", r"permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted", "permission", 0.95),
+    ("ntp", r"permission to use copy modify and distribute this software and its documentation for any purpose with or without fee", "permission", 0.9),
+    ("ijg", r"software is based in part on the work of the independent jpeg group", "software", 0.95),
+    ("tcl", r"authors hereby grant permission to use copy modify distribute and license this software and its documentation", "authors", 0.95),
+    ("unicode", r"permission is hereby granted free of charge to any person obtaining a copy of the unicode data files", "permission", 0.97),
+    ("w3c", r"by obtaining using and or copying this work you the licensee agree", "by", 0.9),
+    ("w3c", r"w3 org consortium legal", "w3", 0.85),
+    ("vim", r"vim is charityware", "vim", 0.9),
+    ("beerware", r"as long as you retain this notice you can do whatever you want with this stuff", "as", 0.95),
+    ("cc0-1", r"has waived all copyright and related or neighboring rights", "has", 0.9),
+    ("cc0-1", r"to the extent possible under law", "to", 0.7),
+    ("cc0-1", r"laws of most jurisdictions throughout the world automatically confer exclusive copyright and related rights", "laws", 0.95),
+    ("cc-by-4", r"by exercising the licensed rights defined below you accept and agree to be bound by the terms", "by", 0.8),
+    ("cc-by-nd", r"attribution no ?derivatives 4 0 international", "attribution", 0.9),
+    ("cc-by-nc-nd", r"attribution non ?commercial no ?derivatives 4 0 international", "attribution", 0.9),
+    ("creative-commons", r"work is licensed under a creative commons", "work", 0.85),
+    ("creative-commons", r"some rights reserved", "some", 0.6),
+    ("odbl-1", r"opendatacommons org licenses odbl", "opendatacommons", 0.95),
+    ("odc-by", r"opendatacommons org licenses by", "opendatacommons", 0.95),
+    ("pddl-1", r"opendatacommons org licenses pddl", "opendatacommons", 0.95),
+    ("pddl-1", r"open data commons public domain dedication and license", "open", 0.95),
+    ("ogl-uk-3", r"open government licence(?: v?3 0)?", "open", 0.9),
+    ("etalab-2", r"licence ouverte(?: open licence)?", "licence", 0.9),
+    ("fal-1.3", r"free art license(?: 1 3)?", "free", 0.9),
+    ("fal-1.3", r"licence art libre(?: 1 3)?", "licence", 0.9),
+    ("jpl", r"software shall be used for good not evil", "software", 0.95),
+    ("ms-lpl", r"microsoft limited public license", "microsoft", 0.95),
+    ("apsl-2", r"apple public source license(?: version)?(?: 2 0)?", "apple", 0.95),
+    ("npl-1.1", r"netscape public license(?: version)?(?: 1 1)?", "netscape", 0.95),
+    ("ipl-1", r"ibm public license(?: version)?(?: 1 0)?", "ibm", 0.95),
+    ("qpl-1", r"q public license(?: version)?(?: 1 0)?", "q", 0.9),
+    ("rpl-1.5", r"reciprocal public license(?: version)?(?: 1 5)?", "reciprocal", 0.9),
+    ("spl-1", r"sun public license(?: version)?(?: 1 0)?", "sun", 0.95),
+    ("watcom-1", r"sybase open watcom public license", "sybase", 0.95),
+    ("nasa-1.3", r"nasa open source agreement(?: version)?(?: 1 3)?", "nasa", 0.95),
+    ("oset-pl-2", r"oset foundation public license", "oset", 0.95),
+    ("cecill-b", r"cecill b(?: free software)? license", "cecill", 0.95),
+    ("cecill-c", r"cecill c(?: free software)? license", "cecill", 0.95),
+    ("eupl-1.2", r"licensed under the eupl(?: version)? 1 2 or as soon they will be approved", "licensed", 0.97),
+    ("mulan-psl-2", r"mulan (?:psl v2|permissive software license(?: version)? 2)", "mulan", 0.95),
+    ("blueoak-1", r"blue oak model license(?: version)?(?: 1 0 0)?", "blue", 0.95),
+    ("polyform-noncommercial", r"polyform noncommercial license(?: 1 0 0)?", "polyform", 0.95),
+    ("polyform-small-business", r"polyform small business license(?: 1 0 0)?", "polyform", 0.95),
+    ("polyform-strict", r"polyform strict license(?: 1 0 0)?", "polyform", 0.95),
+    ("parity-7", r"parity public license(?: 7 0 0)?", "parity", 0.95),
+    ("hippocratic-2", r"hippocratic license(?: version)?(?: 2 1)?", "hippocratic", 0.95),
+    ("openrail", r"(?:creativeml )?open ?rail(?: m)? license", "creativeml open openrail", 0.9),
+    ("bigscience-rail", r"bigscience(?: open)? ?rail license", "bigscience", 0.95),
+    ("llama-community", r"llama \d(?: \d)? community license agreement", "llama", 0.95),
+    ("gemma-terms", r"gemma terms of use", "gemma", 0.9),
+    ("fsl-1.1", r"functional source license(?: version)?(?: 1 1)?", "functional", 0.95),
+    ("fair-source", r"fair source license", "fair", 0.9),
+    ("timescale", r"timescale license agreement", "timescale", 0.95),
+    ("confluent-community", r"confluent community license", "confluent", 0.95),
+    ("redis-source", r"redis source available license", "redis", 0.95),
+    ("cockroach-community", r"cockroachdb community license", "cockroachdb", 0.95),
+    ("elastic-2", r"you may not provide the software to third parties as a hosted or managed service", "you", 0.9),
+    ("commons-clause", r"does not grant to you the right to sell the software", "does", 0.9),
+    ("oracle-bcl", r"oracle binary code license agreement", "oracle", 0.95),
+    ("sun-bcl", r"sun microsystems inc binary code license agreement", "sun", 0.95),
+    ("proprietary", r"retains? all intellectual property and proprietary rights in and to this software", "retain retains", 0.85),
+    ("proprietary", r"may not be (?:copied|reproduced|disclosed)(?: or distributed)? without (?:the )?(?:express |prior )?written permission", "may", 0.8),
+    ("proprietary", r"trade secrets? and (?:is|are) protected by copyright law", "trade", 0.8),
+    ("non-commercial", r"for (?:academic|research|educational|evaluation) purposes only", "for", 0.7),
+    ("no-derivatives", r"no derivative works(?: are)? (?:permitted|allowed)", "no", 0.7),
+    ("no-redistribution", r"do not redistribute", "do", 0.6),
+    ("shareware", r"(?:this is|distributed as) shareware", "this distributed", 0.7),
+    ("freeware", r"(?:this is|distributed as) freeware", "this distributed", 0.7),
+    ("nda", r"non ?disclosure agreement", "non nondisclosure", 0.7),
+    ("copyleft", r"copyleft", "copyleft", 0.5),
 ]
 
 LICENCE = r"(?:license|licence)"
@@ -168,7 +283,7 @@ SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SEPARATOR_BOTH = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: No rule and no base phrase matches a text without one of these, in lower case; "under" is the one word that all grants hold.
-GATE = ("licen", "under", "copyright", "public", "rights", "proprietary", "permission", "redistribut", "unencumbered", "software", "apache", "gpl", "spdx", "contributors", "altered", "reserved", "creativecommons", "attribution", "grant", "commercial", "prohibited", "confidential", "mozilla")
+GATE = ("licen", "under", "copyright", "public", "rights", "proprietary", "permission", "redistribut", "unencumbered", "software", "apache", "gpl", "spdx", "contributors", "altered", "reserved", "creativecommons", "attribution", "grant", "commercial", "prohibited", "confidential", "mozilla", "consortium", "warrant", "liab", "patent", "invariant", "mpl", "eclipse", "charityware", "notice", "agreement", "mulan", "gemma", "purposes", "derivative", "shareware", "freeware", "copyleft", "trade")
 #: Or without both of these.
 GATE_PAIR = ("cc", "by")
 
