@@ -150,7 +150,6 @@ class Actor(Past):
         self.risk = min(1.0, c.risk_decay * self.risk + (1 - c.risk_decay) * fused)
         self.suspicion = min(1.0, c.suspicion_decay * self.suspicion + (1 - c.suspicion_decay) * fused)
 
-
     def kept(self, actor: str) -> tuple:
         own = lambda p: (p.n, p.actions, p.resources, p.baseline)
         contexts = [{"role": r, "resource": x, **dict(zip(("n", "actions", "resources", "baseline"), own(p), strict=True))} for (r, x), p in sorted(self.contexts.items())]
@@ -213,6 +212,7 @@ def governed(rows: DataFrame, c: DecisionConfig = DecisionConfig()) -> DataFrame
     has = lambda *n: F.arrays_overlap("reasons", F.array(*map(F.lit, n)))
     s, b, g, f, conf, crit = (F.col(n) for n in ("semantic_risk", "behavioral_risk", "graph_risk", "fusion_risk", "confidence", "criticality"))
     high = crit >= c.high_criticality
+    # The order of the rules, and the limits in them.
     out = (
         F.when(has("resource_frozen", "mission_state_contradiction"), F.when((s >= 0.85) | high, "block").otherwise("human_review"))
         .when(has("role_action_mismatch") & (s >= 0.65), "human_review")

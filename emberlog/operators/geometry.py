@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import Ordered, beside, global_rank
+from . import quantiles
+from .graph import Ordered, beside, global_rank, rank_within
 from .tables import saved
 
 RESCUE = ("destination_count", "duration", "events_count", "sig__source_user_fanout", "sig__entropy_soft_duration")
@@ -39,7 +40,8 @@ def histogram(rows: DataFrame, value: str, bins: int, group: list[str] | None =
 
 
 def score_stats(rows: DataFrame, value: str, group: list[str]) -> DataFrame:
-    return rows.groupBy(*group).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.median(value).alias("median"), F.percentile(value, F.lit(0.99)).alias("p99"), F.max(value).alias("max"))
+    stats = rows.groupBy(*group).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.max(value).alias("max"))
+    return quantiles.joined(stats, quantiles.linear(rows, value, group, {"median": 0.5, "p99": 0.99}), group)
 
 
 def kl(rows: DataFrame, value: str, group: str, a: str, b: str, bins: int, eps: float = 1e-12) -> DataFrame:
@@ -75,8 +77,10 @@ def curvature(scores: DataFrame, value: str) -> DataFrame:
     before = F.when(b2.isNull(), s - b1).otherwise((s - b2) / 2)
     after = F.when(a2.isNull(), a1 - s).otherwise((a2 - s) / 2)
     g = at.select(F.when(b1.isNull(), after - here).when(a1.isNull(), here - before).otherwise((after - before) / 2).alias("g"))
-    measures = {"mean": F.avg("g"), "std": F.stddev_pop("g"), "abs_mean": F.avg(F.abs("g")), "abs_max": F.max(F.abs("g")), "abs_p95": F.percentile(F.abs("g"), F.lit(0.95)), "abs_p99": F.percentile(F.abs("g"), F.lit(0.99))}
-    return g.agg(*(F.when(F.count("*") >= 5, m).otherwise(0.0).alias(n) for n, m in measures.items()))
+    g = saved(g.withColumn("size", F.abs("g")), "curvature")
+    stats = g.agg(F.count("*").alias("n"), F.avg("g").alias("mean"), F.stddev_pop("g").alias("std"), F.avg("size").alias("abs_mean"), F.max("size").alias("abs_max"))
+    both = quantiles.joined(stats, quantiles.linear(g, "size", [], {"abs_p95": 0.95, "abs_p99": 0.99}), [])
+    return both.select(*(F.when(F.col("n") >= 5, F.col(m)).otherwise(0.0).alias(m) for m in ("mean", "std", "abs_mean", "abs_max", "abs_p95", "abs_p99")))
 
 
 def long_form(rows: DataFrame, features: list[str], group: str) -> DataFrame:
@@ -100,10 +104,18 @@ def feature_delta(rows: DataFrame, features: list[str], group: str, a: str, b: s
     return s.withColumn("delta", F.col("mean_a") - F.col("mean_b")).withColumn("standardised", F.coalesce(F.try_divide(F.col("delta"), pooled), F.lit(0.0)))
 
 
+def window_rows(rows: DataFrame, window: str) -> DataFrame:
+    """One row for each window: rows, mean, population deviation, 99th percentile and maximum of the score, and, if rows have
+    regimes, how many are of each."""
+    counts = [F.count_if(F.col("regime") == r).alias(f"{r.lower()}_count") for r in ("R0", "R1", "R2")] if "regime" in rows.columns else []
+    stats = rows.groupBy(window).agg(F.count("*").alias("rows"), F.avg("score").alias("score_mean"), F.stddev_pop("score").alias("score_std"), F.max("score").alias("score_max"), *counts)
+    return quantiles.joined(stats, quantiles.linear(rows, "score", [window], {"score_p99": 0.99}), [window])
+
+
 def window_stability(rows: DataFrame, window: str) -> DataFrame:
-    """Variance across windows of each window's mean, 99th percentile and maximum."""
-    w = rows.groupBy(window).agg(F.avg("score").alias("m"), F.percentile("score", F.lit(0.99)).alias("p"), F.max("score").alias("x"))
-    return w.agg(F.count("*").alias("windows"), F.var_pop("m").alias("var_mean"), F.var_pop("p").alias("var_p99"), F.var_pop("x").alias("var_max"))
+    """Variance and deviation across windows of each window's mean, 99th percentile and maximum."""
+    kinds = {"mean": "score_mean", "p99": "score_p99", "max": "score_max"}
+    return window_rows(rows, window).agg(F.count("*").alias("windows"), *(f(c).alias(f"{n}_{k}") for k, c in kinds.items() for f, n in ((F.var_pop, "var"), (F.stddev_pop, "std"))))
 
 
 def background_place(rows: DataFrame, background: DataFrame, value: str = "score") -> DataFrame:
@@ -139,9 +151,9 @@ def weighted_round_robin(rows: DataFrame, weights: dict[str, int], pool: str, to
     """Takes weights[p] rows of each pool in turn, best first; pools that run out are skipped; rows of other pools come last."""
     w = F.create_map(*(F.lit(x) for kv in weights.items() for x in kv))
     first = F.create_map(*(F.lit(x) for i, k in enumerate(weights) for x in (k, sum(list(weights.values())[:i]))))
-    r = F.row_number().over(Window.partitionBy(pool).orderBy(F.desc("score"), "episode_key")) - 1
     own, off = F.try_element_at(w, F.col(pool)), F.try_element_at(first, F.col(pool))
-    at = rows.withColumn("_r", r).withColumn("_cycle", F.floor(F.col("_r") / own)).withColumn("_slot", off + F.col("_r") % own)
+    placed = rank_within(rows, F.col(pool), F.desc("score"), F.col("episode_key"), to="_r").withColumn("_r", F.col("_r") - 1)
+    at = placed.withColumn("_cycle", F.floor(F.col("_r") / own)).withColumn("_slot", off + F.col("_r") % own)
     return global_rank(at, F.asc_nulls_last("_cycle"), F.asc_nulls_last("_slot"), F.desc("score"), F.col("episode_key"), to=to).drop("_r", "_cycle", "_slot")
 
 
@@ -173,9 +185,10 @@ def rank_stats(queues: dict[str, DataFrame]) -> DataFrame:
     """Where labelled rows stand in each policy's queue: first, median, 75th and 90th percentile (linear), last and mean place."""
     out = None
     for name, q in queues.items():
-        p = F.percentile("place", F.array(F.lit(0.5), F.lit(0.75), F.lit(0.9)))
-        one = q.filter("label = 1").agg(F.count("*").alias("labelled"), F.min("place").alias("first_place"), p.alias("p"), F.max("place").alias("last_place"), F.avg("place").alias("mean_place"))
-        one = one.select(F.lit(name).alias("policy"), "labelled", "first_place", F.col("p")[0].alias("median_place"), F.col("p")[1].alias("p75_place"), F.col("p")[2].alias("p90_place"), "last_place", "mean_place")
+        own = q.filter("label = 1")
+        one = own.agg(F.count("*").alias("labelled"), F.min("place").alias("first_place"), F.max("place").alias("last_place"), F.avg("place").alias("mean_place"))
+        one = quantiles.joined(one, quantiles.linear(own, "place", [], {"median_place": 0.5, "p75_place": 0.75, "p90_place": 0.9}), [])
+        one = one.select(F.lit(name).alias("policy"), "labelled", "first_place", "median_place", "p75_place", "p90_place", "last_place", "mean_place")
         out = one if out is None else out.union(one)
     return out
 
@@ -215,6 +228,7 @@ def subtype_contrast(rows: DataFrame) -> DataFrame:
     return out.drop(*(f"_{n}" for n in TAIL_GROUPS)).withColumn("minus_r2_share", F.col("redteam_share") - F.col("r2_share")).withColumn("minus_r1_share", F.col("redteam_share") - F.col("r1_share"))
 
 
+#: Names of the groups of a tail.
 TAIL_GROUPS = {"redteam": "redteam_associated", "r2": "background_R2", "r1": "background_R1_tail"}
 
 

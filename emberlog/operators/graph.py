@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import saved
+from .tables import saved, small
 
 #: Rows of one stretch of ranks, see beside().
 STRETCH = 1 << 16
@@ -81,6 +81,14 @@ def global_rank(rows: DataFrame, *order: Column, to: str = "rank") -> DataFrame:
     return Ordered(rows, *order).ranked(to)
 
 
+def rank_within(rows: DataFrame, group: Column, *order: Column, to: str) -> DataFrame:
+    """Adds 1, 2, ... inside each group: places in one stored order of all groups, less the place before the group's first. A group
+    that has most of the rows is as many parts as its rows are."""
+    own = global_rank(rows.withColumn("__group", group), F.col("__group"), *order, to="__at")
+    first = small(own.groupBy("__group").agg((F.min("__at") - 1).alias("__before")).withColumnRenamed("__group", "__of"))
+    return own.join(first, F.col("__group").eqNullSafe(F.col("__of"))).select(*(F.col(f"`{c}`") for c in rows.columns), (F.col("__at") - F.col("__before")).alias(to))
+
+
 def beside(ranked: DataFrame, of: str, steps: tuple[int, ...], rank: str = "rank") -> DataFrame:
     """Adds of_<k>: the value of `of` k ranks on (before, if k is negative), null beyond the ends. Stretches of ranks are separate
     groups; a row near an end of one is copied to its neighbour."""

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import quantiles
 from .features import refuse_leaks
-from .graph import global_rank
+from .graph import global_rank, rank_within
 
 SIZES = (100, 500, 1000, 5000)
 
@@ -110,10 +111,9 @@ def distribution(rows: DataFrame, field: Column, group: list[str]) -> DataFrame:
 
 def nearest_rank_quantiles(rows: DataFrame, metric: str, group: list[str]) -> DataFrame:
     """min, p25, p50, p75 at the place round((n - 1) p), half to even, mean, max of a metric."""
-    w = Window.partitionBy(*group)
-    r = rows.select(*group, F.col(metric).alias("v")).withColumn("i", F.row_number().over(w.orderBy("v")) - 1).withColumn("n", F.count("*").over(w))
-    at = lambda p: F.max(F.when(F.col("i") == F.bround((F.col("n") - 1) * p), F.col("v")))
-    return r.groupBy(*group).agg(F.min("v").alias("min"), at(0.25).alias("p25"), at(0.50).alias("p50"), at(0.75).alias("p75"), F.avg("v").alias("mean"), F.max("v").alias("max"))
+    stats = rows.groupBy(*group).agg(F.min(metric).alias("min"), F.avg(metric).alias("mean"), F.max(metric).alias("max"))
+    out = quantiles.joined(stats, quantiles.nearest(rows, metric, group, {"p25": 0.25, "p50": 0.5, "p75": 0.75}), group)
+    return out.select(*group, "min", "p25", "p50", "p75", "mean", "max")
 
 
 def queue_summary(queues: DataFrame, focus: str) -> DataFrame:
@@ -182,18 +182,126 @@ def annotation_diagnostic(queues: DataFrame, label_ids: str = "label_ids", total
     return out.withColumn("duplicate_ratio", F.coalesce(F.try_divide("duplicates", "row_labels"), F.lit(0.0))).withColumn("official_recall", F.try_divide("labels", whole))
 
 
+#: Fractions of a scope's scores.
+SCOPE_FRACTIONS = (0.0, 0.01, 0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.99, 1.0)
+
+
+def with_whole(rows: DataFrame, scope: str) -> DataFrame:
+    """Rows once for their scope and once for all together."""
+    return rows.withColumn("_s", F.explode(F.array(F.col(scope).cast("string"), F.lit("all"))))
+
+
 def scope_summary(rows: DataFrame, scope: str) -> DataFrame:
     """Linear quantiles of the score, severities and top shares, for each scope and for all together."""
-    both = rows.withColumn("_s", F.explode(F.array(F.col(scope).cast("string"), F.lit("all"))))
-    p = F.percentile("score", F.array(*map(F.lit, (0.0, 0.5, 0.9, 0.95, 0.99, 1.0))))
-    out = both.groupBy("_s").agg(F.count("*").alias("n"), p.alias("p"), F.count_if(F.col("score") >= 0.75).alias("high"))
+    both = with_whole(rows, scope)
+    out = both.groupBy("_s").agg(F.count("*").alias("n"), F.count_if(F.col("score") >= 0.75).alias("high"))
+    out = quantiles.joined(out, quantiles.linear(both, "score", ["_s"], quantiles.names_of(SCOPE_FRACTIONS)), ["_s"])
     top = concentration(both.filter("source <> ''"), F.col("source"), ["_s"], 5).groupBy("_s").agg(F.sum("share").alias("top5_share"))
-    return out.join(top, "_s").select(F.col("_s").alias("scope"), "n", *(F.col("p")[i].alias(f"p{q}") for i, q in enumerate((0, 50, 90, 95, 99, 100))), "high", "top5_share")
+    return out.join(top, "_s").withColumnRenamed("_s", "scope")
+
+
+def dominant(rows: DataFrame, key: list[str], fields: dict[str, Column]) -> DataFrame:
+    """(key, dominant_<name>, dominant_<name>_count): the most frequent value of each field, the first in order of ties. A field may
+    be an array, whose values count each. All fields are counted in one pass."""
+
+    def each(name: str, c: Column) -> Column:
+        many = rows.select(c.alias("c")).schema["c"].dataType.typeName() == "array"
+        return F.transform(c if many else F.array(c), lambda v: F.struct(F.lit(name).alias("field"), v.cast("string").alias("value")))
+
+    values = [each(name, c) for name, c in fields.items()]
+    n = rows.select(*key, F.explode(F.concat(*values)).alias("x")).filter("x.value is not null").groupBy(*key, "x.field", "x.value").agg(F.count("*").alias("n"))
+    best = n.groupBy(*key, "field").agg(F.min(F.struct((-F.col("n")).alias("less"), "value")).alias("best"))
+    own = lambda name, what: F.max(F.when(F.col("field") == name, what))
+    return best.groupBy(*key).agg(*(c for f in fields for c in (own(f, F.col("best.value")).alias(f"dominant_{f}"), own(f, -F.col("best.less")).alias(f"dominant_{f}_count"))))
+
+
+def named(field: str) -> Column:
+    """A name, or <blank> where there is none."""
+    text = F.trim(F.coalesce(F.col(field), F.lit("")))
+    return F.when(text == "", "<blank>").otherwise(text)
+
+
+def queue_burden(queues: DataFrame, focus: str) -> DataFrame:
+    """What a queue of each size asks of its readers: different sources, users and gates; the largest source and user and the
+    shares of the first 1, 5 and 10; the focus source; medians and ends; the dominant gate, severity and signal, with shares.
+    Queues are of fixed sizes, so medians are those of a bounded number of rows."""
+    q = ["queue_size"]
+    n = F.count("*")
+    out = queues.groupBy(*q).agg(
+        n.alias("rows"), F.countDistinct(named("source")).alias("unique_sources"), F.countDistinct(named("user")).alias("unique_users"), F.countDistinct("candidate_gate").alias("unique_gates"), F.count_if(F.col("source") == focus).alias("focus_count"), (F.count_if(F.col("source") == focus) / n).alias("focus_share"),
+        F.min("score").alias("min_score"), F.max("score").alias("max_score"), *(F.median(c).alias(f"median_{c}") for c in ("score", "duration", "destination_count", "events_count")),
+    )
+    for field in ("source", "user"):
+        top = concentration(queues, named(field), q, 10).groupBy(*q).agg(F.min_by("value", "place").alias(f"top_{field}"), *(F.sum(F.when(F.col("place") <= k, F.col("share"))).alias(f"top{k}_{field}_share") for k in (1, 5, 10)))
+        out = out.join(top, q)
+    most = dominant(queues.withColumn("_severity", severity(F.col("score"))), q, {"gate": F.col("candidate_gate"), "severity": F.col("_severity"), "signal": F.col("signals")})
+    out = out.join(most, q, "left")
+    return out.withColumns({f"dominant_{f}_share": F.col(f"dominant_{f}_count") / F.col("rows") for f in ("gate", "severity", "signal")})
+
+
+def signal_concentration(queues: DataFrame, most: int = 100) -> DataFrame:
+    """(queue_size, value, place, n, share, cumulative_share) of the most frequent signals; shares are of rows, so they may add up to
+    more than 1."""
+    rows = queues.groupBy("queue_size").agg(F.count("*").alias("_rows"))
+    out = concentration(queues.withColumn("_signal", F.explode("signals")), F.col("_signal"), ["queue_size"], most).drop("share", "cumulative_share").join(rows, "queue_size")
+    upto = Window.partitionBy("queue_size").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    return out.withColumn("share", F.col("n") / F.col("_rows")).withColumn("cumulative_share", F.sum("n").over(upto) / F.col("_rows")).drop("_rows")
+
+
+def cluster_report(queues: DataFrame, examples: int = 5) -> DataFrame:
+    """One row for each source of each queue, with all that an analyst is told of a cluster: ranks, scores, times, users, medians,
+    the dominant gate, severity and signal, counts of gates, priorities and signals, and the first episodes."""
+    key = ["queue_size", "source"]
+    rows = queues.withColumn("severity", severity(F.col("score"))).withColumn("priority", priority(F.col("rank")))
+    out = rows.groupBy(*key).agg(
+        F.count("*").alias("episodes"), F.min("rank").alias("top_rank"), F.max("rank").alias("last_rank"), *(f("score").alias(f"score_{n}") for n, f in (("max", F.max), ("median", F.median), ("min", F.min))), F.min("start_time").alias("time_min"), F.max("end_time").alias("time_max"),
+        F.count_distinct(F.when(F.col("user") != "", F.col("user"))).alias("unique_users"), *(F.median(c).alias(f"median_{c}") for c in ("duration", "destination_count", "events_count")),
+    )
+    out = out.withColumn("rank_span", F.col("last_rank") - F.col("top_rank")).withColumn("time_span", F.col("time_max") - F.col("time_min"))
+    out = out.join(dominant(rows, key, {"gate": F.col("candidate_gate"), "severity": F.col("severity"), "signal": F.col("signals")}), key, "left")
+    for field, k, to in (("candidate_gate", 5, "top_gates"), ("priority", 5, "top_priorities")):
+        out = out.join(compact_counts(rows, key, field, k, to), key, "left")
+    out = out.join(compact_counts(rows.withColumn("signal", F.explode("signals")), key, "signal", 8, "top_signals"), key, "left")
+    names = rows.filter("user <> ''").groupBy(*key, "user").agg(F.min("rank").alias("r")).withColumn("i", F.row_number().over(Window.partitionBy(*key).orderBy("r"))).filter("i <= 20")
+    names = names.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "user"))), lambda x: x["user"]), ";").alias("users"))
+    firsts = representatives(queues, examples).groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "episode_key"))), lambda x: x["episode_key"]), ";").alias("representatives"))
+    return out.join(names, key, "left").join(firsts, key)
+
+
+#: Severities of a scored background and the scores from which they hold.
+BACKGROUND_SEVERITIES = {"critical_review": 0.90, "high_review": 0.75, "medium_review": 0.50, "low_review": 0.25}
+
+
+def background_severity(score: Column) -> Column:
+    out = F
+    for name, least in BACKGROUND_SEVERITIES.items():
+        out = out.when(score >= least, name)
+    return out.otherwise("background")
+
+
+def scope_report(rows: DataFrame, scope: str, yields: DataFrame | None = None) -> DataFrame:
+    """For each scope and for all together: rows, sources and users, the largest source, shares of the first 5 and 10 (of rows that
+    name a source), the dominant gate and signal, quantiles, and how many rows have each severity. yields: rows named by `scope`
+    (as window_yield() makes them) whose columns are added."""
+    both = with_whole(rows, scope)
+    severity_ = background_severity(F.col("score"))
+    blank = lambda c: F.when(F.col(c) != "", F.col(c))
+    counts = [F.count_if(severity_ == s).alias(f"{s}_count") for s in ("background", *reversed(BACKGROUND_SEVERITIES))]
+    out = both.groupBy("_s").agg(F.count("*").alias("rows"), F.count_distinct(blank("source")).alias("unique_sources"), F.count_distinct(blank("user")).alias("unique_users"), *counts)
+    out = quantiles.joined(out, quantiles.linear(both, "score", ["_s"], quantiles.names_of((0.0, 0.5, 0.75, 0.9, 0.95, 0.99, 1.0))), ["_s"])
+    top = concentration(both.filter("source <> ''"), F.col("source"), ["_s"], 10).groupBy("_s")
+    top = top.agg(F.min_by("value", "place").alias("top_source"), F.min_by("n", "place").alias("top_source_count"), F.sum(F.when(F.col("place") <= 5, F.col("share"))).alias("top5_share"), F.sum("share").alias("top10_share"))
+    out = out.join(top, "_s", "left").join(dominant(both, ["_s"], {"gate": F.col("candidate_gate"), "signal": F.col("signals")}), "_s", "left")
+    share = lambda c: F.col(c) / F.col("rows")
+    out = out.withColumn("top_source_share", share("top_source_count")).withColumn("dominant_gate_share", share("dominant_gate_count")).withColumn("dominant_signal_share", share("dominant_signal_count"))
+    if yields is not None:
+        out = out.join(yields.withColumn("_s", F.col(scope).cast("string")).drop(scope), "_s", "left")
+    return out.withColumnRenamed("_s", "scope")
 
 
 def round_robin(ranked: DataFrame, by: str = "source") -> DataFrame:
     """The first row of each source in rank order, then each one's second, and so on."""
-    return ranked.withColumn("round", F.row_number().over(Window.partitionBy(by).orderBy("rank")))
+    return rank_within(ranked, F.col(by), F.col("rank"), to="round")
 
 
 def recurrence(ranked: DataFrame, seconds: int, k: int, by: str = "source") -> DataFrame:
@@ -229,6 +337,7 @@ def host_triage(ranked: DataFrame, host: str, window: str, high: float) -> DataF
     rest is context (E). And cluster_order, in which members come last."""
     spans = ranked.groupBy(host).agg(F.countDistinct(window).alias("windows"), F.min("rank").alias("best_rank"))
     w = F.col("windows")
+    # Names of classes and tiers, and the windows from which they hold.
     kind = F.when(w >= 20, "persistent_cross_signal_infrastructure_like_cluster").when(w >= 10, "recurrent_cross_signal_cluster").when(w >= 3, "recurring_candidate_cluster").otherwise("distinct_host_window_spike")
     tier = F.when((w >= 20) & (F.col("rank") == F.col("best_rank")), "C_persistent_cluster_representative").when(w >= 20, "D_persistent_cluster_member").when((F.col("score") > high) & (w >= 3), "B_recurrent_high_signal_candidate").when(F.col("score") > high, "A_distinct_high_signal_candidate").otherwise("E_context_queue")
     out = ranked.join(spans, host).withColumn("presentation_class", kind).withColumn("triage_tier", tier)

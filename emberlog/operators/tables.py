@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,8 +34,20 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_made: dict[tuple, DataFrame] = {}
+
+
+def made_once(spark: SparkSession, name: str, of: tuple, make: Callable[[], DataFrame]) -> DataFrame:
+    """saved(make()), or the table that an earlier call of this application made of the same. `of` names all that it depends on."""
+    key = (spark.sparkContext.applicationId, name, *of)
+    if key not in _made:
+        _made[key] = saved(make(), name)
+    return _made[key]
+
+
 def forget_tables(spark: SparkSession) -> None:
     """Deletes this application's tables; results that still read them must be stored first."""
+    _made.clear()
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -35,13 +35,27 @@ def heads(events: DataFrame) -> DataFrame:
     return events.groupBy("time").agg(F.min("seq").alias("seq"))
 
 
+def visited(hops: DataFrame, start: DataFrame) -> DataFrame:
+    """The times that a chain (time, next) passes from `start` (a row or none) on. Each round joins the chain's steps with
+    themselves, so that they lead twice as far, and adds what is reached from all that was: as many rounds as the logarithm of
+    the chain's length."""
+    steps, seen = saved(hops.filter("next is not null"), "steps"), saved(start.filter("time is not null").select("time"), "visited")
+    while True:
+        more = seen.join(steps, "time").select(F.col("next").alias("time"))
+        new = saved(seen.union(more).distinct(), "visited")
+        if new.count() == seen.count():
+            return new
+        ahead = steps.select(F.col("time").alias("next"), F.col("next").alias("_then"))
+        steps, seen = saved(steps.join(ahead, "next").select("time", F.col("_then").alias("next")), "steps"), new
+
+
 def cleanup_ticks(ticks: DataFrame, window: int, span: int = 86_400) -> DataFrame:
     """Times of clean-ups: the first tick more than a window after time 0, then always the first more than a window after the one
     before.
 
     A chain through all ticks, followed in spans of time at once: inside a span each tick's way out of it is found from the
-    last tick back; only ticks at which a chain can enter a span, at most `window` + 1 of each, are followed one after another;
-    then every span walks on from where the chain enters it.
+    last tick back; ticks at which a chain can enter a span, at most `window` + 1 of each, are joined to those they lead to, see
+    visited(); then every span walks on from where the chain enters it.
     """
     after = saved(next_tick(ticks.select("time"), F.col("time") + window + 1, ticks, "_n").select("time", F.col("_n.time").alias("next"), F.floor(F.col("time") / span).alias("span")), "next-ticks")
 
@@ -54,16 +68,7 @@ def cleanup_ticks(ticks: DataFrame, window: int, span: int = 86_400) -> DataFram
     out = after.groupBy("span").applyInPandas(ways_out, "time long, next double, span long").withColumn("next", F.col("next").cast("long"))
     first = after.filter(F.col("time") > window).agg(F.min("time").alias("time"))
     enters = out.select(F.col("next").alias("time")).filter("time is not null").union(first).distinct()
-    hops = out.join(enters, "time").select("time", "next").crossJoin(F.broadcast(first.withColumnRenamed("time", "start")))
-
-    def follow(pdf):
-        way, at, seen = dict(zip(pdf["time"], pdf["next"], strict=True)), pdf["start"].iloc[0], []
-        while at == at and at is not None and at in way:
-            seen.append(int(at))
-            at = way[at]
-        return pdf.iloc[:0][["time"]].reindex(range(len(seen))).assign(time=seen)
-
-    entered = hops.groupBy("start").applyInPandas(follow, "time long").select(F.floor(F.col("time") / span).alias("span"), F.col("time").alias("enter"))
+    entered = visited(out.join(enters, "time").select("time", "next"), first).select(F.floor(F.col("time") / span).alias("span"), F.col("time").alias("enter"))
 
     def walk(pdf):
         way, at, seen = dict(zip(pdf["time"], pdf["next"], strict=True)), pdf["enter"].iloc[0], []
@@ -255,6 +260,7 @@ def sticky_episodes(events: DataFrame, novelty: NoveltyConfig = NoveltyConfig(),
     rows = in_spans(rows, _hits=(F.sum, F.col("first_time_hits"), "upto"), s_compact=(F.max, n.between(3, 35) & d.between(3, 12) & (long <= 600), "upto"), s_velocity=(F.max, F.col("velocity") >= 0.65, "upto"))
     rows = rows.withColumn("novelty", F.col("_hits") / n).drop("_hits")
     rows = rows.withColumn("kinds", s(*FIRST_TIME, *FANOUT, "compact", "velocity"))
+    # The penalties.
     penalties = {"entropy_many_events": (n > 80, 0.10), "entropy_extreme_events": (n > 200, 0.20), "entropy_long_duration": (F.col("duration") > 1800, 0.15), "entropy_excessive_destinations": (d > 40, 0.20), "entropy_low_novelty": (F.col("novelty") < 0.25, 0.20)}
     converged = F.col("s_first_time_source_user_to_dest") & F.col("s_compact") & (F.col("s_source_user_fanout") | F.col("s_source_fanout"))
     tags = {"compact_lateral_burst": F.col("s_compact"), "fanout_velocity": F.col("s_velocity"), "low_convergence_penalty": F.col("kinds") < 3, "propagation_convergence_bonus": converged, **{k: c for k, (c, _) in penalties.items()}}

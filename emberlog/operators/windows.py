@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import quantiles
 from .graph import Ordered, bucketed, global_rank
 from .tables import saved
 
@@ -13,12 +14,14 @@ SPAN = 3600
 
 def merge_intervals(intervals: DataFrame, reach: int = 0) -> DataFrame:
     """(start, end) merged where one starts no later than `reach` after the end of those before: 0 joins touching intervals, 1
-    also adjacent ones. Running maxima over a stored order, whose parts are separate tasks."""
-    rows = Ordered(intervals.select("start", "end"), F.col("start"), F.col("end")).running(reached=(F.max, "end", "before"))
+    also adjacent ones. Running maxima inside spans of time, with what earlier spans reached carried in; no sort of all."""
+    own = saved(intervals.select("start", "end"), "intervals")
+    span = F.floor(F.col("start") / SPAN)
+    rows = bucketed(own, span, ["start", "end"], [], reached=(F.max, "end", "before"))
     fresh = rows.filter(F.col("reached").isNull() | (F.col("start") > F.col("reached") + reach)).select("start", "reached")
     # A merged interval ends where what the next one has seen of ends before it ends.
-    later = bucketed(fresh, F.floor(F.col("start") / SPAN), ["start"], [], later=(F.min, F.struct("start", "reached"), "after"))
-    return later.crossJoin(F.broadcast(rows.agg(F.max("end").alias("top")))).select("start", F.coalesce("later.reached", "top").alias("end"))
+    later = bucketed(fresh, span, ["start"], [], later=(F.min, F.struct("start", "reached"), "after"))
+    return later.crossJoin(F.broadcast(own.agg(F.max("end").alias("top")))).select("start", F.coalesce("later.reached", "top").alias("end"))
 
 
 def around(labels: DataFrame, radius: int, clamp: bool = False) -> DataFrame:
@@ -49,7 +52,8 @@ def time_profile(events: DataFrame, size: int) -> DataFrame:
 
 def profile_summary(profile: DataFrame) -> DataFrame:
     n = F.col("line_count")
-    return profile.agg(F.count("*").alias("n_buckets"), F.min(n).alias("min_count"), F.max(n).alias("max_count"), F.avg(n).alias("mean_count"), F.median(n).alias("median_count"), F.count_if(n > 0).alias("nonempty"))
+    stats = profile.agg(F.count("*").alias("n_buckets"), F.min(n).alias("min_count"), F.max(n).alias("max_count"), F.avg(n).alias("mean_count"), F.count_if(n > 0).alias("nonempty"))
+    return quantiles.joined(stats, quantiles.linear(profile, "line_count", [], {"median_count": 0.5}), [])
 
 
 def candidates(t_min: Column, t_max: Column, bounds: DataFrame, duration: int, stride: int) -> DataFrame:
@@ -111,21 +115,68 @@ def first_windows(windows: DataFrame, least: int, most: int, k: int) -> DataFram
     return windows.filter(F.col("line_count").between(least, most)).orderBy("start").limit(k)
 
 
+#: Bands in order, and the reason of each choice.
+BANDS = ("early", "middle", "late")
+
+
+def separated(rows: DataFrame, key: list[str], at: str, order: Column, distance: int, needed: Column) -> DataFrame:
+    """The first `needed` rows of each key that a greedy choice in `order` (of no ties) takes, where a row goes if one that was
+    taken lies less than `distance` from it along `at`.
+
+    In rounds: a row that is the best within the distance is taken, and its neighbours go. The best row that is left is always
+    taken, so there are at most as many rounds as rows are needed. Neighbours are looked for in stretches of `distance`, each a
+    group of its own with the rows of those beside it.
+    """
+    stretch = F.floor(F.col(at) / distance)
+    left = saved(rows.select(*key, at, order.alias("_order"), needed.alias("_needed"), F.struct(*rows.columns).alias("_row")), "left")
+    taken, n = None, left.agg(F.max("_needed")).first()[0] or 0
+    for _ in range(n):
+        w = Window.partitionBy(*key, "_s").orderBy(at).rangeBetween(1 - distance, distance - 1)
+        beside = left.select(*key, at, "_order", "_needed", "_row", F.explode(F.array(stretch - 1, stretch, stretch + 1)).alias("_s"))
+        best = beside.withColumn("_best", F.col("_order") == F.min("_order").over(w)).filter(F.col("_s") == stretch)
+        # A row's neighbours are seen whole only in its own stretch, so who is best is settled there before it takes others along.
+        best = saved(best.drop("_s"), "best")
+        chosen = best.filter("_best").drop("_best")
+        taken = chosen if taken is None else taken.union(chosen)
+        marks = best.select("*", F.explode(F.array(stretch - 1, stretch, stretch + 1)).alias("_s")).withColumn("_gone", F.max("_best").over(w)).filter(F.col("_s") == stretch)
+        left = saved(marks.filter(~F.col("_gone")).drop("_gone", "_best", "_s"), "left")
+        # Those taken before the best row that is left are the first of the whole choice.
+        rest = left.groupBy(*key).agg(F.min("_order").alias("_next"))
+        done = taken.join(rest, key, "left").filter(F.col("_next").isNull() | (F.col("_order") < F.col("_next"))).groupBy(*key).agg(F.count("*").alias("_done"))
+        left = left.join(done, key, "left").filter(F.coalesce("_done", F.lit(0)) < F.col("_needed")).drop("_done")
+        if left.isEmpty():
+            break
+    if taken is None:
+        return rows.limit(0)
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy("_order"))
+    return taken.withColumn("_nth", nth).filter(F.col("_nth") <= F.col("_needed")).select("_row.*")
+
+
+def selected_windows(windows: DataFrame, quotas: dict[str, int], quantile: float, separation: int) -> DataFrame:
+    """Background windows with a quota for each band: those nearest a density quantile whose centres lie `separation` apart; then,
+    if too few, the next best. Adds window_id (bg_001, ... by band, chosen ones first) and selection_reason."""
+    quota = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in quotas.items() for x in kv)), F.col("band")), F.lit(0))
+    order = F.struct(F.abs(F.col("density_percentile") - quantile).alias("off"), (-F.col("line_count")).alias("less"), F.col("start").alias("at"), F.col("end").alias("to"))
+    rows = windows.withColumn("_at", F.col("start") + F.col("end")).withColumn("_by", order).withColumn("_quota", quota).filter("_quota > 0")
+    rows = saved(rows, "eligible")
+    chosen = saved(separated(rows, ["band"], "_at", F.col("_by"), 2 * separation, F.col("_quota")).withColumn("_fill", F.lit(False)), "chosen")
+    short = chosen.groupBy("band").agg(F.count("*").alias("_have"))
+    rest = rows.join(chosen.select("band", "_by"), ["band", "_by"], "left_anti")
+    nth = F.row_number().over(Window.partitionBy("band").orderBy("_by"))
+    rest = rest.withColumn("_nth", nth).filter(F.col("_nth") <= max(quotas.values(), default=0)).join(F.broadcast(short), "band", "left")  # a row a band
+    fill = rest.filter(F.col("_nth") <= F.col("_quota") - F.coalesce("_have", F.lit(0))).drop("_nth", "_have").withColumn("_fill", F.lit(True))
+    both = chosen.unionByName(fill)
+    band = F.array_position(F.array(*map(F.lit, BANDS)), F.col("band"))
+    number = F.row_number().over(Window.orderBy(band, "_fill", "_by"))  # as many rows as the quotas have
+    how = F.when(F.col("_fill"), "deterministic_band_fill").otherwise("deterministic_band_selection")
+    reason = F.concat(F.lit("profile_based_selection;band="), F.col("band"), F.lit(f";outside_redteam_margin;sufficient_auth_volume;density_target_quantile={quantile};"), how)
+    return both.select(*windows.columns, F.format_string("bg_%03d", number).alias("window_id"), reason.alias("selection_reason"))
+
+
 def stratified_windows(windows: DataFrame, per_band: int, quantile: float, separation: int) -> DataFrame:
-    """In each band, the windows nearest a density quantile whose centres lie `separation` apart; then, if too few, the next
-    best. A greedy choice over the few candidates of a band."""
-
-    def pick(pdf):
-        pdf = pdf.assign(off=(pdf["density_percentile"] - quantile).abs()).sort_values(["off", "line_count", "start"], ascending=[True, False, True])
-        chosen, centres = [], []
-        for i, start, end in zip(pdf.index, pdf["start"], pdf["end"], strict=True):
-            if len(chosen) < per_band and all(abs((start + end) / 2 - c) >= separation for c in centres):
-                chosen.append(i)
-                centres.append((start + end) / 2)
-        rest = [i for i in pdf.index if i not in set(chosen)][: max(0, per_band - len(chosen))]
-        return pdf.loc[chosen + rest, ["start", "end", "band", "line_count", "density_rank", "density_percentile"]]
-
-    return windows.groupBy("band").applyInPandas(pick, "start long, end long, band string, line_count long, density_rank int, density_percentile double")
+    """The same with one quota for all bands."""
+    out = selected_windows(windows, dict.fromkeys(BANDS, per_band), quantile, separation)
+    return out.select("start", "end", "band", "line_count", "density_rank", "density_percentile")
 
 
 def overlapping_pairs(windows: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from emberlog.operators import novelty as nv
 from emberlog.operators import queues as qu
 from emberlog.operators import windows as wn
 from emberlog.operators.graph import bucketed, global_rank
-from emberlog.operators.tables import saved, shared_folder
+from emberlog.operators.tables import made_once, saved, shared_folder
 from emberlog.sources import readers as rd
 from emberlog.sources import views
 
@@ -37,9 +37,11 @@ def novelty_config(events: DataFrame) -> nv.NoveltyConfig:
 
 
 def detected(spark: SparkSession, sf_dir: str, preset: ep.Preset = ep.PRUNED) -> DataFrame:
-    """A table, since range sorts and self-joins of later operators read it more than once."""
+    """A table, since range sorts and self-joins of later operators read it more than once, and most queries of episodes start from
+    it; one for the files as they are (their names, sizes and times)."""
     events = views.auth(spark, sf_dir)
-    return saved(ep.detect(events, novelty_config(events), preset), "episodes")
+    files = views.events_files(spark, sf_dir)
+    return made_once(spark, "episodes", (sf_dir, files, preset), lambda: ep.detect(events, novelty_config(events), preset))
 
 
 def six(name: str, alias: str | None = None):
@@ -143,9 +145,7 @@ def time_range_extract(spark, sf_dir):
 @query
 def substring_probe(spark, sf_dir):
     """Lines that hold a text, and the first five of them."""
-    hits = auth_lines(spark, sf_dir).filter(F.col("value").contains(",C1,D1"))
-    examples = hits.orderBy("seq").limit(5).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "value"))), lambda x: x["value"]), "|").alias("examples"))
-    return hits.agg(F.count("*").alias("n"), F.min("seq").alias("first_seq")).crossJoin(examples)
+    return rd.probe(auth_lines(spark, sf_dir), ",C1,D1")
 
 
 # Windows of time.
@@ -566,7 +566,7 @@ def top_k_metrics(spark, sf_dir):
 def fitted(kind):
     def run(spark, sf_dir):
         rows = ft.time_split(feature_table(spark, sf_dir))
-        config = ft.RankerConfig(boost_rounds=20) if kind == "boost" else ft.RankerConfig()
+        config = ft.RankerConfig()
         model = ft.fit_ranker(rows.filter("part = 'train'"), kind, config)
         return ft.model_score(model, rows.filter("part = 'test'")).select("episode_key", "label", "model_score")
 

@@ -95,3 +95,12 @@ def flattened(df: DataFrame) -> DataFrame:
 def parse_quality(rows: DataFrame, is_signal: Column) -> DataFrame:
     """Counts of a parsed table: events, lines without a time, events with a signal."""
     return rows.agg(F.count("*").alias("events"), F.count_if(F.col("time") < 0).alias("bad_lines"), F.count_if(is_signal & (F.col("time") >= 0)).alias("signal_events"))
+
+
+def probe(lines: DataFrame, text: str, first: int | None = None, examples: int = 5) -> DataFrame:
+    """(n, first_seq, examples) of lines (seq, value) that hold a text, as it is: their number, the first one's place, and the first
+    few of them. first: look at so many lines only, in order."""
+    seen = lines.select("seq", "value") if first is None else lines.select("seq", "value").orderBy("seq").limit(first)
+    hits = seen.filter(F.col("value").contains(text))
+    some = hits.orderBy("seq").limit(examples).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "value"))), lambda x: x["value"]), "|").alias("examples"))
+    return hits.agg(F.count("*").alias("n"), F.min("seq").alias("first_seq")).crossJoin(some)

@@ -17,6 +17,14 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def events_files(spark: SparkSession, sf_dir: str) -> tuple:
+    """What tells one state of the events table from another: its files' number, bytes and newest time."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/events.parquet")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = [f for f in fs.listStatus(path) if f.isFile()]
+    return len(files), sum(f.getLen() for f in files), max((f.getModificationTime() for f in files), default=0)
+
+
 def auth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).select("time", "seq", "source", "user", "dest")
 
