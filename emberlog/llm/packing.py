@@ -89,7 +89,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: st
                     n = len(ids) // 4
                     rows += [(key, s, min(window, n - s), zlib.crc32(ids[4 * s : 4 * (s + window)]), n) for s in range(0, n, window)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-        t.memo.clear()  # the worker process may go on to other tasks
+        t.forget()  # the worker process may go on to other tasks
         give_back()
 
     return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(cut, PIECES)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Iterator
+from operator import add
 
 import numpy as np
 
@@ -47,25 +48,37 @@ class WordMemoTokenizer:
         self.merges = WordMerges(path)
         self.marks = {"": b""} | dict(zip(".,;:!?", self.by_library(list(".,;:!?")), strict=True))
         self.memo: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {}
 
     def learn(self, words: list[str]) -> None:
-        """Words that are plainly one run of letters are merged together, others go through the library."""
-        plain, odd, wanted = [], [], {}
+        """Words that are plainly one run of letters are merged together, others go through the library. Runs are remembered too,
+        since a word often comes with several closing marks."""
+        plain, runs, marks, odd = [], [], [], []
         for word in words:
-            split = one_run(word)
-            if split:
-                plain.append((word, *split))
-                wanted.setdefault(split[0], len(wanted))
+            mark = word[-1]
+            body = word[:-1] if mark in self.marks else word
+            if body.isascii() and body.isalpha():
+                low, mark = body.lower(), mark if body is not word else ""
             else:
-                odd.append(word)
-        raw = [b.encode() for b in wanted]
-        bodies = [ids for i in range(0, len(raw), 8192) for ids in self.merges.encode(raw[i : i + 8192])]
-        for word, body, mark in plain:
-            self.memo[word] = bodies[wanted[body]] + self.marks[mark]
+                split = one_run(word)
+                if not split:
+                    odd.append(word)
+                    continue
+                low, mark = split
+            plain.append(word)
+            runs.append(low)
+            marks.append(mark)
+        new = [r for r in set(runs) if r not in self.runs]
+        if len(self.runs) + len(new) > MEMO_WORDS:
+            self.runs.clear()
+            new = list(set(runs))
+        for i in range(0, len(new), 8192):
+            part = new[i : i + 8192]
+            self.runs.update(zip(part, self.merges.encode([r.encode() for r in part]), strict=True))
+        self.memo.update(zip(plain, map(add, map(self.runs.__getitem__, runs), map(self.marks.__getitem__, marks)), strict=True))
         for i in range(0, len(odd), 4096):
             part = odd[i : i + 4096]
-            for word, ids in zip(part, self.by_library(part), strict=True):
-                self.memo[word] = ids
+            self.memo.update(zip(part, self.by_library(part), strict=True))
 
     def by_library(self, words: list[str]) -> list[bytes]:
         """The ids of each word; a word with a special token's string is encoded with it."""
@@ -75,6 +88,10 @@ class WordMemoTokenizer:
                 out[i] = np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
         return out
 
+    def forget(self) -> None:
+        self.memo.clear()
+        self.runs.clear()
+
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers; a null text is empty."""
         group, size = [], 0
