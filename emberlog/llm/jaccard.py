@@ -163,7 +163,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     with the square of the number of different texts in such a group, but no task and no row count does. Then components.
 
     Null texts are empty. Texts of fewer than n words are linked only with copies. A null doc_id is never a class_id unless a
-    class has no other. Repeated rows are copies. Other columns are not read; an empty table gives no rows.
+    class has no other; ids are whole numbers, and a text that is none stops the run. Repeated rows are copies. Other columns are not read; an empty table gives no rows.
     """
     return classes_of_rows(docs, doc_id, text, config).select(F.col("doc").alias("doc_id"), "class_id", "n_copies", "n_links")
 

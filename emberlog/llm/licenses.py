@@ -249,7 +249,7 @@ NOTICES: list[tuple[str, str, str, float]] = [
     ("parity-7", r"parity public license(?: 7 0 0)?", "parity", 0.95),
     ("hippocratic-2", r"hippocratic license(?: version)?(?: 2 1)?", "hippocratic", 0.95),
     ("openrail", r"(?:creativeml )?open ?rail(?: m)? license", "creativeml open openrail", 0.9),
-    ("bigscience-rail", r"bigscience(?: open)? ?rail license", "bigscience", 0.95),
+    ("bigscience-rail", r"bigscience (?:open ?)?rail license", "bigscience", 0.95),
     ("llama-community", r"llama \d(?: \d)? community license agreement", "llama", 0.95),
     ("gemma-terms", r"gemma terms of use", "gemma", 0.9),
     ("fsl-1.1", r"functional source license(?: version)?(?: 1 1)?", "functional", 0.95),

@@ -255,7 +255,7 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", conf
     keys, so that a line with very many copies meets as few rows as there are batches.
 
     Null texts stay null. Rows with equal doc_id and text are one document: their lines are no copies of one another. Null
-    doc_ids come first. Lines without a word stay. A document may end up with an empty text. A column of the name `to` is
+    doc_ids come first; ids are whole numbers, and a text that is none stops the run. Lines without a word stay. A document may end up with an empty text. A column of the name `to` is
     replaced; other columns stay, whatever their names. A very long text is one row in one task.
     """
     own = Carried(docs, to)

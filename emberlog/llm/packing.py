@@ -120,7 +120,7 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
     remains of each is one piece, and goes to the open window with the least room that still holds it. Only the pieces'
     numbers are shuffled, never texts or ids.
 
-    A null or empty text is the one id `eos`. A null doc_id stays null. Repeated rows are packed once each. Pieces of equal
+    A null or empty text is the one id `eos`. A null doc_id stays null; ids are whole numbers, and a text that is none stops the run. Repeated rows are packed once each. Pieces of equal
     length are taken in order of doc_id and start. An empty table gives no rows. Other columns are not read.
     """
     return pack_pieces(written(cut_pieces(docs, tokenizer, doc_id, text, window, eos), "pieces"), window, pieces_a_task)
