@@ -25,7 +25,7 @@ LICENCES: list[tuple[str, str, str]] = [
     ("afl-3", r"academic free(?: license)?(?: version 3| v3)?", "academic"),
     ("agpl-3", r"(?:gnu affero general public(?: license)?(?: version 3| v3)?|agpl ?v?3|affero gpl)", "gnu agpl agplv3 agpl3 affero"),
     ("apache-1.1", r"apache(?: software)?(?: license)?(?: version| v)? 1 1", "apache"),
-    ("apache-2", r"apache(?: software)?(?: license)?(?: version| v)? ?2(?: 0)?", "apache"),
+    ("apache-2", r"apache(?: software)?(?: license)?(?: version| v)? ?2(?: 0)?", "apache apache2"),
     ("artistic-2", r"(?:perl )?artistic(?: license)?(?: version)? 2(?: 0)?", "artistic perl"),
     ("beerware", r"(?:beerware|beer ware)", "beerware beer"),
     ("bsd-2-clause", r"(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)", "bsd 2 simplified freebsd"),
