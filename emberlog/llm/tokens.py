@@ -42,17 +42,14 @@ class WordMemoTokenizer:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         if any(map(WHITE.search, self.special)):
             raise ValueError("a token of this file holds white space, so texts can't be encoded word by word")
-        # Words without such a string, which are nearly all, needn't be searched for one.
-        self.ordinary = Tokenizer.from_file(path)
-        self.ordinary.encode_special_tokens = True
+        # Words without such a string, which are nearly all, needn't be searched for one; see by_library().
+        self.tokenizer.encode_special_tokens = True
         self.merges = WordMerges(path)
         self.marks = {"": b""} | dict(zip(".,;:!?", self.by_library(list(".,;:!?")), strict=True))
         self.memo: dict[str, bytes] = {}
-        self.runs: dict[str, bytes] = {}
 
     def learn(self, words: list[str]) -> None:
-        """Words that are plainly one run of letters are merged together, others go through the library. Runs are remembered too,
-        since a word often comes with several closing marks."""
+        """Words that are plainly one run of letters are merged together, others go through the library."""
         plain, runs, marks, odd = [], [], [], []
         for word in words:
             mark = word[-1]
@@ -68,30 +65,26 @@ class WordMemoTokenizer:
             plain.append(word)
             runs.append(low)
             marks.append(mark)
-        new = [r for r in set(runs) if r not in self.runs]
-        if len(self.runs) + len(new) > MEMO_WORDS:
-            self.runs.clear()
-            new = list(set(runs))
+        new, merged = list(set(runs)), {}
         for i in range(0, len(new), 8192):
             part = new[i : i + 8192]
-            self.runs.update(zip(part, self.merges.encode([r.encode() for r in part]), strict=True))
-        self.memo.update(zip(plain, map(add, map(self.runs.__getitem__, runs), map(self.marks.__getitem__, marks)), strict=True))
+            merged.update(zip(part, self.merges.encode([r.encode() for r in part]), strict=True))
+        self.memo.update(zip(plain, map(add, map(merged.__getitem__, runs), map(self.marks.__getitem__, marks)), strict=True))
         for i in range(0, len(odd), 4096):
             part = odd[i : i + 4096]
             self.memo.update(zip(part, self.by_library(part), strict=True))
 
     def by_library(self, words: list[str]) -> list[bytes]:
         """The ids of each word; a word with a special token's string is encoded with it."""
-        out = [np.asarray(e.ids, "<u4").tobytes() for e in self.ordinary.encode_batch(words, add_special_tokens=False)]
-        for i, word in enumerate(words):
-            if any(s in word for s in self.special):
-                out[i] = np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        out = [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        special = [i for i, word in enumerate(words) if any(s in word for s in self.special)]
+        if special:
+            self.tokenizer.encode_special_tokens = False
+            for i in special:
+                out[i] = np.asarray(self.tokenizer.encode(words[i], add_special_tokens=False).ids, "<u4").tobytes()
+            self.tokenizer.encode_special_tokens = True
         return out
 
-    def forget(self) -> None:
-        self.memo.clear()
-        self.runs.clear()
-
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers; a null text is empty."""
         group, size = [], 0
