@@ -26,23 +26,35 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder[app]
 
 
+def stored(df: DataFrame, name: str) -> str:
+    """Writes df as a Parquet table in the shared folder and returns its path."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, for results that are read more than once: lineage ends there, and a lost
     executor costs one stage at most. Tables stay until forget_tables()."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = stored(df, name)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-_made: dict[tuple, DataFrame] = {}
+_made: dict[tuple, str] = {}
 
 
 def made_once(spark: SparkSession, name: str, of: tuple, make: Callable[[], DataFrame]) -> DataFrame:
-    """saved(make()), or the table that an earlier call of this application made of the same. `of` names all that it depends on."""
+    """saved(make()), or the table that an earlier call of this application made of the same and that is still there. `of` names all
+    that it depends on."""
     key = (spark.sparkContext.applicationId, name, *of)
-    if key not in _made:
-        _made[key] = saved(make(), name)
-    return _made[key]
+    if key not in _made or not exists(spark, f"{_made[key]}/_SUCCESS"):
+        _made[key] = stored(make(), name)
+    return spark.read.parquet(_made[key])
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(found)
 
 
 def forget_tables(spark: SparkSession) -> None:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import quantiles
 from .graph import Ordered, bucketed, global_rank
-from .tables import saved
+from .tables import saved, small
 
 #: Seconds of a bucket of time whose totals are put in order; a year has 8,766.
 SPAN = 3600
@@ -31,11 +31,12 @@ def around(labels: DataFrame, radius: int, clamp: bool = False) -> DataFrame:
 
 def in_intervals(events: DataFrame, intervals: DataFrame, width: int = 3600, half_open: bool = False, keep: list[str] | None = None, time: str = "time") -> DataFrame:
     """Events inside an interval: an equi-join on coarse buckets of time and a test inside. With disjoint intervals no event is
-    doubled; `keep` names columns of the interval to add."""
+    doubled; `keep` names columns of the interval to add. The intervals are stored and counted first, so that events aren't
+    shuffled for few of them."""
     last = F.col("end") - (1 if half_open else 0)
-    spread = intervals.withColumn("_b", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(last / width))))
+    spread = saved(intervals, "intervals").withColumn("_b", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(last / width))))
     inside = (F.col(time) >= F.col("start")) & ((F.col(time) < F.col("end")) if half_open else (F.col(time) <= F.col("end")))
-    joined = events.withColumn("_b", F.floor(F.col(time) / width)).join(spread, "_b").filter(inside)
+    joined = events.withColumn("_b", F.floor(F.col(time) / width)).join(small(spread), "_b").filter(inside)
     return joined.select(*events.columns, *(keep or []))
 
 

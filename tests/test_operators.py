@@ -108,3 +108,16 @@ def test_streams_equal_batches(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 15
     jobs.run_to(jobs.time_profile(stream, 60), str(tmp_path / "out2"), str(tmp_path / "ck2")).awaitTermination()
     assert all(r.line_count == 60 for r in spark.read.parquet(str(tmp_path / "out2")).collect())
+
+
+def test_a_table_is_made_once_and_again_if_it_is_gone(spark):
+    from emberlog.operators import tables
+
+    made = []
+    make = lambda: (made.append(1), spark.range(3))[1]
+    assert tables.made_once(spark, "once", ("a",), make).count() == 3 == tables.made_once(spark, "once", ("a",), make).count()
+    assert tables.made_once(spark, "once", ("b",), make).count() == 3 and len(made) == 2
+    path = tables._made[(spark.sparkContext.applicationId, "once", "a")]
+    gone = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
+    assert tables.made_once(spark, "once", ("a",), make).count() == 3 and len(made) == 3
