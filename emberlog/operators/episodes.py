@@ -93,6 +93,7 @@ def sessions(signals: DataFrame, ticks: DataFrame, window: int = 300, within: tu
         rows, known = rows.withColumn("session", F.lit(None).cast("long")).unionByName(old), F.col("session")
     rows = saved(rows.withColumn("_known", known), "signals")
     marked = starts(rows, key, window).withColumn("_new", F.when(F.col("_known").isNull(), F.col("_new").cast("int")).otherwise(0))
+    marked = saved(marked, "marked")
     out = bucketed(marked, F.col("_bucket"), ["time", "seq"], key, _here=(F.sum, "_new", "upto"))
     if carried is None:
         return out.withColumn("session", F.col("_here")).drop("_here", "_new", "_known", "_bucket")
