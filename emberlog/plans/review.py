@@ -16,7 +16,7 @@ from emberlog.operators.tables import saved, shared_folder
 from emberlog.sources import sinks, views
 
 from .oracles import _ACC, _F, _G, _M, _MAPS, _T, CHAIN, ORACLES, TIES, E, LABELS
-from .queries import by_score, detected, example_policy, feature_table, maps, query, queue, queues_of, regime_rows, six, tail
+from .queries import by_score, detected, example_policy, feature_table, maps, measured, query, queue, queues_of, regime_rows, six, tail
 
 _L = f"WITH {E}, {LABELS}"
 
@@ -369,7 +369,7 @@ def governance_rates(spark, sf_dir):
 
 @query
 def risk_aucs(spark, sf_dir):
-    return dc.risk_aucs(decided(spark, sf_dir), F.col("action") == "purchase").select("risk", six("auc"), six("ap"))
+    return dc.risk_aucs(decided(spark, sf_dir), F.col("action") == "purchase").select("risk", measured("auc"), measured("ap"))
 
 
 @query

@@ -1,6 +1,7 @@
 """Logs so dense that a class, a group or an output has no rows."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from emberlog.operators import features
 
@@ -10,3 +11,10 @@ def test_balanced_rankers_fit_one_class(spark, kind):
     rows = spark.createDataFrame([(f"e{i}", 1, float(i)) for i in range(20)], "episode_key string, label int, duration double")
     model = features.fit_ranker(rows, kind)
     assert {round(r.model_score, 6) for r in features.model_score(model, rows).collect()} == {1.0}
+
+
+def test_average_precision_needs_positives_only(spark):
+    df = spark.createDataFrame([(0.9, 1), (0.5, 1)], "s double, label int")
+    r = features.auc_ap(df, "s").first()
+    assert r.auc is None and r.ap == 1.0
+    assert features.auc_ap(df.withColumn("label", F.lit(0)), "s").first().ap is None
