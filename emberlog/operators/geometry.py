@@ -56,13 +56,13 @@ def kl(rows: DataFrame, value: str, group: str, a: str, b: str, bins: int, eps:
 
 def wasserstein(rows: DataFrame, value: str, group: str, a: str, b: str, by: list[str] | None = None) -> DataFrame:
     """Exact first Wasserstein distance of two groups (for each `by`, of which there are few): the area between their running
-    shares, along one stored order of the different values."""
+    shares, along one stored order of the different values. A group without rows has no shares: NaN, unless all values are equal."""
     by = by or []
     v = rows.filter(F.col(group).isin(a, b)).groupBy(*by, F.col(value).alias("v")).agg(F.count_if(F.col(group) == a).alias("x"), F.count_if(F.col(group) == b).alias("y"))
     run = Ordered(v, *map(F.col, [*by, "v"])).running(cx=(F.sum, "x", "upto"), cy=(F.sum, "y", "upto"), after=(F.min, F.struct(*by, "v"), "after"))
     whole = run.groupBy(*by).agg(F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.max("cx").alias("tx"), F.max("cy").alias("ty"))
     both = run.join(F.broadcast(whole), by) if by else run.crossJoin(F.broadcast(whole))
-    share = lambda c, t, s: F.try_divide(F.col(c) - (F.col(t) - F.col(s)), F.col(s))  # noqa: E731  what earlier groups add goes
+    share = lambda c, t, s: F.when(F.col(s) == 0, float("nan")).otherwise(F.try_divide(F.col(c) - (F.col(t) - F.col(s)), F.col(s)))  # noqa: E731  what earlier groups add goes
     step = F.when(sum((F.when(F.col(f"after.{k}") != F.col(k), 1).otherwise(0) for k in by), F.lit(0)) == 0, F.col("after.v") - F.col("v"))
     part = F.abs(share("cx", "tx", "sx") - share("cy", "ty", "sy")) * step
     return both.groupBy(*by).agg(F.coalesce(F.sum(part), F.lit(0.0)).alias("w1"))

@@ -1,9 +1,11 @@
 """Logs so dense that a class, a group or an output has no rows."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
-from emberlog.operators import features
+from emberlog.operators import features, geometry
 
 
 @pytest.mark.parametrize("kind", ["logistic", "logistic_l1", "sgd_balanced"])
@@ -18,3 +20,10 @@ def test_average_precision_needs_positives_only(spark):
     r = features.auc_ap(df, "s").first()
     assert r.auc is None and r.ap == 1.0
     assert features.auc_ap(df.withColumn("label", F.lit(0)), "s").first().ap is None
+
+
+def test_distance_to_a_group_without_rows_is_undefined(spark):
+    df = spark.createDataFrame([("R2", "a", 1.0), ("R2", "a", 3.0), ("R2", "b", 2.0), ("R2", "b", 2.0)], "g string, feature string, v double")
+    assert math.isnan(geometry.wasserstein(df.filter("feature = 'a'"), "v", "g", "R2", "R0").first().w1)
+    out = {r.feature: r.w1 for r in geometry.wasserstein(df, "v", "g", "R2", "R0", ["feature"]).collect()}
+    assert math.isnan(out["a"]) and out["b"] == 0.0
