@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberlog.operators import features, geometry
+from emberlog.sources import sinks
 
 
 @pytest.mark.parametrize("kind", ["logistic", "logistic_l1", "sgd_balanced"])
@@ -27,3 +28,9 @@ def test_distance_to_a_group_without_rows_is_undefined(spark):
     assert math.isnan(geometry.wasserstein(df.filter("feature = 'a'"), "v", "g", "R2", "R0").first().w1)
     out = {r.feature: r.w1 for r in geometry.wasserstein(df, "v", "g", "R2", "R0", ["feature"]).collect()}
     assert math.isnan(out["a"]) and out["b"] == 0.0
+
+
+def test_outputs_without_rows_keep_their_columns(spark, tmp_path):
+    e = spark.createDataFrame([("a", 0.5, 0.5, 0.5, "few", ["x"])], "episode_key string, score double, raw_score double, fanout_velocity_score double, suppression_reason string, signals array<string>")
+    names = sinks.save_outputs(str(tmp_path), e, e.limit(0), e.limit(0), e.limit(0).withColumn("queue_size", F.lit(100)))
+    assert {n: sinks.load_output(spark, str(tmp_path), n).agg(F.countDistinct("episode_key")).first()[0] for n in names} == {"all_episodes": 1, "suppressed_episodes": 1, "matches": 0, "near_matches": 0, "ranked_episodes": 0, "queues": 0}
