@@ -73,17 +73,66 @@ def near_matches(suppressed: DataFrame, labels: DataFrame, window: int, limit: i
     return matches(suppressed, labels, window).orderBy("label_redteam_index", "start_time", "episode_key").limit(limit)
 
 
+#: What equal columns of a label and an event are worth, and distances in time up to so many seconds.
+WORTH = {"source": 3, "dest": 3, "user": 2}
+NEAR = {0: 3, 10: 2, 300: 1}
+
+
 def alignments(labels: DataFrame, events: DataFrame, window: int = 300) -> DataFrame:
     """For each label the best event within `window`: +3 source, +3 destination, +2 user, +3/+2/+1 by distance in time. The first
-    in file order wins ties. The range join runs on buckets as wide as the window."""
-    l = as_label(labels).withColumn("_b", F.explode(F.array(*(F.floor(F.col("label_time") / window) + d for d in (-1, 0, 1)))))
-    j = events.withColumn("_b", F.floor(F.col("time") / window)).join(l, "_b").withColumn("dt", F.abs(F.col("time") - F.col("label_time"))).filter(F.col("dt") <= window)
-    same = lambda a, b: F.when(F.lower(a) == F.lower(b), 1).otherwise(0)
-    score = 3 * same("source", "label_source") + 3 * same("dest", "label_dest") + 2 * same("user", "label_user") + F.when(F.col("dt") == 0, 3).when(F.col("dt") <= 10, 2).when(F.col("dt") <= 300, 1).otherwise(0)
-    best = j.withColumn("score", score).filter("score > 0").groupBy("label_redteam_index").agg(F.max_by(F.struct("time", "seq", "score", "dt"), F.struct("score", -F.col("time"), -F.col("seq"))).alias("m"))
+    in file order wins ties.
+
+    Labels whose own second has an event that is equal in all columns are settled by equal keys, since no score is higher. The
+    others ask for each set of columns, and for each distance that is worth more, which event with these columns equal comes first;
+    the best of the answers is the best event, since an event's score is its answer for just its equal columns and own distance,
+    and less for others. So labels never meet events pair by pair, however many lie in one second.
+    """
+    l = as_label(labels).select("label_redteam_index", "label_time", *(F.lower(f"label_{c}").alias(f"_{c}") for c in WORTH))
+    e = events.filter("time is not null").select("time", "seq", *(F.lower(c).alias(f"_{c}") for c in WORTH))
+    keys = [f"_{c}" for c in WORTH]
+    same = e.groupBy(*keys, F.col("time").alias("label_time")).agg(F.min("seq").alias("seq"))
+    first = saved(l.join(same, [*keys, "label_time"], "left"), "equal-events")
+    top = sum(WORTH.values()) + NEAR[0]
+    equal = first.filter("seq is not null").select("label_redteam_index", F.struct(F.col("label_time").alias("time"), "seq", F.lit(top).alias("score"), F.lit(0).cast("long").alias("dt")).alias("m"))
+    asked = questions(first.filter("seq is null"), window)
+    of = Window.partitionBy("_set", *keys, "_bucket").orderBy(F.desc("_at"), F.col("label_time").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    found = answerable(asked, e, window).withColumn("m", F.last("_event", ignorenulls=True).over(of)).filter(F.col("m.time") <= F.col("_to"))
+    x = found.select("label_redteam_index", F.struct("m.time", "m.seq", "score", F.abs(F.col("m.time") - F.col("label_time")).alias("dt")).alias("m"))
+    best = x.groupBy("label_redteam_index").agg(F.max_by("m", F.struct("m.score", -F.col("m.time"), -F.col("m.seq"))).alias("m")).union(equal)
     return best.select(F.col("label_redteam_index").alias("redteam_index"), "m.*", F.when(F.col("m.score") >= 7, "strong").when(F.col("m.score") >= 4, "medium").otherwise("weak").alias("strength"))
 
 
+def column_sets(rows: DataFrame) -> DataFrame:
+    """Each row for each set of columns of WORTH that has no null in it: its number, what it is worth, and its values (others null)."""
+    sets = [[c for i, c in enumerate(WORTH) if k >> i & 1] for k in range(1 << len(WORTH))]
+    one = lambda k, s: F.when(
+        F.lit(True) if not s else ~F.greatest(F.lit(False), *(F.col(f"_{c}").isNull() for c in s)), F.struct(F.lit(k).alias("_set"), F.lit(sum(WORTH[c] for c in s)).alias("_worth"), *((F.col(f"_{c}") if c in s else F.lit(None).cast("string")).alias(f"_{c}") for c in WORTH))
+    )
+    return rows.withColumn("_s", F.explode(F.array_compact(F.array(*(one(k, s) for k, s in enumerate(sets)))))).drop(*(f"_{c}" for c in WORTH)).select("*", "_s.*").drop("_s")
+
+
+def questions(labels: DataFrame, window: int) -> DataFrame:
+    """What labels ask: the first event of a set of equal columns from _at to _to, and the score it would have; for both buckets of
+    time that this may reach into."""
+    far = lambda d: next((w for limit, w in NEAR.items() if d <= limit), 0)
+    tiers = {**{d: w for d, w in NEAR.items() if d < window}, window: far(window)}
+    reach = F.explode(F.array(*(F.struct(F.lit(d).alias("d"), F.lit(w).alias("w")) for d, w in tiers.items())))
+    rows = column_sets(labels).withColumn("_t", reach).withColumn("score", F.col("_worth") + F.col("_t.w")).filter("score > 0")
+    rows = rows.withColumn("_at", F.col("label_time") - F.col("_t.d")).withColumn("_to", F.col("label_time") + F.col("_t.d"))
+    number = lambda c: F.floor(F.col(c) / (2 * window + 1))
+    return rows.withColumn("_bucket", F.explode(F.sequence(number("_at"), number("_to")))).select("_set", *(f"_{c}" for c in WORTH), "_bucket", "_at", "_to", "score", "label_redteam_index", "label_time")
+
+
+def answerable(asked: DataFrame, events: DataFrame, window: int) -> DataFrame:
+    """Questions beside the first event of each second, for each set of columns and bucket that anything is asked of: rows grow
+    with labels and with events, not with their pairs."""
+    keys = ["_set", *(f"_{c}" for c in WORTH), "_bucket"]
+    firsts = column_sets(events).withColumn("_bucket", F.floor(F.col("time") / (2 * window + 1))).groupBy(*keys, "time").agg(F.min("seq").alias("seq"))
+    wanted = asked.select(*(F.col(k).alias(f"{k}_") for k in keys)).distinct()
+    firsts = firsts.join(wanted, [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys], "left_semi")
+    return firsts.select(*keys, F.col("time").alias("_at"), F.struct("time", "seq").alias("_event")).unionByName(asked, allowMissingColumns=True)
+
+
 def compare_runs(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """Label keys matched by both runs, by the first only (lost), by the second only (new)."""
     both = a.select(*keys).distinct().withColumn("_a", F.lit(1)).join(b.select(*keys).distinct().withColumn("_b", F.lit(1)), keys, "full")

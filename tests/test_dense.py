@@ -1,11 +1,12 @@
 """Logs so dense that a class, a group or an output has no rows."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from emberlog.operators import features, geometry
+from emberlog.operators import features, geometry, matching
 from emberlog.sources import sinks
 
 
@@ -34,3 +35,39 @@ def test_outputs_without_rows_keep_their_columns(spark, tmp_path):
     e = spark.createDataFrame([("a", 0.5, 0.5, 0.5, "few", ["x"])], "episode_key string, score double, raw_score double, fanout_velocity_score double, suppression_reason string, signals array<string>")
     names = sinks.save_outputs(str(tmp_path), e, e.limit(0), e.limit(0), e.limit(0).withColumn("queue_size", F.lit(100)))
     assert {n: sinks.load_output(spark, str(tmp_path), n).agg(F.countDistinct("episode_key")).first()[0] for n in names} == {"all_episodes": 1, "suppressed_episodes": 1, "matches": 0, "near_matches": 0, "ranked_episodes": 0, "queues": 0}
+
+
+def pairwise(labels, events, window):
+    """The best event of each label, by looking at all pairs."""
+    out = {}
+    same = lambda a, b: a is not None and b is not None and a.lower() == b.lower()
+    for n, at, *own in labels:
+        for time, seq, *other in events:
+            dt = abs(time - at)
+            score = sum(w for w, a, b in zip((2, 3, 3), own, other) if same(a, b)) + (3 if dt == 0 else 2 if dt <= 10 else 1 if dt <= 300 else 0)
+            if dt <= window and score > 0:
+                out[n] = max(out.get(n, (0,)), (score, -time, -seq, dt))
+    return {n: (-time, -seq, score, dt) for n, (score, time, seq, dt) in out.items()}
+
+
+@pytest.mark.parametrize("window", [0, 7, 300, 450])
+def test_alignments_are_those_of_all_pairs(spark, window):
+    r = random.Random(window)
+    some = lambda head, n: r.choice([None, *(f"{head}{i}" for i in range(n)), f"{head.lower()}0"])
+    rows = lambda n: [(i, r.randrange(-50, 2500), some("U", 3), some("C", 3), some("D", 4)) for i in range(n)]
+    labels, events = rows(60), [(t, i, *own) for i, t, *own in rows(150)]
+    l = spark.createDataFrame(labels, "redteam_index long, time long, user string, source string, dest string")
+    e = spark.createDataFrame(events, "time long, seq long, user string, source string, dest string")
+    out = {x.redteam_index: (x.time, x.seq, x.score, x.dt) for x in matching.alignments(l, e, window).collect()}
+    assert out == pairwise(labels, events, window)
+
+
+def test_alignments_of_one_second_grow_with_its_rows(spark):
+    """Labels and events of other sources, all in one second."""
+
+    def rows(n):
+        e = spark.range(n).select(F.lit(5).cast("long").alias("time"), F.col("id").alias("seq"), *(F.concat(F.lit(c), F.col("id") % 50).alias(f"_{c}") for c in ("source", "dest", "user")))
+        l = e.select(F.col("seq").alias("label_redteam_index"), F.col("time").alias("label_time"), "_source", F.lit("x").alias("_dest"), "_user")
+        return matching.answerable(matching.questions(l, 300), e, 300).count()
+
+    assert rows(2000) <= 2 * rows(1000)
