@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
 from dataclasses import dataclass
-from types import SimpleNamespace
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .features import auc_ap
 from .tables import saved, small
@@ -87,11 +87,18 @@ def new_role_actions(events: DataFrame) -> DataFrame:
     return events.join(first, ["role", "action"]).withColumn("new_role_action", F.col("_f") == F.struct("time", "seq")).drop("_f")
 
 
+@cache
+def entropy_term(c: int, n: int) -> float:
+    return c / n * math.log2(c / n)
+
+
 def list_entropy(values: list[str]) -> float:
-    n = Counter(values)
+    n: dict[str, int] = {}
+    for v in values:
+        n[v] = n.get(v, 0) + 1
     if len(n) < 2:
         return 0.0
-    h = -sum(c / len(values) * math.log2(c / len(values)) for c in n.values())
+    h = -sum([entropy_term(c, len(values)) for c in n.values()])
     return min(1.0, max(0.0, h / math.log2(len(n))))
 
 
@@ -102,13 +109,16 @@ class Past:
         self.n, self.actions, self.resources, self.baseline = 0, [], [], 0.0
 
     def entropy(self, action: str | None, resource: str | None, last: int) -> float:
-        more = lambda xs, x: (xs + [x] if x is not None else xs)[-last:]
+        more = lambda xs, x: (xs[-last:] + [x] if x is not None else xs)[-last:]
         return (list_entropy(more(self.actions, action)) + list_entropy(more(self.resources, resource))) / 2
 
-    def learn(self, action: str, resource: str, c: DecisionConfig) -> None:
-        self.actions, self.resources = [*self.actions, action][-c.history :], [*self.resources, resource][-c.history :]
+    def learn(self, action: str, resource: str, c: DecisionConfig, now: float | None = None) -> None:
+        """`now` is the entropy with this event, if it was asked for before."""
+        for xs, x in ((self.actions, action), (self.resources, resource)):
+            xs.append(x)
+            del xs[: -c.history]
         self.n += 1
-        now = self.entropy(None, None, c.entropy_window)
+        now = self.entropy(None, None, c.entropy_window) if now is None or action is None or resource is None else now
         self.baseline = now if self.n <= 5 else c.baseline_decay * self.baseline + (1 - c.baseline_decay) * now
 
 
@@ -121,7 +131,8 @@ class Actor(Past):
         self.risk = self.suspicion = 0.0
         self.contexts: dict[tuple[str, str], Past] = {}
 
-    def behaviour(self, e, c: DecisionConfig) -> tuple[float, list[str]]:
+    def behaviour(self, e, c: DecisionConfig, asked: dict[int, float] | None = None) -> tuple[float, list[str]]:
+        """(risk, reasons); `asked` gets the entropies with this event, for remember()."""
         if self.n == 0:
             return 0.15, ["low_history_actor"]
         parts: list[tuple[str, float]] = []
@@ -130,9 +141,12 @@ class Actor(Past):
         parts += [("actor_resource_novelty", 0.20 * (0.5 + min(1.0, max(0.0, e.criticality))))] * (e.resource not in self.uses)
         parts += [("new_device", 0.20)] * bool(e.device_id and self.devices and e.device_id not in self.devices)
         parts += [("new_source_ip", 0.15)] * bool(e.source_ip and self.ips and e.source_ip not in self.ips)
-        for past, limit, factor, most, name in ((self, c.entropy_shift, 0.30, 0.15, "behavioral_entropy_shift"), (self.contexts.get((e.role, e.resource)), c.context_shift, 0.25, 0.12, "context_entropy_shift")):
+        for k, (past, limit, factor, most, name) in enumerate(((self, c.entropy_shift, 0.30, 0.15, "behavioral_entropy_shift"), (self.contexts.get((e.role, e.resource)), c.context_shift, 0.25, 0.12, "context_entropy_shift"))):
             if past and past.n >= 5:
-                shift = max(0.0, past.entropy(e.action, e.resource, c.entropy_window) - past.baseline)
+                now = past.entropy(e.action, e.resource, c.entropy_window)
+                if asked is not None:
+                    asked[k] = now
+                shift = max(0.0, now - past.baseline)
                 parts += [(name, min(most, factor * shift))] * (shift > limit)
         return min(1.0, sum(w for _, w in parts) + 0.25 * self.risk), [n for n, _ in parts]
 
@@ -141,15 +155,34 @@ class Actor(Past):
         memory = 0.25 * self.suspicion
         return min(1.0, new + memory), ["graph_novelty"] * (new > 0) + ["graph_suspicion_memory"] * (memory > 0.10)
 
-    def remember(self, e, fused: float, c: DecisionConfig) -> None:
+    def remember(self, e, fused: float, c: DecisionConfig, asked: dict[int, float]) -> None:
         self.roles.add(e.role), self.acts.add(e.action), self.uses.add(e.resource)
         self.devices |= {e.device_id} - {None, ""}
         self.ips |= {e.source_ip} - {None, ""}
-        self.learn(e.action, e.resource, c)
-        self.contexts.setdefault((e.role, e.resource), Past()).learn(e.action, e.resource, c)
+        self.learn(e.action, e.resource, c, asked.get(0))
+        if (e.role, e.resource) not in self.contexts:
+            self.contexts[e.role, e.resource] = Past()
+        self.contexts[e.role, e.resource].learn(e.action, e.resource, c, asked.get(1))
         self.risk = min(1.0, c.risk_decay * self.risk + (1 - c.risk_decay) * fused)
         self.suspicion = min(1.0, c.suspicion_decay * self.suspicion + (1 - c.suspicion_decay) * fused)
 
+    def judged(self, e, c: DecisionConfig) -> tuple[float, float, float, float, list[str]]:
+        """RISKS of an event, which changes nothing."""
+        return self._judged(e, c, None)
+
+    def met(self, e, c: DecisionConfig) -> tuple[float, float, float, float, list[str]]:
+        """RISKS of an event, which is then remembered."""
+        asked: dict[int, float] = {}
+        out = self._judged(e, c, asked)
+        self.remember(e, out[3], c, asked)
+        return out
+
+    def _judged(self, e, c: DecisionConfig, asked: dict[int, float] | None) -> tuple[float, float, float, float, list[str]]:
+        b, why = self.behaviour(e, c, asked)
+        g, edges = self.graph(e)
+        conf = confidence_of(e.semantic_risk, b, g)
+        return b, g, conf, fused_of(e.semantic_risk, b, g, conf, c), [*e.policy_reasons, *why, *edges]
+
     def kept(self, actor: str) -> tuple:
         own = lambda p: (p.n, p.actions, p.resources, p.baseline)
         contexts = [{"role": r, "resource": x, **dict(zip(("n", "actions", "resources", "baseline"), own(p), strict=True))} for (r, x), p in sorted(self.contexts.items())]
@@ -178,6 +211,16 @@ def fused_of(s: float, b: float, g: float, conf: float, c: DecisionConfig) -> fl
     return min(1.0, max(0.0, c.alpha * s + c.beta * b + c.gamma * min(s, b) * conf + c.delta * g * conf))
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by keys to as many tasks as shuffles have: the work is in Python, so tasks of few bytes aren't few seconds and must
+    not be put together by their bytes."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def with_risks(pdf, out: list[tuple]):
+    return pdf.assign(**{n: [o[i] for o in out] for i, n in enumerate(("behavioral_risk", "graph_risk", "confidence", "fusion_risk", "reasons"))})
+
+
 RISKS = "behavioral_risk double, graph_risk double, confidence double, fusion_risk double, reasons array<string>"
 
 
@@ -195,15 +238,10 @@ def risks(events: DataFrame, config: DecisionConfig = DecisionConfig()) -> DataF
             for e in pdf.itertuples(index=False):
                 if e.actor != actor:
                     actor, state = e.actor, Actor()
-                b, why = state.behaviour(e, config)
-                g, edges = state.graph(e)
-                conf = confidence_of(e.semantic_risk, b, g)
-                fused = fused_of(e.semantic_risk, b, g, conf, config)
-                state.remember(e, fused, config)
-                out.append((b, g, conf, fused, [*e.policy_reasons, *why, *edges]))
-            yield pdf.assign(**{n: [o[i] for o in out] for i, n in enumerate(("behavioral_risk", "graph_risk", "confidence", "fusion_risk", "reasons"))})
-
-    rows = events.repartition("actor").sortWithinPartitions("actor", "time", "seq")
+                out.append(state.met(e, config))
+            yield with_risks(pdf, out)
+
+    rows = dealt(events, "actor").sortWithinPartitions("actor", "time", "seq")
     return rows.mapInPandas(fold, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema)}, {RISKS}")
 
 
@@ -265,41 +303,49 @@ def learnt(events: DataFrame, policy: Policy, config: DecisionConfig = DecisionC
                     if actor is not None:
                         out.append(state.kept(actor))
                     actor, state = e.actor, Actor()
-                b, _ = state.behaviour(e, config)
-                g, _ = state.graph(e)
-                state.remember(e, fused_of(e.semantic_risk, b, g, confidence_of(e.semantic_risk, b, g), config), config)
+                state.met(e, config)
             if out:
                 yield pd.DataFrame(out, columns=names)
         if actor is not None:
             yield pd.DataFrame([state.kept(actor)], columns=names)
 
-    rows = new_role_actions(policy_risk(events, policy)).repartition("actor").sortWithinPartitions("actor", "time", "seq")
+    rows = dealt(new_role_actions(policy_risk(events, policy)), "actor").sortWithinPartitions("actor", "time", "seq")
     return DecisionState(saved(rows.mapInPandas(fold, ACTORS), "actors"), saved(events.select("role", "action").distinct(), "known-actions"))
 
 
-def frozen_decisions(events: DataFrame, policy: Policy, state: DecisionState, config: DecisionConfig = DecisionConfig()) -> DataFrame:
+#: Events of one actor that are judged together against a frozen state.
+STRETCH = 50_000
+
+
+def frozen_decisions(events: DataFrame, policy: Policy, state: DecisionState, config: DecisionConfig = DecisionConfig(), stretch: int = STRETCH) -> DataFrame:
     """Decisions on events against a state that they don't change: each is judged on its own, so order and batches don't matter.
-    Events meet their actor's row; rows of an actor lie together, and its memory is read once for each batch."""
+
+    Events of an actor are dealt to stretches by a hash, each of which gets the actor's row once, ahead of its events; so memories
+    are copied once for `stretch` events, not for each, and an actor with most of the events is many stretches.
+    """
 
     def judge(batches):
+        name, actor = None, Actor()
         for pdf in batches:
-            known, out = {}, []
-            for e in pdf.to_dict("records"):
-                actor = known.get(e["actor"])
-                if actor is None:
-                    actor = known[e["actor"]] = Actor.recalled(e["_state"]) if e["_state"] is not None else Actor()
-                row = SimpleNamespace(**e)
-                b, why = actor.behaviour(row, config)
-                g, edges = actor.graph(row)
-                conf = confidence_of(row.semantic_risk, b, g)
-                out.append((b, g, conf, fused_of(row.semantic_risk, b, g, conf, config), [*row.policy_reasons, *why, *edges]))
-            yield pdf.drop(columns="_state").assign(**{n: [o[i] for o in out] for i, n in enumerate(("behavioral_risk", "graph_risk", "confidence", "fusion_risk", "reasons"))})
+            own, out = pdf.drop(columns=["_state", "_stretch"]), []
+            for e, held in zip(own.itertuples(index=False), pdf["_state"], strict=True):
+                if held is not None:
+                    name, actor = e.actor, Actor.recalled(held)
+                    continue
+                if e.actor != name:
+                    name, actor = e.actor, Actor()
+                out.append(actor.judged(e, config))
+            yield with_risks(own[pdf["_state"].isna()], out)
 
     known = state.role_actions.withColumn("_old", F.lit(True))
     rows = policy_risk(events, policy).join(small(known), ["role", "action"], "left").withColumn("new_role_action", F.col("_old").isNull()).drop("_old")
-    actors = state.actors.select("actor", F.struct(*state.actors.columns).alias("_state"))
-    both = rows.join(actors, "actor", "left").sortWithinPartitions("actor")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(both.columns[:-1]).schema)
+    sizes = saved(events.groupBy("actor").agg(F.ceil(F.count("*") / stretch).alias("_stretches")), "stretches")
+    blank = [(F.lit(0) if isinstance(f.dataType, T.NumericType | T.BooleanType) else F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema if f.name != "actor"]
+    held = state.actors.withColumn("_state", F.struct(*state.actors.columns)).join(sizes, "actor")
+    held = held.withColumn("_stretch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_stretches") - 1))).select("actor", *blank, "_stretch", "_state")
+    dealt_out = rows.join(small(sizes), "actor", "left").withColumn("_stretch", F.pmod(F.xxhash64("seq"), F.col("_stretches"))).drop("_stretches")
+    both = dealt(dealt_out.unionByName(held, allowMissingColumns=True), "actor", "_stretch").sortWithinPartitions("actor", "_stretch", F.col("_state").isNull())
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     return governed(both.mapInPandas(judge, f"{schema}, {RISKS}"), config)
 
 

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from emberlog.operators import features, geometry, matching
+from emberlog.operators import decisions, features, geometry, matching
 from emberlog.sources import sinks
 
 
@@ -71,3 +71,22 @@ def test_alignments_of_one_second_grow_with_its_rows(spark):
         return matching.answerable(matching.questions(l, 300), e, 300).count()
 
     assert rows(2000) <= 2 * rows(1000)
+
+
+def test_frozen_memories_are_not_copied_for_each_event(spark):
+    """One actor has all events: its memory comes once for each stretch, and any stretch gives the same decisions."""
+    e = spark.range(400).select(F.col("id").alias("time"), F.col("id").alias("seq"), F.lit("a").alias("actor"), F.lit("r").alias("role"), F.concat(F.lit("x"), F.col("id") % 3).alias("action"), F.concat(F.lit("D"), F.col("id") % 7).alias("resource"), ((F.col("id") % 11) / 10).alias("criticality"))
+    policy = decisions.Policy(spark.createDataFrame([("r", "x0")], "role string, action string"), spark.createDataFrame([("r", "*")], "role string, resource string"))
+    state = decisions.learnt(e.filter("seq < 200"), policy)
+    rows = [sorted(map(str, decisions.frozen_decisions(e.filter("seq >= 200"), policy, state, stretch=n).collect())) for n in (10, 150, 1000)]
+    assert len(rows[0]) == 200 and rows[0] == rows[1] == rows[2]
+
+
+def test_entropies_that_were_asked_for_are_those_that_are_learnt():
+    r = random.Random(3)
+    c, a, b = decisions.DecisionConfig(), decisions.Past(), decisions.Past()
+    for _ in range(300):
+        action, resource = r.choice(["x", "y", "z", None]), r.choice("DEFG")
+        now = a.entropy(action, resource, c.entropy_window) if a.n >= 5 else None
+        a.learn(action, resource, c, now), b.learn(action, resource, c)
+        assert (a.actions, a.resources, a.baseline) == (b.actions, b.resources, b.baseline) and len(a.actions) <= c.history
