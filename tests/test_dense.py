@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberlog.operators import decisions, features, geometry, matching
-from emberlog.sources import sinks
+from emberlog.sources import readers, sinks
 
 
 @pytest.mark.parametrize("kind", ["logistic", "logistic_l1", "sgd_balanced"])
@@ -90,3 +90,11 @@ def test_entropies_that_were_asked_for_are_those_that_are_learnt():
         now = a.entropy(action, resource, c.entropy_window) if a.n >= 5 else None
         a.learn(action, resource, c, now), b.learn(action, resource, c)
         assert (a.actions, a.resources, a.baseline) == (b.actions, b.resources, b.baseline) and len(a.actions) <= c.history
+
+
+def test_conditions_on_fields_do_not_make_the_line_anew(spark):
+    """A line that is costly to make is made once for each row, whatever a reader asks of its fields."""
+    lines = spark.range(3).select(F.col("id").alias("seq"), F.concat_ws(",", F.get_json_object(F.to_json(F.struct("id")), "$.id"), *map(F.lit, ("U1", "U2", "C1", "D1", "K", "N", "L", "Success"))).alias("value"))
+    for reader in (readers.auth_strict, readers.auth_tolerant):
+        rows = reader(lines)
+        assert rows.count() == 3 and rows._jdf.queryExecution().optimizedPlan().toString().count("get_json_object") == 1
