@@ -5,12 +5,12 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .episodes import PRUNED, Preset, aggregate, finalised, sessions
-from .novelty import NoveltyConfig, event_signals, triples_of
-from .tables import saved
+from .novelty import NoveltyConfig, signal_masks, triples_of
+from .tables import saved, small
 
 KEY = ("source", "user")
 
@@ -49,27 +49,28 @@ def advance(state: RunState, events: DataFrame, novelty: NoveltyConfig = Novelty
     window = preset.window
     counts = events.agg(F.count("*"), F.min("time"), F.max("time")).first()
     triples = triples_of(events, known=state.triples)
-    signals = event_signals(events, replace(novelty, warmup_events=max(0, novelty.warmup_events - state.n_events)), triples).filter(F.size("signals") > 0)
+    signals = signal_masks(events, replace(novelty, warmup_events=max(0, novelty.warmup_events - state.n_events)), triples).filter("mask > 0")
     if state.entries is None:
         rows = sessions(signals, events, window).withColumn("done", F.lit(False))
     else:
         rows = sessions(signals.withColumn("done", F.lit(False)), events, window, carried=state.entries)
-    own = Window.partitionBy(*KEY)
-    rows = rows.withColumn("_newest", F.max("session").over(own)).withColumn("_end", F.max("time").over(own))
-    rows = rows.withColumn("_from", F.max(F.when(F.col("time") <= F.col("_end") - 2 * window, F.col("time"))).over(own))
     rows = saved(rows, "sessions")
+    ends = small(rows.groupBy(*KEY).agg(F.max("session").alias("_newest"), F.max("time").alias("_end")))
+    old = rows.join(ends, [*KEY]).filter(F.col("time") <= F.col("_end") - 2 * window).groupBy(*KEY).agg(F.max("time").alias("_from"))
+    rows = rows.join(small(saved(ends.join(old, [*KEY], "left"), "ends")), [*KEY])
     open_ = F.lit(False) if last else F.col("session") == F.col("_newest")
     closed = finalised(aggregate(rows.filter(~F.col("done") & ~open_)), preset)
     kept = rows.filter((F.col("session") == F.col("_newest")) | (F.col("time") >= F.col("_from"))).withColumn("done", F.col("done") | ~open_).drop("_newest", "_end", "_from")
-    ends = [x for x in (state.first, counts[1]) if x is not None], [x for x in (state.last, counts[2]) if x is not None]
-    return closed, RunState(triples, saved(kept, "entries"), state.n_events + counts[0], min(ends[0], default=None), max(ends[1], default=None))
+    times = [x for x in (state.first, counts[1]) if x is not None], [x for x in (state.last, counts[2]) if x is not None]
+    return closed, RunState(triples, saved(kept, "entries"), state.n_events + counts[0], min(times[0], default=None), max(times[1], default=None))
 
 
 def window_runs(events: DataFrame, warmup: int, preset: Preset = PRUNED, window: str = "window_id") -> DataFrame:
     """Finalised episodes of runs that know nothing of one another, one for each value of the column `window`, which is part of
     every key: memory, warm-up and clock are the window's own."""
     novelty = NoveltyConfig(warmup_events=warmup, within=(window,))
-    signals = event_signals(events, novelty).filter(F.size("signals") > 0)
+    events = saved(events.select(window, "time", "seq", "source", "user", "dest"), "events")
+    signals = signal_masks(events, novelty).filter("mask > 0")
     return finalised(aggregate(sessions(signals, events, preset.window, (window,)), within=(window,)), preset)
 
 

@@ -7,8 +7,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import bucketed, global_rank
-from .novelty import FANOUT, FIRST_TIME, NoveltyConfig, event_signals
+from .graph import global_rank, rows_of
+from .novelty import FANOUT, FIRST_TIME, NoveltyConfig, hits_of_mask, risk_of_mask, signal_masks, signals_of_mask
 from .tables import saved, small
 
 
@@ -51,30 +51,39 @@ PRESETS = {p.name: p for p in (PRUNED, RECALL, BALANCED, LOOSE, TIGHT)}
 
 
 def next_ticks(ticks: DataFrame, wait: int, within: tuple[str, ...] = ()) -> DataFrame:
-    """For each tick t (distinct times): pop, the first tick at t + wait or later, or null.
+    """For each tick t (distinct times): pop, the first tick at t + wait or later, or null."""
+    base = ticks.select(*within, "time").distinct()
+    return with_exits(base, base, wait, within, "pop")
 
-    Ticks are put in buckets of `wait` seconds. The answer is in the target's bucket, or the first tick of the next bucket that
-    has any; the latter is a window over buckets, of which there are few, never over ticks.
+
+def with_exits(rows: DataFrame, ticks: DataFrame, wait: int, within: tuple[str, ...] = (), to: str = "pop") -> DataFrame:
+    """Adds to rows the first tick at time + wait or later, or null. Rows without a time go.
+
+    Ticks are put in buckets of `wait` seconds, and rows stand among those of the bucket in which they ask. The answer is there, or
+    it is the first tick of the next bucket that has any; the latter is a window over buckets, of which there are few, never over
+    ticks.
     """
     w = list(within)
-    base = ticks.select(*w, "time").distinct().withColumn("bucket", F.floor(F.col("time") / wait))
-    heads = base.groupBy(*w, "bucket").agg(F.min("time").alias("head"))
-    # Later rows as those before in the opposite order, which Spark goes through once.
-    later = Window.partitionBy(*w).orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
-    targets = base.select(*w, (F.col("time") + wait).alias("at"), (F.col("bucket") + 1).alias("bucket"), F.col("time").alias("t"))
-    both = targets.select(*w, "bucket", "at", "t", F.lit(None).cast("long").alias("tick")).union(base.select(*w, "bucket", F.col("time").alias("at"), F.lit(None).cast("long").alias("t"), F.col("time").alias("tick")))
-    inside = F.min("tick").over(Window.partitionBy(*w, "bucket").orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, 0))
-    found = both.withColumn("inside", inside).filter("t is not null")
-    # The next bucket with a tick after each target's bucket; targets' buckets may be empty, so they stand among the heads.
-    marks = found.select(*w, "bucket").distinct().join(heads, w + ["bucket"], "left").union(heads.join(found.select(*w, "bucket").distinct(), w + ["bucket"], "left_anti").select(*w, "bucket", "head"))
-    after = marks.withColumn("after", F.min("head").over(later)).select(*w, "bucket", "after")
-    return found.join(after, w + ["bucket"]).select(*w, F.col("t").alias("time"), F.coalesce("inside", "after").alias("pop"))
+    number = F.floor(F.col("time") / wait)
+    ticks, rows = ticks.filter("time is not null"), rows.filter("time is not null")
+    asking = rows.select("*", (F.col("time") + wait).alias("_at"), (number + 1).alias("_ask"), F.lit(None).cast("long").alias("_tick"))
+    both = asking.unionByName(ticks.select(*w, F.col("time").alias("_at"), number.alias("_ask"), F.col("time").alias("_tick")), allowMissingColumns=True)
+    inside = F.min("_tick").over(Window.partitionBy(*w, "_ask").orderBy(F.desc("_at")).rangeBetween(Window.unboundedPreceding, 0))
+    found = both.withColumn("_inside", inside).filter("_tick is null")
+    # Later buckets as those before in the opposite order, which Spark goes through once. Buckets in which rows ask may be empty.
+    heads = ticks.groupBy(*w, number.alias("_ask")).agg(F.min("time").alias("_head"))
+    asked = rows.select(*w, (number + 1).alias("_ask")).distinct().withColumn("_head", F.lit(None).cast("long"))
+    later = Window.partitionBy(*w).orderBy(F.desc("_ask")).rowsBetween(Window.unboundedPreceding, -1)
+    after = heads.union(asked).groupBy(*w, "_ask").agg(F.min("_head").alias("_head")).withColumn("_after", F.min("_head").over(later)).drop("_head")
+    own = [F.col(f"`{c}`") for c in rows.columns]
+    return found.join(after, w + ["_ask"]).select(*own, F.coalesce("_inside", "_after").alias(to))
 
 
 def sessions(signals: DataFrame, ticks: DataFrame, window: int = 300, within: tuple[str, ...] = (), carried: DataFrame | None = None) -> DataFrame:
-    """Adds `session` (1, 2, ... for each source and user) to events with signals, and `pop`, the exit of their entries.
+    """Adds `session` (1, 2, ... for each source and user) to events with signals, `pop`, the exit of their entries, and `opens`,
+    whether the event is its session's first.
 
-    carried: rows of an earlier batch with both; their sessions stay, and open ones may go on.
+    carried: rows of an earlier batch with all three; their sessions stay, and open ones may go on.
 
     An episode is closed through one queue shared by all keys: an entry written at t leaves it at the first event of any key at
     t + 2 * window or later, and closes its key's episode if that has been silent for a window by then. In closed form: an
@@ -84,39 +93,46 @@ def sessions(signals: DataFrame, ticks: DataFrame, window: int = 300, within: tu
     w = list(within)
     key = w + ["source", "user"]
     times = ticks.select(*w, "time")
-    rows = signals.join(next_ticks(times if carried is None else times.union(carried.select(*w, "time")), 2 * window, within), w + ["time"])
-    known = F.lit(None).cast("long")
-    if carried is not None:
+    if carried is None:
+        rows = with_exits(signals, times, 2 * window, within)
+    else:
         # An exit that no earlier batch had a tick for is the first one here, if there is one.
-        late = next_ticks(times.union(carried.select(*w, "time")), 2 * window, within).withColumnRenamed("pop", "_pop")
-        old = carried.join(late, w + ["time"], "left").withColumn("pop", F.coalesce("pop", "_pop")).drop("_pop")
-        rows, known = rows.withColumn("session", F.lit(None).cast("long")).unionByName(old), F.col("session")
-    rows = saved(rows.withColumn("_known", known), "signals")
-    marked = starts(rows, key, window).withColumn("_new", F.when(F.col("_known").isNull(), F.col("_new").cast("int")).otherwise(0))
-    marked = saved(marked, "marked")
-    out = bucketed(marked, F.col("_bucket"), ["time", "seq"], key, _here=(F.sum, "_new", "upto"))
+        both = signals.unionByName(carried, allowMissingColumns=True)
+        rows = with_exits(both, times.union(carried.select(*w, "time")), 2 * window, within, "_pop").withColumn("pop", F.coalesce("pop", "_pop")).drop("_pop").withColumnsRenamed({"session": "_known", "opens": "_opened"})
+    rows = saved(rows, "signals")
+    new = F.col("_new") if carried is None else F.col("_new") & F.col("_known").isNull()
+    marked = starts(rows, key, window).withColumn("_new", new.cast("int"))
+    upto = rows_of("upto", [*key, "_bucket"], ["time", "seq"])
+    marked = saved(marked.withColumn("_here", F.sum("_new").over(upto)), "marked")
+    totals = marked.groupBy(*key, "_bucket").agg(F.sum("_new").alias("_n"))
+    before = small(totals.select(*key, "_bucket", F.coalesce(F.sum("_n").over(rows_of("before", key, ["_bucket"])), F.lit(0)).alias("_before")))
+    out = marked.join(before, [*key, "_bucket"])
+    number = F.col("_here") + F.col("_before")
     if carried is None:
-        return out.withColumn("session", F.col("_here")).drop("_here", "_new", "_known", "_bucket")
+        return out.withColumn("session", number).withColumn("opens", F.col("_new") == 1).drop("_here", "_before", "_new", "_bucket")
     newest = small(carried.groupBy(*key).agg(F.max("session").alias("_newest")))
-    out = out.join(newest, key, "left").withColumn("session", F.coalesce("_known", F.col("_here") + F.coalesce("_newest", F.lit(0))))
-    return out.drop("_here", "_new", "_known", "_bucket", "_newest")
+    out = out.join(newest, key, "left").withColumn("session", F.coalesce("_known", number + F.coalesce("_newest", F.lit(0))))
+    return out.withColumn("opens", F.coalesce("_opened", F.col("_new") == 1)).drop("_here", "_before", "_new", "_known", "_opened", "_bucket", "_newest")
 
 
 def starts(rows: DataFrame, key: list[str], window: int, span: int = 3600) -> DataFrame:
     """Adds `_new`, whether a row (key, time, seq, pop) starts a session, and `_bucket`, its span of time; see sessions().
 
-    A key is as many groups as it has spans. What a row has to see of earlier ones is in its own span, in the one before (whose
-    rows come along, without their other columns), or else is the last row before those: exits rise with time, so the last
-    entry has the latest one, and it is more than two windows old. That row is found from each span's last.
+    A key is as many groups as it has spans. What a row has to see of earlier ones is in its own span, in the last two windows of
+    the one before (whose rows come along, without their other columns), or else is the last row before those: exits rise with
+    time, so the last entry has the latest one, and it is more than two windows old. That row is found from each span's last.
     """
     span = max(span, 2 * window)
     rows = rows.withColumn("_bucket", F.floor(F.col("time") / span))
-    past = rows.select(*key, (F.col("_bucket") + 1).alias("_bucket"), "time", "seq", "pop")
-    last = rows.groupBy(*key, "_bucket").agg(F.max(F.struct("time", "seq")).alias("_at"), F.max("pop").alias("pop"))
-    older = Window.partitionBy(*key).orderBy("_bucket").rangeBetween(Window.unboundedPreceding, -2)
-    carry = last.select(*key, "_bucket", F.max("_at").over(older).alias("_at"), F.max("pop").over(older).alias("pop")).filter("_at is not null")
-    beside = past.union(carry.select(*key, "_bucket", "_at.time", "_at.seq", "pop")).withColumn("_past", F.lit(True))
-    both = rows.withColumn("_past", F.lit(False)).unionByName(beside, allowMissingColumns=True)
+    near = F.col("time") >= (F.col("_bucket") + 1) * span - 2 * window
+    past = rows.filter(near).select(*key, (F.col("_bucket") + 1).alias("_bucket"), "time", "seq", "pop")
+    far = lambda c: F.max(F.when(~near, F.col(c)))
+    last = rows.groupBy(*key, "_bucket").agg(F.max("time").alias("time"), F.max("pop").alias("pop"), far("time").alias("_time"), far("pop").alias("_pop"))
+    by = Window.partitionBy(*key).orderBy("_bucket")
+    older, beside = by.rangeBetween(Window.unboundedPreceding, -2), by.rangeBetween(-1, -1)
+    carry = last.select(*key, "_bucket", *(F.greatest(F.max(c).over(older), F.max(f"_{c}").over(beside)).alias(c) for c in ("time", "pop"))).filter("time is not null")
+    seen = past.union(carry.select(*key, "_bucket", "time", F.lit(None).cast("long").alias("seq"), "pop")).withColumn("_past", F.lit(True))
+    both = rows.withColumn("_past", F.lit(False)).unionByName(seen, allowMissingColumns=True)
     by_time = Window.partitionBy(*key, "_bucket").orderBy("time").rangeBetween(Window.unboundedPreceding, -2 * window)
     before = F.lag("time").over(Window.partitionBy(*key, "_bucket").orderBy("time", "seq"))
     new = F.coalesce(before.isNull() | (F.max("pop").over(by_time) >= before + window), F.lit(False))
@@ -124,22 +140,36 @@ def starts(rows: DataFrame, key: list[str], window: int, span: int = 3600) -> Da
 
 
 def aggregate(rows: DataFrame, velocity_window: int = 120, within: tuple[str, ...] = ()) -> DataFrame:
-    """One row for each episode, with counts, signals, and the most destinations first seen within velocity_window seconds."""
+    """One row for each episode, with counts, signals, and the most destinations first seen within velocity_window seconds, from
+    events with a mask of signals (novelty.signal_masks) in sessions. Events are added up by destination first."""
     key = list(within) + ["source", "user", "session"]
-    dests = rows.groupBy(*key, "dest").agg(F.min("time").alias("t"))
-    recent = F.count("*").over(Window.partitionBy(*key).orderBy("t").rangeBetween(-velocity_window, 0))
-    per_dest = dests.withColumn("recent", recent).groupBy(*key).agg(F.count("*").alias("destination_count"), F.max("recent").alias("peak_velocity_new_dests"), F.array_sort(F.collect_set("dest")).alias("destinations"))
-    out = rows.groupBy(*key).agg(
-        F.min("time").alias("start_time"),
+    hits = hits_of_mask()
+    dests = rows.groupBy(*key, "dest").agg(
+        F.min("time").alias("t"),
         F.max("time").alias("end_time"),
-        F.min(F.struct("time", "seq"))["seq"].alias("start_seq"),
+        F.max(F.when(F.col("opens"), F.col("seq"))).alias("start_seq"),
         F.count("*").alias("events_count"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("signals")))).alias("signals"),
-        F.count_if(F.col("first_time_hits") > 0).alias("first_time_event_count"),
-        F.sum("first_time_hits").alias("first_time_signal_hits"),
-        F.max("risk").alias("max_risk"),
+        F.bit_or("mask").alias("mask"),
+        F.count_if(hits > 0).alias("first_time_event_count"),
+        F.sum(hits).alias("first_time_signal_hits"),
+        F.max(risk_of_mask()).alias("max_risk"),
+    )
+    recent = F.count("*").over(Window.partitionBy(*key).orderBy("t").rangeBetween(-velocity_window, 0))
+    out = dests.withColumn("recent", recent).groupBy(*key).agg(
+        F.min("t").alias("start_time"),
+        F.max("end_time").alias("end_time"),
+        F.max("start_seq").alias("start_seq"),
+        F.sum("events_count").alias("events_count"),
+        F.bit_or("mask").alias("mask"),
+        F.sum("first_time_event_count").alias("first_time_event_count"),
+        F.sum("first_time_signal_hits").alias("first_time_signal_hits"),
+        F.max("max_risk").alias("max_risk"),
+        F.count("*").alias("destination_count"),
+        F.max("recent").alias("peak_velocity_new_dests"),
+        F.array_sort(F.collect_list("dest")).alias("destinations"),
     )
-    return out.join(per_dest, key).withColumn("duration", F.col("end_time") - F.col("start_time")).withColumn("user_count", F.when(F.col("user") != "", 1).otherwise(0)).withColumn("episode_key", F.concat_ws("|", *within, "source", "user", "start_time", "start_seq"))
+    out = out.withColumn("signals", signals_of_mask()).drop("mask")
+    return out.withColumn("duration", F.col("end_time") - F.col("start_time")).withColumn("user_count", F.when(F.col("user") != "", 1).otherwise(0)).withColumn("episode_key", F.concat_ws("|", *within, "source", "user", "start_time", "start_seq"))
 
 
 def has(name: str) -> Column:
@@ -221,8 +251,9 @@ def finalised(episodes: DataFrame, p: Preset = PRUNED) -> DataFrame:
 
 
 def raw_episodes(events: DataFrame, novelty: NoveltyConfig, window: int = 300) -> DataFrame:
-    """Episodes before any scoring; what all presets share."""
-    signals = event_signals(events, novelty).filter(F.size("signals") > 0)
+    """Episodes before any scoring; what all presets share. Events are stored, since memory, warm-up and ticks read them too."""
+    events = saved(events.select(*novelty.within, "time", "seq", "source", "user", "dest"), "events")
+    signals = signal_masks(events, novelty).filter("mask > 0")
     return aggregate(sessions(signals, events, window, novelty.within), within=novelty.within)
 
 

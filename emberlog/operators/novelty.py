@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import saved
+from .tables import saved, small
 
 #: An event's signals and their weights.
 EVENT_WEIGHTS = {"first_time_source_to_dest": 0.22, "first_time_user_to_dest": 0.26, "first_time_source_user_to_dest": 0.42, "source_fanout": 0.10, "user_fanout": 0.10, "source_user_fanout": 0.20}
@@ -42,20 +42,20 @@ def fanout_reached(edges: DataFrame, keys: list[str], k: int) -> DataFrame:
 
 
 def warmup_end(events: DataFrame, n: int, within: tuple[str, ...] = ()) -> DataFrame:
-    """The order key of the n-th event (of each run); none if there are fewer. Events are counted by second; the hour, then the
-    second of the n-th is found from running counts, and only that second's events are put in order."""
+    """The order key of the n-th event (of each run); none if there are fewer. Events are counted by hour; the n-th one's hour is
+    counted by second, and only the events of its second are put in order."""
     w = list(within)
-    seconds = events.groupBy(*w, "time").agg(F.count("*").alias("c"))
-    hours = seconds.groupBy(*w, F.floor(F.col("time") / 3600).alias("h")).agg(F.sum("c").alias("c"))
+    hour = F.floor(F.col("time") / 3600).alias("h")
 
-    def reaching(counts: DataFrame, key: str, base: Column) -> DataFrame:
-        """The one row of each run in which the n-th event lies, with the number of events before it."""
-        run = F.sum("c").over(Window.partitionBy(*w).orderBy(key)) + base
+    def reaching(rows: DataFrame, key: Column | str, base: Column, *also: str) -> DataFrame:
+        """The one value of the key in each run in which the n-th event lies, with the number of events before it."""
+        counts = rows.groupBy(*w, key, *also).agg(F.count("*").alias("c"))
+        run = F.sum("c").over(Window.partitionBy(*w).orderBy(key if isinstance(key, str) else "h")) + base
         return counts.withColumn("_to", run).withColumn("_from", run - F.col("c")).filter((F.col("_from") < n) & (F.col("_to") >= n))
 
-    hour = reaching(hours, "h", F.lit(0)).select(*w, "h", F.col("_from").alias("_base"))
-    inside = seconds.withColumn("h", F.floor(F.col("time") / 3600)).join(F.broadcast(hour), [*w, "h"])  # a row a run
-    second = reaching(inside, "time", F.col("_base")).select(*w, "time", F.col("_from"))
+    hours = reaching(events, hour, F.lit(0)).select(*w, "h", F.col("_from").alias("_base"))
+    inside = events.select(*w, "time", hour).join(F.broadcast(hours), [*w, "h"])  # a row a run
+    second = reaching(inside, "time", F.col("_base"), "_base").select(*w, "time", F.col("_from"))
     nth = F.row_number().over(Window.partitionBy(*w, "time").orderBy("seq"))
     rows = events.join(F.broadcast(second), [*w, "time"]).withColumn("_n", nth + F.col("_from")).filter(F.col("_n") == n)
     return rows.select(*w, order_key().alias("warm"))
@@ -68,30 +68,40 @@ def triples_of(events: DataFrame, within: tuple[str, ...] = (), known: DataFrame
     return saved(new if known is None else new.unionByName(known).groupBy(*key).agg(F.min("first").alias("first")), "triples")
 
 
-def event_signals(events: DataFrame, config: NoveltyConfig = NoveltyConfig(), triples: DataFrame | None = None) -> DataFrame:
-    """Adds signals (sorted array), first_time_hits and risk to events (time, seq, source, user, dest) that come at or after the
-    warm-up's end; the events before it are learnt and dropped here. Each event is compared with strictly earlier ones.
-
-    All memory follows from one table, the first event of each source, user and destination: an event that is new in a smaller
-    key is one of those first events, and a key's fan-out is reached at one of them. So events meet two tables, by source, user
-    and destination, and by source and user. triples: that table where it is there already. A warm-up of no events drops none.
-    """
+def memory(triples: DataFrame, config: NoveltyConfig) -> DataFrame:
+    """The first event of each source, user and destination, whether it is new in the smaller keys too (_sd, _ud), and where its
+    source, user, and both have reached their fan-out (_rs, _ru, _rsu)."""
     w = list(config.within)
     sud, su = w + ["source", "user", "dest"], w + ["source", "user"]
-    triples = triples_of(events, config.within) if triples is None else triples
     first = lambda *keys: F.min("first").over(Window.partitionBy(*w, *keys)) == F.col("first")
-    marks = triples.select(*sud, "first", first("source", "dest").alias("_sd"), ((F.col("user") != "") & first("user", "dest")).alias("_ud"))
+    out = triples.select(*sud, "first", first("source", "dest").alias("_sd"), ((F.col("user") != "") & first("user", "dest")).alias("_ud"))
     named = triples.filter("user <> ''")
     by_sd = triples.groupBy(*w, "source", "dest").agg(F.min("first").alias("first"))
     by_ud = named.groupBy(*w, "user", "dest").agg(F.min("first").alias("first"))
-    reached = triples.select(*su).distinct()
     for name, edges, keys, k in (("_rs", by_sd, w + ["source"], config.min_source_fanout), ("_ru", by_ud, w + ["user"], config.min_user_fanout), ("_rsu", named, su, config.min_source_user_fanout)):
-        reached = reached.join(fanout_reached(edges, keys, k).withColumnRenamed("reached", name), keys, "left")
+        out = out.join(fanout_reached(edges, keys, k).withColumnRenamed("reached", name), keys, "left")
+    return small(saved(out, "memory"))
+
+
+def signal_masks(events: DataFrame, config: NoveltyConfig = NoveltyConfig(), triples: DataFrame | None = None) -> DataFrame:
+    """Adds mask to events (time, seq, source, user, dest) that come at or after the warm-up's end: its bit i is the i-th signal of
+    EVENT_WEIGHTS. The events before it are learnt and dropped here. Each event is compared with strictly earlier ones.
+
+    All memory follows from one table, the first event of each source, user and destination: an event that is new in a smaller
+    key is one of those first events, and a key's fan-out is reached at one of them. So events meet one table, by source, user
+    and destination. triples: that table where it is there already. A warm-up of no events drops none.
+    """
+    w = list(config.within)
+    known = memory(triples_of(events, config.within) if triples is None else triples, config)
     scored = events
     if config.warmup_events > 0:
         ends = F.broadcast(warmup_end(events, config.warmup_events, config.within))  # a row a run
         scored = (events.join(ends, w) if w else events.crossJoin(ends)).filter(order_key() >= F.col("warm")).drop("warm")
-    out = scored.join(marks, sud, "left").join(reached, su, "left")
+    # A missing destination is no edge, but its source and user have a fan-out.
+    own = {c: f"_of_{c}" for c in (*w, "source", "user", "dest")}
+    known = known.withColumn("first", F.when(F.col("dest").isNotNull(), F.col("first"))).withColumnsRenamed(own)
+    same = [F.col(c).eqNullSafe(F.col(k)) if c == "dest" else F.col(c) == F.col(k) for c, k in own.items()]
+    out = scored.join(known, same, "left")
     own, user = order_key(), F.col("user") != ""
     new = own == F.col("first")
     tests = {
@@ -102,11 +112,32 @@ def event_signals(events: DataFrame, config: NoveltyConfig = NoveltyConfig(), tr
         "user_fanout": user & (own > F.col("_ru")),
         "source_user_fanout": user & (own > F.col("_rsu")),
     }
-    tests = {k: F.coalesce(v, F.lit(False)) for k, v in tests.items()}
-    signals = F.array_sort(F.array_compact(F.array(*(F.when(t, F.lit(n)) for n, t in tests.items()))))
-    hits = sum((tests[n].cast("int") for n in FIRST_TIME), F.lit(0))
-    risk = F.least(sum((F.when(t, EVENT_WEIGHTS[n]).otherwise(0.0) for n, t in tests.items()), F.lit(0.0)), F.lit(1.0))
-    return out.select(*events.columns, signals.alias("signals"), hits.alias("first_time_hits"), risk.alias("risk"))
+    mask = sum((F.when(tests[n], 1 << i).otherwise(0) for i, n in enumerate(EVENT_WEIGHTS)), F.lit(0))
+    return out.select(*events.columns, mask.alias("mask"))
+
+
+def of_mask(value) -> Column:
+    """value(the names of a mask's signals) of the column mask, looked up in a table of all masks."""
+    names = [[n for i, n in enumerate(EVENT_WEIGHTS) if mask >> i & 1] for mask in range(1 << len(EVENT_WEIGHTS))]
+    return F.array(*(value(n) for n in names))[F.col("mask")]
+
+
+def signals_of_mask() -> Column:
+    return of_mask(lambda names: F.array(*map(F.lit, sorted(names))).cast("array<string>"))
+
+
+def hits_of_mask() -> Column:
+    return of_mask(lambda names: F.lit(sum(n in FIRST_TIME for n in names)))
+
+
+def risk_of_mask() -> Column:
+    return of_mask(lambda names: F.lit(min(sum((EVENT_WEIGHTS[n] for n in names), 0.0), 1.0)))
+
+
+def event_signals(events: DataFrame, config: NoveltyConfig = NoveltyConfig(), triples: DataFrame | None = None) -> DataFrame:
+    """As signal_masks(), with signals (sorted array), first_time_hits and risk in place of the mask."""
+    rows = signal_masks(events, config, triples)
+    return rows.select(*events.columns, signals_of_mask().alias("signals"), hits_of_mask().alias("first_time_hits"), risk_of_mask().alias("risk"))
 
 
 #: Seconds of a bucket of time in which events of a key are counted together.

@@ -8,7 +8,7 @@ from emberlog.operators import batches as bt
 from emberlog.operators import episodes as ep
 from emberlog.operators import novelty as nv
 from emberlog.operators import variants as vr
-from emberlog.operators.tables import shared_folder
+from emberlog.operators.tables import saved, shared_folder
 from emberlog.sources import views
 
 from .oracles import CHAIN, E, EPISODES, EVENT_CHAIN, ORACLES, SIGNALS, WARM, shaped
@@ -25,7 +25,7 @@ def in_windows(spark, sf_dir):
 @query
 def batched_episodes(spark, sf_dir):
     """Three batches, the state written and read again between them: the same episodes as in one run."""
-    e = views.auth(spark, sf_dir)
+    e = saved(views.auth(spark, sf_dir), "events")
     novelty, lo, hi = novelty_config(e), 40_000, 90_000
     folder = f"{shared_folder(spark)}/run-state-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
     state, out = bt.RunState(), None
