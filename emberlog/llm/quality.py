@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .base import ASCII_SPACE, Carried
+from .tokens import forget
 from .words import give_back
 
 SYMBOLS = b"#*$%&|<>"
@@ -125,6 +126,7 @@ def quality_measures(text: Column, rules: QualityRules = QualityRules()) -> Colu
 
     @F.arrow_udf(f"struct<{SCHEMA}>")
     def measures(texts: pa.Array) -> pa.Array:
+        forget()  # packing may have left its tokenizer here
         give_back()
         values, group, size, done = texts.to_pylist(), [], 0, []
         for i, value in enumerate(values):

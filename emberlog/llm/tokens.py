@@ -120,3 +120,7 @@ def loaded(kind, path: str):
     if (kind.__name__, path) not in _loaded:
         _loaded[kind.__name__, path] = kind(path)
     return _loaded[kind.__name__, path]
+
+def forget() -> None:
+    """Drops this worker process's tokenizers, for operators that need none and follow packing in the same workers."""
+    _loaded.clear()
