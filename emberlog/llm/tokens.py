@@ -77,7 +77,9 @@ class WordMemoTokenizer:
     def by_library(self, words: list[str]) -> list[bytes]:
         """The ids of each word; a word with a special token's string is encoded with it."""
         out = [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-        special = [i for i, word in enumerate(words) if any(s in word for s in self.special)]
+        joined = " ".join(words)  # neither words nor such strings hold white space
+        found = [s for s in self.special if s in joined]
+        special = [i for i, word in enumerate(words) if any(s in word for s in found)] if found else []
         if special:
             self.tokenizer.encode_special_tokens = False
             for i in special:
@@ -92,10 +94,11 @@ class WordMemoTokenizer:
             group.append(split_words(text or ""))
             size += len(group[-1])
             if size > GROUP_WORDS or i == len(texts) - 1:
-                new = {w for words in group for w in words if w not in self.memo}
+                own = set().union(*group)
+                new = own.difference(self.memo)
                 if len(self.memo) + len(new) > MEMO_WORDS:
                     self.memo.clear()
-                    new = {w for words in group for w in words}
+                    new = own
                 self.learn(list(new))
                 for words in group:
                     yield b"".join(map(self.memo.__getitem__, words))
@@ -121,6 +124,7 @@ def loaded(kind, path: str):
         _loaded[kind.__name__, path] = kind(path)
     return _loaded[kind.__name__, path]
 
+
 def forget() -> None:
     """Drops this worker process's tokenizers, for operators that need none and follow packing in the same workers."""
     _loaded.clear()
