@@ -356,8 +356,10 @@ def decision_metrics(decisions: DataFrame) -> DataFrame:
 
 
 def risk_metrics(decisions: DataFrame) -> DataFrame:
-    """Events, mean and largest fused risk, mean confidence, and the mean of each risk."""
-    return decisions.agg(F.count("*").alias("events"), F.avg("fusion_risk").alias("mean_risk"), F.max("fusion_risk").alias("max_risk"), F.avg("confidence").alias("mean_confidence"), *(F.avg(f"{c}_risk").alias(f"mean_{c}") for c in ("semantic", "behavioral", "graph")))
+    """Events, mean and largest fused risk, mean confidence, and the mean of each risk. Means are of decimals, whose sums are the same
+    in any order: a sum of doubles isn't, and a mean that lies between two rounded values then goes up or down by chance."""
+    mean = lambda c: F.avg(F.col(c).cast("decimal(20,17)")).cast("double")
+    return decisions.agg(F.count("*").alias("events"), mean("fusion_risk").alias("mean_risk"), F.max("fusion_risk").alias("max_risk"), mean("confidence").alias("mean_confidence"), *(mean(f"{c}_risk").alias(f"mean_{c}") for c in ("semantic", "behavioral", "graph")))
 
 
 def audit(decisions: DataFrame, n: int = 1000) -> DataFrame:

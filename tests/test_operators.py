@@ -98,6 +98,16 @@ def test_decisions(spark):
     assert out[10].semantic_risk == pytest.approx(0.9) and "low_history_actor" in out[10].reasons
 
 
+def test_means_of_risks_do_not_depend_on_how_rows_are_dealt(spark):
+    """A mean that lies between two rounded values; sums of these doubles fall short of it or go beyond it."""
+    names = ("fusion_risk", "confidence", "semantic_risk", "behavioral_risk", "graph_risk")
+    for value, n, to in ((0.2000005, 30, 0.200001), (0.3000005, 100, 0.300001)):
+        rows = spark.range(n).select(*(F.lit(value).alias(c) for c in names))
+        for tasks in (1, 3, 7):
+            m = decisions.risk_metrics(rows.repartition(tasks))
+            assert set(m.select(*(F.round(c, 6) for c in m.columns if c.startswith("mean"))).first()) == {to}
+
+
 def test_streams_equal_batches(spark, tmp_path):
     from emberlog.streaming import jobs
 
