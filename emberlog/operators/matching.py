@@ -144,23 +144,18 @@ def match_maps(matched: DataFrame) -> DataFrame:
     return matched.groupBy("episode_key").agg(F.array_sort(F.collect_set("label_redteam_index")).alias("label_ids"), F.count_if("exact_start").alias("exact_count"), F.first("candidate_gate").alias("candidate_gate"))
 
 
-#: Labels that a group's name lists at most.
-NAMED_LABELS = 1000
-
-
-def label_groups(maps: DataFrame, most: int = NAMED_LABELS) -> DataFrame:
-    """Adds group_id: episodes that share labels, directly or through others, are one group. Its name lists all its labels; a group of
-    more than `most` has its least label and their number instead, so that no row grows with a group."""
+def label_groups(maps: DataFrame) -> DataFrame:
+    """Adds group_id: episodes that share labels, directly or through others, are one group, and its name lists all its labels. A name
+    is made once for a group, from each label once, and meets the group's episodes last, so that no other join carries it."""
+    maps = saved(maps, "label-maps")
     pairs = maps.select("episode_key", F.explode("label_ids").alias("label"))
     head = pairs.groupBy("episode_key").agg(F.min("label").alias("head"))
     links = pairs.join(head, "episode_key").select(F.col("label").cast("long").alias("a"), F.col("head").cast("long").alias("b"))
     comp = components(links)
-    named = pairs.join(comp, pairs["label"] == comp["node"], "left").withColumn("component", F.coalesce("component", "label"))
-    each = saved(named.select("component", "label").distinct(), "group-labels")
-    sizes = each.groupBy("component").agg(F.count("*").alias("n"))
-    listed = each.join(sizes.filter(F.col("n") <= most).select("component"), "component", "left_semi").groupBy("component").agg(F.array_join(F.array_sort(F.collect_list("label")), "+").alias("name"))
-    names = sizes.join(listed, "component", "left").select("component", F.concat(F.lit("rtgrp:"), F.coalesce("name", F.format_string("%d..x%d", F.col("component"), F.col("n")))).alias("group_id"))
-    return maps.join(named.select("episode_key", "component").distinct().join(names, "component").drop("component"), "episode_key")
+    grouped = lambda rows, label: rows.join(comp, F.col(label) == F.col("node"), "left").withColumn("component", F.coalesce("component", label)).drop("node", label)
+    each = pairs.select("label", F.col("label").alias("of")).distinct()
+    names = grouped(each, "of").groupBy("component").agg(F.concat(F.lit("rtgrp:"), F.array_join(F.array_sort(F.collect_list("label")), "+")).alias("group_id"))
+    return maps.join(grouped(head, "head"), "episode_key").join(names, "component").drop("component")
 
 
 def own_groups(maps: DataFrame) -> DataFrame:

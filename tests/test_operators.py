@@ -131,3 +131,12 @@ def test_a_table_is_made_once_and_again_if_it_is_gone(spark):
     gone = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
     assert tables.made_once(spark, "once", ("a",), make).count() == 3 and len(made) == 3
+
+
+def test_a_group_is_named_by_all_its_labels(spark):
+    """1,500 labels in one chain of episodes, beside a group of two and an episode of its own."""
+    rows = [(f"e{i}", [i, i + 1]) for i in range(1499)] + [("f", [5000, 9]), ("g", [7000, 10_000]), ("h", [7000, 800_000]), ("i", [6000])]
+    out = {r.episode_key: r.group_id for r in matching.label_groups(spark.createDataFrame(rows, "episode_key string, label_ids array<long>")).collect()}
+    long = "rtgrp:" + "+".join(map(str, [*range(1500), 5000]))
+    assert all(out[k] == long for k in ("f", *(f"e{i}" for i in range(1499)))) and len(out) == 1503
+    assert out["g"] == out["h"] == "rtgrp:7000+10000+800000" and out["i"] == "rtgrp:6000"
